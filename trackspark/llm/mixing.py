@@ -104,7 +104,7 @@ def mix_sources(
     weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     cap: float = 3.0,
     seed: int = 17,
-    rows_per_range: int = 20_000,
+    rows_per_range: int = 4096,
     carry: bool = True,
 ) -> DataFrame:
     """One output row per input row: the input columns (only ``id_col`` if not ``carry``), then size
@@ -142,7 +142,7 @@ def take_mix(
     weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     cap: float = 3.0,
     seed: int = 17,
-    rows_per_range: int = 20_000,
+    rows_per_range: int = 4096,
 ) -> DataFrame:
     """The mix itself: the input's columns, each row as often as the mix repeats it.
 
