@@ -36,8 +36,8 @@ class Rule:
 # The base kinds, in the order in which spans that start together are listed.
 BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", r"[0-9a-f]+", 0, 16),
+    Rule("access", r"AKIA[A-Z0-9]{14,}"),  # runs are maximal, so the least length can stand in the pattern
+    Rule("hex", r"[0-9a-f]{16,}"),
 )
 # Public formats of further secrets.
 ADDED = (
@@ -82,7 +82,7 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     none = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, kind: STRING>>)")
     out = []
     for r in rules:
-        may = F.col("__text").contains(MUST_HOLD[r.kind]) if r.kind in MUST_HOLD else F.col("__text").rlike(_least(r))
+        may = F.col("__text").contains(MUST_HOLD[r.kind]) if r.kind in MUST_HOLD else F.col("__text").rlike(r.pattern)
         out.append(
             F.when(
                 ~F.array_contains("__seen", r.key),
@@ -93,11 +93,6 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return rows.select("digest", "x.rule", "x.spans")
 
 
-def _least(rule: Rule) -> str:
-    """A pattern that every match long enough holds; it ends a search early where there is none."""
-    return r"[0-9a-f]{%d}" % rule.least if rule.kind == "hex" else rule.pattern
-
-
 def scan_secrets(
     df: DataFrame,
     id_col: str = "doc_id",
