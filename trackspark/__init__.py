@@ -1 +1,8 @@
 """Spark jobs for live-cell tracking data held as tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel with the jobs that use them: executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
