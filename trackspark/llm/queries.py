@@ -13,12 +13,17 @@ from .mixing import mix_sources
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
 from .sharding import hilbert_shards
+from .simhash import simhash_components
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=False)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), carry=False)
 
@@ -66,6 +71,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op3_quality_rules": op3_quality_rules,
     "op4_mixing": op4_mixing,
     "op7_secret_scan": op7_secret_scan,
