@@ -123,26 +123,8 @@ def fences(sketch: DataFrame, fence: float, min_rows: int) -> DataFrame:
     )
 
 
-def quality_rules(
-    df: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    lang_col: str = "lang",
-    source_col: str = "source",
-    *,
-    fence: float = 3.0,
-    min_rows: int = 100,
-    carry: bool = True,
-) -> DataFrame:
-    """One output row per input row: the input columns (only ``id_col`` if not ``carry``), then
-    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
-
-    A row is kept if it passes the base rules and each of its signals lies inside its group's
-    fences, ``fence`` times the quartile range beyond the quartiles.
-    Null text: no words, fails the base rules. Null language or source: a group of its own. Equal
-    rows get equal verdicts. Empty table: no rows. Groups without a row that passes the base rules
-    need no fences. A computed column replaces an input column of its name.
-    """
+def _judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, fence: float, min_rows: int, carry: bool) -> DataFrame:
+    """The packed rows with the counts, base_failed and kept."""
     scratch = Scratch(df.sparkSession)
     rows = _counts(
         df.select(
@@ -165,4 +147,34 @@ def quality_rules(
             inside = inside & (F.col(f"__s_{s}") >= F.col(f"lo_{s}"))
     # limits is a written table, so Spark broadcasts it only if it is small enough
     judged = rows.join(limits, F.col("__lang").eqNullSafe(F.col("__l")) & F.col("__source").eqNullSafe(F.col("__s")), "left")
-    return unpack(judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))), COMPUTED)
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+
+
+def quality_rules(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    source_col: str = "source",
+    *,
+    fence: float = 3.0,
+    min_rows: int = 100,
+    carry: bool = True,
+) -> DataFrame:
+    """One output row per input row: the input columns (only ``id_col`` if not ``carry``), then
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
+
+    A row is kept if it passes the base rules and each of its signals lies inside its group's
+    fences, ``fence`` times the quartile range beyond the quartiles.
+    Null text: no words, fails the base rules. Null language or source: a group of its own. Equal
+    rows get equal verdicts. Empty table: no rows. Groups without a row that passes the base rules
+    need no fences. A computed column replaces an input column of its name.
+    """
+    return unpack(_judged(df, id_col, text_col, lang_col, source_col, fence, min_rows, carry), COMPUTED)
+
+
+def drop_low_quality(
+    df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, fence: float = 3.0, min_rows: int = 100
+) -> DataFrame:
+    """The rows that ``quality_rules`` keeps, with the input's own columns. Cases as there."""
+    return _judged(df, text_col, text_col, lang_col, source_col, fence, min_rows, True).where("kept").select(f"{ROW}.*")
