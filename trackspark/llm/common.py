@@ -48,6 +48,17 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_arrow(self, df: DataFrame, label: str, batch_rows: int) -> DataFrame:
+        """``write`` for a plan that hands rows to Python: at most ``batch_rows`` at once, as whole texts
+        or groups can be large."""
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, str(batch_rows))
+        try:
+            return self.write(df, label)
+        finally:
+            self.spark.conf.set(key, before)
+
     def drop(self) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
@@ -71,9 +82,9 @@ def unpack(df: DataFrame, computed: list[str]) -> DataFrame:
     return df.select(*[F.col(f"{ROW}.{name(f)}").alias(f) for f in kept], *computed)
 
 
-def text_of(column: str) -> Column:
+def text_of(column: str | Column) -> Column:
     """A null text counts as empty."""
-    return F.coalesce(F.col(name(column)).cast("string"), F.lit(""))
+    return F.coalesce((F.col(name(column)) if isinstance(column, str) else column).cast("string"), F.lit(""))
 
 
 def lower_ascii(text: Column) -> Column:

@@ -29,12 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, ROW, Scratch, name, pack, text_of, unpack
+from .common import ROW, Scratch, name, pack, text_of, unpack
 from .components import star_components
 from .gray_index import spanning_forest
 
 COMPUTED = ["fingerprint", "component_id", "kept"]
 _CHUNK = 1 << 20  # bytes of a text handled at once
+TEXTS, GROUPS = 500, 1000  # texts, and groups of codes, handed to Python at once
 
 
 # -- fingerprints ---------------------------------------------------------------------------------
@@ -76,21 +77,17 @@ def fingerprint(text: bytes, k: int, n_codes: int) -> list[int]:
     return np.packbits(ones * 2 > total, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
-def with_codes(df: DataFrame, text_col: str, k: int, n_codes: int) -> DataFrame:
-    """Replaces the text column by __f0, __f1, ..."""
-    rest = [f for f in df.schema.fields if f.name != text_col]
+def codes_of(texts: DataFrame, k: int, n_codes: int) -> DataFrame:
+    """texts: __id, __order, __text. (__id, __order, __f0, __f1, ...)."""
+    names = ["__id", "__order"] + [f"__f{c}" for c in range(n_codes)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_col).cast(pa.large_binary())
+            texts = batch.column(2).cast(pa.large_binary())
             codes = np.array([fingerprint(t.as_py() or b"", k, n_codes) for t in texts], np.int64).reshape(-1, n_codes)
-            columns = [batch.column(f.name) for f in rest] + [pa.array(codes[:, c]) for c in range(n_codes)]
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in rest] + [f"__f{c}" for c in range(n_codes)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)] + [pa.array(codes[:, c]) for c in range(n_codes)], names)
 
-    schema = df.select(*[name(f.name) for f in rest]).schema
-    for c in range(n_codes):
-        schema = schema.add(f"__f{c}", "long")
-    return df.mapInArrow(make, schema)
+    return texts.select("__id", "__order", "__text").mapInArrow(make, ", ".join(f"{n} long" for n in names))
 
 
 # -- the index ------------------------------------------------------------------------------------
@@ -154,7 +151,7 @@ def links_exact(codes: DataFrame, scratch: Scratch, radius: int, leaf_size: int)
     while True:
         nodes = nodes.select("x.__path", "x.__key", F.col("__f0").alias("__id"), "__f0")
         light, every, hot = _split_hot(nodes, scratch, str(level), leaf_size)
-        found.append(scratch.write(_grouped_links(light, 1, radius), f"links_{level}"))
+        found.append(scratch.write_arrow(_grouped_links(light, 1, radius), f"links_{level}", GROUPS))
         if hot is None:
             return _union(found)
         fixed = [m for m, _ in masks]
@@ -198,14 +195,14 @@ def links_sampled(
         parts.append(F.struct(F.lit(i).alias("__path"), key.alias("__key")))
     nodes = codes.select("__id", *fs, F.explode(F.array(*parts)).alias("x")).select("x.__path", "x.__key", "__id", *fs)
     light, every, hot = _split_hot(nodes, scratch, "0", leaf_size)
-    found = [scratch.write(_grouped_links(light, words, radius), "links_0")]
+    found = [scratch.write_arrow(_grouped_links(light, words, radius), "links_0", GROUPS)]
     if hot is not None:
         dealt = every.join(hot, ["__path", "__key"]).withColumn("__parts", F.ceil(F.col("__n") / leaf_size).cast("int"))
         own = F.pmod(F.xxhash64("__id", "__path"), F.col("__parts")).cast("int")
         where = F.when(F.col("__id") == F.col("__lead"), F.sequence(F.lit(0), F.col("__parts") - 1)).otherwise(F.array(own))
         dealt = dealt.withColumn("__part", F.explode(where))
         dealt = dealt.select("__path", F.xxhash64("__key", "__part").alias("__key"), "__id", *fs)
-        found.append(scratch.write(_grouped_links(dealt, words, radius), "links_1"))
+        found.append(scratch.write_arrow(_grouped_links(dealt, words, radius), "links_1", GROUPS))
     return _union(found)
 
 
@@ -237,15 +234,15 @@ def simhash_components(
     table: no rows. A computed column replaces an input column of its name.
     """
     scratch = Scratch(df.sparkSession)
-    rows = df.select(
-        pack(df, None if carry else [id_col]),
-        F.col(name(id_col)).cast("long").alias("__id"),
-        text_of(text_col).alias("__text"),
-        F.monotonically_increasing_id().alias(RID),
-    )
-    rows = scratch.write(with_codes(rows, "__text", shingle, 1), "codes")
-    first = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col(RID).alias("r")))
-    codes = scratch.write(rows.groupBy("__f0").agg(first.alias("__first")), "distinct")
+    order, row_id = F.col(name(id_col)).cast("long").alias("__order"), F.monotonically_increasing_id().alias("__id")
+    if carry:
+        rows = scratch.write(df.select(pack(df), order, row_id), "rows")
+        texts = rows.select("__id", "__order", text_of(F.col(ROW)[text_col]).alias("__text"))
+    else:
+        texts = df.select(row_id, order, text_of(text_col).alias("__text"))
+    marked = scratch.write_arrow(codes_of(texts, shingle, 1), "codes", TEXTS)
+    first = F.min(F.struct(F.col("__order").isNull().alias("n"), F.col("__order").alias("i"), F.col("__id").alias("r")))
+    codes = scratch.write(marked.groupBy("__f0").agg(first.alias("__first")), "distinct")
     edges = links_exact(codes, scratch, radius, leaf_size)
     member = scratch.write(star_components(edges, scratch), "members")
     # of linked codes only: the first row of each component
@@ -255,15 +252,15 @@ def simhash_components(
     labels = codes.join(labels, codes["__f0"] == labels["node"], "left").select(
         F.col("__f0").alias("__code"), F.coalesce("__best", "__first").alias("__best")
     )
-    out = rows.drop(ROW).join(labels, F.col("__f0") == F.col("__code"))
+    out = marked.join(labels, F.col("__f0") == F.col("__code"))
     out = out.select(
-        RID, "__id", hex_code("__f0").alias("fingerprint"),
-        F.col("__best.i").alias("component_id"), (F.col(RID) == F.col("__best.r")).alias("kept"),
+        "__id", "__order", hex_code("__f0").alias("fingerprint"),
+        F.col("__best.i").alias("component_id"), (F.col("__id") == F.col("__best.r")).alias("kept"),
     )
     if carry:
-        out = rows.select(ROW, RID).join(out.hint("shuffle_hash"), RID)
+        out = rows.select(ROW, "__id").join(out.hint("shuffle_hash"), "__id")
     else:
-        out = out.withColumn(ROW, F.struct(F.col("__id").alias(id_col)))
+        out = out.withColumn(ROW, F.struct(F.col("__order").alias(id_col)))
     return unpack(out, COMPUTED)
 
 
@@ -310,17 +307,15 @@ def drop_near_duplicates(
     Empty table: no rows.
     """
     scratch = Scratch(df.sparkSession)
-    rows = df.select(pack(df), F.col(name(id_col)).cast("long").alias("__order"), text_of(text_col).alias("__text"), F.monotonically_increasing_id().alias("__id"))
-    rows = rows.withColumn("__copy", F.col("__text"))  # the codes replace one of the two
-    rows = scratch.write(with_codes(rows, "__copy", shingle, n_codes), "codes")
-    fs = [f"__f{c}" for c in range(n_codes)]
-    codes = rows.where(F.col("__text").rlike(r"[^\x20\x09-\x0D]")).select("__id", *fs)
+    rows = scratch.write(df.select(pack(df), F.col(name(id_col)).cast("long").alias("__order"), F.monotonically_increasing_id().alias("__id")), "rows")
+    texts = rows.select("__id", "__order", text_of(F.col(ROW)[text_col]).alias("__text")).where(F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
+    codes = scratch.write_arrow(codes_of(texts, shingle, n_codes), "codes", TEXTS)
     p = bit_difference(similarity)
     radius = math.floor(64 * n_codes * p + 2 * math.sqrt(64 * n_codes * p * (1 - p)))
     found = links_sampled(codes, scratch, n_codes, radius, p, recall, leaf_size, seed)
     found = scratch.write(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d")), "candidates")
     ends = scratch.write(found.select(F.explode(F.array("a", "b")).alias("__id")).distinct(), "ends")
-    sets = scratch.write(_shingle_sets(rows.select("__id", "__text").join(ends.hint("shuffle_hash"), "__id", "left_semi"), shingle), "sets")
+    sets = scratch.write_arrow(_shingle_sets(texts.join(ends.hint("shuffle_hash"), "__id", "left_semi"), shingle), "sets", TEXTS)
     left, right = sets.select(F.col("__id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("__id").alias("b"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     alike = found.join(left, "a").join(right, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common))
