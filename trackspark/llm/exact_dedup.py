@@ -90,13 +90,20 @@ def exact_dedup(
 
 
 def drop_exact_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_heavy: int = 256, counters: int = 8192
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    max_heavy: int = 256,
+    counters: int = 8192,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """The rows that stay, with the input's own columns. Cases as in ``exact_dedup``.
+    scratch: where to write; the caller may drop it once the result is written.
 
     Whole rows move at most once, against the row ids to drop; digests alone decide those.
     """
-    scratch = Scratch(df.sparkSession)
+    scratch = scratch or Scratch(df.sparkSession)
     rows = _digests(df, scratch, id_col, text_col, True)
     gone = (
         _decide(rows.drop(ROW), scratch, max_heavy, counters).where(F.col(RID) != F.col(f"__win.{RID}")).select(RID)

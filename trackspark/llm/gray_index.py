@@ -12,6 +12,8 @@ import numpy as np
 
 FAN = 16
 BLOCK = 256  # queries searched together
+SMALL = 64  # codes of a node that is compared directly
+PAIRS = 1 << 17
 
 
 def gray_order(codes: np.ndarray) -> np.ndarray:
@@ -82,14 +84,22 @@ def _links(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _small_links(codes: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for many nodes of at most FAN codes, which have no upper level, all at once."""
-    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    place = np.arange(len(codes)) - first
-    j = np.repeat(np.arange(len(codes)), place)
-    i = first[j] + np.arange(len(j)) - np.repeat(np.cumsum(place) - place, place)
-    d = np.bitwise_count(codes[i] ^ codes[j]).sum(1, dtype=np.int16)
-    keep = d <= radius
-    return i[keep], j[keep], d[keep]
+    """The same for many nodes of at most SMALL codes, which gain nothing from upper levels: all pairs of a
+    node, many nodes at once, about PAIRS pairs at a time."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16))]
+    starts, pairs = np.cumsum(sizes) - sizes, np.cumsum(sizes * (sizes - 1) // 2)
+    cuts = np.unique(np.searchsorted(pairs, np.arange(0, pairs[-1] if len(pairs) else 0, PAIRS), side="right").tolist() + [0, len(sizes)])
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        n = sizes[lo:hi]
+        first = np.repeat(starts[lo:hi], n)
+        at = starts[lo] + np.arange(int(n.sum()))
+        place = at - first
+        j = np.repeat(at, place)
+        i = np.repeat(first, place) + np.arange(len(j)) - np.repeat(np.cumsum(place) - place, place)
+        d = np.bitwise_count(codes[i] ^ codes[j]).sum(1, dtype=np.int16)
+        keep = d <= radius
+        found.append((i[keep], j[keep], d[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> list[tuple[int, int, int]]:
@@ -120,12 +130,12 @@ def spanning_forest(codes: np.ndarray, sizes: np.ndarray, radius: int) -> list[t
     codes.
     """
     starts = np.cumsum(sizes) - sizes
-    small = np.flatnonzero(sizes <= FAN)
+    small = np.flatnonzero(sizes <= SMALL)
     at = np.repeat(starts[small], sizes[small]) + np.arange(sizes[small].sum()) - np.repeat(np.cumsum(sizes[small]) - sizes[small], sizes[small])
     i, j, d = _small_links(codes[at], sizes[small], radius)
     used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
     forest = [(int(at[used[x]]), int(at[used[y]]), z) for x, y, z in _forest(len(used), place[: len(i)], place[len(i) :], d)]
-    for k in np.flatnonzero(sizes > FAN):
+    for k in np.flatnonzero(sizes > SMALL):
         s, n = int(starts[k]), int(sizes[k])
         forest += [(s + x, s + y, z) for x, y, z in _forest(n, *_links(codes[s : s + n], radius))]
     return forest

@@ -143,13 +143,15 @@ def take_mix(
     cap: float = 3.0,
     seed: int = 17,
     rows_per_range: int = 4096,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """The mix itself: the input's columns, each row as often as the mix repeats it.
 
     Rows are whole here: the row at a source's cut is taken if at least half of it lies before
     the cut. Rows without words belong to no budget and stay once. Cases as in ``mix_sources``.
+    scratch: where to write; the caller may drop it once the result is written.
     """
-    scratch = Scratch(df.sparkSession)
+    scratch = scratch or Scratch(df.sparkSession)
     rows = scratch.write(
         df.select(
             pack(df),

@@ -97,6 +97,7 @@ def best_fit_pack(
     capacity: int = 2048,
     group_rows: int = 8192,
     one_per_source: bool = True,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per piece: ``id_col``, source, chunk, start_word, n_words, bin_id, place.
 
@@ -105,9 +106,9 @@ def best_fit_pack(
     Null text, or one without words: a piece of no words, packed like any other. Null source: a source
     of its own. Null id: kept. Equal rows are one cluster, so they get different bins. Copies of a long
     document: each full piece has its own bin. Empty table: no rows. Other columns are left out, so
-    their names cannot clash.
+    their names cannot clash. scratch: where to write; the caller may drop it once the result is written.
     """
-    scratch = Scratch(df.sparkSession)
+    scratch = scratch or Scratch(df.sparkSession)
     cluster = cluster_of(text_of(text_col)) if cluster_col is None else F.xxhash64(F.col(name(cluster_col)))
     rows = scratch.write(
         df.select(

@@ -123,9 +123,9 @@ def fences(sketch: DataFrame, fence: float, min_rows: int) -> DataFrame:
     )
 
 
-def _judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, fence: float, min_rows: int, carry: bool) -> DataFrame:
+def _judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, fence: float, min_rows: int, carry: bool, scratch: Scratch | None = None) -> DataFrame:
     """The packed rows with the counts, base_failed and kept."""
-    scratch = Scratch(df.sparkSession)
+    scratch = scratch or Scratch(df.sparkSession)
     rows = _counts(
         df.select(
             pack(df, None if carry else [id_col]),
@@ -174,7 +174,15 @@ def quality_rules(
 
 
 def drop_low_quality(
-    df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, fence: float = 3.0, min_rows: int = 100
+    df: DataFrame,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    source_col: str = "source",
+    *,
+    fence: float = 3.0,
+    min_rows: int = 100,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
-    """The rows that ``quality_rules`` keeps, with the input's own columns. Cases as there."""
-    return _judged(df, text_col, text_col, lang_col, source_col, fence, min_rows, True).where("kept").select(f"{ROW}.*")
+    """The rows that ``quality_rules`` keeps, with the input's own columns. Cases as there.
+    scratch: where to write; the caller may drop it once the result is written."""
+    return _judged(df, text_col, text_col, lang_col, source_col, fence, min_rows, True, scratch).where("kept").select(f"{ROW}.*")

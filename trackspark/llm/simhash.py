@@ -183,10 +183,10 @@ def links_sampled(
     """codes: __id, __f0.. . Links (a, b, d): for a pair whose bits differ with probability ``p_bit``,
     some mask holds both with probability ``recall``.
 
-    Patterns grow with the table, so that unlike rows seldom meet; the number of masks follows.
+    Patterns grow with the table, so that a node holds about 16 unlike rows; the number of masks follows.
     """
     n = codes.count()
-    bits = min(40, max(16, math.ceil(math.log2(max(n, 1))) - 2))
+    bits = min(40, max(12, math.ceil(math.log2(max(n, 1))) - 4))
     count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p_bit) ** bits))
     fs = [f"__f{c}" for c in range(words)]
     parts = []
@@ -292,9 +292,10 @@ def drop_near_duplicates(
     shingle: int = 5,
     similarity: float = 0.8,
     recall: float = 0.95,
-    n_codes: int = 2,
+    n_codes: int = 4,
     leaf_size: int = 1024,
     seed: int = 5,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """The rows that stay, one of each group of near duplicates, with the input's own columns.
 
@@ -304,15 +305,15 @@ def drop_near_duplicates(
     are the connected components; the row with the smallest id stays (then the first).
     Null text, or one without words: no shingles, links to nothing and stays. Null ids: after all
     others. Fewer words than ``shingle``: the whole sequence is one shingle. Equal rows: one stays.
-    Empty table: no rows.
+    Empty table: no rows. scratch: where to write; the caller may drop it once the result is written.
     """
-    scratch = Scratch(df.sparkSession)
+    scratch = scratch or Scratch(df.sparkSession)
     rows = scratch.write(df.select(pack(df), F.col(name(id_col)).cast("long").alias("__order"), F.monotonically_increasing_id().alias("__id")), "rows")
     texts = rows.select("__id", "__order", text_of(F.col(ROW)[text_col]).alias("__text")).where(F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
     codes = scratch.write_arrow(codes_of(texts, shingle, n_codes), "codes", TEXTS)
     p = bit_difference(similarity)
-    radius = math.floor(64 * n_codes * p + 2 * math.sqrt(64 * n_codes * p * (1 - p)))
-    found = links_sampled(codes, scratch, n_codes, radius, p, recall, leaf_size, seed)
+    sigma = math.sqrt(p * (1 - p) / (64 * n_codes))  # of the measured difference
+    found = links_sampled(codes, scratch, n_codes, math.floor(64 * n_codes * (p + 3 * sigma)), p + sigma, recall, leaf_size, seed)
     found = scratch.write(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d")), "candidates")
     ends = scratch.write(found.select(F.explode(F.array("a", "b")).alias("__id")).distinct(), "ends")
     sets = scratch.write_arrow(_shingle_sets(texts.join(ends.hint("shuffle_hash"), "__id", "left_semi"), shingle), "sets", TEXTS)
