@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .adapters import VIEWS
 
-MODULES = ["track_queries"]
+MODULES = ["track_queries", "overlap_queries", "evaluate_queries", "image_queries", "source_queries"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -44,3 +44,9 @@ def check_columns(df: DataFrame, required: list[str], renames: dict[str, str] |
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
+
+
+def extended(schema: T.StructType, **columns: str) -> T.StructType:
+    """A schema with more columns, named with their types; the given one stays as it is."""
+    more = T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in columns.items()))
+    return T.StructType([*schema.fields, *more.fields])
