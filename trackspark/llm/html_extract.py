@@ -4,7 +4,8 @@ A page is read as a run of blocks, each under its root-to-leaf tag path. Per pat
 links and punctuation are summed over its nodes and divided by their number; ratios are smoothed over
 sibling paths, the two are fused, and paths above the page's threshold hold the content. Names that
 say what a part is (tags, roles, class and id words) settle the paths whose ratios can't: menus,
-footers and the like never count, and where a page has an article, what is outside doesn't.
+footers and the like never count; where a page has an article, what is outside doesn't, and inside it
+short paths (headings, lists) count too, unless their text is all links.
 
 A page is a row of its own, so pages are extracted inside their partition, without a shuffle.
 """
@@ -138,8 +139,8 @@ def blocks(page: str) -> Iterator[tuple[Element, str, int]]:
         yield found
 
 
-def content_paths(found: list[tuple[Element, str, int]], strength: float) -> set[str]:
-    """Paths whose smoothed, fused ratios reach the page's threshold."""
+def content_paths(found: list[tuple[Element, str, int]], strength: float, in_article: bool) -> set[str]:
+    """Paths whose smoothed, fused ratios reach the page's threshold; in an article, those above 0."""
     total: dict[str, list[float]] = {}
     for e, text, links in found:
         t = total.setdefault(e.path, [0.0, 0.0, 0.0])
@@ -159,15 +160,17 @@ def content_paths(found: list[tuple[Element, str, int]], strength: float) -> set
     top = max(fused.values(), default=0.0)
     mean = sum(fused.values()) / max(len(fused), 1)
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused.values()) / max(len(fused), 1))
-    return {p for p, x in fused.items() if x > 0 and x >= min(strength * spread, top)}
+    least = 0.0 if in_article else min(strength * spread, top)
+    return {p for p, x in fused.items() if x > 0 and x >= least}
 
 
 def main_text(page: str, strength: float = 0.5) -> str:
     """Content blocks of a page in page order, joined by one space."""
     found = [b for b in blocks(page) if not b[0].out and not b[0].path.startswith("/#page/html/head")]
-    if any(e.article for e, _, _ in found):
+    in_article = any(e.article for e, _, _ in found)
+    if in_article:
         found = [b for b in found if b[0].article]
-    paths = content_paths(found, strength)
+    paths = content_paths(found, strength, in_article)
     return " ".join(text for e, text, _ in found if e.path in paths)
 
 
