@@ -11,6 +11,7 @@ from .chat_format import format_chats, messages, read_back, read_loss
 from .exact_dedup import exact_dedup
 from .html_extract import extract_text
 from .mixing import mix_sources
+from .oracles import ORACLES  # noqa: F401
 from .packing import best_fit_pack
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
@@ -98,4 +99,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {}
