@@ -16,15 +16,13 @@ from trackspark.schema import extended
 from .overlap import box_pairs
 from .tracks import TRACK, gaps, neighbours_in_time, track_ends, track_summary
 
-CENTRE_X, CENTRE_Y = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-
 
 def _distance(ax, ay, bx, by) -> Column:
     return F.sqrt(F.pow(F.col(ax) - F.col(bx), 2) + F.pow(F.col(ay) - F.col(by), 2))
 
 
 def _ends(cells: DataFrame) -> DataFrame:
-    return track_ends(cells.withColumn("x", CENTRE_X).withColumn("y", CENTRE_Y), "x", "y", "area")
+    return track_ends(cells.withColumn("x", (F.col("x1") + F.col("x2")) / 2).withColumn("y", (F.col("y1") + F.col("y2")) / 2), "x", "y", "area")
 
 
 # -- gaps and divisions ---------------------------------------------------------------------------

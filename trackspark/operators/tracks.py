@@ -5,12 +5,18 @@ All of it is keyed by (dataset, track_id), so one partitioning serves a chain of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 TRACK = ["dataset", "track_id"]
-BY_TRACK = Window.partitionBy(*TRACK)
-IN_TIME = BY_TRACK.orderBy("timeframe")
+
+
+def by_track() -> WindowSpec:
+    return Window.partitionBy(*TRACK)
+
+
+def in_time() -> WindowSpec:
+    return by_track().orderBy("timeframe")
 
 
 # -- statistics -----------------------------------------------------------------------------------
@@ -35,7 +41,7 @@ def time_span(cells: DataFrame) -> DataFrame:
 
 def gaps(cells: DataFrame) -> DataFrame:
     """A4: frames inside a track's span without a cell: (dataset, track_id, timeframe)."""
-    after = F.lead("timeframe").over(IN_TIME)
+    after = F.lead("timeframe").over(in_time())
     pairs = cells.select(*TRACK, "timeframe").distinct().withColumn("__next", after).where("__next > timeframe + 1")
     return pairs.select(*TRACK, F.explode(F.sequence(F.col("timeframe") + 1, F.col("__next") - 1)).alias("timeframe"))
 
@@ -87,7 +93,7 @@ def size_correlation(sisters: DataFrame, areas: DataFrame, enough: int = 4, leas
 
 def relative_time(cells: DataFrame) -> DataFrame:
     """Frames since the track's first."""
-    return cells.withColumn("relative_time", F.col("timeframe") - F.min("timeframe").over(BY_TRACK))
+    return cells.withColumn("relative_time", F.col("timeframe") - F.min("timeframe").over(by_track()))
 
 
 def counts_above(samples: DataFrame, thresholds: list[int]) -> DataFrame:
@@ -103,8 +109,8 @@ def counts_above(samples: DataFrame, thresholds: list[int]) -> DataFrame:
 def sliding_clips(cells: DataFrame, window: int = 7, step: int = 1) -> DataFrame:
     """Full windows of ``window`` rows per track: clip number from 0, first and last frame. Members are
     the track's rows between them; join late."""
-    k = F.row_number().over(IN_TIME)
-    last = F.lead("timeframe", window - 1).over(IN_TIME)
+    k = F.row_number().over(in_time())
+    last = F.lead("timeframe", window - 1).over(in_time())
     rows = cells.select(*TRACK, "timeframe", k.alias("k"), last.alias("end_time"))
     rows = rows.where(F.col("end_time").isNotNull() & ((F.col("k") - 1) % step == 0))
     return rows.select(*TRACK, ((F.col("k") - 1) / step).cast("long").alias("clip"), F.col("timeframe").alias("start_time"), "end_time")
@@ -119,8 +125,8 @@ def clip_members(cells: DataFrame, clips: DataFrame) -> DataFrame:
 def sliding_stats(cells: DataFrame, value: str, window: int = 24) -> DataFrame:
     """Mean, population deviation and median absolute deviation of each window of rows; the track's
     last full window is left out."""
-    frame = IN_TIME.rowsBetween(0, window - 1)
-    n, k = F.count("*").over(BY_TRACK), F.row_number().over(IN_TIME)
+    frame = in_time().rowsBetween(0, window - 1)
+    n, k = F.count("*").over(by_track()), F.row_number().over(in_time())
     rows = cells.select(
         *TRACK, "timeframe", k.alias("k"), n.alias("n"),
         F.avg(value).over(frame).alias("mean"), F.stddev_pop(value).over(frame).alias("std"), F.collect_list(value).over(frame).alias("__v"),
@@ -139,7 +145,7 @@ def stable_scale(cells: DataFrame, value: str, window: int = 12, t_range: int =
     """Of the first ``t_range`` windows the ``sort_range`` steadiest, of those the one with the least
     mean: its mean and deviation scale the track."""
     w = sliding_stats(cells, value, window).where(F.col("window") <= t_range)
-    steady = w.withColumn("r", F.row_number().over(BY_TRACK.orderBy("std", "window"))).where(F.col("r") <= sort_range)
+    steady = w.withColumn("r", F.row_number().over(by_track().orderBy("std", "window"))).where(F.col("r") <= sort_range)
     best = steady.groupBy(*TRACK).agg(F.min(F.struct("mean", "window", "std")).alias("b")).select(*TRACK, F.col("b.mean").alias("__m"), F.col("b.std").alias("__s"))
     scaled = (F.col(value) - F.col("__m")) / F.when(F.col("__s") == 0, 1.0).otherwise(F.col("__s"))
     return cells.join(best, TRACK).withColumn("scaled", scaled).drop("__m", "__s")
@@ -147,7 +153,7 @@ def stable_scale(cells: DataFrame, value: str, window: int = 12, t_range: int =
 
 def neighbours_in_time(cells: DataFrame) -> DataFrame:
     """Previous and next frame of the track, gap to the next, whether that is the next frame."""
-    before, after = F.lag("timeframe").over(IN_TIME), F.lead("timeframe").over(IN_TIME)
+    before, after = F.lag("timeframe").over(in_time()), F.lead("timeframe").over(in_time())
     return cells.withColumn("prev_time", before).withColumn("next_time", after).withColumn("gap", F.col("next_time") - F.col("timeframe")).withColumn("consecutive", F.col("gap") == 1)
 
 
@@ -172,7 +178,7 @@ def event_flag_near(cells: DataFrame, flag: str, t_range: int = 3, later: bool =
     """The last non-null flag of the track among this frame and the ``t_range`` - 1 after (or before)
     it; 0: none. The dataset's last frame (later) and frame 0 (before) are not looked at."""
     seen = F.col("timeframe") > 0
-    w = IN_TIME.rangeBetween(0, t_range - 1) if later else IN_TIME.rangeBetween(-(t_range - 1), 0)
+    w = in_time().rangeBetween(0, t_range - 1) if later else in_time().rangeBetween(-(t_range - 1), 0)
     # a window over all frames of a dataset would gather it; its last frame comes from an aggregate
     if later:
         ends = cells.groupBy("dataset").agg(F.max("timeframe").alias("__end"))
@@ -205,13 +211,13 @@ def abnormal_jumps(cells: DataFrame, value: str, least: float = 5.0) -> DataFram
     """Jumps of a signal between its non-zero values, over their mean size. A rise that is a local peak
     of ``least`` or more marks the frame after it, a fall the frame before it. A run of equal jumps counts
     once, in its middle (rises: the earlier of two, falls: the later); the first and last run don't."""
-    rows = cells.where(F.col(value) != 0).select(*TRACK, "timeframe", (F.col(value) - F.lag(value).over(IN_TIME)).alias("d"), F.lag("timeframe").over(IN_TIME).alias("before"))
-    rows = rows.where("d IS NOT NULL").withColumn("jump", F.col("d") / F.nullif(F.avg(F.abs("d")).over(BY_TRACK), F.lit(0.0)))
-    new = F.coalesce((F.col("jump") != F.lag("jump").over(IN_TIME)).cast("int"), F.lit(1))
-    runs = rows.withColumn("run", F.sum(new).over(IN_TIME)).groupBy(*TRACK, "run").agg(
+    rows = cells.where(F.col(value) != 0).select(*TRACK, "timeframe", (F.col(value) - F.lag(value).over(in_time())).alias("d"), F.lag("timeframe").over(in_time()).alias("before"))
+    rows = rows.where("d IS NOT NULL").withColumn("jump", F.col("d") / F.nullif(F.avg(F.abs("d")).over(by_track()), F.lit(0.0)))
+    new = F.coalesce((F.col("jump") != F.lag("jump").over(in_time())).cast("int"), F.lit(1))
+    runs = rows.withColumn("run", F.sum(new).over(in_time())).groupBy(*TRACK, "run").agg(
         F.first("jump").alias("jump"), F.sort_array(F.collect_list(F.struct("timeframe", "before"))).alias("ts")
     )
-    w = BY_TRACK.orderBy("run")
+    w = by_track().orderBy("run")
     left, right, j = F.lag("jump").over(w), F.lead("jump").over(w), F.col("jump")
     k = F.size("ts") - 1
     rise = F.when((j > left) & (j > right) & (j >= least), F.get("ts", (k / 2).cast("int"))["timeframe"])
@@ -244,17 +250,17 @@ def clip_times(clips: DataFrame) -> DataFrame:
 
 def size_changes(cells: DataFrame, area: str = "area") -> DataFrame:
     """Change of area over the area before, and of the box centre."""
-    a, cx, cy = F.lag(area).over(IN_TIME), (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    a, cx, cy = F.lag(area).over(in_time()), (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     return (
         cells.withColumn("size_change", (F.col(area) - a) / F.nullif(a, F.lit(0.0)))
-        .withColumn("dx", cx - F.lag(cx).over(IN_TIME))
-        .withColumn("dy", cy - F.lag(cy).over(IN_TIME))
+        .withColumn("dx", cx - F.lag(cx).over(in_time()))
+        .withColumn("dy", cy - F.lag(cy).over(in_time()))
     )
 
 
 def last_frames(cells: DataFrame, k: int = 8) -> DataFrame:
     """Cells from k frames before the track's end on."""
-    return cells.withColumn("__e", F.max("timeframe").over(BY_TRACK)).where(F.col("timeframe") >= F.col("__e") - k).drop("__e")
+    return cells.withColumn("__e", F.max("timeframe").over(by_track())).where(F.col("timeframe") >= F.col("__e") - k).drop("__e")
 
 
 def track_classes(cells: DataFrame, status: str, dividing: str, excluded: list[str]) -> DataFrame:
@@ -342,7 +348,7 @@ def add_lineage(lineage: DataFrame, new: DataFrame) -> DataFrame:
 def break_links(cells: DataFrame, cuts: DataFrame) -> DataFrame:
     """Cuts (dataset, track_id, timeframe): from each on, the track's rows have a fresh label."""
     c = cuts.select(*TRACK, "timeframe").distinct().withColumn("__c", F.lit(1))
-    rows = cells.join(c, [*TRACK, "timeframe"], "left").withColumn("__part", F.coalesce(F.sum("__c").over(IN_TIME), F.lit(0)))
+    rows = cells.join(c, [*TRACK, "timeframe"], "left").withColumn("__part", F.coalesce(F.sum("__c").over(in_time()), F.lit(0)))
     tops = cells.groupBy("dataset").agg(F.max("track_id").alias("__top"))
     parts = rows.where("__part > 0").select(*TRACK, "__part").distinct()
     fresh = F.row_number().over(Window.partitionBy("dataset").orderBy("track_id", "__part"))

@@ -78,7 +78,7 @@ def f10(s, d):
 
 @query("f13_contour_distance", "WITH p AS (SELECT track_id, sc_id, lead(sc_id) OVER w AS n, x1, y1, x2, y2, lead(x1) OVER w AS u1, lead(y1) OVER w AS v1, lead(x2) OVER w AS u2, lead(y2) OVER w AS v2 FROM cells WINDOW w AS (PARTITION BY dataset, track_id ORDER BY timeframe)), a AS (SELECT sc_id, n, unnest([[x1, y1], [x1 + 3, y2], [x2, y2 - 2], [x2 - 1, y1]]) AS p, [[u1, v1], [u1 + 3, v2], [u2, v2 - 2], [u2 - 1, v1]] AS qs FROM p WHERE n IS NOT NULL) SELECT sc_id, round(min(sqrt((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2)), 6) AS distance FROM (SELECT sc_id, p, unnest(qs) AS q FROM a) GROUP BY ALL")
 def f13(s, d):
-    n = cells(s, d).withColumn("n", F.lead("sc_id").over(tr.IN_TIME)).where("n IS NOT NULL").select("sc_id", "n")
+    n = cells(s, d).withColumn("n", F.lead("sc_id").over(tr.in_time())).where("n IS NOT NULL").select("sc_id", "n")
     c = shapes(s, d).select("sc_id", "contour")
     p = n.join(c.withColumnRenamed("contour", "a"), "sc_id").join(c.select(F.col("sc_id").alias("n"), F.col("contour").alias("b")), "n")
     return co.contour_distances(p, "a", "b").select("sc_id", *r("distance"))

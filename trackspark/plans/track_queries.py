@@ -334,7 +334,7 @@ def w15(s, d):
 def w16(s, d):
     c = cells(s, d).withColumn("status", F.when((F.col("status") == "error") | (F.col("timeframe") > 690), F.col("status")).otherwise("view"))
     c = c.withColumn("status", F.when((F.col("status") == "error") & (F.col("timeframe") <= 690), "error_early").otherwise(F.col("status")))
-    last = F.max("timeframe").over(tr.BY_TRACK) == F.col("timeframe")
+    last = F.max("timeframe").over(tr.by_track()) == F.col("timeframe")
     c = c.withColumn("status", F.when(last & (F.col("status") == "error_early"), "error").otherwise(F.col("status")))
     return tr.track_classes(c, "status", "error", ["error", "signup"])
 

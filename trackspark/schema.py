@@ -13,10 +13,19 @@ from pyspark.sql import types as T
 
 BOX = ["x1", "y1", "x2", "y2"]
 
-CELLS = T.StructType.fromDDL(
-    "dataset STRING, sc_id STRING, track_id BIGINT, timeframe INT, "
-    "bbox STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>, contour ARRAY<ARRAY<DOUBLE>>, "
-    "features MAP<STRING, MAP<STRING, DOUBLE>>, meta MAP<STRING, STRING>, uns MAP<STRING, STRING>"
+_TEXTS = T.MapType(T.StringType(), T.StringType())
+CELLS = T.StructType(
+    [
+        T.StructField("dataset", T.StringType()),
+        T.StructField("sc_id", T.StringType()),
+        T.StructField("track_id", T.LongType()),
+        T.StructField("timeframe", T.IntegerType()),
+        T.StructField("bbox", T.StructType([T.StructField(c, T.DoubleType()) for c in BOX])),
+        T.StructField("contour", T.ArrayType(T.ArrayType(T.DoubleType()))),
+        T.StructField("features", T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType()))),
+        T.StructField("meta", _TEXTS),
+        T.StructField("uns", _TEXTS),
+    ]
 )
 
 

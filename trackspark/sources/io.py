@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackspark.schema import CELLS, stored
 
-PATH = F.col("_metadata.file_path")
+PATH = "_metadata.file_path"
 
 
 # -- frames ---------------------------------------------------------------------------------------
@@ -48,7 +48,7 @@ def write_manifest_json(frames: DataFrame, path: str) -> None:
 def read_cells_json(spark: SparkSession, paths: str | list[str], multi_line: bool = True) -> DataFrame:
     """S3: stored cells; the source file goes to meta.src_json."""
     c = spark.read.schema(CELLS).option("multiLine", multi_line).json(paths)
-    meta = F.map_concat(F.map_filter(F.coalesce("meta", F.create_map().cast("map<string,string>")), lambda k, _: k != "src_json"), F.create_map(F.lit("src_json"), PATH))
+    meta = F.map_concat(F.map_filter(F.coalesce("meta", F.create_map().cast("map<string,string>")), lambda k, _: k != "src_json"), F.create_map(F.lit("src_json"), F.col(PATH)))
     return c.withColumn("meta", meta)
 
 
@@ -144,7 +144,7 @@ def labelme_rows(files: DataFrame, train_share: float = 1.0, seed: int = 0) -> D
 def read_labelme(spark: SparkSession, folder: str, **options) -> DataFrame:
     """S8."""
     files = spark.read.schema(LABELME).option("multiLine", True).option("recursiveFileLookup", True).json(folder)
-    return labelme_rows(files.withColumn("path", PATH), **options)
+    return labelme_rows(files.withColumn("path", F.col(PATH)), **options)
 
 
 def read_lineage_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -161,7 +161,7 @@ def read_lineage_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 def read_class_clips(spark: SparkSession, folder: str, classes: list[str] | None = None) -> DataFrame:
     """Clips of <folder>/<class>/<clip>: cells with class, clip file and source folder; empty clips have
     no rows."""
-    c = spark.read.schema(CELLS).option("recursiveFileLookup", True).json(folder).withColumn("__p", PATH)
+    c = spark.read.schema(CELLS).option("recursiveFileLookup", True).json(folder).withColumn("__p", F.col(PATH))
     c = c.withColumn("class", F.regexp_replace(F.regexp_extract("__p", r"([^/]+)/[^/]+$", 1), "^class=", "")).withColumn("sample_id", F.regexp_extract("__p", r"([^/]+)$", 1)).withColumn("src_dir", F.lit(folder)).drop("__p")
     return c if classes is None else c.where(F.col("class").isin(classes))
 
