@@ -36,7 +36,8 @@ def pieces(mask: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, int]:
             b = (slice(dr, mask.shape[0]), slice(max(0, dc), mask.shape[1] + min(0, dc)))
             both = mask[a] & mask[b]
             low = np.where(both, np.minimum(new[a], new[b]), big)
-            new[a], new[b] = np.minimum(new[a], low), np.minimum(new[b], low)
+            new[a] = np.minimum(new[a], low)
+            new[b] = np.minimum(new[b], low)
         new = np.where(mask, new, 0)
         flat = np.concatenate([[0], new.ravel()])
         new = np.where(mask, flat[new], 0)

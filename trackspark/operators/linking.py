@@ -78,7 +78,7 @@ def greedy_pairs(pairs: DataFrame, keys: list[str], score: str) -> DataFrame:
         ends = left.select(*keys, F.col("a").alias("n"), order.alias("o")).union(left.select(*keys, F.col("b").alias("n"), order.alias("o")))
         top = ends.groupBy(*keys, "n").agg(F.max("o").alias("o"))
         ta, tb = (top.select(*keys, F.col("n").alias(s), F.col("o").alias(f"o{s}")) for s in "ab")
-        chosen = left.join(ta, [*keys, "a"]).join(tb, [*keys, "b"]).where((order == F.col("oa")) & (order == F.col("ob"))).select(*left.columns)
+        chosen = left.join(ta, [*keys, "a"]).join(tb, [*keys, "b"]).where((order == F.col("oa")) & (order == F.col("ob"))).select(*pairs.columns)
         chosen = written(chosen, folder, f"c{k}")
         if chosen.isEmpty():
             break
