@@ -157,6 +157,17 @@ def add_features(cells: DataFrame, computed: DataFrame, key: str, id_col: str =
     return out.withColumn("features", F.map_concat(old, F.coalesce("__new", empty))).drop("__new")
 
 
+def feature_table(cells: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+    """A column key_name per named feature, with sc_id, track_id and t; missing ones are null."""
+    values = [F.col("features")[key][n].alias(f"{key}_{n}") for key, ns in names.items() for n in ns]
+    return cells.select("sc_id", "track_id", F.col("timeframe").alias("t"), *values)
+
+
+def pivot_features(long: DataFrame, names: list[str], id_col: str = "sc_id") -> DataFrame:
+    """(id, name, value) as one column per given name; the list is given, so no pass looks for it."""
+    return long.groupBy(id_col).pivot("name", names).agg(F.max("value"))
+
+
 # -- texture --------------------------------------------------------------------------------------
 
 # The four directions.
@@ -356,15 +367,16 @@ def rasterize(cells: DataFrame, keys: list[str], h: int, w: int) -> DataFrame:
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = []
-            for k in range(len(b)):
-                points = np.array([list(x) for x in b["contour"].iloc[k]], float)
-                low = np.maximum(np.floor(points.min(0)), 0)
-                high = np.minimum(np.ceil(points.max(0)) + 1, (h, w))
-                at = np.argwhere(raster.fill_polygon(points - low, *np.maximum(high - low, 0).astype(int))) + low.astype(int)
-                row = b.iloc[[k]][[*keys, "sc_id"]]
-                parts.append(row.loc[row.index.repeat(len(at))].reset_index(drop=True).assign(r=at[:, 0], c=at[:, 1]))
-            yield pd.concat(parts) if parts else b.iloc[:0][[*keys, "sc_id"]].assign(r=0, c=0)
+            for start in range(0, len(b), 128):  # a few cells at a time, as each becomes many rows
+                parts = []
+                for k in range(start, min(start + 128, len(b))):
+                    points = np.array([list(x) for x in b["contour"].iloc[k]], float)
+                    low = np.maximum(np.floor(points.min(0)), 0)
+                    high = np.minimum(np.ceil(points.max(0)) + 1, (h, w))
+                    at = np.argwhere(raster.fill_polygon(points - low, *np.maximum(high - low, 0).astype(int))) + low.astype(int)
+                    row = b.iloc[[k]][[*keys, "sc_id"]]
+                    parts.append(row.loc[row.index.repeat(len(at))].reset_index(drop=True).assign(r=at[:, 0], c=at[:, 1]))
+                yield pd.concat(parts)
 
     return need.mapInPandas(fill, schema)
 

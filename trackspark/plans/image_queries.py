@@ -46,11 +46,22 @@ def a10(s, d):
     return im.region_shapes(grid(s, d), KEY)
 
 
+def with_features(s, d):
+    """Cells with a map of two feature groups."""
+    group = lambda *xs: F.create_map(*[x for n, c in xs for x in (F.lit(n), F.col(c).cast("double"))])
+    return cells(s, d).withColumn("features", F.create_map(F.lit("box"), group(("top", "x1"), ("left", "y1")), F.lit("size"), group(("area", "area"))))
+
+
+@query("a11_feature_table", "SELECT sc_id, track_id, timeframe AS t, CAST(x1 AS DOUBLE) AS box_top, CAST(y1 AS DOUBLE) AS box_left, area AS size_area FROM cells")
+def a11(s, d):
+    return im.feature_table(with_features(s, d), {"box": ["top", "left"], "size": ["area"]})
+
+
 @query("a12_feature_pivot", "SELECT sc_id, max(area) FILTER (status = 'error') AS error, max(area) FILTER (status = 'view') AS view FROM raw_cells GROUP BY sc_id")
 def a12(s, d):
     from .adapters import raw_cells
 
-    return raw_cells(s, d).groupBy("sc_id").pivot("status", ["error", "view"]).agg(F.max("area"))
+    return im.pivot_features(raw_cells(s, d).select("sc_id", F.col("status").alias("name"), F.col("area").alias("value")), ["error", "view"])
 
 
 @query("a30_enclosing_box", "SELECT track_id AS clip, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM cells GROUP BY ALL")
@@ -157,7 +168,7 @@ def x6(s, d):
 
 @query("x7_resized_labels")
 def x7(s, d):
-    return im.resized_labels(grid(s, d).where("image < 5 AND r < 24 AND c < 24"), KEY, 0.05)
+    return im.resized_labels(grid(s, d), KEY, 0.05)
 
 
 @query("x8_weight_map")
@@ -170,10 +181,10 @@ def x9(s, d):
     return im.cells_from_labels(grid(s, d), KEY)
 
 
-@query("x10_rasterize", "SELECT sc_id, CAST((x2 - x1 + 1) * (y2 - y1 + 1) AS BIGINT) AS n FROM cells WHERE dataset = 3")
+@query("x10_rasterize", "SELECT sc_id, CAST((x2 - x1 + 1) * (y2 - y1 + 1) AS BIGINT) AS n FROM cells")
 def x10(s, d):
     p = lambda a, b: F.array(F.col(a).cast("double"), F.col(b).cast("double"))
-    c = cells(s, d).where("dataset = 3").withColumn("contour", F.array(p("x1", "y1"), p("x1", "y2"), p("x2", "y2"), p("x2", "y1")))
+    c = cells(s, d).withColumn("contour", F.array(p("x1", "y1"), p("x1", "y2"), p("x2", "y2"), p("x2", "y1")))
     return im.rasterize(c, ["dataset"], 2000, 2000).groupBy("sc_id").agg(F.count("*").alias("n"))
 
 
@@ -222,9 +233,10 @@ def u10(s, d):
     return evs.drop_divided_frames(clips(s, d), ["user", "assistant"]).select("clip", "sc_id")
 
 
-@query("u11_expand_clips", "SELECT clip, CAST(product(n) AS BIGINT) AS variants FROM (SELECT clip, timeframe, count(*) AS n FROM clips WHERE timeframe < 4 GROUP BY ALL) GROUP BY ALL")
+#: conversations cut into clips of four frames
+@query("u11_expand_clips", "SELECT clip, CAST(product(n) AS BIGINT) AS variants FROM (SELECT clip * 1000 + timeframe // 4 AS clip, timeframe, count(*) AS n FROM clips GROUP BY ALL) GROUP BY ALL")
 def u11(s, d):
-    e = evs.expand_clips(clips(s, d).where("timeframe < 4"))
+    e = evs.expand_clips(clips(s, d).withColumn("clip", F.expr("clip * 1000 + timeframe div 4")))
     per = e.groupBy("clip", "variant").agg(F.array_join(F.sort_array(F.collect_list("sc_id")).cast("array<string>"), ",").alias("v"))
     return per.groupBy("clip").agg(F.count_distinct("v").alias("variants"))
 
@@ -242,7 +254,7 @@ def g13(s, d):
 
 @query("g16_stay_points")
 def g16(s, d):
-    return evs.stay_points(cells(s, d).where("timeframe < 400"), ["area"], 5.0, 3)
+    return evs.stay_points(cells(s, d), ["area"], 5.0, 3)
 
 
 @query("g17_fusion_types")

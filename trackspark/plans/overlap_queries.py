@@ -82,23 +82,24 @@ def j5(s, d):
 
 @query(
     "j6_extend_zero_maps",
-    f"""WITH {DENSE}, z AS (SELECT * FROM dense WHERE sc_id % 25 = 0),
+    f"""WITH {DENSE}, {PAIRS}, z AS (SELECT * FROM dense WHERE sc_id NOT IN (SELECT sc_a FROM pairs WHERE iomin > 0.3)),
     h AS (SELECT a.sc_id, min(b.timeframe) AS stop FROM z a JOIN dense b ON a.dataset = b.dataset AND b.timeframe > a.timeframe AND {TOUCH} AND {INTER} / CAST(least({AREA.format('a')}, {AREA.format('b')}) AS DOUBLE) > 0.5 GROUP BY ALL)
     SELECT z.dataset, z.sc_id, f.timeframe FROM z LEFT JOIN h USING (sc_id) JOIN (SELECT DISTINCT dataset, timeframe FROM dense) f ON f.dataset = z.dataset AND f.timeframe >= z.timeframe AND (stop IS NULL OR f.timeframe < stop)""",
 )
 def j6(s, d):
     c = dense(s, d)
-    return ov.extend_zero_maps(c.where("sc_id % 25 = 0"), c, 0.5)
+    zero = ov.find_maps(ov.frame_pairs(c), c, ov.FRAME).where("n_targets = 0").select(F.col("sc_a").alias("sc_id"))
+    return ov.extend_zero_maps(c.join(zero, "sc_id", "left_semi"), c, 0.5)
 
 
 ENDS = """ends AS (SELECT dataset, track_id, min(timeframe) AS s, max(timeframe) AS e, min_by((x1 + x2) / 2, timeframe) AS fx, min_by((y1 + y2) / 2, timeframe) AS fy, min_by(area, timeframe) AS fa,
   max_by((x1 + x2) / 2, timeframe) AS lx, max_by((y1 + y2) / 2, timeframe) AS ly, max_by(area, timeframe) AS la FROM tracklets GROUP BY ALL)"""
 #: tracks cut into pieces of 40 frames
-TRACKLETS = "tracklets AS (SELECT dataset, track_id * 100 + timeframe // 40 AS track_id, timeframe, sc_id, area, x1, y1, x2, y2 FROM cells WHERE dataset < 2)"
+TRACKLETS = "tracklets AS (SELECT dataset, track_id * 100 + timeframe // 40 AS track_id, timeframe, sc_id, area, x1, y1, x2, y2 FROM cells)"
 
 
 def tracklets(s, d):
-    return cells(s, d).where("dataset < 2").withColumn("track_id", F.expr("track_id * 100 + timeframe div 40"))
+    return cells(s, d).withColumn("track_id", F.expr("track_id * 100 + timeframe div 40"))
 
 
 @query(
@@ -128,14 +129,14 @@ def j10(s, d):
 
 @query(
     "j11_signals_to_cells",
-    """WITH s AS (SELECT dataset, sc_id AS sig_id, timeframe AS st, (sc_id * 53 % 960) + 0.5 AS x, (sc_id * 71 % 960) + 0.5 AS y FROM cells WHERE sc_id % 10 = 0)
+    """WITH s AS (SELECT dataset, sc_id AS sig_id, timeframe AS st, (sc_id * 53 % 960) + 0.5 AS x, (sc_id * 71 % 960) + 0.5 AS y FROM cells)
     SELECT s.dataset, sig_id, max(c.timeframe) AS timeframe, min_by(c.sc_id, CAST(c.sc_id AS BIGINT) - CAST(c.timeframe AS BIGINT) * 1000000000) AS sc_id FROM s JOIN cells c ON c.dataset = s.dataset AND c.timeframe <= st AND x > c.x1 AND x < c.x2 AND y > c.y1 AND y < c.y2 GROUP BY ALL""",
 )
 def j11(s, d):
     c = cells(s, d)
     corner = lambda a, b: F.array(F.col(a).cast("double"), F.col(b).cast("double"))
     shaped = c.withColumn("contour", F.array(corner("x1", "y1"), corner("x1", "y2"), corner("x2", "y2"), corner("x2", "y1")))
-    sig = c.where("sc_id % 10 = 0").selectExpr("dataset", "sc_id AS sig_id", "timeframe", "(sc_id * 53 % 960) + 0.5D AS x", "(sc_id * 71 % 960) + 0.5D AS y")
+    sig = c.selectExpr("dataset", "sc_id AS sig_id", "timeframe", "(sc_id * 53 % 960) + 0.5D AS x", "(sc_id * 71 % 960) + 0.5D AS y")
     return lk.signals_to_cells(sig, shaped)
 
 
@@ -146,15 +147,15 @@ def j12(s, d):
 
 @query(
     "j13_file_pairs",
-    """WITH a AS (SELECT dataset AS k, timeframe AS t, 'seg' || sc_id AS p FROM cells WHERE track_id % 10 = 1 AND sc_id % 2 = 0), b AS (SELECT dataset AS k, timeframe AS t, min('tra' || sc_id) AS p FROM cells WHERE track_id % 10 = 3 AND sc_id % 3 = 0 GROUP BY 1, 2),
+    """WITH a AS (SELECT dataset // 2 AS k, timeframe AS t, 'seg' || sc_id AS p FROM cells WHERE track_id % 2 = 0), b AS (SELECT dataset // 2 AS k, timeframe AS t, min('tra' || sc_id) AS p FROM cells WHERE track_id % 2 = 1 GROUP BY 1, 2),
     ra AS (SELECT * FROM a WHERE (k, t) NOT IN (SELECT (k, t) FROM b)), rb AS (SELECT * FROM b WHERE (k, t) NOT IN (SELECT (k, t) FROM a))
     SELECT a.k, a.t, a.p AS seg_path, b.p AS tra_path, 'exact' AS match FROM a JOIN b USING (k, t) UNION ALL
     SELECT ra.k, ra.t, ra.p, min_by(rb.p, rb.t), 'fuzzy' FROM ra JOIN rb ON ra.k = rb.k AND rb.t BETWEEN ra.t - 1 AND ra.t + 1 GROUP BY ra.k, ra.t, ra.p""",
 )
 def j13(s, d):
     c = cells(s, d)
-    a = c.where("track_id % 10 = 1 AND sc_id % 2 = 0").selectExpr("dataset AS k", "timeframe AS t", "concat('seg', sc_id) AS path")
-    b = c.where("track_id % 10 = 3 AND sc_id % 3 = 0").groupBy(F.col("dataset").alias("k"), F.col("timeframe").alias("t")).agg(F.min(F.concat(F.lit("tra"), "sc_id")).alias("path"))
+    a = c.where("track_id % 2 = 0").selectExpr("dataset div 2 AS k", "timeframe AS t", "concat('seg', sc_id) AS path")
+    b = c.where("track_id % 2 = 1").groupBy(F.expr("dataset div 2").alias("k"), F.col("timeframe").alias("t")).agg(F.min(F.concat(F.lit("tra"), "sc_id")).alias("path"))
     return lk.pair_files(a, b, ["k"])
 
 
@@ -246,12 +247,12 @@ def j22(s, d):
     f"""WITH {OVERLAP}, b AS (SELECT * FROM ov QUALIFY row_number() OVER (PARTITION BY image, label_b ORDER BY iou DESC, label_a) = 1),
     g AS (SELECT image, label_a, count(*) AS n_cells, string_agg(CAST(label_b AS VARCHAR), ',' ORDER BY label_b) AS members FROM b GROUP BY ALL HAVING count(*) > 1),
     x AS (SELECT image, label_a, min(r) AS x1, min(c) AS y1, max(r) + 1 AS x2, max(c) + 1 AS y2 FROM upixels GROUP BY ALL)
-    SELECT image, label_a, n_cells, members, x1 - p AS x1, y1 - p AS y1, x2 + p AS x2, y2 + p AS y2 FROM (SELECT *, CAST(trunc(0.5 * greatest(x2 - x1, y2 - y1)) AS BIGINT) AS p FROM g JOIN x USING (image, label_a)) WHERE label_a % 2 = 1""",
+    SELECT image, label_a, n_cells, members, x1 - p AS x1, y1 - p AS y1, x2 + p AS x2, y2 + p AS y2 FROM (SELECT *, CAST(trunc(0.5 * greatest(x2 - x1, y2 - y1)) AS BIGINT) AS p FROM g JOIN x USING (image, label_a))""",
 )
 def j24(s, d):
     p = unique_pixels(s, d)
     boxes = p.groupBy("image", "label_a").agg(F.min("r").alias("x1"), F.min("c").alias("y1"), (F.max("r") + 1).alias("x2"), (F.max("c") + 1).alias("y2"))
-    regions = boxes.select("image", "label_a", (2 - F.col("label_a") % 2).alias("n_pieces"))
+    regions = boxes.select("image", "label_a", F.lit(1).alias("n_pieces"))
     g = ov.underseg_groups(ov.best_match(ov.label_overlap(p, KEY), KEY), regions, boxes, KEY)
     return g.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
 
@@ -288,16 +289,16 @@ def a18(s, d):
     return m.select("threshold", *r("accuracy", "iou", "count_diff", "matched", "all_match"))
 
 
-DOMINANT = """g AS (SELECT image, label_a, label_b, count(*) AS n FROM upixels WHERE label_a <> 0 AND r % 4 = 0 GROUP BY ALL),
+DOMINANT = """g AS (SELECT image, label_a, label_b, count(*) AS n FROM upixels WHERE label_a <> 0 GROUP BY ALL),
     dm AS (SELECT image, label_a, max_by(label_b, n * 1000 - label_b) FILTER (label_b > 0) AS track_id, max(n) FILTER (label_b > 0) / CAST(sum(n) FILTER (label_b > 0) AS DOUBLE) AS share, count(*) FILTER (label_b > 0) AS k FROM g GROUP BY ALL)"""
 
 
 @query(
     "a19_dominant_ids",
-    f"WITH {DOMINANT} SELECT image, label_a, track_id, round(share, 6) AS share, CASE WHEN k = 0 THEN 'no_track' WHEN k = 1 THEN 'single' WHEN share >= 0.2 THEN 'dominant' ELSE 'ambiguous' END AS reason, k = 1 OR (k > 1 AND share >= 0.2) AS valid FROM dm",
+    f"WITH {DOMINANT} SELECT image, label_a, track_id, round(share, 6) AS share, CASE WHEN k = 0 THEN 'no_track' WHEN k = 1 THEN 'single' WHEN share >= 0.07 THEN 'dominant' ELSE 'ambiguous' END AS reason, k = 1 OR (k > 1 AND share >= 0.07) AS valid FROM dm",
 )
 def a19(s, d):
-    return ov.dominant_ids(unique_pixels(s, d).where("r % 4 = 0"), KEY, 0.2).withColumn("share", F.round("share", 6))
+    return ov.dominant_ids(unique_pixels(s, d), KEY, 0.07).withColumn("share", F.round("share", 6))
 
 
 @query(
@@ -427,12 +428,12 @@ def g1(s, d):
 
 @query(
     "g2_descendants",
-    "WITH w AS (SELECT mother_id AS root_id, daughter_id AS track_id, 1 AS depth FROM lineage WHERE mother_id % 50 = 0 UNION ALL SELECT root_id, daughter_id, depth + 1 FROM w JOIN lineage ON mother_id = track_id) SELECT root_id, track_id, depth FROM w",
+    "WITH w AS (SELECT mother_id AS root_id, daughter_id AS track_id, 1 AS depth FROM lineage UNION ALL SELECT root_id, daughter_id, depth + 1 FROM w JOIN lineage ON mother_id = track_id) SELECT root_id, track_id, depth FROM w",
     recursive=True,
 )
 def g2(s, d):
     e = lineage(s, d)
-    return li.descendants(e, e.where("mother_id % 50 = 0").select(F.col("mother_id").alias("track_id")).distinct())
+    return li.descendants(e, e.select(F.col("mother_id").alias("track_id")).distinct())
 
 
 @query(

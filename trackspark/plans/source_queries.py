@@ -55,9 +55,9 @@ def s5(s, d):
     return c.select("sc_id", "track_id", "timeframe", F.get(F.get("contour", F.lit(2)), F.lit(0)).alias("last_row"))
 
 
-@query("s7_coco", "SELECT sc_id, CAST(timeframe AS INTEGER) AS timeframe, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 + 1 AS DOUBLE) AS x2, CAST(y2 + 1 AS DOUBLE) AS y2 FROM cells WHERE dataset = 1")
+@query("s7_coco", "SELECT sc_id, CAST(timeframe AS INTEGER) AS timeframe, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 + 1 AS DOUBLE) AS x2, CAST(y2 + 1 AS DOUBLE) AS y2 FROM cells")
 def s7(s, d):
-    c = cells(s, d).where("dataset = 1").selectExpr("sc_id", "timeframe", *[f"CAST({k} AS DOUBLE) AS {k}" for k in ("x1", "y1", "x2", "y2")])
+    c = cells(s, d).selectExpr("sc_id", "timeframe", *[f"CAST({k} AS DOUBLE) AS {k}" for k in ("x1", "y1", "x2", "y2")])
     a = c.select(F.struct(
         F.col("sc_id").alias("id"), F.col("timeframe").cast("long").alias("image_id"), F.lit(1).cast("long").alias("category_id"),
         F.array(F.col("y1"), F.col("x1"), F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")).alias("bbox"),
@@ -71,21 +71,21 @@ def s7(s, d):
     return io.coco_cells(coco).select("sc_id", "timeframe", "x1", "y1", "x2", "y2")
 
 
-@query("s8_labelme", "SELECT sc_id AS image_id, status AS label, CAST(x1 AS DOUBLE) AS x, CAST(x2 - x1 AS DOUBLE) AS w FROM cells WHERE dataset = 2")
+@query("s8_labelme", "SELECT sc_id AS image_id, status AS label, CAST(x1 AS DOUBLE) AS x, CAST(x2 - x1 AS DOUBLE) AS w FROM cells")
 def s8(s, d):
     p = lambda a, b: F.array(F.col(a).cast("double"), F.col(b).cast("double"))
-    f = cells(s, d).where("dataset = 2").select(
+    f = cells(s, d).select(
         F.format_string("/data/%d.json", "sc_id").alias("path"),
         F.array(F.struct(F.col("status").alias("label"), F.lit("rectangle").alias("shape_type"), F.array(p("x1", "y1"), p("x2", "y2")).alias("points"))).alias("shapes"),
     )
     return io.labelme_rows(f).select("image_id", "label", F.get("bbox", F.lit(0)).alias("x"), F.get("bbox", F.lit(2)).alias("w"))
 
 
-@query("s9_lineage_xml", "SELECT track_id AS cell, timeframe, CAST(x1 AS DOUBLE) AS x, CAST(y1 AS DOUBLE) AS y FROM cells WHERE dataset = 0")
+@query("s9_lineage_xml", "SELECT track_id AS cell, timeframe, CAST(x1 AS DOUBLE) AS x, CAST(y1 AS DOUBLE) AS y FROM cells")
 def s9(s, d):
     at = folder(s)
     one = F.format_string('<s i="%d" x="%d" y="%d" s="0"/>', F.col("timeframe"), "x1", "y1")
-    a = cells(s, d).where("dataset = 0").groupBy("track_id").agg(F.array_join(F.sort_array(F.collect_list(one)), "").alias("t"))
+    a = cells(s, d).groupBy("track_id").agg(F.array_join(F.sort_array(F.collect_list(one)), "").alias("t"))
     a = a.select((F.col("track_id") % 4).alias("k"), F.format_string('<a id="%d"><ss>%s</ss></a>', "track_id", "t").alias("a"))
     a.groupBy("k").agg(F.concat(F.lit("<f>"), F.array_join(F.collect_list("a"), ""), F.lit("</f>")).alias("value")).write.partitionBy("k").text(at)
     return io.read_lineage_xml(s, at)[0].select("cell", "timeframe", "x", "y")
