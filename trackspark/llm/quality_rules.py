@@ -114,10 +114,11 @@ def fences(sketch: DataFrame, fence: float, min_rows: int) -> DataFrame:
     enough = F.col("total") >= min_rows
     own = wide.where("level = 2")
     by_lang = wide.where((F.col("level") == 1) & enough).select(F.col("lang").alias("l1"), F.col("f").alias("f1"))
-    of_all = wide.where("level = 0").select(F.col("f").alias("f0"))  # one row
+    of_all = wide.where("level = 0").select(F.lit(0).alias("__all"), F.col("f").alias("f0"))  # one row
     return (
         own.join(by_lang, F.col("lang").eqNullSafe(F.col("l1")), "left")
-        .join(F.broadcast(of_all), F.lit(True), "left")
+        .withColumn("__all", F.lit(0))
+        .join(F.broadcast(of_all), "__all", "left")
         .select(F.col("lang").alias("__l"), F.col("source").alias("__s"), F.when(enough, F.col("f")).otherwise(F.coalesce("f1", "f0")).alias("f"))
         .select("__l", "__s", "f.*")
     )

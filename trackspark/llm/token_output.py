@@ -30,6 +30,7 @@ from .common import Scratch, text_of
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ROUNDS = 6
 _PIECE = 1 << 16  # characters of a text tokenised at once
+PARTITION_BYTES = 1 << 27  # of tokens in a range of slots, at most
 
 
 # -- permutation ----------------------------------------------------------------------------------
@@ -157,7 +158,8 @@ def token_sequences(
         F.expr(f"substring(__tokens, CAST(2 * ({first} - __start) + 1 AS INT), CAST(2 * ({last} - {first}) AS INT))").alias("__part"),
     ).withColumn("slot", to_slot("seq_id"))
     # slots are spread evenly by construction, so ranges of slots need no sample of the data
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_size = -(-n_seq * 2 * seq_len // PARTITION_BYTES)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by_size)
     width = max(1, -(-n_seq // parts))
     pieces = pieces.repartitionById(parts, F.expr(f"CAST(slot div {width} AS INT)")).sortWithinPartitions("slot", "__at")
     filler = np.array([end_token], "<u2").tobytes()
