@@ -142,3 +142,30 @@ def test_exact_masks_cover_every_pair():
     for a in range(64):
         for b in range(a):
             assert any(not m >> a & 1 and not m >> b & 1 for m in masks)
+
+
+def family(n, true_pairs, rng):
+    """Rows of one family that share about 0.75 of their five-word shingles' positions, and pairs inside it that
+    share nearly all."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+
+    def member():
+        cut = rng.randrange(300)
+        return [*base[:cut], *(f"v{rng.randrange(10**6)}" for _ in range(100)), *base[cut + 100 :]]
+
+    rows = [(10 * k, member()) for k in range(n)]
+    for k in rng.sample(range(n), true_pairs):
+        twin = list(rows[k][1])
+        twin[rng.randrange(400)], twin[rng.randrange(400)] = "changed", "twice"
+        rows.append((10 * k + 1, twin))
+    return [(i, " ".join(w)) for i, w in rows]
+
+
+def test_hot_nodes_keep_recall(spark):
+    rng = random.Random(8)
+    rows = family(500, 60, rng)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(396)} for _, t in rows]
+    root = union(len(rows), [(j, i) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    ids = {r.doc_id for r in simhash.drop_near_duplicates(docs(spark, rows), leaf_size=8).collect()}
+    want = {rows[r][0] for r in root}
+    assert want <= ids and len(ids - want) <= 0.05 * (len(rows) - len(want))

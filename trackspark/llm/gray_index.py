@@ -83,7 +83,7 @@ def _links(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _small_links(codes: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def small_links(codes: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for many nodes of at most SMALL codes, which gain nothing from upper levels: all pairs of a
     node, many nodes at once, about PAIRS pairs at a time."""
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16))]
@@ -132,7 +132,7 @@ def spanning_forest(codes: np.ndarray, sizes: np.ndarray, radius: int) -> list[t
     starts = np.cumsum(sizes) - sizes
     small = np.flatnonzero(sizes <= SMALL)
     at = np.repeat(starts[small], sizes[small]) + np.arange(sizes[small].sum()) - np.repeat(np.cumsum(sizes[small]) - sizes[small], sizes[small])
-    i, j, d = _small_links(codes[at], sizes[small], radius)
+    i, j, d = small_links(codes[at], sizes[small], radius)
     used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
     forest = [(int(at[used[x]]), int(at[used[y]]), z) for x, y, z in _forest(len(used), place[: len(i)], place[len(i) :], d)]
     for k in np.flatnonzero(sizes > SMALL):

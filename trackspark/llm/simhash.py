@@ -12,8 +12,9 @@ Two families:
   mask, so two codes within r bits share at least one node. A node that is too large is divided by
   the same rule on its free bits, until it is small; after three levels at most 2**8 codes are left.
 * ``sampled`` for large radii: masks of random bits, enough of them that a pair at the radius of the
-  wanted similarity shares one with the wanted probability. A node that is too large is dealt at
-  random into parts, each with the node's first row; every mask deals anew.
+  wanted similarity shares one with the wanted probability. A node that is too large is first dealt at
+  random into parts, each with the node's first row, which joins what is alike throughout; then its
+  blocks are compared each with each, as far as rows are not joined yet.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import ROW, Scratch, name, pack, text_of, unpack
 from .components import star_components
-from .gray_index import spanning_forest
+from .gray_index import BLOCK, SMALL, small_links, spanning_forest
 
 COMPUTED = ["fingerprint", "component_id", "kept"]
 _CHUNK = 1 << 20  # bytes of a text handled at once
@@ -179,23 +180,18 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 def links_sampled(
     codes: DataFrame, scratch: Scratch, words: int, radius: int, p_bit: float, recall: float, leaf_size: int, seed: int
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame | None]:
     """codes: __id, __f0.. . Links (a, b, d): for a pair whose bits differ with probability ``p_bit``,
-    some mask holds both with probability ``recall``.
+    some mask holds both with probability ``recall``. A node's links are a spanning forest, those of a node
+    beyond ``leaf_size`` rows only inside its parts; the rows of such nodes (None: there are none) come
+    second, for ``links_between``.
 
     Patterns grow with the table, so that a node holds about 16 unlike rows; the number of masks follows.
     """
-    n = codes.count()
-    bits = min(40, max(12, math.ceil(math.log2(max(n, 1))) - 4))
-    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p_bit) ** bits))
+    light, every, hot = _split_hot(_sampled_nodes(codes, codes.count(), words, p_bit, recall, seed), scratch, "0", leaf_size)
     fs = [f"__f{c}" for c in range(words)]
-    parts = []
-    for i, mask in enumerate(sampled_masks(words, bits, count, seed)):
-        key = F.xxhash64(*[F.col(f).bitwiseAND(F.lit(_signed(m))) for f, m in zip(fs, mask)])
-        parts.append(F.struct(F.lit(i).alias("__path"), key.alias("__key")))
-    nodes = codes.select("__id", *fs, F.explode(F.array(*parts)).alias("x")).select("x.__path", "x.__key", "__id", *fs)
-    light, every, hot = _split_hot(nodes, scratch, "0", leaf_size)
     found = [scratch.write_arrow(_grouped_links(light, words, radius), "links_0", GROUPS)]
+    hot_rows = None
     if hot is not None:
         dealt = every.join(hot, ["__path", "__key"]).withColumn("__parts", F.ceil(F.col("__n") / leaf_size).cast("int"))
         own = F.pmod(F.xxhash64("__id", "__path"), F.col("__parts")).cast("int")
@@ -203,7 +199,77 @@ def links_sampled(
         dealt = dealt.withColumn("__part", F.explode(where))
         dealt = dealt.select("__path", F.xxhash64("__key", "__part").alias("__key"), "__id", *fs)
         found.append(scratch.write_arrow(_grouped_links(dealt, words, radius), "links_1", GROUPS))
-    return _union(found)
+        hot_rows = scratch.write(every.join(hot.select("__path", "__key"), ["__path", "__key"], "left_semi").select("__id").distinct(), "hot_rows")
+    return _union(found), hot_rows
+
+
+def _sampled_nodes(codes: DataFrame, n: int, words: int, p_bit: float, recall: float, seed: int) -> DataFrame:
+    """(__path, __key, the columns of codes): each row under each mask of a table of n rows."""
+    bits = min(40, max(12, math.ceil(math.log2(max(n, 1))) - 4))
+    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p_bit) ** bits))
+    fs = [f"__f{c}" for c in range(words)]
+    parts = []
+    for i, mask in enumerate(sampled_masks(words, bits, count, seed)):
+        key = F.xxhash64(*[F.col(f).bitwiseAND(F.lit(_signed(m))) for f, m in zip(fs, mask)])
+        parts.append(F.struct(F.lit(i).alias("__path"), key.alias("__key")))
+    return codes.select("*", F.explode(F.array(*parts)).alias("x")).select("x.__path", "x.__key", *codes.columns)
+
+
+def _pairs_between(codes: np.ndarray, roots: np.ndarray, blocks: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of the links between rows of different roots, in parts: of two blocks' rows each with
+    each, of one block's among themselves."""
+    one = blocks == blocks.min()
+    left, right = np.flatnonzero(one), np.flatnonzero(~one)
+    alone = not len(right)
+    right = left if alone else right
+    for at in range(0, len(left), BLOCK):
+        i, j = np.nonzero(roots[left[at : at + BLOCK], None] != roots[None, right])
+        i = i + at
+        if alone:
+            i, j = i[j > i], j[j > i]
+        i, j = left[i], right[j]
+        d = np.bitwise_count(codes[i] ^ codes[j]).sum(1, dtype=np.int16)
+        near = d <= radius
+        yield i[near], j[near], d[near]
+
+
+def links_between(nodes: DataFrame, words: int, radius: int, block_rows: int) -> DataFrame:
+    """nodes: __path, __key, __id, __root, __f*. All links (a, b, d) inside a node, however large, between
+    rows of different roots. A node's blocks of about ``block_rows`` rows are compared each with each."""
+    fs = [f"__f{c}" for c in range(words)]
+    counts = nodes.groupBy("__path", "__key").agg(F.count("*").alias("n"), F.min("__root").alias("lo"), F.max("__root").alias("hi")).where("lo <> hi")
+    rows = nodes.join(counts.select("__path", "__key", F.ceil(F.col("n") / block_rows).cast("long").alias("__parts")), ["__path", "__key"])
+    rows = rows.withColumn("__block", F.pmod(F.xxhash64("__id", "__path"), F.col("__parts")))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1), lambda o: F.least("__block", o) * F.col("__parts") + F.greatest("__block", o))
+    rows = rows.select("__path", "__key", F.explode(others).alias("__two"), F.struct("__id", "__root", "__block", *fs).alias("m"))
+    groups = rows.groupBy("__path", "__key", "__two").agg(F.collect_list("m").alias("m")).where("size(m) > 1").select("m")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            ids, roots, blocks = (flat.field(k).to_numpy() for k in range(3))
+            codes = np.stack([flat.field(3 + c).to_numpy().view(np.uint64) for c in range(words)], 1)
+            starts = np.cumsum(sizes) - sizes
+            for i, j, d in _all_between(codes, roots, blocks, starts, sizes, radius):
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(d.astype(np.int64))], ["a", "b", "d"])
+
+    return groups.mapInArrow(links, "a long, b long, d long")
+
+
+def _all_between(codes, roots, blocks, starts, sizes, radius) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """_pairs_between of many groups that stand one after the other; small ones together."""
+    small = np.flatnonzero(sizes <= SMALL)
+    at = np.repeat(starts[small], sizes[small]) + np.arange(sizes[small].sum()) - np.repeat(np.cumsum(sizes[small]) - sizes[small], sizes[small])
+    i, j, d = small_links(codes[at], sizes[small], radius)
+    apart = roots[at[i]] != roots[at[j]]
+    yield at[i[apart]], at[j[apart]], d[apart]
+    for k in np.flatnonzero(sizes > SMALL):
+        group = slice(int(starts[k]), int(starts[k] + sizes[k]))
+        for i, j, d in _pairs_between(codes[group], roots[group], blocks[group], radius):
+            yield i + group.start, j + group.start, d
 
 
 # -- operators ------------------------------------------------------------------------------------
@@ -284,6 +350,24 @@ def _shingle_sets(df: DataFrame, k: int) -> DataFrame:
     return df.select("__id", "__text").mapInArrow(make, "__id long, s array<int>")
 
 
+def _each_once(links: DataFrame) -> DataFrame:
+    return links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
+
+
+def _alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose sets have that Jaccard similarity. Sizes are compared first: no two sets are
+    more alike than the smaller is large against the larger."""
+    size = sets.select("__id", F.size("s").alias("n"))
+    links = links.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+    left, right = sets.select(F.col("__id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("__id").alias("b"), F.col("s").alias("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return links.select("a", "b").join(left, "a").join(right, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
 def drop_near_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -313,14 +397,23 @@ def drop_near_duplicates(
     codes = scratch.write_arrow(codes_of(texts, shingle, n_codes), "codes", TEXTS)
     p = bit_difference(similarity)
     sigma = math.sqrt(p * (1 - p) / (64 * n_codes))  # of the measured difference
-    found = links_sampled(codes, scratch, n_codes, math.floor(64 * n_codes * (p + 3 * sigma)), p + sigma, recall, leaf_size, seed)
-    found = scratch.write(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d")), "candidates")
-    ends = scratch.write(found.select(F.explode(F.array("a", "b")).alias("__id")).distinct(), "ends")
+    bits = (math.floor(64 * n_codes * (p + 3 * sigma)), p + sigma)  # radius, difference for which recall holds
+    found, again = links_sampled(codes, scratch, n_codes, *bits, recall, leaf_size, seed)
+    found = scratch.write(_each_once(found), "candidates")
+    ends = scratch.write(_ends(found), "ends")
     sets = scratch.write_arrow(_shingle_sets(texts.join(ends.hint("shuffle_hash"), "__id", "left_semi"), shingle), "sets", TEXTS)
-    left, right = sets.select(F.col("__id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("__id").alias("b"), F.col("s").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = found.join(left, "a").join(right, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common))
-    member = star_components(scratch.write(alike.select("a", "b"), "links"), scratch)
+    links = scratch.write(_alike(found, sets, similarity), "links")
+    if again is not None:
+        member = scratch.write(star_components(links, scratch), "members").withColumnRenamed("root", "__root")
+        rooted = codes.join(again.hint("shuffle_hash"), "__id", "left_semi").drop("__order")
+        rooted = rooted.join(member, rooted["__id"] == member["node"], "left").drop("node").withColumn("__root", F.coalesce("__root", "__id"))
+        nodes = _sampled_nodes(scratch.write(rooted, "rooted"), codes.count(), n_codes, bits[1], recall, seed)
+        more = scratch.write_arrow(links_between(nodes, n_codes, bits[0], 8 * leaf_size), "between", GROUPS // 10)
+        more = scratch.write(_each_once(more).join(found.select("a", "b"), ["a", "b"], "left_anti"), "candidates_1")
+        new = _ends(more).join(ends, "__id", "left_anti")
+        sets = sets.union(scratch.write_arrow(_shingle_sets(texts.join(new.hint("shuffle_hash"), "__id", "left_semi"), shingle), "sets_1", TEXTS))
+        links = links.union(scratch.write(_alike(more, sets, similarity), "links_more"))
+    member = star_components(links, scratch)
     groups = member.join(rows.select("__id", "__order"), F.col("node") == F.col("__id"))
     first = F.min(F.struct(F.col("__order").isNull().alias("n"), "__order", "__id"))
     stays = groups.groupBy("root").agg(first.alias("f")).select("root", F.col("f.__id").alias("__stays"))
