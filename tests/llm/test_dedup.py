@@ -169,3 +169,37 @@ def test_hot_nodes_keep_recall(spark):
     ids = {r.doc_id for r in simhash.drop_near_duplicates(docs(spark, rows), leaf_size=8).collect()}
     want = {rows[r][0] for r in root}
     assert want <= ids and len(ids - want) <= 0.05 * (len(rows) - len(want))
+
+
+def test_links_hidden_by_a_closer_row_are_checked(spark, monkeypatch):
+    """x-y is alike, x-z and z-y are not, but z's codes stand closer to both."""
+    monkeypatch.setattr(simhash, "sampled_masks", lambda words, *_: [(0,) * words])
+    rows = []
+    for seed in range(400):
+        rng = random.Random(seed)
+        base = [f"w{rng.randrange(10**8)}" for _ in range(400)]
+        xyz = [" ".join([*base[:at], *(f"v{rng.randrange(10**8)}" for _ in range(n)), *base[at + n :]]) for at, n in ((50, 15), (150, 16), (250, 24))]
+        x, y, z = (simhash.fingerprint(t.encode(), 5, 4) for t in xyz)
+        xy, xz, zy = (sum(((i ^ j) & 2**64 - 1).bit_count() for i, j in zip(a, b)) for a, b in ((x, y), (x, z), (z, y)))
+        if max(xz, zy) < xy <= 55:
+            rows += [(10 * seed + k, t) for k, t in enumerate(xyz)]
+        if len(rows) == 30:
+            break
+    ids = {r.doc_id for r in simhash.drop_near_duplicates(docs(spark, rows)).collect()}
+    assert len(rows) == 30 and ids == {i for i, _ in rows if i % 10 != 1}
+
+
+def test_repeats_do_not_hide_equal_sets(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(20):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(base + base[50:80] * 20))]
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs(spark, rows)).collect()} == {10 * k for k in range(20)}
+
+
+def test_distinct_codes_across_chunks(monkeypatch):
+    text = b" ".join(b"w%d" % (k % 50) for k in range(400))
+    want = simhash.fingerprint(text, 3, 2, distinct=True)
+    monkeypatch.setattr(simhash, "_CHUNK", 40)
+    assert simhash.fingerprint(text, 3, 2, distinct=True) == want != simhash.fingerprint(text, 3, 2)

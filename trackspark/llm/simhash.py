@@ -64,11 +64,18 @@ def _shingles(text: bytes, k: int) -> Iterator[list[bytes]]:
         yield [b" ".join(carry)]
 
 
-def fingerprint(text: bytes, k: int, n_codes: int) -> list[int]:
+def fingerprint(text: bytes, k: int, n_codes: int, distinct: bool = False) -> list[int]:
     """n_codes 64-bit codes; code c uses XXH64 with seed 42 + c. A bit is 1 if set in over half the
-    hashes of all shingles, repeats included; no word: zero."""
+    hashes of all shingles, repeats included (``distinct``: each shingle once); no word: zero."""
     total, ones = 0, np.zeros((n_codes, 64), np.int64)
+    seen = np.zeros(0, np.uint64)
     for shingles in _shingles(text, k):
+        if distinct:
+            shingles = list(dict.fromkeys(shingles))
+            if len(text) > _CHUNK:
+                h = np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles))
+                shingles = [s for s, old in zip(shingles, np.isin(h, seen).tolist()) if not old]
+                seen = np.union1d(seen, h)
         total += len(shingles)
         for c in range(n_codes):
             h = np.fromiter((xxhash.xxh64_intdigest(s, 42 + c) for s in shingles), np.dtype("<u8"), len(shingles))
@@ -78,14 +85,14 @@ def fingerprint(text: bytes, k: int, n_codes: int) -> list[int]:
     return np.packbits(ones * 2 > total, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
-def codes_of(texts: DataFrame, k: int, n_codes: int) -> DataFrame:
+def codes_of(texts: DataFrame, k: int, n_codes: int, distinct: bool = False) -> DataFrame:
     """texts: __id, __order, __text. (__id, __order, __f0, __f1, ...)."""
     names = ["__id", "__order"] + [f"__f{c}" for c in range(n_codes)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).cast(pa.large_binary())
-            codes = np.array([fingerprint(t.as_py() or b"", k, n_codes) for t in texts], np.int64).reshape(-1, n_codes)
+            codes = np.array([fingerprint(t.as_py() or b"", k, n_codes, distinct) for t in texts], np.int64).reshape(-1, n_codes)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)] + [pa.array(codes[:, c]) for c in range(n_codes)], names)
 
     return texts.select("__id", "__order", "__text").mapInArrow(make, ", ".join(f"{n} long" for n in names))
@@ -384,9 +391,10 @@ def drop_near_duplicates(
     """The rows that stay, one of each group of near duplicates, with the input's own columns.
 
     Rows link if their sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or
-    more. SimHash codes find the candidates: a node's closest links, as a spanning forest, which joins
-    at each similarity what all its links would join; the candidates are then checked exactly. Groups
-    are the connected components; the row with the smallest id stays (then the first).
+    more. SimHash codes of distinct shingles find the candidates, which are checked exactly: first a
+    spanning forest of each node's links, then all further links between rows that are not joined by
+    now, so that no unchecked link inside the radius joins two components. Groups are the connected
+    components; the row with the smallest id stays (then the first).
     Null text, or one without words: no shingles, links to nothing and stays. Null ids: after all
     others. Fewer words than ``shingle``: the whole sequence is one shingle. Equal rows: one stays.
     Empty table: no rows. scratch: where to write; the caller may drop it once the result is written.
@@ -394,7 +402,7 @@ def drop_near_duplicates(
     scratch = scratch or Scratch(df.sparkSession)
     rows = scratch.write(df.select(pack(df), F.col(name(id_col)).cast("long").alias("__order"), F.monotonically_increasing_id().alias("__id")), "rows")
     texts = rows.select("__id", "__order", text_of(F.col(ROW)[text_col]).alias("__text")).where(F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
-    codes = scratch.write_arrow(codes_of(texts, shingle, n_codes), "codes", TEXTS)
+    codes = scratch.write_arrow(codes_of(texts, shingle, n_codes, distinct=True), "codes", TEXTS)
     p = bit_difference(similarity)
     sigma = math.sqrt(p * (1 - p) / (64 * n_codes))  # of the measured difference
     bits = (math.floor(64 * n_codes * (p + 3 * sigma)), p + sigma)  # radius, difference for which recall holds
@@ -403,16 +411,16 @@ def drop_near_duplicates(
     ends = scratch.write(_ends(found), "ends")
     sets = scratch.write_arrow(_shingle_sets(texts.join(ends.hint("shuffle_hash"), "__id", "left_semi"), shingle), "sets", TEXTS)
     links = scratch.write(_alike(found, sets, similarity), "links")
-    if again is not None:
-        member = scratch.write(star_components(links, scratch), "members").withColumnRenamed("root", "__root")
-        rooted = codes.join(again.hint("shuffle_hash"), "__id", "left_semi").drop("__order")
-        rooted = rooted.join(member, rooted["__id"] == member["node"], "left").drop("node").withColumn("__root", F.coalesce("__root", "__id"))
-        nodes = _sampled_nodes(scratch.write(rooted, "rooted"), codes.count(), n_codes, bits[1], recall, seed)
-        more = scratch.write_arrow(links_between(nodes, n_codes, bits[0], 8 * leaf_size), "between", GROUPS // 10)
-        more = scratch.write(_each_once(more).join(found.select("a", "b"), ["a", "b"], "left_anti"), "candidates_1")
-        new = _ends(more).join(ends, "__id", "left_anti")
-        sets = sets.union(scratch.write_arrow(_shingle_sets(texts.join(new.hint("shuffle_hash"), "__id", "left_semi"), shingle), "sets_1", TEXTS))
-        links = links.union(scratch.write(_alike(more, sets, similarity), "links_more"))
+    again = ends if again is None else scratch.write(ends.union(again).distinct(), "again")
+    member = scratch.write(star_components(links, scratch), "members").withColumnRenamed("root", "__root")
+    rooted = codes.join(again.hint("shuffle_hash"), "__id", "left_semi").drop("__order")
+    rooted = rooted.join(member, rooted["__id"] == member["node"], "left").drop("node").withColumn("__root", F.coalesce("__root", "__id"))
+    nodes = _sampled_nodes(scratch.write(rooted, "rooted"), codes.count(), n_codes, bits[1], recall, seed)
+    more = scratch.write_arrow(links_between(nodes, n_codes, bits[0], 8 * leaf_size), "between", GROUPS // 10)
+    more = scratch.write(_each_once(more).join(found.select("a", "b"), ["a", "b"], "left_anti"), "candidates_1")
+    new = _ends(more).join(ends, "__id", "left_anti")
+    sets = sets.union(scratch.write_arrow(_shingle_sets(texts.join(new.hint("shuffle_hash"), "__id", "left_semi"), shingle), "sets_1", TEXTS))
+    links = links.union(scratch.write(_alike(more, sets, similarity), "links_more"))
     member = star_components(links, scratch)
     groups = member.join(rows.select("__id", "__order"), F.col("node") == F.col("__id"))
     first = F.min(F.struct(F.col("__order").isNull().alias("n"), "__order", "__id"))
