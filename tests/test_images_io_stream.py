@@ -238,3 +238,20 @@ def test_windows_and_sessions(spark):
     d = spark.createDataFrame([(0, 1, m) for m in (0, 5, 40, 42)], "dataset int, track_id long, m int").withColumn("ts", F.timestamp_seconds(F.col("m") * 60))
     assert sorted(r.n_cells for r in live.window_counts(d, "30 minutes").collect()) == [2, 2]
     assert sorted(r.n_cells for r in live.activity_sessions(d, "10 minutes").collect()) == [2, 2]
+
+
+def test_live_tracks_query_covers_every_event(spark):
+    """The replay shows what the tracker shows, stepped over all events of each movie."""
+    from trackspark.functions.kalman import BoxTracker
+    from trackspark.plans.source_queries import detections, t1
+
+    d = "/root/testdata/sf0.001"
+    got = sorted(tuple(r) for r in t1(spark, d).where("kind = 'cell'").select("dataset", "timeframe", "sc_id", "track_id").collect())
+    events, want = detections(spark, d).toPandas(), []
+    for movie, e in events.groupby("dataset"):
+        tracker = BoxTracker(30, 1, 0.3)
+        for t in range(e.timeframe.min(), e.timeframe.max() + 1):
+            f = e[e.timeframe == t].sort_values("sc_id")
+            ids = tracker.step(f[["x1", "y1", "x2", "y2"]].to_numpy())
+            want += [(str(movie), t, sc, i) for sc, i in zip(f.sc_id.tolist(), ids.tolist()) if i]
+    assert got == sorted(want)

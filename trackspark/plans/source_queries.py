@@ -155,7 +155,7 @@ def detections(s, d):
 def t1(s, d):
     """events as a stream of detections, through the live tracker."""
     at = folder(s)
-    detections(s, d).write.parquet(f"{at}/in")
+    live.closed(detections(s, d), "1 minute").write.parquet(f"{at}/in")
     stream = s.readStream.schema(detections(s, d).schema).parquet(f"{at}/in")
     return live.run_to_table(live.live_tracks(stream, "1 minute", max_age=30, min_hits=1), "t" + uuid.uuid4().hex, f"{at}/checkpoint")
 

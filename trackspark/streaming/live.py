@@ -68,7 +68,7 @@ def live_tracks(detections: DataFrame, delay: str = "10 minutes", max_age: int =
             rows.append(("late", done, None, None, late))
         state.update((*tracker.state(), done, late, waiting, lengths))
         if waiting:
-            state.setTimeoutTimestamp(max(mark + 1, max(w[1] for w in waiting)))
+            state.setTimeoutTimestamp(max(mark + 1, min(ts for t, ts in newest.items() if ready is None or t > ready)))
         if rows:
             out = pd.DataFrame(rows, columns=["kind", "timeframe", "sc_id", "track_id", "n"])
             out = out.astype({"timeframe": "Int32", "sc_id": "Int64", "track_id": "Int64", "n": "Int64"})
@@ -94,8 +94,20 @@ def activity_sessions(detections: DataFrame, gap: str, delay: str = "10 minutes"
     return g.select("dataset", "track_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n_cells")
 
 
+def closed(detections: DataFrame, delay: str) -> DataFrame:
+    """detections for a replay: with one more row, past the end by more than ``delay``, so that the watermark
+    passes all others. It waits for ever in its movie's state and leaves no row itself."""
+    end = detections.selectExpr(
+        f"max(ts) + 2 * INTERVAL {delay} AS ts", "min(dataset) AS dataset", "max(timeframe) + 1 AS timeframe",
+        "CAST(-1 AS BIGINT) AS sc_id", *[f"CAST(0 AS DOUBLE) AS {k}" for k in ("x1", "y1", "x2", "y2")],
+    )
+    return detections.unionByName(end.where("ts IS NOT NULL"), allowMissingColumns=True)
+
+
 def run_to_table(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there and returns the rows (for tests and replays)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs a stream over what is there and returns the rows (for tests and replays), which it writes as
+    Parquet beside the checkpoint."""
+    at = f"{checkpoint}_rows"
+    q = stream.writeStream.format("parquet").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(at)
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(at)
