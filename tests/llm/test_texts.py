@@ -2,12 +2,16 @@
 
 import collections
 import hashlib
+import os
 import re
+from html.parser import HTMLParser
 
 import pytest
 
+from tests.test_entry import DATA
 from trackspark.llm import chat_format, secret_scan
 from trackspark.llm.html_extract import extract_text, main_text
+from trackspark.llm.queries import QUERIES
 from trackspark.llm.quality_rules import drop_low_quality, quality_rules
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,6 +82,80 @@ def test_main_text():
     assert main_text("<article>" + "x" * 500_000 + "</article>") == "x" * 500_000
 
 
+LONG = "A long sentence, with commas, and more words that go on. "
+#: (page, its main text), labelled by hand; neither article elements nor telling names.
+UNNAMED = [
+    (
+        f"<html><body><div class=x1><a href=1>Home</a> <a href=2>News</a></div><div class=x2><h2>A title</h2><p>{LONG * 6}</p><ul><li>one</li><li>two things</li></ul>"
+        f"<p>{LONG * 4}</p></div><div class=x3>Call us now, friend.</div><div class=x4>&copy; 2020 The firm. All rights.</div></body></html>",
+        f"A title {LONG * 6}one two things {LONG * 4}".strip(),
+    ),
+    (
+        f"<body><div id=w><div class=a><a href=1>x</a> | <a href=2>y</a></div><div class=b><h1>Head</h1><div class=c><p>{LONG * 5}</p><p>{LONG * 2}</p></div></div>"
+        f"<div class=d><p>Short teaser.</p><p>Other one.</p></div></div><div>Imprint, contact.</div>",
+        f"Head {LONG * 7}".strip(),
+    ),
+    (f"<p>{LONG * 3}<p>{LONG * 4}<div class=k1><a href=z>{LONG}</a></div>", (LONG * 7).strip()),
+    (f"<body><div class=q1>{LONG * 2}<div class=q2><ul><li><a href=1>Next</a><li><a href=2>Last</a></ul></div>{LONG * 3}</div><div class=q3>Ok.</div>", (LONG * 5).strip()),
+]
+
+
+def test_ratios_settle_pages_without_telling_names():
+    for page, want in UNNAMED:
+        assert main_text(page) == want == main_text(page, names=False)
+
+
+def test_ratios_and_names_both_count():
+    """Taking either out of the product changes results: names alone can't tell an unnamed part, ratios
+    alone can't tell a part of much text that is named."""
+    page = f"<body><article><p>{LONG * 6}</p></article><div class=sidebar><p>{LONG * 4}</p></div><div class=z>Hi.</div></body>"
+    assert main_text(page) == (LONG * 6).strip() != main_text(page, names=False)
+    inside = f"<article><h1>T</h1><div class=z7><p>{LONG * 6}</p></div><div class=z8><a href=1>More, more</a></div><div class=z9><p>So.</p></div></article>"
+    assert main_text(inside) == f"T {LONG * 6}".strip()
+    assert main_text(inside, strength=0.0) == f"T {LONG * 6}So."
+    # a name rules nothing out by itself: a part that holds nearly all text stays
+    assert main_text(f"<body><div class=sidebar><p>{LONG * 9}</p></div><div class=z>Hi.</div></body>").startswith(LONG.strip())
+
+
+@pytest.mark.parametrize("names", ["right-sidebar", "with-sidebar", "has-comments", "category-legal", "main-wrapper"])
+def test_names_of_what_holds_the_article_do_no_harm(names):
+    page = f'<body class="{names}"><div class="layout {names}"><article class="post {names}"><h1 class="article-title">T</h1><div class=body><p>{LONG * 5}</p></div></article></div></body>'
+    assert main_text(page) == f"T {LONG * 5}".strip()
+
+
+class Reference(HTMLParser):
+    """The pages table's rule, by another parser: what stands in the article, a space between blocks."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.out = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.out.append("" if tag == "b" else " ")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.out.append("" if tag == "b" else " ")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.out.append(data)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_pages_query_against_another_parser(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    got = QUERIES["op5_html_extract"](spark, DATA).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        p = Reference()
+        p.feed(pages[r.page_id] or "")
+        p.close()
+        want = " ".join("".join(p.out).split())
+        assert r.text == want and r.n_chars == len(want)
+
+
 def test_extract_text(spark):
     rows = [(1, "u", ARTICLE, "clash"), (2, None, None, "c"), (3, "v", "", "c"), (1, "u", ARTICLE, "clash"), (None, "w", PLAIN, None)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars string")
