@@ -162,6 +162,41 @@ def test_shards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).count() == len(rows)
 
 
+def test_shards_prune_by_every_dimension(spark):
+    """Languages, sources and sizes drawn apart: a filter on any of them reads about half of the shards."""
+    rng = np.random.default_rng(3)
+    rows = [(k, "x" * int(2 ** rng.uniform(3, 12)), "de en en en es fr".split()[rng.integers(6)], f"s{max(0, rng.integers(-10, 20)):02}") for k in range(4000)]
+    got = hilbert_shards(docs(spark, rows), 8).collect()
+    for of in ("lang", "source"):
+        read = collections.defaultdict(set)
+        for r in got:
+            read[r[of]].add(r.shard)
+        assert sum(map(len, read.values())) <= 4.5 * len(read)
+    assert all(len({r.lang for r in got if r.shard == k}) < 4 for k in range(8))
+    sizes = sorted(r.size for r in got)
+    for lo, hi in ((0, 400), (3600, 3999)):
+        assert len({r.shard for r in got if sizes[lo] <= r.size <= sizes[hi]}) <= 6
+
+
+def test_many_categories(spark):
+    rows = [(k, "t", f"l{k % 700}", f"s{k % 300}") for k in range(2100)]
+    got = hilbert_shards(docs(spark, rows), 8, bits=4).collect()
+    counts = collections.Counter(r.shard for r in got)
+    assert len(got) == 2100 and max(counts.values()) - min(counts.values()) <= 1
+
+
+@pytest.mark.parametrize("rows_per_range", [7, 100_000])
+def test_ranks_over_ranges(spark, rows_per_range):
+    from trackspark.llm.common import Scratch, ranked
+
+    t = spark.createDataFrame([(k * 37 % 101, k % 5) for k in range(101)], "k long, w long")
+    got = ranked(t, Scratch(spark), "r", ["k"], rows_per_range, __ahead="w").orderBy("k").collect()
+    ahead = 0
+    for at, r in enumerate(got):
+        assert (r["__rank"], r["__ahead"]) == (at, ahead)
+        ahead += r.w
+
+
 def test_permutation_round_trip():
     for n in (1, 2, 3, 10, 1000, 4097):
         p = token_output.permute(np.arange(n), n, 7)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: a word is a run of characters other than ASCII white space.
@@ -25,9 +25,13 @@ RID = "__rid"  # a row id, fixed by writing it to a scratch table
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder for scratch tables; a temporary one only where none is set."""
+    """The shared folder for scratch tables. Where none is named, a local master gets a temporary folder; on
+    a cluster that is an error, as a machine's own folder is lost with it."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -98,3 +102,34 @@ def n_words(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE, -1), "")
+
+
+def bucket(value: str) -> str:
+    """A value (SQL, not negative) cut to its seven leading bits."""
+    shift = f"greatest(length(bin({value})) - 7, 0)"
+    return f"shiftleft(shiftright({value}, {shift}), {shift})"
+
+
+def ranked(table: DataFrame, scratch: Scratch, label: str, order: list[str | Column], rows_per_range: int = 100_000, **sums: str) -> DataFrame:
+    """The table's rows with __rank, their place in the order, and for each of ``sums`` a column of that
+    name: the sum of its expression (SQL) over the rows before. Ties stand in any order.
+
+    Rows are range-partitioned; windows run inside ranges, and sums per range (one row each) shift them,
+    so no window holds the whole table.
+    """
+    ranges = max(1, -(-table.count() // rows_per_range))
+    dealt = table.repartitionByRange(ranges, *order) if ranges > 1 else table.coalesce(1)
+    keyed = scratch.write(dealt.sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()), label)
+    # monotonic ids hold the partition in their upper bits and the place in it in the lower 33
+    keyed = keyed.withColumn("__p", F.shiftright("__m", 33))
+    per_range = keyed.groupBy("__p").agg(F.count("*").alias("__c"), *[F.sum(F.expr(e)).alias(c) for c, e in sums.items()])
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_range.select("__p", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_0") for c in ("__c", *sums)])
+    inside = Window.partitionBy("__p").orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)
+    for c, e in sums.items():
+        keyed = keyed.withColumn(c, F.coalesce(F.sum(F.expr(e)).over(inside), F.lit(0)))
+    return keyed.join(F.broadcast(starts), "__p").select(  # one row per range
+        *table.columns,
+        (F.col("__c_0") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).alias("__rank"),
+        *[(F.col(c) + F.col(f"{c}_0")).alias(c) for c in sums],
+    )

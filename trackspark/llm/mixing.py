@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RID, Scratch, n_words, name, pack, text_of, unpack
+from .common import RID, Scratch, n_words, name, pack, ranked, text_of, unpack
 
 COMPUTED = ["size", "source_size", "target", "taken"]
 _KEY_SPACE = 1 << 32
@@ -24,7 +24,7 @@ def random_key(id_col: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: list[float], cap: float) -> DataFrame:
+def source_targets(sizes: DataFrame, scratch: Scratch, weights: list[float], cap: float) -> DataFrame:
     """sizes: one row per source (__source, __rows, source_size). Adds target.
 
     Sources sorted by code point, null last, take the weights in turn and share the sum of all
@@ -32,26 +32,18 @@ def source_targets(sizes: DataFrame, weights: list[float], cap: float) -> DataFr
     weight until none is above.  The end of that is known directly: order the sources by
     cap / weight, fix a prefix of them at their caps, and give the rest one common rate.
     """
+    sizes = scratch.write(sizes, "source_sizes")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    by_name = Window.orderBy(F.col("__source").asc_nulls_last())
-    ranked = sizes.withColumn(
-        "__w", F.get(cycle, ((F.row_number().over(by_name) - 1) % len(weights)).cast("int"))
-    ).withColumn("__cap", F.col("source_size") * F.lit(float(cap)))
-    by_ratio = Window.orderBy((F.col("__cap") / F.col("__w")), F.col("__source").asc_nulls_last())
-    every = Window.partitionBy()
-    below = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    rated = (
-        ranked.withColumn("__left", F.sum("source_size").over(every) - F.coalesce(F.sum("__cap").over(below), F.lit(0.0)))
-        .withColumn("__w_left", F.sum("__w").over(every) - F.coalesce(F.sum("__w").over(below), F.lit(0.0)))
-        .withColumn("__rate", F.col("__left") / F.col("__w_left"))
-    )
+    by_name = ranked(sizes, scratch, "by_name", [F.col("__source").asc_nulls_last()])
+    weighed = by_name.select(*sizes.columns, F.get(cycle, (F.col("__rank") % len(weights)).cast("int")).alias("__w"))
+    weighed = scratch.write(weighed.withColumn("__cap", F.col("source_size") * F.lit(float(cap))), "weighed")
+    by_ratio = ranked(weighed, scratch, "by_ratio", [F.col("__cap") / F.col("__w"), F.col("__source").asc_nulls_last()], __caps="__cap", __ws="__w")
+    every = weighed.agg(F.sum("source_size").alias("__all"), F.sum("__w").alias("__all_w"))  # one row
+    rated = by_ratio.join(F.broadcast(every)).withColumn("__rate", (F.col("__all") - F.col("__caps")) / (F.col("__all_w") - F.col("__ws")))
     # the first source in that order whose share at the rate of its suffix is within its cap
-    free = F.when(F.col("__rate") * F.col("__w") <= F.col("__cap"), F.col("__rate"))
-    return rated.withColumn("__common", F.first(free, ignorenulls=True).over(by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).select(
-        "__source",
-        "__rows",
-        "source_size",
-        F.least(F.col("__cap"), F.coalesce("__common", F.lit(0.0)) * F.col("__w")).alias("target"),
+    common = rated.where("__rate * __w <= __cap").agg(F.min_by("__rate", "__rank").alias("__common"))  # one row
+    return weighed.join(F.broadcast(common)).select(
+        "__source", "__rows", "source_size", F.least(F.col("__cap"), F.coalesce("__common", F.lit(0.0)) * F.col("__w")).alias("target")
     )
 
 
@@ -64,7 +56,7 @@ def _placed(rows: DataFrame, scratch: Scratch, weights: list[float], cap: float,
     """
     sizes = rows.groupBy("__source").agg(F.count("*").alias("__rows"), F.sum("size").alias("source_size"))
     sources = scratch.write(
-        source_targets(sizes, weights, cap).withColumn("__ranges", F.ceil(F.col("__rows") / rows_per_range).cast("long")),
+        source_targets(sizes, scratch, weights, cap).withColumn("__ranges", F.ceil(F.col("__rows") / rows_per_range).cast("long")),
         "sources",
     )
     ranged = rows.join(sources.withColumnRenamed("__source", "__s"), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, Scratch, name, pack, text_of, unpack, words
+from .common import ROW, Scratch, bucket, name, pack, text_of, unpack, words
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 COMPUTED = [*COUNTS, "base_failed", "kept"]
@@ -66,12 +66,6 @@ def base_failed() -> Column:
     return F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
 
 
-def bucket(value: str) -> str:
-    """A value cut to its seven leading bits."""
-    shift = f"greatest(length(bin({value})) - 7, 0)"
-    return f"shiftleft(shiftright({value}, {shift}), {shift})"
-
-
 def sketches(rows: DataFrame) -> DataFrame:
     """(__lang, __source, signal, bucket, n): one mergeable sketch per language, source and signal."""
     values = F.array(*[F.struct(F.lit(s).alias("signal"), F.col(f"__s_{s}").alias("v")) for s in SIGNALS])

@@ -1,7 +1,8 @@
 """Sharding along a Hilbert curve.  DataFrame functions only.
 
-Several metadata dimensions are quantised to ``bits`` bits each, rows are sorted by their index on
-the Hilbert curve through that grid, and the sorted run is cut into shards.  Neighbours on the curve
+Several metadata dimensions are quantised to ``bits`` bits each, so that equal shares of the rows take
+equal shares of an axis; rows are sorted by their index on the Hilbert curve through that grid, and the
+sorted run is cut into shards.  Neighbours on the curve
 are neighbours in every dimension, so each shard, and each file cut from it, covers a small box of
 the grid and the minima and maxima of its columns prune reads by any of them.
 
@@ -11,10 +12,10 @@ ranks are places inside partitions plus the sums of those before, one row per pa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Scratch, name, pack, text_of, unpack
+from .common import ROW, Scratch, bucket, name, pack, ranked, text_of, unpack
 
 COMPUTED = ["size", "text_crc32", "curve_index", "law", "shard", "slot", "grown_shard"]
 
@@ -62,22 +63,24 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
 
 
 def _category_cells(rows: DataFrame, scratch: Scratch, column: str, bits: int) -> DataFrame:
-    """(value, cell): distinct values in order, nulls first, spread evenly over the cells."""
-    values = rows.groupBy(column).agg(F.count("*").alias("__n"))
-    order = Window.orderBy(F.col(column).asc_nulls_first())
-    ranked = values.select(
-        F.col(column).alias("__v"),
-        (F.row_number().over(order) - 1).cast("long").alias("__r"),
-        F.count("*").over(Window.partitionBy()).alias("__of"),
-    )
-    return scratch.write(ranked.select("__v", F.expr(f"(__r * {1 << bits}) div greatest(__of, {1 << bits})").alias("__cell")), f"cells{column}")
+    """(__v, __cell): distinct values in order, nulls first, each at the middle of its rows' places in that
+    order, so that equal shares of the rows take equal shares of the axis."""
+    values = rows.groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
+    values = scratch.write(values, f"values{column}")
+    total = values.agg(F.sum("__n")).first()[0] or 1
+    placed = ranked(values, scratch, f"ranked{column}", [F.col("__v").asc_nulls_first()], __ahead="__n")
+    return scratch.write(placed.select("__v", F.expr(_middle(bits, total)).alias("__cell")), f"cells{column}")
+
+
+def _middle(bits: int, total: int) -> str:
+    return f"((2 * __ahead + __n) * {1 << bits}L) div {2 * total}L"
 
 
-def size_cell(size: str, bits: int) -> Column:
-    """Sizes on a logarithmic scale: eight cells an octave, the last for all above."""
-    octave = f"(length(bin({size})) - 1)"
-    inside = f"shiftright(shiftleft({size} - shiftleft(1L, {octave}), 3), {octave})"
-    return F.least(F.expr(f"CAST({octave} * 8 + {inside} AS BIGINT)"), F.lit((1 << bits) - 1).cast("long"))
+def _size_cells(rows: DataFrame, scratch: Scratch, bits: int) -> DataFrame:
+    """(__b, __cell): sizes, cut to seven leading bits (at most 64 values an octave), placed likewise."""
+    values = scratch.write(rows.groupBy(F.expr(bucket("size")).alias("__b")).agg(F.count("*").alias("__n")), "size_values")
+    total = values.agg(F.sum("__n")).first()[0] or 1
+    return scratch.write(ranked(values, scratch, "size_ranked", ["__b"], __ahead="__n").select("__b", F.expr(_middle(bits, total)).alias("__cell_size")), "size_cells")
 
 
 def hilbert_shards(
@@ -85,7 +88,7 @@ def hilbert_shards(
     n_shards: int,
     id_col: str = "doc_id",
     text_col: str = "text",
-    categories: tuple[str, ...] = ("lang", "source"),
+    categories: tuple[str, ...] = ("source", "lang"),
     *,
     bits: int = 8,
     rows_per_range: int = 100_000,
@@ -94,10 +97,10 @@ def hilbert_shards(
     """One output row per input row: the input columns (only ``id_col`` if not ``carry``), then size
     (UTF-8 bytes of the text plus 1), text_crc32, curve_index, law ('rows'), shard, slot, grown_shard.
 
-    Dimensions of the curve: the categories and the size. The law is ``rows``: shards hold runs of
-    the curve, their counts at most one apart, slots without gaps from 0 in the order of the curve;
-    within a cell the order is by id (nulls first), size and checksum, so reruns agree. grown_shard is
-    null: another shard count moves rows. Null text: no bytes, so size 1 and checksum 0. Null
+    Dimensions of the curve: the categories and the size, each quantised by equal counts. The law is
+    ``rows``: shards hold runs of the curve, their counts at most one apart, slots without gaps from 0 in
+    the order of the curve; within a cell the order is by id (nulls first), size and checksum, so reruns
+    agree. grown_shard is null: another shard count moves rows. Null text: no bytes, so size 1 and checksum 0. Null
     categories: a value of their own. Equal rows: interchangeable. Empty table: no rows. A computed
     column replaces an input column of its name.
     """
@@ -120,26 +123,22 @@ def hilbert_shards(
         of = _category_cells(rows, scratch, f"__c{i}", bits).withColumnRenamed("__cell", f"__cell{i}")
         placed = placed.join(of, F.col(f"__c{i}").eqNullSafe(F.col("__v"))).drop("__v")
         cells.append(F.col(f"__cell{i}"))
-    placed = placed.select("__id", "size", "text_crc32", "__rid", hilbert_index([*cells, size_cell("size", bits)], bits).alias("curve_index"))
+    sizes = _size_cells(rows, scratch, bits)
+    placed = placed.join(F.broadcast(sizes), F.expr(bucket("size")) == F.col("__b"))  # at most 64 rows an octave
+    cells.append(F.col("__cell_size"))
+    placed = placed.select("__id", "size", "text_crc32", "__rid", hilbert_index(cells, bits).alias("curve_index"))
     placed = scratch.write(placed, "placed")
 
     total = placed.count()
     ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_per_range))
     order = ["curve_index", F.col("__id").asc_nulls_first(), "size", "text_crc32"]
-    in_order = placed.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    # monotonic ids hold the partition in their upper bits and the place in it in the lower 33
-    in_order = scratch.write(in_order.withColumn("__m", F.monotonically_increasing_id()), "in_order")
-    in_order = in_order.withColumn("__p", F.shiftright("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
-    per_range = in_order.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_range.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    ranked = in_order.join(F.broadcast(starts), "__p")  # one row per range
-    rank, n, k = "(__start + __i)", max(total, 1), n_shards
-    ranked = ranked.withColumn("shard", F.expr(f"CAST({rank} * {k} div {n} AS INT)"))
-    out = ranked.select(
+    in_order = ranked(placed, scratch, "in_order", order, rows_per_range=max(1, total // ranges))
+    n, k = max(total, 1), n_shards
+    in_order = in_order.withColumn("shard", F.expr(f"CAST(__rank * {k} div {n} AS INT)"))
+    out = in_order.select(
         "__id", "__rid", "size", "text_crc32", "curve_index",
         F.lit("rows").alias("law"), "shard",
-        F.expr(f"{rank} - (shard * {n} + {k - 1}L) div {k}").alias("slot"),
+        F.expr(f"__rank - (shard * {n} + {k - 1}L) div {k}").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
     if carry:
