@@ -75,8 +75,8 @@ def union(n, pairs):
     return [root(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("leaf_size", [2, 2048])
-def test_components_against_brute_force(spark, leaf_size):
+@pytest.mark.parametrize("range_rows", [5, 1 << 18])
+def test_components_against_brute_force(spark, range_rows):
     rng = random.Random(3)
     rows = [(1, None), (2, ""), (3, "a b"), (4, "A  B"), (5, "a"), (6, "\t \n"), (7, "x" * 5000), (8, words(rng, 9000))]
     base = [words(rng, 60) for _ in range(12)]
@@ -86,7 +86,7 @@ def test_components_against_brute_force(spark, leaf_size):
             w[rng.randrange(len(w))] = "changed"
         rows.append((20 + k, " ".join(w)))
     rows += [(20, base[0]), (None, base[1])]
-    got = simhash.simhash_components(docs(spark, rows), leaf_size=leaf_size).collect()
+    got = simhash.simhash_components(docs(spark, rows), range_rows=range_rows).collect()
     f = [brute_fingerprint(t, 3) for _, t in rows]
     root = union(len(rows), [(j, i) for i in range(len(f)) for j in range(i) if (f[i] ^ f[j]).bit_count() <= 2])
     least = {}
@@ -136,12 +136,35 @@ def test_gray_index_finds_all(words_):
     assert len(forest) < len(codes)
 
 
-def test_exact_masks_cover_every_pair():
-    masks = simhash.exact_masks(list(range(64)), 2)
-    assert len(masks) == 6
-    for a in range(64):
-        for b in range(a):
-            assert any(not m >> a & 1 and not m >> b & 1 for m in masks)
+def test_ranges_find_every_link(spark):
+    """Codes in dense balls and far apart, in many ranges: the forest joins what all links join."""
+    from trackspark.llm.common import Scratch
+
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 2**63, 40, dtype=np.uint64)[rng.integers(0, 40, 3000)]
+    codes[1500:] = rng.integers(0, 2**63, 1500, dtype=np.uint64)
+    for _ in range(3):
+        codes ^= np.uint64(1) << rng.integers(0, 64, len(codes)).astype(np.uint64)
+    codes = np.unique(codes)
+    df = spark.createDataFrame([(int(x),) for x in codes.view(np.int64)], "__f0 long")
+    got = simhash.links_exact(df, Scratch(spark), 2, 100).collect()
+    at = {int(x): k for k, x in enumerate(codes.view(np.int64))}
+    d = np.bitwise_count(codes[:, None] ^ codes[None])
+    links = list(zip(*np.nonzero(np.tril(d <= 2, -1))))
+    assert all(d[at[r.a], at[r.b]] == r.d <= 2 for r in got)
+    assert union(len(codes), links) == union(len(codes), [(at[r.a], at[r.b]) for r in got])
+
+
+def test_pruning_leaves_most_nodes_out():
+    rng = np.random.default_rng(6)
+    codes = rng.integers(0, 2**63, (20_000, 1), dtype=np.uint64)
+    codes = codes[gray_index.gray_order(codes)]
+    index, q = gray_index.GrayIndex(codes), codes[::200]
+    found = index.within(q, 2)
+    assert (np.bitwise_count(q[found[0]] ^ codes[found[1]])[:, 0] == found[2]).all() and set(range(100)) <= set(found[0].tolist())
+    for (mask, pattern), most in zip(index.levels[1:3], (0.1, 0.25)):  # of the nodes over codes, few are entered
+        passed = np.bitwise_count((q[:, None] ^ pattern[None]) & mask[None])[:, :, 0] <= 2
+        assert passed.mean() < most
 
 
 def family(n, true_pairs, rng):

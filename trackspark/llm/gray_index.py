@@ -1,4 +1,4 @@
-"""A hierarchical index over bit codes in Gray order, for one bounded node (numpy).
+"""A hierarchical index over bit codes in Gray order (numpy).
 
 Codes sorted by Gray rank have neighbours that differ in few bits. Runs of ``FAN`` neighbours are
 factored into an upper node, the bits that all of them share (a mask and a pattern), and so on upward.
@@ -8,30 +8,36 @@ leaves out whole groups once the sum exceeds the radius.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-FAN = 16
-BLOCK = 256  # queries searched together
-SMALL = 64  # codes of a node that is compared directly
+FAN = 4
+BLOCK = 512  # queries searched together
+SMALL = 64  # codes of a sampled node that is compared directly
 PAIRS = 1 << 17
 
 
-def gray_order(codes: np.ndarray) -> np.ndarray:
-    """Order of codes, (n, words) of uint64 with the highest word first, by Gray rank."""
+def gray_rank(codes: np.ndarray) -> np.ndarray:
+    """Gray ranks of codes, (n, words) of uint64 with the highest word first."""
     rank = codes.copy()
     for s in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(s)
     for w in range(1, rank.shape[1]):  # the parity of what stands before flips the rest
         rank[:, w] ^= np.where(rank[:, w - 1] & np.uint64(1), ~np.uint64(0), np.uint64(0))
-    return np.lexsort(rank.T[::-1])
+    return rank
+
+
+def gray_order(codes: np.ndarray) -> np.ndarray:
+    """Order of codes by Gray rank."""
+    return np.lexsort(gray_rank(codes).T[::-1])
 
 
 class GrayIndex:
-    """codes must be in Gray order."""
+    """Codes, or (mask, pattern) nodes over ranges of them, in Gray order."""
 
-    def __init__(self, codes: np.ndarray):
-        full = np.full(codes.shape, ~np.uint64(0))
-        self.levels = [(full, codes)]  # from the codes up: (mask, pattern)
+    def __init__(self, codes: np.ndarray, mask: np.ndarray | None = None):
+        self.levels = [(np.full(codes.shape, ~np.uint64(0)) if mask is None else mask, codes)]  # upward: (mask, pattern)
         while len(self.levels[-1][0]) > FAN:
             mask, pattern = self.levels[-1]
             cuts = np.arange(0, len(mask), FAN)
@@ -45,12 +51,12 @@ class GrayIndex:
         q = np.repeat(np.arange(len(queries)), len(mask))
         node = np.tile(np.arange(len(mask)), len(queries))
         told = np.zeros((1, queries.shape[1]), np.uint64)  # bits that upper nodes have compared
-        seen, dist = np.repeat(told, len(q), axis=0), np.zeros(len(q), np.int64)
+        seen, dist = np.repeat(told, len(q), axis=0), np.zeros(len(q), np.int16)
         for depth in range(len(self.levels) - 1, -1, -1):
             mask, pattern = self.levels[depth]
             new = (queries[q] ^ pattern[node]) & mask[node] & ~seen
-            dist = dist + np.bitwise_count(new).sum(1, dtype=np.int64)
-            keep = dist <= radius
+            dist = dist + np.bitwise_count(new).sum(1, dtype=np.int16)
+            keep = np.flatnonzero(dist <= radius)
             q, node, dist = q[keep], node[keep], dist[keep]
             if depth:
                 below = len(self.levels[depth - 1][0])
@@ -63,6 +69,73 @@ class GrayIndex:
         return q, node, dist
 
 
+class Forest:
+    """A growing spanning forest over n places: ``add`` returns the links that join two trees."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        r = self.parent[x]
+        while True:
+            up = self.parent[r]
+            if (up == r).all():
+                break
+            r = up
+        self.parent[x] = r
+        return r
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = int(parent[x])
+        return x
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Places, in the two arrays, of the links taken, in their order."""
+        taken: list[int] = []
+        live = np.flatnonzero(self.roots(a) != self.roots(b))
+        step = 4096
+        for at in range(0, len(live), step):
+            part = live[at : at + step]
+            if at:  # links inside what is joined by now need no look
+                part = part[self.roots(a[part]) != self.roots(b[part])]
+            for k in part.tolist():
+                i, j = self.root(int(a[k])), self.root(int(b[k]))
+                if i != j:
+                    self.parent[max(i, j)] = min(i, j)
+                    taken.append(k)
+        return np.array(taken, np.int64)
+
+
+class RangeIndex:
+    """The index of one range of codes, and a forest of the links found in it so far."""
+
+    def __init__(self, codes: np.ndarray, radius: int):
+        self.codes, self.radius = codes[gray_order(codes)], radius
+        self.index, self.forest = GrayIndex(self.codes), Forest(len(codes) + BLOCK)
+
+    def inside(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(code, code, distance): links between the range's own codes that join two trees."""
+        for at in range(0, len(self.codes), BLOCK):
+            q, c, d = self.index.within(self.codes[at : at + BLOCK], self.radius)
+            later = np.flatnonzero(c > q + at)
+            q, c, d = q[later] + at, c[later], d[later]
+            taken = self.forest.add(q, c)
+            yield self.codes[q[taken]], self.codes[c[taken]], d[taken]
+
+    def with_others(self, probes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same between its codes and those of other ranges, each of which comes once."""
+        n = len(self.codes)
+        for at in range(0, len(probes), BLOCK):
+            block = probes[at : at + BLOCK]
+            q, c, d = self.index.within(block, self.radius)
+            self.forest.parent[n:] = np.arange(n, n + BLOCK)  # own codes are the roots, so these can be forgotten
+            taken = self.forest.add(c, n + q)
+            yield self.codes[c[taken]], block[q[taken]], d[taken]
+
+
 def _root(parent: list[int], x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]

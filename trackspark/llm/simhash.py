@@ -1,25 +1,20 @@
-"""SimHash near-dedup over a hierarchical index of masked bit patterns.
-
-Fingerprints are made in one pass over whole texts. Upper nodes of the index are masked bit patterns:
-a family of masks, and for each the rows that share the bits under it. The family spreads the index
-over the cluster; a node is one group key, and no node handed to a task holds more than ``leaf_size``
-rows. Inside a node, codes in Gray order are factored further and searched with whole groups pruned
-(``gray_index``), and only a spanning forest of the links leaves it.
-
-Two families:
-
-* ``exact`` for small radii r: the free bits are cut into r + 2 blocks and each pair of blocks is a
-  mask, so two codes within r bits share at least one node. A node that is too large is divided by
-  the same rule on its free bits, until it is small; after three levels at most 2**8 codes are left.
-* ``sampled`` for large radii: masks of random bits, enough of them that a pair at the radius of the
-  wanted similarity shares one with the wanted probability. A node that is too large is first dealt at
-  random into parts, each with the node's first row, which joins what is alike throughout; then its
-  blocks are compared each with each, as far as rows are not joined yet.
+"""SimHash near-dedup over hierarchical indexes of masked bit patterns.
+
+Fingerprints are made in one pass over whole texts. Two ways to the links between them:
+
+* ``exact`` for small radii (one 64-bit code): all distinct codes are sorted by Gray rank in ranges; the
+  bits that neighbours share are factored into upper nodes, of ranges too, and a search from the top adds
+  up differences and prunes whole groups (``gray_index``). Only a spanning forest of the links leaves a
+  range.
+* ``sampled`` for large radii: upper nodes are masks of random bits, enough of them that a pair at the
+  radius of the wanted similarity shares one with the wanted probability. Inside a node, codes stand in
+  Gray order and are searched in the same way. A node that is too large is first dealt at random into
+  parts, each with the node's first row, which joins what is alike throughout; then its blocks are
+  compared each with each, as far as rows are not joined yet.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 import random
 from collections.abc import Iterator
@@ -32,11 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import ROW, Scratch, name, pack, text_of, unpack
 from .components import star_components
-from .gray_index import BLOCK, SMALL, small_links, spanning_forest
+from .gray_index import BLOCK, SMALL, GrayIndex, RangeIndex, small_links, spanning_forest
 
 COMPUTED = ["fingerprint", "component_id", "kept"]
 _CHUNK = 1 << 20  # bytes of a text handled at once
-TEXTS, GROUPS = 500, 1000  # texts, and groups of codes, handed to Python at once
+TEXTS, GROUPS, CODES = 500, 1000, 16384  # texts, groups of codes, and codes, handed to Python at once
 
 
 # -- fingerprints ---------------------------------------------------------------------------------
@@ -105,13 +100,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def exact_masks(free: list[int], radius: int) -> list[int]:
-    """Masks over the free bits: each pair of radius + 2 blocks."""
-    n = radius + 2
-    blocks = [sum(1 << b for b in free[len(free) * i // n : len(free) * (i + 1) // n]) for i in range(n)]
-    return [a | b for a, b in itertools.combinations(blocks, 2)]
-
-
 def sampled_masks(words: int, bits: int, count: int, seed: int) -> list[tuple[int, ...]]:
     draw, out = random.Random(seed), []
     for _ in range(count):
@@ -151,31 +139,68 @@ def _split_hot(nodes: DataFrame, scratch: Scratch, label: str, leaf_size: int) -
     return nodes.join(keys, ["__path", "__key"], "left_anti"), nodes, counts
 
 
-def links_exact(codes: DataFrame, scratch: Scratch, radius: int, leaf_size: int) -> DataFrame:
-    """codes: distinct __f0. A spanning set (a, b, d) of all links at ``radius`` or less."""
-    masks = [(m, m) for m in exact_masks(list(range(64)), radius)]  # (all bits fixed, by path)
-    rows, found, level = codes.select("__f0"), [], 0
-    nodes = rows.select("__f0", F.explode(_keys([m for m, _ in masks])).alias("x"))
-    while True:
-        nodes = nodes.select("x.__path", "x.__key", F.col("__f0").alias("__id"), "__f0")
-        light, every, hot = _split_hot(nodes, scratch, str(level), leaf_size)
-        found.append(scratch.write_arrow(_grouped_links(light, 1, radius), f"links_{level}", GROUPS))
-        if hot is None:
-            return _union(found)
-        fixed = [m for m, _ in masks]
-        children = [[f | sub for sub in exact_masks([b for b in range(64) if not f >> b & 1], radius)] for f in fixed]
-        masks = [(m, m) for group in children for m in group]
-        width = len(children[0])
-        # a child's path counts on from its parent's
-        table = F.array(*[F.lit(_signed(m)) for m, _ in masks])
-        within = every.join(hot.select("__path", "__key"), ["__path", "__key"], "left_semi")
-        child = F.sequence(F.col("__path") * width, F.col("__path") * width + width - 1)
-        nodes = within.select("__f0", F.explode(F.transform(child, lambda p: F.struct(p.alias("__path"), F.col("__f0").bitwiseAND(F.get(table, p)).alias("__key")))).alias("x"))
-        level += 1
-
-
-def _keys(masks: list[int]) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("__path"), F.col("__f0").bitwiseAND(F.lit(_signed(m))).alias("__key")) for i, m in enumerate(masks)])
+def _gray_rank(code: str) -> Column:
+    """Gray rank of a 64-bit code, as a long in the same order."""
+    rank = F.col(code)
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
+    return rank.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def links_exact(codes: DataFrame, scratch: Scratch, radius: int, range_rows: int) -> DataFrame:
+    """codes: distinct __f0. A spanning set (a, b, d) of all links at ``radius`` or less.
+
+    Codes are sorted by Gray rank in ranges of about ``range_rows``. The bits that all codes of a range
+    share are its node; the nodes (one row per range) are factored further into the top of the index,
+    which every task has. From the top each code goes to its own range and to those that its accumulated
+    differences don't rule out, of two ranges only one way. There the search goes on, in the range's own
+    part of the index.
+    """
+    spark = codes.sparkSession
+    n = codes.count()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // range_rows))
+    in_order = codes.select("__f0").repartitionByRange(ranges, _gray_rank("__f0"))
+    in_order = scratch.write(in_order.select("__f0", F.spark_partition_id().alias("__range")), "in_order")
+    nodes = in_order.groupBy("__range").agg(F.expr("bit_and(__f0)").alias("ones"), F.expr("bit_or(__f0)").alias("any")).orderBy("__range")
+    nodes = np.array([tuple(r) for r in nodes.collect()], np.int64).reshape(-1, 3)  # one row per range
+    ids, ones, some = nodes[:, 0], nodes[:, 1].view(np.uint64)[:, None], nodes[:, 2].view(np.uint64)[:, None]
+    top = spark.sparkContext.broadcast((ids, ones | ~some, ones))
+    names = ["__range", "__probe", "__f0"]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, mask, pattern = top.value
+        index = GrayIndex(pattern, mask)
+        for batch in batches:
+            codes, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at in range(0, len(codes), BLOCK):
+                q, node, _ = index.within(codes[at : at + BLOCK].view(np.uint64)[:, None], radius)
+                to, home = ids[node], own[at + q]
+                keep = (to == home) | ((to < home) == ((to + home) % 2 == 1))
+                to, q, probe = to[keep], at + q[keep], (to != home)[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(probe), pa.array(codes[q])], names)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, part = [], None
+        for batch in batches:  # a range's own codes come first
+            probe, codes = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().view(np.uint64)[:, None]
+            if part is None:
+                own.append(codes[~probe])
+            if probe.any():
+                if part is None:
+                    part = RangeIndex(np.concatenate(own), radius)
+                    yield from map(_link_batch, part.inside())
+                yield from map(_link_batch, part.with_others(codes[probe]))
+        if part is None and own:
+            yield from map(_link_batch, RangeIndex(np.concatenate(own), radius).inside())
+
+    routed = in_order.select("__f0", "__range").mapInArrow(route, "__range int, __probe boolean, __f0 long")
+    routed = routed.repartitionById(ranges, F.col("__range")).sortWithinPartitions("__probe")
+    return scratch.write_arrow(routed.mapInArrow(search, "a long, b long, d long"), "links", CODES)
+
+
+def _link_batch(links: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    a, b, d = links
+    return pa.RecordBatch.from_arrays([pa.array(a[:, 0].view(np.int64)), pa.array(b[:, 0].view(np.int64)), pa.array(d.astype(np.int64))], ["a", "b", "d"])
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -293,7 +318,7 @@ def simhash_components(
     *,
     shingle: int = 3,
     radius: int = 2,
-    leaf_size: int = 2048,
+    range_rows: int = 1 << 18,
     carry: bool = True,
 ) -> DataFrame:
     """One output row per input row: the input columns (only ``id_col`` if not ``carry``), then
@@ -316,7 +341,7 @@ def simhash_components(
     marked = scratch.write_arrow(codes_of(texts, shingle, 1), "codes", TEXTS)
     first = F.min(F.struct(F.col("__order").isNull().alias("n"), F.col("__order").alias("i"), F.col("__id").alias("r")))
     codes = scratch.write(marked.groupBy("__f0").agg(first.alias("__first")), "distinct")
-    edges = links_exact(codes, scratch, radius, leaf_size)
+    edges = links_exact(codes, scratch, radius, range_rows)
     member = scratch.write(star_components(edges, scratch), "members")
     # of linked codes only: the first row of each component
     linked = member.join(codes, member["node"] == codes["__f0"]).select("node", "root", "__first")
