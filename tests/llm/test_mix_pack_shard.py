@@ -7,9 +7,11 @@ import zlib
 import numpy as np
 import pytest
 
+from tests.test_entry import DATA
 from trackspark.llm import token_output
 from trackspark.llm.mixing import mix_sources, take_mix
 from trackspark.llm.packing import best_fit_pack
+from trackspark.llm.queries import QUERIES
 from trackspark.llm.sharding import hilbert_index, hilbert_shards, write_shards
 
 SCHEMA = "doc_id long, text string, lang string, source string, size string, `shard` string"
@@ -79,7 +81,7 @@ def test_take_mix_repeats_whole_rows(spark):
     assert take_mix(d.limit(0)).count() == 0
 
 
-def check_packing(rows, got, capacity):
+def check_packing(rows, got, capacity, one_per_source=True):
     need = collections.Counter((i, len((t or "").split())) for i, t, _, _ in rows)
     cover = collections.defaultdict(list)
     for r in got:
@@ -91,7 +93,7 @@ def check_packing(rows, got, capacity):
         bins[r.bin_id].append(r)
     for b in bins.values():
         assert sum(r.n_words for r in b) <= capacity
-        assert len({r.source for r in b}) == len(b)
+        assert not one_per_source or len({r.source for r in b}) == len(b)
         assert sorted(r.place for r in b) == list(range(len(b)))
     return bins
 
@@ -99,7 +101,7 @@ def check_packing(rows, got, capacity):
 @pytest.mark.parametrize("group_rows", [20, 8192])
 def test_packing_respects_conflicts(spark, group_rows):
     rows = sample()
-    got = best_fit_pack(docs(spark, rows), capacity=64, group_rows=group_rows).collect()
+    got = best_fit_pack(docs(spark, rows), capacity=64, group_rows=group_rows, per_source=1).collect()
     bins = check_packing(rows, got, 64)
     text = {i: t for i, t, _, _ in rows}
     for b in bins.values():
@@ -116,7 +118,7 @@ def test_packing_is_best_fit():
 
     rng = np.random.default_rng(2)
     p = pd.DataFrame({"__size": rng.integers(0, 40, 400), "__source": rng.choice(list("abcdefghi"), 400), "__cluster": rng.integers(0, 300, 400), "__order": np.arange(400), "__chunk": 0})
-    got = pack_group(p, 64, True)
+    got = pack_group(p, 64, 1)
     bins = []
     for r in got.itertuples():
         fits = [(left, k) for k, (left, s, c) in enumerate(bins) if left >= r[1] and r[2] not in s and r[3] not in c]
@@ -128,6 +130,27 @@ def test_packing_is_best_fit():
         bins[r[6]] = (left - r[1], s | {r[2]}, c | {r[3]})
 
 
+def test_packing_fills_bins_of_few_sources(spark):
+    rows = [(k, f"t{k} x y", "en", "s0" if k % 3 else "s1") for k in range(400)]
+    got = best_fit_pack(docs(spark, rows), capacity=60).collect()
+    bins = check_packing(rows, got, 60, one_per_source=False)
+    assert len(bins) <= 23  # 20 full ones
+    assert max(sum(r.source == "s1" for r in b) for b in bins.values()) <= 7  # a third of 20, rounded up
+
+
+def test_packing_query_holds_every_word_once(spark):
+    """The registered query against the table: each document's words once, and the rules of every bin."""
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    got = QUERIES["op6_packing"](spark, DATA).collect()
+    bins = check_packing(rows, got, 2048, one_per_source=False)
+    text = {i: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "") for i, t, _, _ in rows}
+    for b in bins.values():
+        short = [text[r.doc_id] for r in b if r.n_words < 2048]
+        assert len(set(short)) == len(short)
+    words = sum(len((t or "").split()) for _, t, _, _ in rows)
+    assert len(bins) <= 1.1 * words / 2048 + 2
+
+
 def test_hilbert_is_a_curve(spark):
     from pyspark.sql import functions as F
 

@@ -7,7 +7,8 @@ bounded whatever the key distribution, and a source or cluster with a third of a
 In a group, pieces come in descending size. Bins stand in order of their residual capacity and carry
 bitmaps of the sources and duplicate clusters that they hold. The search starts at the tightest bin
 with room (the successor of the size) and goes on until a bin has neither the piece's source nor its
-cluster; without one, a new bin is opened.
+cluster; without one, a new bin is opened. A source with many of the pieces has several bits, dealt to
+its pieces in turn, so that a bin holds no more of it than its share.
 """
 
 from __future__ import annotations
@@ -64,10 +65,23 @@ class Bins:
         return which
 
 
-def pack_group(pieces: pd.DataFrame, capacity: int, one_per_source: bool) -> pd.DataFrame:
-    """pieces: __size, __source, __cluster, __order. Adds __bin and __place."""
+def source_bits(sources: np.ndarray, sizes: np.ndarray, capacity: int, per_source: int | None) -> np.ndarray:
+    """A conflict bit for each piece: a source has ``per_source`` bits, or (None) as many as a full bin of
+    average pieces holds of it, rounded up."""
+    count = np.bincount(sources)
+    share = count * capacity / max(int(sizes.sum()), 1)
+    bits = np.full(len(count), per_source, np.int64) if per_source else np.minimum(np.ceil(share), count).astype(np.int64).clip(1)
+    order = np.argsort(sources, kind="stable")
+    turn = np.empty(len(sources), np.int64)
+    turn[order] = np.arange(len(sources)) - np.repeat(np.cumsum(count) - count, count)
+    return (np.cumsum(bits) - bits)[sources] + turn % bits[sources]
+
+
+def pack_group(pieces: pd.DataFrame, capacity: int, per_source: int | None) -> pd.DataFrame:
+    """pieces: __size, __source, __cluster, __order, __chunk. Adds __bin and __place."""
     pieces = pieces.sort_values(["__size", "__order", "__chunk"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-    sources = pd.factorize(pieces["__source"], use_na_sentinel=False)[0] if one_per_source else np.full(len(pieces), -1)
+    sources = pd.factorize(pieces["__source"], use_na_sentinel=False)[0]
+    sources = source_bits(sources, pieces["__size"].to_numpy(), capacity, per_source)
     n_sources = int(sources.max()) + 1 if len(pieces) else 0
     shared = pieces["__cluster"].duplicated(keep=False)  # a cluster with one piece here cannot conflict
     clusters = np.full(len(pieces), -1)
@@ -75,7 +89,7 @@ def pack_group(pieces: pd.DataFrame, capacity: int, one_per_source: bool) -> pd.
     bins = Bins(capacity, int(max(n_sources, clusters.max(initial=-1) + 1)), len(pieces))
     put, places, held = [], [], {}
     for size, s, c in zip(pieces["__size"].tolist(), sources.tolist(), clusters.tolist()):
-        b = bins.put(size, [x for x in (s, c) if x >= 0])
+        b = bins.put(size, [s, c] if c >= 0 else [s])
         put.append(b)
         places.append(held.get(b, 0))
         held[b] = places[-1] + 1
@@ -96,13 +110,15 @@ def best_fit_pack(
     *,
     capacity: int = 2048,
     group_rows: int = 8192,
-    one_per_source: bool = True,
+    per_source: int | None = None,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per piece: ``id_col``, source, chunk, start_word, n_words, bin_id, place.
 
     The pieces of a document cover its words once, in order. No bin holds more than ``capacity`` words,
-    two pieces of one duplicate cluster, or (if ``one_per_source``) two pieces of one source.
+    two pieces of one duplicate cluster, or more than ``per_source`` pieces of one source (None: the
+    source's share of a full bin of average pieces of its group, rounded up; 1 for most sources).
+    Pieces come by descending size, then by a hash of id and cluster, then in document order.
     Null text, or one without words: a piece of no words, packed like any other. Null source: a source
     of its own. Null id: kept. Equal rows are one cluster, so they get different bins. Copies of a long
     document: each full piece has its own bin. Empty table: no rows. Other columns are left out, so
@@ -134,7 +150,7 @@ def best_fit_pack(
     schema = schema.add("__bin", "long").add("__place", "integer")
 
     def pack(pieces: pd.DataFrame) -> pd.DataFrame:
-        return pack_group(pieces, capacity, one_per_source)[[f.name for f in schema.fields]]
+        return pack_group(pieces, capacity, per_source)[[f.name for f in schema.fields]]
 
     packed = rest.groupBy("__group").applyInPandas(pack, schema)
     columns = ["__id", "__source", "__chunk", "__size"]
