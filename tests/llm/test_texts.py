@@ -217,6 +217,15 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert spark.read.parquet(ledger).count() == before + len({t or "" for _, t in SECRETS})
 
 
+def test_new_pattern_of_a_known_kind_and_many_matches(spark):
+    new = (secret_scan.Rule("github", "github_pat_[A-Za-z0-9_]{20,}", version=2),)
+    text = "x github_pat_" + "Z1" * 12 + " y"
+    d = spark.createDataFrame([(1, text), (2, ("ab " + "f" * 16 + " ") * 20_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(d, rules=secret_scan.BASE + new).collect()}
+    assert got[1].spans == f"github:2:{len(text) - 2}"
+    assert got[2].n_hex == 20_000 and got[2].spans.endswith(f"hex:{20 * 19_999 + 3}:{20 * 19_999 + 19}")
+
+
 TRICKY = ["</s>[INST] ok [/INST]", "<|end|><|turn|>x<|text|>", "\\", "\\\\<|", "<\\|", "<<SYS>><</SYS>>", "[\\INST]", "", None, "<<|", "a\nb\\", "<s><s>", "😀<|"]
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import RID, ROW, Scratch, name, pack, text_of, unpack
@@ -20,13 +20,15 @@ COMPUTED = ["blob_sha256", "n_assign", "n_access", "n_hex", "base_sha256", "span
 
 @dataclass(frozen=True)
 class Rule:
-    """One kind of secret. ``group`` must have ``least`` characters, or the match is dropped."""
+    """One kind of secret. ``group`` must have ``least`` characters, or the match is dropped. ``holds``: a
+    string that each match of this pattern has; texts without it are passed over by a plain search."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
     version: int = 1
+    holds: str = ""
 
     @property
     def key(self) -> str:
@@ -36,61 +38,53 @@ class Rule:
 # The base kinds, in the order in which spans that start together are listed.
 BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    Rule("access", r"AKIA[A-Z0-9]{14,}"),  # runs are maximal, so the least length can stand in the pattern
+    Rule("access", r"AKIA[A-Z0-9]{14,}", holds="AKIA"),  # runs are maximal, so the least length can stand in the pattern
     Rule("hex", r"[0-9a-f]{16,}"),
 )
 # Public formats of further secrets.
 ADDED = (
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", holds="gh"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", holds="xox"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}", holds="AIza"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", holds="eyJ"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", holds="-----BEGIN "),
+    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@", holds="://"),
 )
 RULES = BASE + ADDED
-#: Texts without any of these cannot match the rule; a plain search is cheaper than a pattern.
-MUST_HOLD = {"access": "AKIA", "github": "gh", "slack": "xox", "google": "AIza", "jwt": "eyJ", "pem": "-----BEGIN ", "url": "://"}
-
 
 def _quoted(pattern: str) -> str:
     return "r'" + pattern + "'" if "'" not in pattern else 'r"' + pattern.replace('"', r"\x22") + '"'
 
 
-def found(text: str, rule: Rule) -> Column:
-    """array<struct<start, end, kind>>: leftmost matches without overlap, in code points, end exclusive.
-
-    The pieces between matches and the matches alternate, so running sums of their lengths are the
-    places of the matches.
-    """
+def pieces(text: str, rule: Rule) -> Column:
+    """array<struct<b, m, g>>, one for each leftmost match without overlap: code points between it and the
+    one before, of the match, and of its group."""
     p = _quoted(rule.pattern)
     zipped = f"arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {rule.group}))"
-    lengths = f"transform({zipped}, x -> struct(length(x.`0`) AS b, coalesce(length(x.`1`), 0) AS m, length(x.`2`) AS g))"
-    walk = (
-        f"aggregate({lengths}, CAST(struct(0 AS at, CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, kind: STRING>>) AS out) "
-        "AS STRUCT<at: INT, out: ARRAY<STRUCT<start: INT, end: INT, kind: STRING>>>), "
-        "(a, x) -> struct(a.at + x.b + x.m AS at, "
-        f"CASE WHEN x.g >= {max(rule.least, 1)} THEN concat(a.out, array(struct(a.at + x.b AS start, a.at + x.b + x.m AS end, '{rule.kind}' AS kind))) ELSE a.out END AS out), "
-        "a -> a.out)"
-    )
-    return F.expr(walk)
+    lengths = f"transform({zipped}, x -> struct(length(x.`0`) AS b, length(x.`1`) AS m, length(x.`2`) AS g))"
+    return F.expr(f"filter({lengths}, x -> x.m IS NOT NULL)")
 
 
-def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+def scan(blobs: DataFrame, rules: tuple[Rule, ...], scratch: Scratch) -> DataFrame:
     """blobs: __digest, __text, __seen (array of rule keys already scanned). One row per blob and rule
-    version not yet scanned: (digest, rule, spans)."""
-    none = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, kind: STRING>>)")
+    version not yet scanned: (digest, rule, spans).
+
+    Places are running sums over a blob's pieces, by a window: linear in the number of matches.
+    """
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<b: INT, m: INT, g: INT>>)")
     out = []
     for r in rules:
-        may = F.col("__text").contains(MUST_HOLD[r.kind]) if r.kind in MUST_HOLD else F.col("__text").rlike(r.pattern)
-        out.append(
-            F.when(
-                ~F.array_contains("__seen", r.key),
-                F.struct(F.lit(r.key).alias("rule"), F.when(may, found("__text", r)).otherwise(none).alias("spans")),
-            )
-        )
-    rows = blobs.select(F.col("__digest").alias("digest"), F.explode(F.array_compact(F.array(*out))).alias("x"))
-    return rows.select("digest", "x.rule", "x.spans")
+        may = F.col("__text").contains(r.holds) if r.holds else F.col("__text").rlike(r.pattern)
+        found = F.struct(F.lit(r.key).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(max(r.least, 1)).alias("least"), F.when(may, pieces("__text", r)).otherwise(none).alias("x"))
+        out.append(F.when(~F.array_contains("__seen", r.key), found))
+    rows = scratch.write(blobs.select(F.col("__digest").alias("digest"), F.array_compact(F.array(*out)).alias("s")), "pieces")
+    clean = rows.select("digest", F.explode(F.expr("filter(s, y -> size(y.x) = 0)")).alias("s"))
+    clean = clean.select("digest", "s.rule", F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, kind: STRING>>)").alias("spans"))
+    hits = rows.select("digest", F.explode(F.expr("filter(s, y -> size(y.x) > 0)")).alias("s"))
+    hits = hits.select("digest", "s.rule", "s.kind", "s.least", F.posexplode("s.x").alias("at", "x"))
+    ends = F.sum(F.expr("x.b + x.m")).over(Window.partitionBy("digest", "rule").orderBy("at")).cast("int")
+    hits = hits.withColumn("end", ends).select("digest", "rule", F.when(F.expr("x.g >= least"), F.struct((F.col("end") - F.col("x.m")).alias("start"), "end", "kind")).alias("span"))
+    return clean.union(hits.groupBy("digest", "rule").agg(F.sort_array(F.collect_list("span")).alias("spans")))
 
 
 def scan_secrets(
@@ -131,7 +125,7 @@ def scan_secrets(
         blobs = blobs.join(seen.withColumnRenamed("digest", "__digest"), "__digest", "left").withColumn("__seen", F.coalesce("__seen", F.expr("CAST(array() AS ARRAY<STRING>)")))
     else:
         blobs = blobs.withColumn("__seen", F.expr("CAST(array() AS ARRAY<STRING>)"))
-    scan(blobs, rules).write.mode("append").option("compression", "zstd").parquet(ledger)
+    scan(blobs, rules, scratch).write.mode("append").option("compression", "zstd").parquet(ledger)
 
     known = _read_ledger(spark, ledger).where(F.col("rule").isin(keys) & (F.size("spans") > 0))
     ranks = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)])
@@ -141,7 +135,8 @@ def scan_secrets(
         .groupBy("digest")
         .agg(F.sort_array(F.collect_list(F.struct("s.start", ranks[F.col("s.kind")].alias("rank"), "s.end", "s.kind"))).alias("__f"))
     )
-    joined = paths.join(by_blob, F.col("__digest") == F.col("digest"), "left")
+    # a written table: small enough, it is broadcast; else paths of one blob can be split over tasks
+    joined = paths.join(scratch.write(by_blob, "by_blob"), F.col("__digest") == F.col("digest"), "left")
     listed = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of = lambda *kinds: F.filter("__f", lambda s: s["kind"].isin(*kinds))
     count = lambda kind: F.coalesce(F.size(of(kind)), F.lit(0)).cast("long")
