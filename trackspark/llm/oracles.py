@@ -21,7 +21,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 """
 
 
-def op3(fence: float = 3.0, min_rows: int = 100) -> str:
+def op3(fence: float = 3.0, prior_rows: int = 100) -> str:
     duck = {s: (e.replace(" div ", " // ").replace("1L", "1").replace("__upper", "n_upper").replace("__lines", "n_lines"), two, n) for s, (e, two, n) in SIGNALS.items()}
     signals = " UNION ALL ".join(f"SELECT rid, lang, source, '{s}' AS signal, {n} AS least, {two} AS two, {e} AS v FROM counts WHERE NOT base_failed" for s, (e, two, n) in duck.items())
     return f"""
@@ -39,9 +39,11 @@ sk AS (SELECT lang, source, signal, least, two, (v >> greatest(length(bin(v)) -
 lv AS (SELECT 2 AS lev, lang, source, signal, least, two, b, n FROM sk UNION ALL SELECT 1, lang, NULL, signal, least, two, b, sum(n) FROM sk GROUP BY ALL UNION ALL SELECT 0, NULL, NULL, signal, least, two, b, sum(n) FROM sk GROUP BY ALL),
 cum AS (SELECT *, sum(n) OVER (PARTITION BY lev, lang, source, signal) AS total, sum(n) OVER (PARTITION BY lev, lang, source, signal ORDER BY b) AS upto FROM lv),
 q AS (SELECT lev, lang, source, signal, least, two, max(total) AS total, min(b) FILTER (upto * 4 >= total) AS q1, min(b) FILTER (upto * 4 >= total * 3) AS q3 FROM cum GROUP BY ALL),
-f AS (SELECT lev, lang, source, signal, total, CASE WHEN two THEN q1 - greatest(q3 - q1, least) * {fence} END AS lo, q3 + greatest(q3 - q1, least) * {fence} AS hi FROM q),
-chosen AS (SELECT o.lang, o.source, o.signal, CASE WHEN o.total >= {min_rows} THEN o.lo WHEN l.total >= {min_rows} THEN l.lo ELSE a.lo END AS lo, CASE WHEN o.total >= {min_rows} THEN o.hi WHEN l.total >= {min_rows} THEN l.hi ELSE a.hi END AS hi
-  FROM f o JOIN f l ON l.lev = 1 AND l.lang IS NOT DISTINCT FROM o.lang AND l.signal = o.signal JOIN f a ON a.lev = 0 AND a.signal = o.signal WHERE o.lev = 2),
+f AS (SELECT lev, lang, source, signal, total, CASE WHEN two THEN q1 - greatest(q3 - q1, least) * {fence}::DOUBLE END AS lo, q3 + greatest(q3 - q1, least) * {fence}::DOUBLE AS hi FROM q),
+g AS (SELECT l.lang, l.signal, (l.lo * l.total + a.lo * {prior_rows}) / (l.total + {prior_rows}) AS lo, (l.hi * l.total + a.hi * {prior_rows}) / (l.total + {prior_rows}) AS hi
+  FROM f l JOIN f a ON a.lev = 0 AND a.signal = l.signal WHERE l.lev = 1),
+chosen AS (SELECT o.lang, o.source, o.signal, (o.lo * o.total + g.lo * {prior_rows}) / (o.total + {prior_rows}) AS lo, (o.hi * o.total + g.hi * {prior_rows}) / (o.total + {prior_rows}) AS hi
+  FROM f o JOIN g ON g.lang IS NOT DISTINCT FROM o.lang AND g.signal = o.signal WHERE o.lev = 2),
 bad AS (SELECT DISTINCT rid FROM vals v JOIN chosen c ON c.lang IS NOT DISTINCT FROM v.lang AND c.source IS NOT DISTINCT FROM v.source AND c.signal = v.signal WHERE v.v > c.hi OR v.v < c.lo)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM counts
 """
@@ -103,15 +105,20 @@ def _crc_table() -> list[int]:
 
 def op9(shards: int = 8, bits: int = 8) -> str:
     """The curve as one projection per step, after the tables of cells."""
+
+    def cell(order: str) -> str:  # the middle of a value's rows, of all rows
+        return f"CAST((2 * sum(n) OVER (ORDER BY {order}) - n) * {1 << bits} // (2 * sum(n) OVER ()) AS BIGINT)"
+
     cells = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, encode(coalesce(text, '')) AS b FROM documents),
 s AS (SELECT rid, doc_id, lang, source, CAST(octet_length(b) + 1 AS BIGINT) AS size, hex(b) AS h FROM d),
 x AS (SELECT rid, doc_id, lang, source, size, CAST(xor(list_reduce(list_transform(range(0, size - 1), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
   lambda a, y: xor([{", ".join(map(str, _crc_table()))}][xor(a, y) % 256 + 1], a >> 8), CAST(4294967295 AS BIGINT)), 4294967295) AS BIGINT) AS text_crc32 FROM s),
-l AS (SELECT lang AS v, (row_number() OVER (ORDER BY lang NULLS FIRST) - 1) * {1 << bits} // greatest(count(*) OVER (), {1 << bits}) AS c FROM (SELECT DISTINCT lang FROM d)),
-o AS (SELECT source AS v, (row_number() OVER (ORDER BY source NULLS FIRST) - 1) * {1 << bits} // greatest(count(*) OVER (), {1 << bits}) AS c FROM (SELECT DISTINCT source FROM d)),
-z AS (SELECT rid, l.c AS x0, o.c AS x1, least((length(bin(size)) - 1) * 8 + (((size - (1::BIGINT << (length(bin(size)) - 1))) << 3) >> (length(bin(size)) - 1)), {(1 << bits) - 1}) AS x2
-  FROM s JOIN l ON l.v IS NOT DISTINCT FROM lang JOIN o ON o.v IS NOT DISTINCT FROM source)"""
+l AS (SELECT lang AS v, {cell("lang NULLS FIRST")} AS c FROM (SELECT lang, count(*) AS n FROM d GROUP BY lang)),
+o AS (SELECT source AS v, {cell("source NULLS FIRST")} AS c FROM (SELECT source, count(*) AS n FROM d GROUP BY source)),
+e AS (SELECT *, (size >> greatest(length(bin(size)) - 7, 0)) << greatest(length(bin(size)) - 7, 0) AS b FROM s),
+m AS (SELECT b AS v, {cell("b")} AS c FROM (SELECT b, count(*) AS n FROM e GROUP BY b)),
+z AS (SELECT rid, o.c AS x0, l.c AS x1, m.c AS x2 FROM e JOIN m ON m.v = b JOIN l ON l.v IS NOT DISTINCT FROM lang JOIN o ON o.v IS NOT DISTINCT FROM source)"""
     last, k = "z", 0
     for b in range(bits - 1, 0, -1):
         for i in range(3):

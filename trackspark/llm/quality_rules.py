@@ -5,8 +5,9 @@
    leading bits (relative error below 1/64).  Sketches merge by adding counts, so partial sketches
    combine before the shuffle, and the sketch of a language or of everything is the sum of finer
    ones.  Integer counts make the result the same in every run.
-3. Quartiles from the sketches give Tukey fences, which replace fixed cutoffs.  A group with fewer
-   than ``min_rows`` rows takes the fences of its language, or else of all rows.
+3. Quartiles from the sketches give Tukey fences, which replace fixed cutoffs.  A group's fences are
+   drawn to those of its language, and these to those of all rows, as if ``prior_rows`` rows of that
+   stood in each: the fewer rows a group has, the more.
 4. Rows are joined with the fences of their group and filtered.
 """
 
@@ -21,13 +22,15 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 COMPUTED = [*COUNTS, "base_failed", "kept"]
 
 #: Signal: (integer expression, lower fence too?, least spread in the expression's unit).
-#: The least spread keeps a group whose values are all alike from rejecting ordinary variation.
+#: The least spread keeps a group whose values are all alike from rejecting ordinary variation: with a
+#: fence of 3 it lets 75 symbols or capitals a thousand pass where quartiles coincide at zero, and 360
+#: repeated words or duplicate lines a thousand.
 SIGNALS: dict[str, tuple[str, bool, int]] = {
     "word_length": ("100 * word_chars div n_words", True, 60),
-    "symbols": ("1000 * n_symbols div n_words", False, 30),
+    "symbols": ("1000 * n_symbols div n_words", False, 25),
     "capitals": ("1000 * __upper div greatest(word_chars, 1L)", False, 25),
-    "dup_lines": ("1000 * n_dup_lines div greatest(__lines, 1L)", False, 150),
-    "repeats": ("1000 * n_repeat_words div n_words", False, 150),
+    "dup_lines": ("1000 * n_dup_lines div greatest(__lines, 1L)", False, 120),
+    "repeats": ("1000 * n_repeat_words div n_words", False, 120),
 }
 
 
@@ -78,7 +81,7 @@ def sketches(rows: DataFrame) -> DataFrame:
     )
 
 
-def fences(sketch: DataFrame, fence: float, min_rows: int) -> DataFrame:
+def fences(sketch: DataFrame, fence: float, prior_rows: int) -> DataFrame:
     """One row per language and source: lo_<signal>, hi_<signal>."""
     level = lambda k, lang, source: F.struct(F.lit(k).alias("level"), lang.alias("lang"), source.alias("source"))
     no = F.lit(None).cast("string")
@@ -101,24 +104,24 @@ def fences(sketch: DataFrame, fence: float, min_rows: int) -> DataFrame:
         "level", "lang", "source", "signal", "total",
         F.when(low, F.col("q1") - spread).alias("lo"), (F.col("q3") + spread).alias("hi"),
     )
+    ends = [f"{k}_{s}" for s in SIGNALS for k in ("lo", "hi")]
     wide = limits.groupBy("level", "lang", "source").agg(
         F.max("total").alias("total"),
         F.struct(*[F.max(F.when(F.col("signal") == s, F.col(k))).alias(f"{k}_{s}") for s in SIGNALS for k in ("lo", "hi")]).alias("f"),
     )
-    enough = F.col("total") >= min_rows
+    drawn = lambda own, n, to: F.struct(*[((own[e] * n + to[e] * F.lit(prior_rows)) / (n + F.lit(prior_rows))).alias(e) for e in ends])
     own = wide.where("level = 2")
-    by_lang = wide.where((F.col("level") == 1) & enough).select(F.col("lang").alias("l1"), F.col("f").alias("f1"))
     of_all = wide.where("level = 0").select(F.lit(0).alias("__all"), F.col("f").alias("f0"))  # one row
+    by_lang = wide.where("level = 1").withColumn("__all", F.lit(0)).join(F.broadcast(of_all), "__all")
+    by_lang = by_lang.select(F.col("lang").alias("l1"), drawn(F.col("f"), F.col("total"), F.col("f0")).alias("f1"))
     return (
-        own.join(by_lang, F.col("lang").eqNullSafe(F.col("l1")), "left")
-        .withColumn("__all", F.lit(0))
-        .join(F.broadcast(of_all), "__all", "left")
-        .select(F.col("lang").alias("__l"), F.col("source").alias("__s"), F.when(enough, F.col("f")).otherwise(F.coalesce("f1", "f0")).alias("f"))
+        own.join(by_lang, F.col("lang").eqNullSafe(F.col("l1")))
+        .select(F.col("lang").alias("__l"), F.col("source").alias("__s"), drawn(F.col("f"), F.col("total"), F.col("f1")).alias("f"))
         .select("__l", "__s", "f.*")
     )
 
 
-def _judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, fence: float, min_rows: int, carry: bool, scratch: Scratch | None = None) -> DataFrame:
+def _judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, fence: float, prior_rows: int, carry: bool, scratch: Scratch | None = None) -> DataFrame:
     """The packed rows with the counts, base_failed and kept."""
     scratch = scratch or Scratch(df.sparkSession)
     rows = _counts(
@@ -134,7 +137,7 @@ def _judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col
         *[F.when(~F.col("base_failed"), F.expr(f"CASE WHEN n_words > 0 THEN {e} END")).alias(f"__s_{s}") for s, (e, _, _) in SIGNALS.items()],
     )
     rows = scratch.write(rows, "signals")
-    limits = scratch.write(fences(sketches(rows), fence, min_rows), "fences")
+    limits = scratch.write(fences(sketches(rows), fence, prior_rows), "fences")
     inside = F.lit(True)
     for s, (_, two, _) in SIGNALS.items():
         inside = inside & (F.col(f"__s_{s}") <= F.col(f"hi_{s}"))
@@ -153,19 +156,20 @@ def quality_rules(
     source_col: str = "source",
     *,
     fence: float = 3.0,
-    min_rows: int = 100,
+    prior_rows: int = 100,
     carry: bool = True,
 ) -> DataFrame:
     """One output row per input row: the input columns (only ``id_col`` if not ``carry``), then
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     A row is kept if it passes the base rules and each of its signals lies inside its group's
-    fences, ``fence`` times the quartile range beyond the quartiles.
+    fences, ``fence`` times the quartile range beyond the quartiles, drawn to those of the language and of
+    all rows by ``prior_rows``.
     Null text: no words, fails the base rules. Null language or source: a group of its own. Equal
     rows get equal verdicts. Empty table: no rows. Groups without a row that passes the base rules
     need no fences. A computed column replaces an input column of its name.
     """
-    return unpack(_judged(df, id_col, text_col, lang_col, source_col, fence, min_rows, carry), COMPUTED)
+    return unpack(_judged(df, id_col, text_col, lang_col, source_col, fence, prior_rows, carry), COMPUTED)
 
 
 def drop_low_quality(
@@ -175,9 +179,9 @@ def drop_low_quality(
     source_col: str = "source",
     *,
     fence: float = 3.0,
-    min_rows: int = 100,
+    prior_rows: int = 100,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """The rows that ``quality_rules`` keeps, with the input's own columns. Cases as there.
     scratch: where to write; the caller may drop it once the result is written."""
-    return _judged(df, text_col, text_col, lang_col, source_col, fence, min_rows, True, scratch).where("kept").select(f"{ROW}.*")
+    return _judged(df, text_col, text_col, lang_col, source_col, fence, prior_rows, True, scratch).where("kept").select(f"{ROW}.*")
