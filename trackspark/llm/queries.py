@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import format_chats, messages, read_back, read_loss
+from .common import Scratch
 from .exact_dedup import exact_dedup
 from .html_extract import extract_text
 from .mixing import mix_sources
@@ -17,7 +18,7 @@ from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
 from .sharding import hilbert_shards
 from .simhash import simhash_components
-from .token_output import token_sequences
+from .token_output import read_shards, token_sequences, write_shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +29,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=False)
 
 
+#: A rank file of a public tokenizer (byte-level BPE, 50,256 tokens and the end token).
+RANK_FILE = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_sequences(table(spark, sf_dir, "documents").select("text"))
+    work, out = Scratch(spark), Scratch(spark)
+    write_shards(token_sequences(table(spark, sf_dir, "documents").select("doc_id", "text"), RANK_FILE, scratch=work), out.path("shards"))
+    work.drop()
+    return read_shards(spark, out.path("shards"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

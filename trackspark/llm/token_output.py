@@ -1,36 +1,33 @@
 """Token-ID output in training order.
 
 1. Texts become token ids (two bytes each) with an end token, read once.
-2. The token streams of all documents are joined in input order: places inside a partition are counted
-   while it is read, sums of whole partitions shift them, so no token moves for it. The stream is cut
-   into sequences of ``seq_len`` tokens.
+2. A hash of id and text gives every document its place, whatever files it came from: key ranges hold
+   equal shares of all documents, sums of tokens per range (one row each) give every range its place in
+   the joined stream, and a task reads its range in order and cuts it into sequences of ``seq_len`` tokens.
 3. A keyed Feistel permutation with cycle-walking gives every sequence a global slot: a bijection on
    0 .. n-1 that needs no shuffle, no state and no table, and can be inverted.
-4. Pieces are range-partitioned by slot and assembled into records of a fixed stride. Slot s stands in
-   shard s div shard_slots at record s mod shard_slots, so training reads shards one after the other
-   and resumes at any step by arithmetic.
+4. Sequences are range-partitioned by slot, whole shards to a task, and written as records of a fixed
+   stride. Slot s stands in shard s div shard_slots at record s mod shard_slots, so training reads shards
+   one after the other and resumes at any step by arithmetic.
 """
 
 from __future__ import annotations
 
 import base64
-import os
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, name, text_of
 
 # Fixed value: the public pattern that splits text before the merges of byte-level BPE rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ROUNDS = 6
 _PIECE = 1 << 16  # characters of a text tokenised at once
-PARTITION_BYTES = 1 << 27  # of tokens in a range of slots, at most
+PARTITION_BYTES = 1 << 27  # of tokens in a range of keys or slots, about
 
 
 # -- permutation ----------------------------------------------------------------------------------
@@ -90,147 +87,169 @@ def _pieces(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+def _ids(encoder, text: str) -> np.ndarray:
+    parts = [encoder.encode_to_numpy(p, disallowed_special=()) for p in _pieces(text)]
+    return (parts[0] if len(parts) == 1 else np.concatenate(parts)).astype("<u2")
+
+
 def tokenize(df: DataFrame, rank_file: bytes, end_token: int) -> DataFrame:
-    """df: __text. (__p, __start, __n, __tokens): partition, place of the first token in its partition's
-    stream, tokens with the end token, and these (two bytes each, little-endian)."""
+    """df: __key, __text. (__key, __n, __tokens): number of tokens with the end token, and these (two bytes
+    each, little-endian)."""
     shared = df.sparkSession.sparkContext.broadcast(rank_file)  # a vocabulary, of fixed size
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, partition, at = _encoder(shared.value), TaskContext.get().partitionId(), 0
+        encoder, end = _encoder(shared.value), np.array([end_token], "<u2").tobytes()
         for batch in batches:
-            ids = [np.array([t for p in _pieces(x.as_py() or "") for t in encoder.encode_ordinary(p)] + [end_token], "<u2") for x in batch.column(0)]
-            n = np.array([len(x) for x in ids], np.int64)
-            start = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), partition, np.int32)), pa.array(start), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())],
-                ["__p", "__start", "__n", "__tokens"],
-            )
+            tokens = [_ids(encoder, x.as_py() or "").tobytes() + end for x in batch.column(1)]
+            n = np.array([len(x) // 2 for x in tokens], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(tokens, pa.binary())], ["__key", "__n", "__tokens"])
 
-    return df.select("__text").mapInArrow(make, "__p int, __start long, __n long, __tokens binary")
+    return df.select("__key", "__text").mapInArrow(make, "__key long, __n long, __tokens binary")
 
 
 # -- sequences ------------------------------------------------------------------------------------
 
 
+def _cut(batches: Iterator[pa.RecordBatch], seq_len: int) -> Iterator[tuple[np.ndarray, list[int], list[bytes]]]:
+    """batches of one range in order: __at (place of the range in the stream), __tokens. Sequences, the place
+    in each where its tokens begin, and the tokens; only the first and the last may be in part."""
+    stride, at, held = 2 * seq_len, 0, b""
+    for k, batch in enumerate(batches):
+        if not k:
+            at = batch.column(0)[0].as_py()
+        held += b"".join(batch.column(1).to_pylist())
+        first = 2 * (-at % seq_len)  # bytes up to the next sequence
+        ends = list(range(first or stride, len(held) + 1, stride))
+        if ends:
+            starts = [0, *ends[:-1]]
+            yield np.array([(at + x // 2) // seq_len for x in starts], np.int64), [(at + x // 2) % seq_len for x in starts], [held[x:y] for x, y in zip(starts, ends)]
+            at, held = at + ends[-1] // 2, held[ends[-1] :]
+    if held:
+        yield np.array([at // seq_len], np.int64), [at % seq_len], [held]
+
+
 def token_sequences(
     df: DataFrame,
+    rank_file: str,
+    id_col: str = "doc_id",
     text_col: str = "text",
     *,
-    rank_file: str = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken",
     end_token: int = 50256,
     seq_len: int = 2048,
     shard_slots: int = 4096,
     key: int = 20240229,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per sequence: slot, shard, record, seq_id, n_tokens, tokens (``2 * seq_len`` bytes).
 
-    Partitions hold ranges of slots, sorted. Only the last sequence of the stream may be short; it is
-    filled with ``end_token``. rank_file: a byte-level BPE rank file (ids below 65536), read on the
-    driver and broadcast. The stream follows the order of the input's rows: sort the input for an order
-    that does not depend on the layout of its files. Null text, or an empty one: just the end token.
-    Equal rows: each has its own tokens. Empty table: no rows. Other columns are left out, so their
-    names cannot clash.
+    Partitions hold whole shards, their rows in no stated order. Only the last sequence of the stream may
+    be short; it is filled with ``end_token``. rank_file: a byte-level BPE rank file (ids below 65536), read
+    on the driver and broadcast. The stream's order follows a hash of id and text and then the tokens, so it
+    depends neither on files nor on the cluster. Null text, or an empty one: just the end token. Null ids:
+    allowed. Equal rows: each has its own tokens; they stand together, in one range. Empty table: no rows.
+    Other columns are left out, so their names cannot clash. scratch: where to write; the caller may drop it
+    once the result is written.
     """
     with open(rank_file, "rb") as f:
         ranks = f.read()
-    scratch = Scratch(df.sparkSession)
-    rows = scratch.write(tokenize(df.select(text_of(text_col).alias("__text")), ranks, end_token), "tokens")
-    sums = scratch.write(rows.groupBy("__p").agg(F.sum("__n").alias("__sum")), "sums")  # one row per partition
-    total = sums.agg(F.coalesce(F.sum("__sum"), F.lit(0))).first()[0]
+    spark = df.sparkSession
+    scratch = scratch or Scratch(spark)
+    place = F.xxhash64(F.col(name(id_col)), text_of(text_col))
+    rows = scratch.write(tokenize(df.select(place.alias("__key"), text_of(text_col).alias("__text")), ranks, end_token), "tokens")
+    total = rows.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     n_seq = -(-total // seq_len)
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("__p", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
-    placed = rows.join(F.broadcast(offsets), "__p").withColumn("__start", F.col("__start") + F.col("__offset"))
-
-    def slot_of(seq: pd.Series) -> pd.Series:
-        return pd.Series(permute(seq.to_numpy(), n_seq, key))
-
-    to_slot = F.pandas_udf(slot_of, "long")
-    pieces = placed.select(
-        "__start", "__n", "__tokens", F.explode(F.expr(f"sequence(__start div {seq_len}, (__start + __n - 1) div {seq_len})")).alias("seq_id")
-    )
-    first = f"greatest(__start, seq_id * {seq_len})"
-    last = f"least(__start + __n, (seq_id + 1) * {seq_len})"
-    pieces = pieces.select(
-        "seq_id",
-        F.expr(f"{first} - seq_id * {seq_len}").alias("__at"),
-        F.expr(f"substring(__tokens, CAST(2 * ({first} - __start) + 1 AS INT), CAST(2 * ({last} - {first}) AS INT))").alias("__part"),
-    ).withColumn("slot", to_slot("seq_id"))
-    # slots are spread evenly by construction, so ranges of slots need no sample of the data
-    by_size = -(-n_seq * 2 * seq_len // PARTITION_BYTES)
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by_size)
-    width = max(1, -(-n_seq // parts))
-    pieces = pieces.repartitionById(parts, F.expr(f"CAST(slot div {width} AS INT)")).sortWithinPartitions("slot", "__at")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 2 // PARTITION_BYTES))
+    # keys are uniform, so equal ranges of them hold equal shares of the documents
+    rows = rows.withColumn("__range", F.expr(f"CAST((shiftrightunsigned(__key, 32) * {parts}L) >> 32 AS INT)"))
+    sums = scratch.write(rows.groupBy("__range").agg(F.sum("__n").alias("__sum")), "sums")  # one row per range
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__at"))
+    placed = rows.join(F.broadcast(starts), "__range").repartitionById(parts, F.col("__range"))
+    in_order = placed.sortWithinPartitions(F.expr("shiftrightunsigned(__key, 1)"), "__key", "__tokens").select("__at", "__tokens")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seqs, ats, tokens in _cut(batches, seq_len):
+            slots = permute(seqs, n_seq, key)
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(seqs), pa.array(ats, pa.int32()), pa.array(tokens, pa.binary())], ["slot", "seq_id", "__at", "__part"])
+
+    pieces = in_order.mapInArrow(cut, "slot long, seq_id long, __at int, __part binary")
+    # slots are spread evenly by construction, so ranges of whole shards need no sample of the data
+    width = max(1, -(-n_seq // (parts * shard_slots))) * shard_slots
+    shards = max(1, -(-n_seq // width))
+    pieces = pieces.repartitionById(shards, F.expr(f"CAST(slot div {width} AS INT)")).sortWithinPartitions("slot", "__at")
     filler = np.array([end_token], "<u2").tobytes()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple] = []
-        slot, seq, parts = None, None, []
-
-        def close() -> None:
-            tokens = b"".join(parts)
-            n = len(tokens) // 2
-            done.append((slot, seq, n, tokens + filler * (seq_len - n)))
+        held: tuple[int, int, bytes] | None = None  # the last sequence may go on in the next batch
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            slots, seqs, ns, tokens = zip(*rows)
+        def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+            slots, seqs, tokens = zip(*rows)
             s = np.array(slots, np.int64)
+            n = np.array([len(t) // 2 for t in tokens], np.int32)
+            tokens = [t + filler * (seq_len - len(t) // 2) for t in tokens]
             return pa.RecordBatch.from_arrays(
-                [pa.array(s), pa.array((s // shard_slots).astype(np.int32)), pa.array((s % shard_slots).astype(np.int32)), pa.array(seqs, pa.int64()), pa.array(ns, pa.int32()), pa.array(tokens, pa.binary())],
+                [pa.array(s), pa.array((s // shard_slots).astype(np.int32)), pa.array((s % shard_slots).astype(np.int32)), pa.array(seqs, pa.int64()), pa.array(n), pa.array(tokens, pa.binary())],
                 ["slot", "shard", "record", "seq_id", "n_tokens", "tokens"],
             )
 
         for batch in batches:
+            done = []
             for s, q, part in zip(batch.column("slot").to_pylist(), batch.column("seq_id").to_pylist(), batch.column("__part").to_pylist()):
-                if s != slot:
-                    if slot is not None:
-                        close()
-                    slot, seq, parts = s, q, []
-                parts.append(part)
+                if held is not None and s == held[0]:
+                    held = (s, q, held[2] + part)
+                else:
+                    if held is not None:
+                        done.append(held)
+                    held = (s, q, part)
             if done:
                 yield batch_of(done)
-                done = []
-        if slot is not None:
-            close()
-            yield batch_of(done)
+        if held is not None:
+            yield batch_of([held])
 
     return pieces.select("slot", "seq_id", "__part").mapInArrow(assemble, "slot long, shard int, record int, seq_id long, n_tokens int, tokens binary")
 
 
-def write_shards(sequences: DataFrame, path: str) -> None:
-    """Writes sequences as Parquet, one folder a shard, records in order. A reader that resumes at slot s
-    opens shard s div shard_slots and filters record >= s mod shard_slots."""
-    sequences.repartition("shard").sortWithinPartitions("shard", "record").write.partitionBy("shard").parquet(path)
-
-
-def write_binary_shards(sequences: DataFrame, folder: str) -> DataFrame:
-    """Writes ``folder/shard-00000.bin``, ...: records of a fixed stride, nothing between them, so that
-    record r starts at byte r * stride. The folder must be mounted on all executors. A shard is written
-    under a temporary name and renamed when whole, so a task may run again. Returns (shard, records, bytes)."""
+# -- shards ---------------------------------------------------------------------------------------
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, shard, counts = None, None, {}
 
-        def close() -> None:
-            out.close()
-            os.replace(out.name, f"{folder}/shard-{shard:05d}.bin")
-
-        for batch in batches:
-            for s, t in zip(batch.column("shard").to_pylist(), batch.column("tokens").to_pylist()):
-                if s != shard:
-                    if out:
-                        close()
-                    shard, out = s, open(f"{folder}/.shard-{s:05d}-{os.getpid()}-{os.urandom(4).hex()}", "wb")
-                out.write(t)
-                n, size = counts.get(s, (0, 0))
-                counts[s] = (n + 1, size + len(t))
-        if out:
-            close()
-        if counts:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.int32()), pa.array([n for n, _ in counts.values()]), pa.array([b for _, b in counts.values()])], ["shard", "records", "bytes"]
-            )
-
-    in_order = sequences.repartition("shard").sortWithinPartitions("shard", "record")
-    return in_order.select("shard", "tokens").mapInArrow(write, "shard int, records long, bytes long")
+def write_shards(sequences: DataFrame, path: str) -> None:
+    """Writes ``path/shard=k/``, one file a shard: its records in order, each followed by one byte, so that
+    record r starts at byte ``r * (2 * seq_len + 1)``. Through Spark's text writer, which writes bytes as
+    they are and commits whole tasks only, to any store that Spark writes. No shuffle: partitions hold
+    whole shards."""
+    in_order = sequences.select("shard", "record", F.col("tokens").cast("string").alias("value")).sortWithinPartitions("shard", "record")
+    in_order.select("shard", "value").write.partitionBy("shard").option("compression", "none").text(path)
+
+
+def read_records(spark: SparkSession, path: str, slot: int, n: int, *, seq_len: int = 2048, shard_slots: int = 4096) -> Iterator[np.ndarray]:
+    """The token ids of up to n slots from ``slot`` on, for a trainer that resumes there: opens its shard, seeks
+    to its record, reads on and goes to the next shard."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    stride = 2 * seq_len + 1
+    while n > 0:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/shard={slot // shard_slots}")
+        fs = folder.getFileSystem(conf)
+        if not fs.exists(folder):
+            return
+        file = next(f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+        records = min(n, file.getLen() // stride - slot % shard_slots)
+        if records <= 0:
+            return
+        stream = fs.open(file.getPath())
+        try:
+            stream.seek(slot % shard_slots * stride)
+            for _ in range(records):
+                yield np.frombuffer(bytes(stream.readNBytes(stride))[: 2 * seq_len], "<u2")
+        finally:
+            stream.close()
+        slot, n = slot + records, n - records
+
+
+def read_shards(spark: SparkSession, path: str, *, seq_len: int = 2048, shard_slots: int = 4096) -> DataFrame:
+    """All records of written shards as rows: slot, shard, record, tokens."""
+    stride = 2 * seq_len + 1
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = files.select(F.regexp_extract("path", r"shard=(\d+)/[^/]*$", 1).cast("int").alias("shard"), "content")
+    records = F.expr(f"transform(sequence(0, CAST(octet_length(content) div {stride} AS INT) - 1), r -> substring(content, r * {stride} + 1, {2 * seq_len}))")
+    rows = files.select("shard", F.posexplode(records).alias("record", "tokens"))
+    return rows.select((F.col("shard").cast("long") * shard_slots + F.col("record")).alias("slot"), "shard", "record", "tokens")
