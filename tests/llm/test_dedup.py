@@ -202,7 +202,7 @@ def test_links_hidden_by_a_closer_row_are_checked(spark, monkeypatch):
         rng = random.Random(seed)
         base = [f"w{rng.randrange(10**8)}" for _ in range(400)]
         xyz = [" ".join([*base[:at], *(f"v{rng.randrange(10**8)}" for _ in range(n)), *base[at + n :]]) for at, n in ((50, 15), (150, 16), (250, 24))]
-        x, y, z = (simhash.fingerprint(t.encode(), 5, 4) for t in xyz)
+        x, y, z = (simhash.set_codes(simhash.shingle_set(t.encode(), 5), 4) for t in xyz)
         xy, xz, zy = (sum(((i ^ j) & 2**64 - 1).bit_count() for i, j in zip(a, b)) for a, b in ((x, y), (x, z), (z, y)))
         if max(xz, zy) < xy <= 55:
             rows += [(10 * seed + k, t) for k, t in enumerate(xyz)]
@@ -221,8 +221,31 @@ def test_repeats_do_not_hide_equal_sets(spark):
     assert {r.doc_id for r in simhash.drop_near_duplicates(docs(spark, rows)).collect()} == {10 * k for k in range(20)}
 
 
-def test_distinct_codes_across_chunks(monkeypatch):
+def test_shingles_across_chunks(monkeypatch):
     text = b" ".join(b"w%d" % (k % 50) for k in range(400))
-    want = simhash.fingerprint(text, 3, 2, distinct=True)
+    want, code = simhash.shingle_set(text, 3), simhash.fingerprint(text, 3)
     monkeypatch.setattr(simhash, "_CHUNK", 40)
-    assert simhash.fingerprint(text, 3, 2, distinct=True) == want != simhash.fingerprint(text, 3, 2)
+    assert simhash.shingle_set(text, 3).tolist() == want.tolist() and len(want) == 50
+    assert simhash.fingerprint(text, 3) == code
+
+
+@pytest.mark.parametrize("columns", [7, 8192])
+def test_alike_against_brute_force(monkeypatch, columns):
+    monkeypatch.setattr(simhash, "_COLUMNS", columns)
+    rng = np.random.default_rng(9)
+    for n in (2, 3, 40):
+        base = [rng.integers(0, 2**31, 60) for _ in range(3)]
+        sets = [np.unique(np.concatenate([b[rng.random(60) < 0.93], rng.integers(0, 2**31, 2)])).astype(np.int32) for b in (base[rng.integers(3)] for _ in range(n))]
+        links = [(j, i) for i in range(n) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+        assert union(n, list(simhash.alike(sets, 0.8))) == union(n, links)
+    same = [np.arange(5, dtype=np.int32)] * 3
+    assert len(list(simhash.alike(same, 0.8))) == 2
+
+
+def test_equal_sets_and_stars(spark):
+    """Many rows with one set of shingles, and a family around them: the first row stays."""
+    rng = random.Random(6)
+    base = words(rng, 120)
+    rows = [(k, base.replace(" ", "  " if k % 2 else "\t")) for k in range(50, 150)] + [(7, base + " end"), (None, base + "  end"), (9, words(rng, 120))]
+    got = simhash.drop_near_duplicates(docs(spark, rows), leaf_size=4).collect()
+    assert sorted(r.doc_id for r in got) == [7, 9]

@@ -212,3 +212,20 @@ def spanning_forest(codes: np.ndarray, sizes: np.ndarray, radius: int) -> list[t
         s, n = int(starts[k]), int(sizes[k])
         forest += [(s + x, s + y, z) for x, y, z in _forest(n, *_links(codes[s : s + n], radius))]
     return forest
+
+
+def between(codes: np.ndarray, roots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): links at ``radius`` or less that join the codes of different roots, as a forest. Each such link
+    has an end outside the most common root, so only those codes are looked up."""
+    values, tree, count = np.unique(roots, return_inverse=True, return_counts=True)
+    if len(values) < 2:
+        return (np.zeros(0, np.int64),) * 2
+    order = gray_order(codes)
+    index, forest, found = GrayIndex(codes[order]), Forest(len(values)), []
+    others = np.flatnonzero(tree != count.argmax())
+    for at in range(0, len(others), 64):
+        q, c, _ = index.within(codes[others[at : at + 64]], radius)
+        i, j = others[at + q], order[c]
+        taken = forest.add(tree[i], tree[j])
+        found.append((i[taken], j[taken]))
+    return tuple(np.concatenate(x) for x in zip(*found))

@@ -6,11 +6,12 @@ Fingerprints are made in one pass over whole texts. Two ways to the links betwee
   bits that neighbours share are factored into upper nodes, of ranges too, and a search from the top adds
   up differences and prunes whole groups (``gray_index``). Only a spanning forest of the links leaves a
   range.
-* ``sampled`` for large radii: upper nodes are masks of random bits, enough of them that a pair at the
-  radius of the wanted similarity shares one with the wanted probability. Inside a node, codes stand in
-  Gray order and are searched in the same way. A node that is too large is first dealt at random into
-  parts, each with the node's first row, which joins what is alike throughout; then its blocks are
-  compared each with each, as far as rows are not joined yet.
+* ``sampled`` for large radii, codes of several words: upper nodes are masks of random bits, enough of them
+  that a pair at the radius of the wanted similarity shares one with the wanted probability. Inside a node
+  codes stand in Gray order and are searched in the same way; a node that is too large is searched in
+  parts first and then, as far as its rows are not joined by that, block by block. What is linked so makes
+  a family, and inside families, again by blocks, whole shingle sets are compared: only links that hold
+  leave a task.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import ROW, Scratch, name, pack, text_of, unpack
 from .components import star_components
-from .gray_index import BLOCK, SMALL, GrayIndex, RangeIndex, small_links, spanning_forest
+from .gray_index import BLOCK, Forest, GrayIndex, RangeIndex, between, spanning_forest
 
 COMPUTED = ["fingerprint", "component_id", "kept"]
 _CHUNK = 1 << 20  # bytes of a text handled at once
+_COLUMNS = 8192  # shingles compared at once
 TEXTS, GROUPS, CODES = 500, 1000, 16384  # texts, groups of codes, and codes, handed to Python at once
 
 
@@ -59,36 +61,74 @@ def _shingles(text: bytes, k: int) -> Iterator[list[bytes]]:
         yield [b" ".join(carry)]
 
 
-def fingerprint(text: bytes, k: int, n_codes: int, distinct: bool = False) -> list[int]:
-    """n_codes 64-bit codes; code c uses XXH64 with seed 42 + c. A bit is 1 if set in over half the
-    hashes of all shingles, repeats included (``distinct``: each shingle once); no word: zero."""
-    total, ones = 0, np.zeros((n_codes, 64), np.int64)
-    seen = np.zeros(0, np.uint64)
+def fingerprint(text: bytes, k: int) -> int:
+    """A 64-bit code of XXH64 hashes, seed 42: a bit is 1 if set in over half the hashes of all shingles,
+    repeats included; no word: zero."""
+    total, ones = 0, np.zeros(64, np.int64)
     for shingles in _shingles(text, k):
-        if distinct:
-            shingles = list(dict.fromkeys(shingles))
-            if len(text) > _CHUNK:
-                h = np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles))
-                shingles = [s for s, old in zip(shingles, np.isin(h, seen).tolist()) if not old]
-                seen = np.union1d(seen, h)
         total += len(shingles)
-        for c in range(n_codes):
-            h = np.fromiter((xxhash.xxh64_intdigest(s, 42 + c) for s in shingles), np.dtype("<u8"), len(shingles))
-            for at in range(0, len(h), 1 << 16):
-                bits = np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                ones[c] += bits.sum(0, dtype=np.uint32)
-    return np.packbits(ones * 2 > total, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+        ones += _ones(_hashes(shingles))
+    return int(_majority(ones, total))
 
 
-def codes_of(texts: DataFrame, k: int, n_codes: int, distinct: bool = False) -> DataFrame:
-    """texts: __id, __order, __text. (__id, __order, __f0, __f1, ...)."""
-    names = ["__id", "__order"] + [f"__f{c}" for c in range(n_codes)]
+def _hashes(shingles: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.dtype("<u8"), len(shingles))
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        bits = np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(0, dtype=np.uint32)
+    return ones
+
+
+def _majority(ones: np.ndarray, total: int) -> np.int64:
+    return np.packbits(ones * 2 > total, bitorder="little").view("<i8")[0]
+
+
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    parts = [np.unique(_hashes(s)) for s in _shingles(text, k)]
+    return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint64)
+
+
+def set_codes(hashes: np.ndarray, n_codes: int) -> list[int]:
+    """n_codes 64-bit codes of a set: code c is the majority of the hashes mixed with c (SplitMix64)."""
+    out = []
+    for c in range(n_codes):
+        x = hashes + np.uint64((c + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(int(_majority(_ones((x ^ (x >> np.uint64(31))).astype("<u8")), len(hashes))))
+    return out
+
+
+def codes_of(texts: DataFrame, k: int) -> DataFrame:
+    """texts: __id, __order, __text. (__id, __order, __f0): fingerprints."""
+    names = ["__id", "__order", "__f0"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).cast(pa.large_binary())
-            codes = np.array([fingerprint(t.as_py() or b"", k, n_codes, distinct) for t in texts], np.int64).reshape(-1, n_codes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)] + [pa.array(codes[:, c]) for c in range(n_codes)], names)
+            codes = [fingerprint(t.as_py() or b"", k) for t in batch.column(2).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.int64())], names)
+
+    return texts.select("__id", "__order", "__text").mapInArrow(make, ", ".join(f"{n} long" for n in names))
+
+
+def set_codes_of(texts: DataFrame, k: int, n_codes: int) -> DataFrame:
+    """The same with codes of distinct shingles, __f0 .. , and before them __set, a digest of those."""
+    names = ["__id", "__order", "__set"] + [f"__f{c}" for c in range(n_codes)]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for t in batch.column(2).cast(pa.large_binary()):
+                h = shingle_set(t.as_py() or b"", k)
+                rows.append([np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 7)).view(np.int64), *set_codes(h, n_codes)])
+            codes = np.array(rows, np.int64).reshape(-1, n_codes + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)] + [pa.array(codes[:, c]) for c in range(n_codes + 1)], names)
 
     return texts.select("__id", "__order", "__text").mapInArrow(make, ", ".join(f"{n} long" for n in names))
 
@@ -110,35 +150,6 @@ def sampled_masks(words: int, bits: int, count: int, seed: int) -> list[tuple[in
     return out
 
 
-def _grouped_links(nodes: DataFrame, words: int, radius: int) -> DataFrame:
-    """nodes: __path, __key, __id, __f*; links (a, b, d) of __id inside each (__path, __key)."""
-    member = F.struct("__id", *[f"__f{c}" for c in range(words)])
-    groups = nodes.groupBy("__path", "__key").agg(F.collect_list(member).alias("m")).where("size(m) > 1").select("m")
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(0)
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten()
-            ids = flat.field(0).to_numpy()
-            codes = np.stack([flat.field(1 + c).to_numpy().view(np.uint64) for c in range(words)], 1)
-            forest = spanning_forest(codes, sizes, radius)
-            a, b, d = np.array(forest, np.int64).reshape(-1, 3).T
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(d)], ["a", "b", "d"])
-
-    return groups.mapInArrow(links, "a long, b long, d long")
-
-
-def _split_hot(nodes: DataFrame, scratch: Scratch, label: str, leaf_size: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Nodes small enough, the other ones, and those others' counts (None: there are none)."""
-    counts = nodes.groupBy("__path", "__key").agg(F.count("*").alias("__n"), F.min("__id").alias("__lead")).where(F.col("__n") > leaf_size)
-    counts = scratch.write(counts, f"hot_{label}")
-    if counts.isEmpty():
-        return nodes, nodes, None
-    keys = counts.select("__path", "__key")
-    return nodes.join(keys, ["__path", "__key"], "left_anti"), nodes, counts
-
-
 def _gray_rank(code: str) -> Column:
     """Gray rank of a 64-bit code, as a long in the same order."""
     rank = F.col(code)
@@ -203,105 +214,132 @@ def _link_batch(links: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(a[:, 0].view(np.int64)), pa.array(b[:, 0].view(np.int64)), pa.array(d.astype(np.int64))], ["a", "b", "d"])
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.union(t)
-    return out
-
-
-def links_sampled(
-    codes: DataFrame, scratch: Scratch, words: int, radius: int, p_bit: float, recall: float, leaf_size: int, seed: int
-) -> tuple[DataFrame, DataFrame | None]:
-    """codes: __id, __f0.. . Links (a, b, d): for a pair whose bits differ with probability ``p_bit``,
-    some mask holds both with probability ``recall``. A node's links are a spanning forest, those of a node
-    beyond ``leaf_size`` rows only inside its parts; the rows of such nodes (None: there are none) come
-    second, for ``links_between``.
+def families(codes: DataFrame, scratch: Scratch, words: int, radius: int, p_bit: float, recall: float, leaf_size: int, seed: int) -> DataFrame:
+    """codes: __id, __f0.. . Links (a, b) that join what all links at ``radius`` or less join: for a pair
+    whose bits differ with probability ``p_bit``, some mask holds both with probability ``recall``.
 
-    Patterns grow with the table, so that a node holds about 16 unlike rows; the number of masks follows.
+    Patterns grow with the table, so that a node holds about 16 unlike rows, up to 20 bits (136 masks at a
+    recall of 0.95 and a similarity of 0.8); beyond that nodes grow.
     """
-    light, every, hot = _split_hot(_sampled_nodes(codes, codes.count(), words, p_bit, recall, seed), scratch, "0", leaf_size)
-    fs = [f"__f{c}" for c in range(words)]
-    found = [scratch.write_arrow(_grouped_links(light, words, radius), "links_0", GROUPS)]
-    hot_rows = None
-    if hot is not None:
-        dealt = every.join(hot, ["__path", "__key"]).withColumn("__parts", F.ceil(F.col("__n") / leaf_size).cast("int"))
-        own = F.pmod(F.xxhash64("__id", "__path"), F.col("__parts")).cast("int")
-        where = F.when(F.col("__id") == F.col("__lead"), F.sequence(F.lit(0), F.col("__parts") - 1)).otherwise(F.array(own))
-        dealt = dealt.withColumn("__part", F.explode(where))
-        dealt = dealt.select("__path", F.xxhash64("__key", "__part").alias("__key"), "__id", *fs)
-        found.append(scratch.write_arrow(_grouped_links(dealt, words, radius), "links_1", GROUPS))
-        hot_rows = scratch.write(every.join(hot.select("__path", "__key"), ["__path", "__key"], "left_semi").select("__id").distinct(), "hot_rows")
-    return _union(found), hot_rows
-
-
-def _sampled_nodes(codes: DataFrame, n: int, words: int, p_bit: float, recall: float, seed: int) -> DataFrame:
-    """(__path, __key, the columns of codes): each row under each mask of a table of n rows."""
-    bits = min(40, max(12, math.ceil(math.log2(max(n, 1))) - 4))
+    bits = min(20, max(12, math.ceil(math.log2(max(codes.count(), 1))) - 4))
     count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p_bit) ** bits))
     fs = [f"__f{c}" for c in range(words)]
-    parts = []
-    for i, mask in enumerate(sampled_masks(words, bits, count, seed)):
-        key = F.xxhash64(*[F.col(f).bitwiseAND(F.lit(_signed(m))) for f, m in zip(fs, mask)])
-        parts.append(F.struct(F.lit(i).alias("__path"), key.alias("__key")))
-    return codes.select("*", F.explode(F.array(*parts)).alias("x")).select("x.__path", "x.__key", *codes.columns)
-
-
-def _pairs_between(codes: np.ndarray, roots: np.ndarray, blocks: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, distance) of the links between rows of different roots, in parts: of two blocks' rows each with
-    each, of one block's among themselves."""
-    one = blocks == blocks.min()
-    left, right = np.flatnonzero(one), np.flatnonzero(~one)
-    alone = not len(right)
-    right = left if alone else right
-    for at in range(0, len(left), BLOCK):
-        i, j = np.nonzero(roots[left[at : at + BLOCK], None] != roots[None, right])
-        i = i + at
-        if alone:
-            i, j = i[j > i], j[j > i]
-        i, j = left[i], right[j]
-        d = np.bitwise_count(codes[i] ^ codes[j]).sum(1, dtype=np.int16)
-        near = d <= radius
-        yield i[near], j[near], d[near]
-
-
-def links_between(nodes: DataFrame, words: int, radius: int, block_rows: int) -> DataFrame:
-    """nodes: __path, __key, __id, __root, __f*. All links (a, b, d) inside a node, however large, between
-    rows of different roots. A node's blocks of about ``block_rows`` rows are compared each with each."""
-    fs = [f"__f{c}" for c in range(words)]
-    counts = nodes.groupBy("__path", "__key").agg(F.count("*").alias("n"), F.min("__root").alias("lo"), F.max("__root").alias("hi")).where("lo <> hi")
-    rows = nodes.join(counts.select("__path", "__key", F.ceil(F.col("n") / block_rows).cast("long").alias("__parts")), ["__path", "__key"])
-    rows = rows.withColumn("__block", F.pmod(F.xxhash64("__id", "__path"), F.col("__parts")))
-    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1), lambda o: F.least("__block", o) * F.col("__parts") + F.greatest("__block", o))
-    rows = rows.select("__path", "__key", F.explode(others).alias("__two"), F.struct("__id", "__root", "__block", *fs).alias("m"))
-    groups = rows.groupBy("__path", "__key", "__two").agg(F.collect_list("m").alias("m")).where("size(m) > 1").select("m")
+    masks = sampled_masks(words, bits, count, seed)
+    table = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(_signed(m)).alias(f) for f, m in zip(fs, mask)]) for i, mask in enumerate(masks)])
+    under = F.transform(table, lambda m: F.struct(m["i"].alias("__path"), F.xxhash64(*[F.col(f).bitwiseAND(m[f]) for f in fs]).alias("__key")))
+    nodes = codes.select("__id", *fs, F.explode(under).alias("x")).select("x.__path", "x.__key", F.struct("__id", *fs).alias("m"))
+    key = ["__path", "__key"]
+    hot = nodes.groupBy(key).agg(F.count("*").alias("n"), F.min("m").alias("__lead")).where(F.col("n") > leaf_size)
+    hot = scratch.write(hot, "hot")
+    light = nodes.join(hot, key, "left_anti").groupBy(key).agg(F.collect_list("m").alias("m")).where("size(m) > 1").select("m")
+    found = scratch.write_arrow(_forests(light, words, radius), "links_0", GROUPS)
+    if hot.isEmpty():
+        return found
+    # hot nodes: first parts dealt at random, each with the node's first row, which joins what is alike throughout
+    part = F.pmod(F.xxhash64("m.__id", "__path"), F.ceil(F.col("n") / leaf_size))
+    dealt = nodes.join(hot, key).groupBy(*key, part.alias("__part")).agg(F.array_union(F.collect_list("m"), F.array(F.first("__lead"))).alias("m"))
+    found = found.union(scratch.write_arrow(_forests(dealt.select("m"), words, radius), "links_1", GROUPS // 10))
+    # then, where rows are not joined by now, each two blocks
+    root = star_components(found, scratch, "near").select(F.col("node").alias("__id"), "root")
+    rest = nodes.join(hot.select(*key, "n"), key).select(*key, "n", "m", F.col("m.__id").alias("__id")).join(root, "__id", "left")
+    rest = rest.select(*key, "n", "__id", F.struct(F.coalesce("root", "__id").alias("root"), "m").alias("m"))
+    several = rest.groupBy(key).agg(F.min("m.root").alias("lo"), F.max("m.root").alias("hi")).where("lo <> hi").select(key)
+    rest = _by_blocks(rest.join(several, key), key, "__id", "n", 8 * leaf_size).groupBy(*key, "__two").agg(F.collect_list("m").alias("m"))
+    return found.union(scratch.write_arrow(_forests_between(rest.select("m"), words, radius), "links_2", 4))
+
+
+def _by_blocks(rows: DataFrame, key: list[str], id_col: str, n: str, block_rows: int) -> DataFrame:
+    """Rows of groups (by ``key``, of ``n`` rows each), dealt at random into blocks of about half of
+    ``block_rows``; each row once for each two blocks (__two) of which its own is one."""
+    parts = F.ceil(2 * F.col(n) / block_rows).cast("int")
+    rows = rows.withColumn("__parts", F.when(F.col(n) <= block_rows, 1).otherwise(parts))
+    rows = rows.withColumn("__block", F.pmod(F.xxhash64(id_col, *key), F.col("__parts")).cast("int"))
+    two = lambda o: F.least("__block", o).cast("long") * F.col("__parts") + F.greatest("__block", o)
+    # where there are others, a block alone need not be looked at: it is in each of its pairs
+    others = F.filter(F.sequence(F.lit(0), F.col("__parts") - 1), lambda o: (F.col("__parts") == 1) | (o != F.col("__block")))
+    return rows.withColumn("__two", F.explode(F.transform(others, two))).drop("__parts", "__block")
+
+
+def _forests(groups: DataFrame, words: int, radius: int) -> DataFrame:
+    """groups: m, an array of (id, codes). A spanning forest (a, b) of each group's links."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)
             sizes = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
-            ids, roots, blocks = (flat.field(k).to_numpy() for k in range(3))
-            codes = np.stack([flat.field(3 + c).to_numpy().view(np.uint64) for c in range(words)], 1)
-            starts = np.cumsum(sizes) - sizes
-            for i, j, d in _all_between(codes, roots, blocks, starts, sizes, radius):
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(d.astype(np.int64))], ["a", "b", "d"])
+            ids = flat.field(0).to_numpy()
+            codes = np.stack([flat.field(1 + c).to_numpy().view(np.uint64) for c in range(words)], 1)
+            a, b, _ = np.array(spanning_forest(codes, sizes, radius), np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+    return groups.mapInArrow(links, "a long, b long")
+
 
-    return groups.mapInArrow(links, "a long, b long, d long")
+def _forests_between(groups: DataFrame, words: int, radius: int) -> DataFrame:
+    """groups: m, an array of (root, (id, codes)). A spanning forest (a, b) of each group's links, rows of
+    one root taken as joined."""
 
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            ends, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+            row = flat.field(1)
+            roots, ids = flat.field(0).to_numpy(), row.field(0).to_numpy()
+            codes = np.stack([row.field(1 + c).to_numpy().view(np.uint64) for c in range(words)], 1)
+            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                a, b = between(codes[lo:hi], roots[lo:hi], radius)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + a]), pa.array(ids[lo + b])], ["a", "b"])
+
+    return groups.mapInArrow(links, "a long, b long")
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs whose Jaccard similarity is ``similarity`` or more."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.float32)
+    if n == 2:
+        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        if common >= similarity * (sizes.sum() - common):
+            yield 0, 1
+        return
+    row, flat = np.repeat(np.arange(n), [len(s) for s in sets]), np.concatenate(sets)
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    several = count > 1  # of the others nothing is common
+    row, column = row[several[column]], (np.cumsum(several) - 1)[column[several[column]]]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    common = np.zeros((n, n), np.float32)
+    for at in range(0, int(several.sum()), _COLUMNS):
+        lo, hi = np.searchsorted(column, (at, at + _COLUMNS))
+        held = np.zeros((n, min(_COLUMNS, int(several.sum()) - at)), np.float32)
+        held[row[lo:hi], column[lo:hi] - at] = 1
+        common += held @ held.T
+    i, j = np.nonzero(np.triu(common >= similarity * (sizes[:, None] + sizes[None] - common) - 1e-3, 1))
+    taken = Forest(n).add(i, j)
+    yield from zip(i[taken].tolist(), j[taken].tolist())
+
+
+def alike_in_families(member: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, block_rows: int) -> DataFrame:
+    """member: (node, root); sets: (__id, s). Links (a, b) of the given similarity inside each family: a
+    spanning forest of all that hold."""
+    size = member.groupBy("root").agg(F.count("*").alias("n"))
+    rows = member.join(size, "root").join(sets, F.col("node") == F.col("__id")).select("root", "n", F.struct("__id", "s").alias("m"))
+    groups = _by_blocks(rows, ["root"], "m.__id", "n", block_rows).groupBy("root", "__two").agg(F.collect_list("m").alias("m")).select("m")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            ends, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+            ids, own = flat.field(0).to_numpy(), flat.field(1)
+            at, hashes = own.offsets.to_numpy() - own.offsets[0].as_py(), own.flatten().to_numpy()
+            a, b = [], []
+            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                for i, j in alike([hashes[at[k] : at[k + 1]] for k in range(lo, hi)], similarity):
+                    a.append(ids[lo + i])
+                    b.append(ids[lo + j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-def _all_between(codes, roots, blocks, starts, sizes, radius) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """_pairs_between of many groups that stand one after the other; small ones together."""
-    small = np.flatnonzero(sizes <= SMALL)
-    at = np.repeat(starts[small], sizes[small]) + np.arange(sizes[small].sum()) - np.repeat(np.cumsum(sizes[small]) - sizes[small], sizes[small])
-    i, j, d = small_links(codes[at], sizes[small], radius)
-    apart = roots[at[i]] != roots[at[j]]
-    yield at[i[apart]], at[j[apart]], d[apart]
-    for k in np.flatnonzero(sizes > SMALL):
-        group = slice(int(starts[k]), int(starts[k] + sizes[k]))
-        for i, j, d in _pairs_between(codes[group], roots[group], blocks[group], radius):
-            yield i + group.start, j + group.start, d
+    return scratch.write_arrow(groups.mapInArrow(links, "a long, b long"), "alike", GROUPS // 10)
 
 
 # -- operators ------------------------------------------------------------------------------------
@@ -338,7 +376,7 @@ def simhash_components(
         texts = rows.select("__id", "__order", text_of(F.col(ROW)[text_col]).alias("__text"))
     else:
         texts = df.select(row_id, order, text_of(text_col).alias("__text"))
-    marked = scratch.write_arrow(codes_of(texts, shingle, 1), "codes", TEXTS)
+    marked = scratch.write_arrow(codes_of(texts, shingle), "codes", TEXTS)
     first = F.min(F.struct(F.col("__order").isNull().alias("n"), F.col("__order").alias("i"), F.col("__id").alias("r")))
     codes = scratch.write(marked.groupBy("__f0").agg(first.alias("__first")), "distinct")
     edges = links_exact(codes, scratch, radius, range_rows)
@@ -373,33 +411,12 @@ def _shingle_sets(df: DataFrame, k: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for t in batch.column(1).cast(pa.large_binary()):
-                parts = [np.fromiter((xxhash.xxh32_intdigest(s, 7) for s in x), np.uint32, len(x)) for x in _shingles(t.as_py() or b"", k)]
-                sets.append(np.unique(np.concatenate(parts)).view(np.int32) if parts else np.zeros(0, np.int32))
+            sets = [np.unique(shingle_set(t.as_py() or b"", k).astype(np.uint32)).view(np.int32) for t in batch.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["__id", "s"])
 
     return df.select("__id", "__text").mapInArrow(make, "__id long, s array<int>")
 
 
-def _each_once(links: DataFrame) -> DataFrame:
-    return links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
-
-
-def _ends(links: DataFrame) -> DataFrame:
-    return links.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-
-
-def _alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) whose sets have that Jaccard similarity. Sizes are compared first: no two sets are
-    more alike than the smaller is large against the larger."""
-    size = sets.select("__id", F.size("s").alias("n"))
-    links = links.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-    left, right = sets.select(F.col("__id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("__id").alias("b"), F.col("s").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return links.select("a", "b").join(left, "a").join(right, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-
 def drop_near_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -416,10 +433,11 @@ def drop_near_duplicates(
     """The rows that stay, one of each group of near duplicates, with the input's own columns.
 
     Rows link if their sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or
-    more. SimHash codes of distinct shingles find the candidates, which are checked exactly: first a
-    spanning forest of each node's links, then all further links between rows that are not joined by
-    now, so that no unchecked link inside the radius joins two components. Groups are the connected
-    components; the row with the smallest id stays (then the first).
+    more. Of rows with equal sets the first goes on. SimHash codes of the sets join rows to families,
+    with a radius of three deviations over the expected difference; inside a family all pairs of sets
+    are compared, in blocks of at most about ``leaf_size`` rows, so families of many rows that are alike
+    but not enough cost the square of their size. Groups are the connected components; the row with the
+    smallest id stays (then the first).
     Null text, or one without words: no shingles, links to nothing and stays. Null ids: after all
     others. Fewer words than ``shingle``: the whole sequence is one shingle. Equal rows: one stays.
     Empty table: no rows. scratch: where to write; the caller may drop it once the result is written.
@@ -427,28 +445,20 @@ def drop_near_duplicates(
     scratch = scratch or Scratch(df.sparkSession)
     rows = scratch.write(df.select(pack(df), F.col(name(id_col)).cast("long").alias("__order"), F.monotonically_increasing_id().alias("__id")), "rows")
     texts = rows.select("__id", "__order", text_of(F.col(ROW)[text_col]).alias("__text")).where(F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
-    codes = scratch.write_arrow(codes_of(texts, shingle, n_codes, distinct=True), "codes", TEXTS)
+    every = scratch.write_arrow(set_codes_of(texts, shingle, n_codes), "codes", TEXTS)
+    first = F.min(F.struct(F.col("__order").isNull().alias("n"), "__order", "__id")).alias("f")
+    fs = [f"__f{c}" for c in range(n_codes)]
+    codes = every.groupBy("__set", *fs).agg(first).select("f.__id", "f.__order", *fs)
+    codes = scratch.write(codes, "distinct")
     p = bit_difference(similarity)
     sigma = math.sqrt(p * (1 - p) / (64 * n_codes))  # of the measured difference
-    bits = (math.floor(64 * n_codes * (p + 3 * sigma)), p + sigma)  # radius, difference for which recall holds
-    found, again = links_sampled(codes, scratch, n_codes, *bits, recall, leaf_size, seed)
-    found = scratch.write(_each_once(found), "candidates")
-    ends = scratch.write(_ends(found), "ends")
-    sets = scratch.write_arrow(_shingle_sets(texts.join(ends.hint("shuffle_hash"), "__id", "left_semi"), shingle), "sets", TEXTS)
-    links = scratch.write(_alike(found, sets, similarity), "links")
-    again = ends if again is None else scratch.write(ends.union(again).distinct(), "again")
-    member = scratch.write(star_components(links, scratch), "members").withColumnRenamed("root", "__root")
-    rooted = codes.join(again.hint("shuffle_hash"), "__id", "left_semi").drop("__order")
-    rooted = rooted.join(member, rooted["__id"] == member["node"], "left").drop("node").withColumn("__root", F.coalesce("__root", "__id"))
-    nodes = _sampled_nodes(scratch.write(rooted, "rooted"), codes.count(), n_codes, bits[1], recall, seed)
-    more = scratch.write_arrow(links_between(nodes, n_codes, bits[0], 8 * leaf_size), "between", GROUPS // 10)
-    more = scratch.write(_each_once(more).join(found.select("a", "b"), ["a", "b"], "left_anti"), "candidates_1")
-    new = _ends(more).join(ends, "__id", "left_anti")
-    sets = sets.union(scratch.write_arrow(_shingle_sets(texts.join(new.hint("shuffle_hash"), "__id", "left_semi"), shingle), "sets_1", TEXTS))
-    links = links.union(scratch.write(_alike(more, sets, similarity), "links_more"))
-    member = star_components(links, scratch)
-    groups = member.join(rows.select("__id", "__order"), F.col("node") == F.col("__id"))
-    first = F.min(F.struct(F.col("__order").isNull().alias("n"), "__order", "__id"))
-    stays = groups.groupBy("root").agg(first.alias("f")).select("root", F.col("f.__id").alias("__stays"))
-    gone = groups.join(stays, "root").where("__id <> __stays").select("__id")
-    return rows.select(ROW, "__id").join(scratch.write(gone, "gone").hint("shuffle_hash"), "__id", "left_anti").select(f"{ROW}.*")
+    near = families(codes, scratch, n_codes, math.floor(64 * n_codes * (p + 3 * sigma)), p + sigma, recall, leaf_size, seed)
+    member = scratch.write(star_components(near, scratch, "families"), "members")
+    sets = _shingle_sets(texts.join(member.hint("shuffle_hash"), F.col("__id") == F.col("node"), "left_semi"), shingle)
+    links = alike_in_families(member, scratch.write_arrow(sets, "sets", TEXTS), scratch, similarity, leaf_size)
+    groups = star_components(links, scratch, "groups").join(codes.select("__id", "__order"), F.col("node") == F.col("__id"))
+    stays = groups.groupBy("root").agg(first).select("root", F.col("f.__id").alias("__stays"))
+    joined = groups.join(stays, "root").where("__id <> __stays").select("__id")
+    equal = every.select("__id").join(codes.select("__id").hint("shuffle_hash"), "__id", "left_anti")
+    gone = scratch.write(joined.union(equal), "gone")
+    return rows.select(ROW, "__id").join(gone.hint("shuffle_hash"), "__id", "left_anti").select(f"{ROW}.*")
