@@ -1,11 +1,14 @@
 """A corpus pipeline of five operators over ``documents``.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is
-written as Parquet and read again as the next stage's ``docs``.
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. Its result is
+written as Parquet, in the shared folder, and read again as the next stage's ``docs``; the operator's own
+scratch tables are dropped by then.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from trackspark.llm.common import Scratch
@@ -16,41 +19,46 @@ from trackspark.llm.quality_rules import drop_low_quality
 from trackspark.llm.simhash import drop_near_duplicates
 
 
-_open: list[Scratch] = []
-
-
-def _scratch(spark: SparkSession) -> Scratch:
-    """Scratch tables for a stage. What the stage before wrote there goes: its result, this stage's input,
-    is written by now."""
-    while _open:
-        _open.pop().drop()
-    _open.append(Scratch(spark))
-    return _open[-1]
+def _written(spark: SparkSession, docs: DataFrame, operator: Callable[..., DataFrame]) -> DataFrame:
+    """The operator's result as a Parquet table of its own; its scratch tables go."""
+    work, out = Scratch(spark), Scratch(spark)
+    try:
+        return out.write(operator(docs, scratch=work), "docs")
+    finally:
+        work.drop()
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the adaptive thresholds reject go."""
-    return drop_low_quality(docs, scratch=_scratch(spark))
+    """Documents that the base rules or the adaptive thresholds reject go. Null text: goes. Null language
+    or source: a group of its own. Equal rows: alike. Empty table: no rows. Further columns stay."""
+    return _written(spark, docs, drop_low_quality)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id stays."""
-    return drop_exact_duplicates(docs, scratch=_scratch(spark))
+    """Of equal texts, the document with the largest doc_id stays. Null text: empty. Null ids: below all
+    others. Equal rows: one stays. Empty table: no rows. Further columns stay."""
+    return _written(spark, docs, drop_exact_duplicates)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8), the smallest doc_id stays."""
-    return drop_near_duplicates(docs, scratch=_scratch(spark))
+    """Of each group of near duplicates (five-word shingles, similarity 0.8), the smallest doc_id stays.
+    Null or empty text: stays. Null ids: after all others. Equal rows: one stays. Empty table: no rows.
+    Further columns stay."""
+    return _written(spark, docs, drop_near_duplicates)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out until sources stand at their target weights."""
-    return take_mix(docs, scratch=_scratch(spark))
+    """Documents are repeated or left out until sources stand at their target weights. Null or empty text:
+    stays once. Null source: a source of its own. Equal rows: each its own. Empty table: no rows. Further
+    columns stay."""
+    return _written(spark, docs, take_mix)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are packed into sequences of 2,048 words."""
-    return best_fit_pack(docs, scratch=_scratch(spark))
+    """Documents are packed into sequences of 2,048 words. Null text: a piece of no words. Null source: a
+    source of its own. Equal rows: in different sequences. Empty table: no rows. Further columns are left
+    out."""
+    return _written(spark, docs, best_fit_pack)
 
 
 STAGES = [
@@ -66,12 +74,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table."""
+    """All stages over the whole ``documents`` table. Each stage's result is a Parquet table, read again as
+    the next one's docs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scratch = Scratch(spark)
-    for k, (step, stage) in enumerate(STAGES):
+    for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.write(docs, step)
-    _open.clear()  # the last stage's tables stay for the caller
     return docs
