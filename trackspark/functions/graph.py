@@ -1,4 +1,4 @@
-"""Connected components for edit tables."""
+"""Tables between steps in the shared folder, and connected components for edit tables."""
 
 from __future__ import annotations
 
@@ -10,19 +10,33 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one where none is set."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Where none is named, a local master gets a
+    temporary folder; on a cluster that is an error, as a machine's own folder is lost with it."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
-def written(df: DataFrame, folder: str, label: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    path = f"{folder}/{label}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class Rounds:
+    """Parquet tables of one iterative job in the shared folder: cut lineage and survive lost executors."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_folder(spark)}/trackspark/{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.root}/{label}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{label}")
+
+    def drop(self, label: str) -> None:
+        """Deletes a table that nothing reads any more."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -30,16 +44,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Labels go to all neighbours and then jump to the label's own label, until none changes.
     """
-    folder = f"{shared_folder(edges.sparkSession)}/trackspark/{uuid.uuid4().hex}"
-    e = written(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct(), folder, "edges")
-    label = written(e.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), folder, "l0")
+    t = Rounds(edges.sparkSession)
+    e = t.write(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct(), "edges")
+    label = t.write(e.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "l0")
     for k in range(1, max_rounds + 1):
         near = e.join(label, e["b"] == label["node"]).groupBy("a").agg(F.min("root").alias("m"))
         low = label.join(near, label["node"] == near["a"], "left").select("node", F.least("root", F.coalesce("m", "root")).alias("r"), F.col("root").alias("old"))
         up = low.select(F.col("node").alias("n2"), F.col("r").alias("r2"))
         jumped = low.join(up, low["r"] == up["n2"], "left").select("node", F.least("r", F.coalesce("r2", "r")).alias("root"), "old")
-        now = written(jumped, folder, f"l{k}")
+        now = t.write(jumped, f"l{k}")
+        t.drop(f"l{k - 1}")
         label = now.select("node", "root")
         if not now.where("root <> old").limit(1).count():
+            t.drop("edges")
             return label
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

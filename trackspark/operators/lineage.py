@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackspark.functions.graph import shared_folder, written
+from trackspark.functions.graph import Rounds
 
 
 def division_edges(divisions: DataFrame) -> DataFrame:
@@ -22,29 +20,29 @@ def mothers(tracks: DataFrame, lineage: DataFrame) -> DataFrame:
     return tracks.select("track_id").distinct().join(e, "track_id", "left").withColumn("is_daughter", F.col("mother_id").isNotNull())
 
 
-def descendants(lineage: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(root_id, track_id, depth) of all descendants. One join per generation; a generation is written,
-    so lineage of the plan stays short, and a cycle ends with what is new."""
-    folder = f"{shared_folder(lineage.sparkSession)}/trackspark/{uuid.uuid4().hex}"
+def descendants(lineage: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(root_id, track_id, depth) of all descendants, however deep; with ``max_depth`` a deeper tree is an
+    error. One join per generation and one against all that was found before, which a cycle meets again.
+    Generations are written to one table in the shared folder."""
+    t = Rounds(lineage.sparkSession)
     e = lineage.where("daughter_id <> -1").select("mother_id", "daughter_id")
-    now = written(roots.select(F.col("track_id").alias("root_id"), "track_id", F.lit(0).alias("depth")), folder, "d0")
-    found = [now]
-    for depth in range(1, max_depth + 1):
+    now = t.write(roots.select(F.col("track_id").alias("root_id"), "track_id", F.lit(0).alias("depth")).distinct(), "found/g=0")
+    depth, found = 0, now
+    while True:
+        depth += 1
         new = now.join(e, F.col("track_id") == F.col("mother_id")).select("root_id", F.col("daughter_id").alias("track_id"), F.lit(depth).alias("depth")).distinct()
-        for g in found:
-            new = new.join(g.select("root_id", "track_id"), ["root_id", "track_id"], "left_anti")
-        now = written(new.select("root_id", "track_id", "depth"), folder, f"d{depth}")
+        new = new.join(found.select("root_id", "track_id"), ["root_id", "track_id"], "left_anti").select("root_id", "track_id", "depth")
+        now = t.write(new, f"found/g={depth}")
         if now.isEmpty():
-            break
-        found.append(now)
-    out = found[1] if len(found) > 1 else now
-    for g in found[2:]:
-        out = out.union(g)
-    return out
+            return found.where("depth > 0")
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"lineage is deeper than {max_depth} generations")
+        found = lineage.sparkSession.read.schema(now.schema).parquet(f"{t.root}/found").drop("g")
 
 
 def lineage_paths(spark, lineage: DataFrame, root: int, max_depth: int = 64) -> DataFrame:
-    """Every path from a root to a leaf, as arrays, by a recursive query over the edges."""
+    """Every path from a root to a leaf, as arrays, by a recursive query over the edges. A deeper tree is an
+    error, and so are more rows than ``spark.sql.cteRecursionRowLimit``."""
     return spark.sql(
         f"""WITH RECURSIVE walk(track_id, path, depth) MAX RECURSION LEVEL {max_depth + 1} AS (
           SELECT CAST({int(root)} AS BIGINT), array(CAST({int(root)} AS BIGINT)), 0

@@ -58,36 +58,46 @@ def write_cells_json(cells: DataFrame, path: str) -> None:
 
 
 _CELL = CELLS.simpleString()
-TRACKS_FILE = f"track_id BIGINT, timeframe_to_single_cell MAP<STRING, {_CELL}>, meta MAP<STRING, STRING>"
+_TRACKS = f"MAP<STRING, STRUCT<track_id: BIGINT, timeframe_to_single_cell: MAP<STRING, {_CELL}>, meta: MAP<STRING, STRING>>>"
 
 
-def read_tracks_json(spark: SparkSession, path: str) -> DataFrame:
-    """A file of {track id: {track_id, timeframe_to_single_cell, meta}}; keys are cast to numbers."""
-    t = spark.read.text(path, wholetext=True).select(F.from_json("value", f"MAP<STRING, STRUCT<{_struct(TRACKS_FILE)}>>").alias("m"))
-    t = t.select(F.explode("m").alias("k", "t")).select(F.col("k").cast("double").cast("bigint").alias("__id"), F.explode("t.timeframe_to_single_cell").alias("f", "c"))
-    return t.select("c.*", "__id", F.col("f").cast("double").cast("int").alias("__t")).withColumn("track_id", F.col("__id")).withColumn("timeframe", F.col("__t")).drop("__id", "__t")
+def _cells_of_tracks(texts: DataFrame) -> DataFrame:
+    """value: {track id: {track_id, timeframe_to_single_cell, meta}} as cells with ``track_meta``. Keys are cast
+    to numbers and are the track and frame of a cell whatever the cell says."""
+    t = texts.select(F.explode(F.from_json("value", _TRACKS)).alias("k", "t"))
+    number = lambda c, kind: F.col(c).cast("double").cast(kind)
+    t = t.select(number("k", "bigint").alias("__id"), F.col("t.meta").alias("track_meta"), F.explode("t.timeframe_to_single_cell").alias("f", "c"))
+    own = {"track_id": F.col("__id"), "timeframe": number("f", "int")}
+    return t.select(*[own.get(n, F.col(f"c.{n}")).alias(n) for n in CELLS.names], "track_meta")
 
 
-def _struct(ddl: str) -> str:
-    return ddl.replace("track_id BIGINT", "track_id: BIGINT").replace("timeframe_to_single_cell MAP", "timeframe_to_single_cell: MAP").replace(", meta MAP", ", meta: MAP")
+def read_tracks_json(spark: SparkSession, path: str) -> DataFrame:
+    """Files of {track id: {track_id, timeframe_to_single_cell, meta}}: cells with their track's meta, which
+    holds mothers and daughters. A file is one row, so one task's work; ``read_track_lines`` reads lines."""
+    return _cells_of_tracks(spark.read.text(path, wholetext=True))
 
 
-def write_tracks_json(cells: DataFrame, path: str) -> None:
-    """A line per track, {track id: {track_id, timeframe_to_single_cell}}; tracks without a contour are
-    left out first."""
-    has = cells.groupBy("track_id").agg(F.max(F.coalesce(F.size("contour") > 0, F.lit(False))).alias("k")).where("k").select("track_id")
-    c = cells.join(has, "track_id", "left_semi")
+def write_tracks_json(cells: DataFrame, path: str, tracks: DataFrame | None = None) -> None:
+    """A line per track of a dataset, {track id: {track_id, timeframe_to_single_cell, meta}}; tracks without a
+    contour are left out first. tracks: (dataset, track_id, meta MAP<STRING, STRING>); none: empty maps. The
+    dataset stands in each cell, so tracks of equal number of two movies stay two."""
+    key = ["dataset", "track_id"]
     entry = F.struct(F.col("timeframe").cast("string"), F.struct(*[F.col(n) for n in CELLS.names]))
-    t = c.groupBy("track_id").agg(F.map_from_entries(F.collect_list(entry)).alias("timeframe_to_single_cell"))
-    text = F.to_json(F.create_map(F.col("track_id").cast("string"), F.struct("track_id", "timeframe_to_single_cell")))
+    has = F.max(F.coalesce(F.size("contour") > 0, F.lit(False))).alias("__has")
+    t = cells.groupBy(*key).agg(F.map_from_entries(F.collect_list(entry)).alias("timeframe_to_single_cell"), has).where("__has").drop("__has")
+    empty = F.create_map().cast("map<string, string>")
+    if tracks is None:
+        t = t.withColumn("meta", empty)
+    else:
+        m = tracks.select(F.col("dataset").alias("__d"), F.col("track_id").alias("__t"), "meta")
+        t = t.join(m, F.col("dataset").eqNullSafe(F.col("__d")) & F.col("track_id").eqNullSafe(F.col("__t")), "left").withColumn("meta", F.coalesce("meta", empty))
+    text = F.to_json(F.create_map(F.col("track_id").cast("string"), F.struct("track_id", "timeframe_to_single_cell", "meta")))
     t.select(text.alias("value")).write.mode("overwrite").text(path)
 
 
 def read_track_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines that S6 writes, one track each."""
-    t = spark.read.text(path).select(F.from_json("value", f"MAP<STRING, STRUCT<{_struct(TRACKS_FILE)}>>").alias("m"))
-    t = t.select(F.explode("m").alias("k", "t")).select(F.explode("t.timeframe_to_single_cell").alias("f", "c"))
-    return t.select("c.*")
+    return _cells_of_tracks(spark.read.text(path))
 
 
 # -- annotations ----------------------------------------------------------------------------------
@@ -106,16 +116,20 @@ def _swapped(flat: Column) -> Column:
 
 
 def coco_cells(coco: DataFrame) -> DataFrame:
-    """Coco (COCO schema): one cell per annotation: its first polygon with points turned to (row, col), box
-    [x, y, w, h] as [y, x, y + h, x + w], the upper ends raised to the contour's plus 1; frame = image id."""
+    """Coco (COCO schema): one cell per annotation: its polygon with points turned to (row, col), box
+    [x, y, w, h] as [y, x, y + h, x + w]; where the contour reaches an upper end, that is the contour's plus
+    1; frame = image id. An annotation of several polygons is an error: none of them is the cell."""
     a = coco.select(F.explode("annotations").alias("a")).select("a.*")
     i = coco.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), "i.file_name")
-    c = a.join(i, "image_id").withColumn("contour", _swapped(F.get("segmentation", F.lit(0))))
+    several = F.format_string("annotation %s has several polygons", F.col("id").cast("string"))
+    one = F.when(F.size("segmentation") > 1, F.raise_error(several)).otherwise(F.get("segmentation", F.lit(0)))
+    c = a.join(i, "image_id").withColumn("contour", _swapped(one))
     b = lambda k: F.get("bbox", F.lit(k))
-    top = lambda k: F.array_max(F.transform("contour", lambda p: F.get(p, F.lit(k)))) + 1
+    top = lambda k: F.array_max(F.transform("contour", lambda p: F.get(p, F.lit(k))))
+    end = lambda e, k: F.when(top(k) >= e, top(k) + 1).otherwise(e)
     return c.select(
         F.col("id").alias("sc_id"), F.col("image_id").cast("int").alias("timeframe"), "file_name", "category_id", "contour",
-        b(1).alias("x1"), b(0).alias("y1"), F.greatest(b(1) + b(3), top(0)).alias("x2"), F.greatest(b(0) + b(2), top(1)).alias("y2"),
+        b(1).alias("x1"), b(0).alias("y1"), end(b(1) + b(3), 0).alias("x2"), end(b(0) + b(2), 1).alias("y2"),
     )
 
 
@@ -181,9 +195,9 @@ def read_csv_manifests(spark: SparkSession, folder: str, schema: str) -> DataFra
 
 
 def read_experiment_logs(spark: SparkSession, folder: str, schema: str, kind: str = "iteration_metrics") -> DataFrame:
-    """<folder>/<strategy>_run<id>/.../*_<kind>.csv with strategy and run."""
-    c = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{kind}*").csv(folder)
-    part = lambda k: F.regexp_extract(PATH, r"/([^/]+)_run(\d+)/", k)
+    """<folder>/<strategy>_run<id>[_...]/ctc_seg_*/*<kind>*, at that depth only, with strategy and run."""
+    c = spark.read.schema(schema).option("header", True).option("pathGlobFilter", f"*{kind}*").csv(f"{folder}/*_run*/ctc_seg_*")
+    part = lambda k: F.regexp_extract(PATH, r"/([^/]+?)_run(\d+)[^/]*/ctc_seg_[^/]*/[^/]+$", k)
     return c.withColumn("strategy_name", part(1)).withColumn("run_id", part(2).cast("int"))
 
 
