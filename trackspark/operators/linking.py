@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackspark.functions.assignment import assign_allowed
 from trackspark.functions.geometry import contains_point
-from trackspark.functions.graph import components
+from trackspark.functions.graph import Rounds, components
 from trackspark.functions.kalman import BoxTracker
 from trackspark.schema import extended
 
@@ -28,17 +28,33 @@ def _ends(cells: DataFrame) -> DataFrame:
 # -- gaps and divisions ---------------------------------------------------------------------------
 
 
-def gap_pairs(cells: DataFrame, max_gap: int) -> DataFrame:
+def _around(df: DataFrame, x: str, y: str, tile: float) -> DataFrame:
+    """Rows copied to the tile of their point and the eight around it: __tx, __ty."""
+    near = F.sequence(F.lit(-1), F.lit(1))
+    df = df.withColumn("__tx", F.explode(near)).withColumn("__ty", F.explode(near))
+    return df.withColumn("__tx", F.floor(F.col(x) / tile) + F.col("__tx")).withColumn("__ty", F.floor(F.col(y) / tile) + F.col("__ty"))
+
+
+def _in_tile(df: DataFrame, x: str, y: str, tile: float) -> DataFrame:
+    return df.withColumn("__tx", F.floor(F.col(x) / tile)).withColumn("__ty", F.floor(F.col(y) / tile))
+
+
+def gap_pairs(cells: DataFrame, max_gap: int, max_distance: float | None = None) -> DataFrame:
     """Track a ends 1 to ``max_gap`` frames before track b starts; score = distance times the larger
     of both area ratios (infinite where that is undefined). Ends are copied to the frames they may be
-    joined with, so the join is on equal frames."""
+    joined with, so the join is on equal frames. All pairs of such ends are the result; in dense movies give
+    ``max_distance``, which joins by tiles too and leaves out what is farther."""
     e = _ends(cells)
     a = e.select("dataset", F.col("track_id").alias("a"), F.col("last_x").alias("ax"), F.col("last_y").alias("ay"), F.col("last_area").alias("aa"), F.explode(F.sequence(F.col("end") + 1, F.col("end") + max_gap)).alias("start"))
     b = e.select("dataset", F.col("track_id").alias("b"), F.col("first_x").alias("bx"), F.col("first_y").alias("by"), F.col("first_area").alias("ba"), "start")
     rho = F.coalesce(F.greatest(F.try_divide("aa", "ba"), F.try_divide("ba", "aa")), F.lit(float("inf")))
     rho = F.when((F.col("aa") == 0) | (F.col("ba") == 0), float("inf")).otherwise(rho)
     d = _distance("ax", "ay", "bx", "by")
-    return a.join(b, ["dataset", "start"]).select("dataset", "a", "b", F.when(d == 0, F.when(F.isnan(rho * 0), float("inf")).otherwise(0.0)).otherwise(d * rho).alias("score"))
+    if max_distance is None:
+        pairs = a.join(b, ["dataset", "start"])
+    else:
+        pairs = _around(a, "ax", "ay", max_distance).join(_in_tile(b, "bx", "by", max_distance), ["dataset", "start", "__tx", "__ty"]).where(d <= max_distance)
+    return pairs.select("dataset", "a", "b", F.when(d == 0, F.when(F.isnan(rho * 0), float("inf")).otherwise(0.0)).otherwise(d * rho).alias("score"))
 
 
 def sister_pairs(cells: DataFrame, max_distance: float = 50, least_similarity: float = 0.7) -> DataFrame:
@@ -49,13 +65,8 @@ def sister_pairs(cells: DataFrame, max_distance: float = 50, least_similarity: f
     taken, and their ends leave. That is what taking pairs in order gives."""
     e = _ends(cells).select("dataset", "start", "track_id", F.col("first_x").alias("x"), F.col("first_y").alias("y"), F.col("first_area").alias("area"))
     tile = 2 * max_distance
-    at = e.withColumn("tx", F.floor(F.col("x") / tile)).withColumn("ty", F.floor(F.col("y") / tile))
-    near = F.sequence(F.lit(-1), F.lit(1))
-    spread = at.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select(
-        "dataset", "start", (F.col("tx") + F.col("dx")).alias("tx"), (F.col("ty") + F.col("dy")).alias("ty"),
-        F.col("track_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("area").alias("ba"),
-    )
-    p = at.join(spread, ["dataset", "start", "tx", "ty"]).where("track_id < b")
+    other = e.select("dataset", "start", F.col("track_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("area").alias("ba"))
+    p = _in_tile(e, "x", "y", tile).join(_around(other, "bx", "by", tile), ["dataset", "start", "__tx", "__ty"]).where("track_id < b")
     p = p.select(
         "dataset", "start", F.col("track_id").alias("a"), "b", _distance("x", "y", "bx", "by").alias("distance"),
         (1 - F.try_divide(F.abs(F.col("area") - F.col("ba")), F.col("area") + F.col("ba"))).alias("similarity"),
@@ -67,38 +78,37 @@ def sister_pairs(cells: DataFrame, max_distance: float = 50, least_similarity: f
 def greedy_pairs(pairs: DataFrame, keys: list[str], score: str) -> DataFrame:
     """Pairs (a, b) one to one per keys, the highest score first, ties by a, then b. Rounds are written to
     the shared folder, so lineage stays short."""
-    import uuid
-
-    from trackspark.functions.graph import shared_folder, written
-
-    folder = f"{shared_folder(pairs.sparkSession)}/trackspark/{uuid.uuid4().hex}"
-    left, taken, k = written(pairs, folder, "p0"), [], 0
+    t = Rounds(pairs.sparkSession)
+    left, taken, k = t.write(pairs, "p0"), [], 0
     order = F.struct(F.col(score), -F.col("a"), -F.col("b"))
     while True:
         ends = left.select(*keys, F.col("a").alias("n"), order.alias("o")).union(left.select(*keys, F.col("b").alias("n"), order.alias("o")))
         top = ends.groupBy(*keys, "n").agg(F.max("o").alias("o"))
         ta, tb = (top.select(*keys, F.col("n").alias(s), F.col("o").alias(f"o{s}")) for s in "ab")
         chosen = left.join(ta, [*keys, "a"]).join(tb, [*keys, "b"]).where((order == F.col("oa")) & (order == F.col("ob"))).select(*pairs.columns)
-        chosen = written(chosen, folder, f"c{k}")
+        chosen = t.write(chosen, f"c{k}")
         if chosen.isEmpty():
             break
         taken.append(chosen)
         used = chosen.select(*keys, F.col("a").alias("n")).union(chosen.select(*keys, F.col("b").alias("n")))
         left = left.join(used.withColumnRenamed("n", "a"), [*keys, "a"], "left_anti").join(used.withColumnRenamed("n", "b"), [*keys, "b"], "left_anti")
         k += 1
-        left = written(left, folder, f"p{k}")
+        left = t.write(left, f"p{k}")
+        t.drop(f"p{k - 1}")
+    t.drop(f"p{k}")
     out = pairs.limit(0) if not taken else taken[0]
-    for t in taken[1:]:
-        out = out.union(t)
+    for more in taken[1:]:
+        out = out.union(more)
     return out
 
 
 def division_triples(cells: DataFrame, max_distance: float = 75, least_similarity: float = 0.7) -> DataFrame:
     """Sister pairs and the track that ends a frame before and nearest to their middle, kept if that
-    is nearer than 2 * max_distance less the sisters' distance."""
-    s = sister_pairs(cells, max_distance, least_similarity)
+    is nearer than 2 * max_distance less the sisters' distance. A parent beyond 2 * max_distance is never
+    kept, so middles meet the ends of their tile and those around it."""
+    s, tile = sister_pairs(cells, max_distance, least_similarity), 2 * max_distance
     e = _ends(cells).select("dataset", (F.col("end") + 1).alias("start"), F.col("track_id").alias("parent"), F.col("last_x").alias("px"), F.col("last_y").alias("py"))
-    p = s.join(e, ["dataset", "start"]).withColumn("parent_distance", _distance("mx", "my", "px", "py"))
+    p = _in_tile(s, "mx", "my", tile).join(_around(e, "px", "py", tile), ["dataset", "start", "__tx", "__ty"]).withColumn("parent_distance", _distance("mx", "my", "px", "py"))
     top = p.groupBy("dataset", "start", "a", "b").agg(F.min(F.struct("parent_distance", "parent")).alias("t"), F.first("distance").alias("distance"), F.first("similarity").alias("similarity"))
     top = top.where(F.col("t.parent_distance") < 2 * max_distance - F.col("distance"))
     return top.select("dataset", "start", "t.parent", "a", "b", "distance", "similarity", "t.parent_distance")
@@ -113,17 +123,39 @@ def object_info(events: DataFrame, cells: DataFrame, *columns: str) -> DataFrame
 # -- signals, files, candidates -------------------------------------------------------------------
 
 
-def signals_to_cells(signals: DataFrame, cells: DataFrame, tile: int = 64) -> DataFrame:
+def signals_to_cells(signals: DataFrame, cells: DataFrame, tile: int = 64, frames: int = 128) -> DataFrame:
     """Signals (dataset, sig_id, timeframe, x, y): the cell whose contour holds the point at the latest
-    frame up to the signal's (then the lowest id). cells carry ``contour``. Cells of a tile meet its
-    signals; the latest is a maximum, so partial results combine before the shuffle."""
+    frame up to the signal's (then the lowest id). cells carry ``contour``.
+
+    A signal meets the cells of its tile in its last ``frames`` frames; those that none of them holds meet
+    the frames before, twice as many, and so on, so most signals never meet a movie's past. The latest
+    is a maximum, so partial results combine before the shuffle."""
+    t = Rounds(signals.sparkSession)
     s = signals.select("dataset", "sig_id", F.col("timeframe").alias("sig_time"), "x", "y", F.floor(F.col("x") / tile).alias("__tx"), F.floor(F.col("y") / tile).alias("__ty"))
     span = lambda a, b: F.sequence(F.floor(F.col(a) / tile), F.floor(F.col(b) / tile))
     c = cells.withColumn("__tx", F.explode(span("x1", "x2"))).withColumn("__ty", F.explode(span("y1", "y2")))
     c = c.select("dataset", "__tx", "__ty", "timeframe", "sc_id", "contour", "x1", "y1", "x2", "y2")
+    left = t.write(s, "s0")
+    first, width, k, found = cells.agg(F.min("timeframe")).first()[0], frames, 0, []
     box = F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2"))
-    hit = s.join(c, ["dataset", "__tx", "__ty"]).where((F.col("timeframe") <= F.col("sig_time")) & box).where(contains_point("contour", "x", "y"))
-    return hit.groupBy("dataset", "sig_id").agg(F.max(F.struct("timeframe", (-F.col("sc_id")).alias("m"))).alias("t")).select("dataset", "sig_id", "t.timeframe", (-F.col("t.m")).alias("sc_id"))
+    while first is not None:
+        age = F.col("sig_time") - F.col("timeframe")
+        block = F.floor(F.col("sig_time") / width)
+        near = left.withColumn("__b", F.explode(F.array(block, block - 1)))
+        hit = near.join(c.withColumn("__b", F.floor(F.col("timeframe") / width)), ["dataset", "__tx", "__ty", "__b"])
+        hit = hit.where((age >= (width // 2 if k else 0)) & (age < width) & box).where(contains_point("contour", "x", "y"))
+        top = hit.groupBy("dataset", "sig_id").agg(F.max(F.struct("timeframe", (-F.col("sc_id")).alias("m"))).alias("t")).select("dataset", "sig_id", "t.timeframe", (-F.col("t.m")).alias("sc_id"))
+        found.append(t.write(top, f"f{k}"))
+        left = t.write(left.where(F.col("sig_time") - width >= first).join(found[-1].select("dataset", "sig_id"), ["dataset", "sig_id"], "left_anti"), f"s{k + 1}")
+        t.drop(f"s{k}")
+        k, width = k + 1, 2 * width
+        if left.isEmpty():
+            break
+    t.drop(f"s{k}")
+    out = left.select("dataset", "sig_id", F.col("sig_time").alias("timeframe"), F.lit(None).cast(cells.schema["sc_id"].dataType).alias("sc_id")).limit(0)
+    for f in found:
+        out = f if f is found[0] else out.union(f)
+    return out
 
 
 def pair_files(seg: DataFrame, tra: DataFrame, keys: list[str]) -> DataFrame:

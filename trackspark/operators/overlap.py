@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions.geometry import box_iomin, box_iou
+from trackspark.functions.graph import Rounds
 
 FRAME = ["dataset", "timeframe"]
 TILE = 64
@@ -82,16 +83,33 @@ def best_match(overlap: DataFrame, keys: list[str]) -> DataFrame:
     return overlap.groupBy(*keys, "label_b").agg(F.max_by("label_a", F.struct("iou", -F.col("label_a"))).alias("label_a"), F.max("iou").alias("iou"))
 
 
-def extend_zero_maps(zero: DataFrame, cells: DataFrame, threshold: float = 0.2) -> DataFrame:
+def extend_zero_maps(zero: DataFrame, cells: DataFrame, threshold: float = 0.2, ahead: int = 32) -> DataFrame:
     """Zero (dataset, timeframe, sc_id and box): each cell is repeated into the later frames that hold
     cells, up to the first with a cell above the threshold (iomin), which is left out.
 
-    The stop comes from box pairs over all later frames; repeated rows are as many as the result has."""
-    key = ["dataset"]
-    later = box_pairs(zero, cells, key).where(F.col("iomin") > threshold)
-    when = later.join(cells.select("dataset", F.col("sc_id").alias("sc_b"), F.col("timeframe").alias("t")), ["dataset", "sc_b"])
+    The stop is searched in the next ``ahead`` frames, then for the cells that have none there in twice as
+    many after these, and so on; repeated rows are as many as the result has."""
+    t = Rounds(zero.sparkSession)
+    box = ["x1", "y1", "x2", "y2"]
     start = zero.select("dataset", "timeframe", F.col("sc_id").alias("sc_a"))
-    stop = when.join(start, ["dataset", "sc_a"]).where("t > timeframe").groupBy("dataset", "sc_a").agg(F.min("t").alias("stop"))
+    left = t.write(zero.select("dataset", F.col("timeframe").alias("__from"), "sc_id", *box), "z0")
+    last, width, k, stops = cells.agg(F.max("timeframe")).first()[0], ahead, 0, None
+    when = cells.select("dataset", F.col("sc_id").alias("sc_b"), F.col("timeframe").alias("t"))
+    while last is not None:
+        block = F.floor(F.col("__from") / width)
+        a = left.withColumn("__b", F.explode(F.array(block, block + 1)))
+        later = box_pairs(a, cells.withColumn("__b", F.floor(F.col("timeframe") / width)), ["dataset", "__b"]).where(F.col("iomin") > threshold)
+        gap = F.col("t") - F.col("__from")
+        hit = later.join(when, ["dataset", "sc_b"]).join(left.select("dataset", F.col("sc_id").alias("sc_a"), "__from"), ["dataset", "sc_a"])
+        hit = hit.where((gap > (width // 2 if k else 0)) & (gap <= width)).groupBy("dataset", "sc_a").agg(F.min("t").alias("stop"))
+        hit = t.write(hit, f"h{k}")
+        stops = hit if stops is None else stops.union(hit)
+        left = t.write(left.where(F.col("__from") + width < last).join(hit.select("dataset", F.col("sc_a").alias("sc_id")), ["dataset", "sc_id"], "left_anti"), f"z{k + 1}")
+        t.drop(f"z{k}")
+        k, width = k + 1, 2 * width
+        if left.isEmpty():
+            break
+    stop = stops if stops is not None else start.select("dataset", "sc_a", F.col("timeframe").alias("stop")).limit(0)
     frames = cells.select("dataset", F.col("timeframe").alias("t")).distinct().groupBy("dataset").agg(F.sort_array(F.collect_set("t")).alias("ts"))
     spans = start.join(stop, ["dataset", "sc_a"], "left").join(frames, "dataset")
     own = F.filter("ts", lambda t: (t >= F.col("timeframe")) & (F.col("stop").isNull() | (t < F.col("stop"))))
