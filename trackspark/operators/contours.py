@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from trackspark.functions import raster
 from trackspark.schema import extended
 
+from .evaluate import covariance, principal_axes
+
 CONTOUR = "array<array<double>>"
 
 
@@ -98,20 +100,14 @@ def mean_contour(df: DataFrame, keys: list[str], contour: str = "contour") -> Da
 
 def shape_modes(df: DataFrame, id_col: str, contour: str = "contour", variance: float = 0.95) -> tuple[DataFrame, np.ndarray]:
     """Positions of contours (of one size) along the shape modes that hold ``variance``: (id, positions,
-    normalized), and the modes. Products come from one aggregate; the matrix of 2n x 2n is solved on the driver."""
+    normalized), and the modes. The matrix of 2n x 2n products is solved on the driver."""
     n = df.select(F.size(contour)).first()[0]
     flat = df.select(id_col, *[F.get(F.get(contour, F.lit(i)), F.lit(k)).alias(f"v{2 * i + k}") for i in range(n) for k in (0, 1)])
     names = [f"v{i}" for i in range(2 * n)]
-    row = flat.agg(*[F.avg(c) for c in names], *[F.covar_samp(names[i], names[j]) for i in range(2 * n) for j in range(i, 2 * n)]).first()
-    mean, cov, at = np.array(row[: 2 * n], float), np.zeros((2 * n, 2 * n)), 2 * n
-    for i in range(2 * n):
-        for j in range(i, 2 * n):
-            cov[i, j] = cov[j, i] = row[at]
-            at += 1
-    values, vectors = np.linalg.eigh(cov)
-    values, vectors = np.clip(values[::-1], 0, None), vectors[:, ::-1]
+    mean, cov = covariance(flat, names)
+    values, vectors = principal_axes(cov)
     k = int(np.searchsorted(np.cumsum(values) / values.sum(), variance - 1e-12) + 1)
-    vectors = vectors[:, :k] * np.sign(vectors[np.abs(vectors[:, :k]).argmax(0), np.arange(k)])
+    vectors = vectors[:, :k]
     centred = F.array(*[F.col(c) - float(m) for c, m in zip(names, mean)])
     along = [F.aggregate(F.zip_with(F.col("__c"), F.array(*map(F.lit, vectors[:, i].tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for i in range(k)]
     spread = [float(np.sqrt(v)) or 1.0 for v in values[:k]]

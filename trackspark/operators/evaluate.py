@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.schema import extended
@@ -34,30 +34,71 @@ def zscore(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, dims: list[str], features: list[str], by_abs: bool = True) -> DataFrame:
-    """(dim, feature, corr, rank from 0) in one pass; NaN counts as missing, pairs need both."""
+    """(dim, feature, corr, rank from 0); NaN counts as missing, pairs need both. Batches of rows become a
+    matrix of each kind of sum; a task gives one row per pair, and these are summed."""
+    names = list(dict.fromkeys([*dims, *features]))
     clean = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-    row = df.agg(*[F.corr(clean(a), clean(b)).alias(f"{a}\x1f{b}") for a in dims for b in features])
-    pairs = F.array(*[F.struct(F.lit(a).alias("dim"), F.lit(b).alias("feature"), F.col(f"`{a}\x1f{b}`").alias("corr")) for a in dims for b in features])
-    long = row.select(F.explode(pairs).alias("p")).select("p.*")
+    mean = df.agg(*[F.avg(clean(c)) for c in names]).first()  # sums about the mean stay small
+    mean = {c: 0.0 if m is None else m for c, m in zip(names, mean)}
+
+    def sums(batches):
+        total = np.zeros((6, len(dims), len(features)))
+        for b in batches:
+            part = lambda cs: np.stack([b[c].to_numpy(float) - mean[c] for c in cs], 1)  # noqa: B023, E731
+            x, y = part(dims), part(features)
+            p, q = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+            x, y = np.nan_to_num(x), np.nan_to_num(y)
+            total += np.stack([p.T @ q, x.T @ q, p.T @ y, (x * x).T @ q, p.T @ (y * y), x.T @ y])
+        yield pd.DataFrame({"dim": np.repeat(dims, len(features)), "feature": np.tile(features, len(dims)), **{k: t.ravel() for k, t in zip(("n", "x", "y", "xx", "yy", "xy"), total)}})
+
+    rows = df.select(*[clean(c).alias(c) for c in names]).mapInPandas(sums, "dim string, feature string, n double, x double, y double, xx double, yy double, xy double")
+    t = rows.groupBy("dim", "feature").agg(*[F.sum(k).alias(k) for k in ("n", "x", "y", "xx", "yy", "xy")])
+    part = lambda a, b, c: F.col(c) - F.try_divide(F.col(a) * F.col(b), F.col("n"))
+    corr = F.try_divide(part("x", "y", "xy"), F.sqrt(part("x", "x", "xx") * part("y", "y", "yy")))
     key = F.abs("corr") if by_abs else F.col("corr")
-    return long.withColumn("rank", F.row_number().over(Window.partitionBy("dim").orderBy(key.desc_nulls_last(), "feature")) - 1)
+    return rank_per_key(t.select("dim", "feature", corr.alias("corr")), ["dim"], key.desc_nulls_last(), "feature")
 
 
-def principal_components(df: DataFrame, columns: list[str], k: int, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """Scores (id, pc1, ...) and explained variance (component, ratio, cumulative). Sums of products
-    come from one aggregate; the small matrix is solved on the driver. The largest loading is positive."""
+def rank_per_key(df: DataFrame, keys: list[str], *order) -> DataFrame:
+    """Features or candidates of each key in order, rank from 0."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+
+
+def covariance(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Means and the sample covariance matrix. Batches of rows become a matrix of products each; what a task has
+    is one row per pair of columns, and these are summed: the driver gets as many rows as the matrix has."""
     n = len(columns)
-    sums = [F.avg(c) for c in columns] + [F.covar_samp(columns[i], columns[j]) for i in range(n) for j in range(i, n)]
-    row = df.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
-    mean, cov, at = np.array(row[:n], float), np.zeros((n, n)), n
-    for i in range(n):
-        for j in range(i, n):
-            cov[i, j] = cov[j, i] = row[at]
-            at += 1
+    row = df.agg(F.count("*"), *[F.avg(c) for c in columns]).first()
+    mean = np.array([x if x is not None else np.nan for x in row[1:]], float)
+
+    def products(batches):
+        total = np.zeros((n, n))
+        for b in batches:
+            v = b[columns].to_numpy(float) - mean
+            total += v.T @ v
+        yield pd.DataFrame({"i": np.repeat(np.arange(n), n), "j": np.tile(np.arange(n), n), "s": total.ravel()})
+
+    sums = df.select(*columns).mapInPandas(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    out = np.zeros((n, n))
+    for i, j, x in sums:
+        out[i, j] = x
+    return mean, out / max(row[0] - 1, 1)
+
+
+def principal_axes(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues of a covariance matrix, the largest first, and vectors as columns; the largest loading of each
+    is positive."""
     values, vectors = np.linalg.eigh(cov)
-    order = np.argsort(values)[::-1]
-    values, vectors = values[order], vectors[:, order]
-    vectors *= np.sign(vectors[np.abs(vectors).argmax(0), np.arange(n)])
+    values, vectors = np.clip(values[::-1], 0, None), vectors[:, ::-1]
+    sign = np.sign(np.take_along_axis(vectors, np.abs(vectors).argmax(0)[None], 0))
+    return values, vectors * np.where(sign == 0, 1, sign)
+
+
+def principal_components(df: DataFrame, columns: list[str], k: int, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Scores (id, pc1, ...) and explained variance (component, ratio, cumulative). The small matrix is
+    solved on the driver. The largest loading is positive."""
+    mean, cov = covariance(df, columns)
+    values, vectors = principal_axes(cov)
     terms = lambda i: reduce(lambda a, b: a + b, [(F.col(c) - float(m)) * float(w) for c, m, w in zip(columns, mean, vectors[:, i])])
     scores = df.select(id_col, *[terms(i).alias(f"pc{i + 1}") for i in range(k)])
     ratio = values / values.sum()
@@ -197,14 +238,22 @@ def evenly_spaced(df: DataFrame, k: int, time: str, id_col: str) -> DataFrame:
     return ranked.where((F.col("__r") % step == 0) & (F.col("__r") < step * k)).drop("__p", "__s", "__n", "__r")
 
 
+def hash_key(column: str | Column, seed: int) -> Column:
+    """A number in 0 .. 2^32 - 1 from a value and a seed, the same in every run: the front of an MD5 digest."""
+    value = F.col(column) if isinstance(column, str) else column
+    text = F.concat_ws(":", value.cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def random_k(df: DataFrame, k: int, id_col: str, seed: int = 0) -> DataFrame:
     """The k rows with the least hash of id and seed; the same in every run."""
-    return df.withColumn("__h", F.xxhash64(F.col(id_col), F.lit(seed))).orderBy("__h", id_col).limit(k).drop("__h")
+    return df.withColumn("__h", hash_key(id_col, seed)).orderBy("__h", id_col).limit(k).drop("__h")
 
 
-def pareto_ranks(df: DataFrame, id_col: str, objectives: list[str], n_fronts: int) -> DataFrame:
+def pareto_ranks(df: DataFrame, id_col: str, objectives: list[str], n_fronts: int, fan: int = 16) -> DataFrame:
     """The first ``n_fronts`` fronts (rank from 1), all objectives maximised. A partition first drops
-    what its own rows dominate too often; what is left is peeled front by front.
+    what its own rows dominate too often; what is left meets in ever fewer partitions, which do the same,
+    and the last is peeled front by front.
 
     A row of front f has a chain of f - 1 rows above it; a row with ``n_fronts`` such above it in its own
     partition cannot be among the first fronts."""
@@ -230,12 +279,14 @@ def pareto_ranks(df: DataFrame, id_col: str, objectives: list[str], n_fronts: in
             yield kept
 
     def last(parts):
-        pdf = pd.concat(list(parts))
-        pdf["pareto_rank"] = peel(pdf[objectives].to_numpy(float))
-        yield pdf[pdf["pareto_rank"] > 0]
+        for pdf in local(parts):
+            yield pdf.assign(pareto_rank=peel(pdf[objectives].to_numpy(float)))
 
-    thin = df.select(id_col, *objectives).mapInPandas(local, schema)
-    return thin.coalesce(1).mapInPandas(last, ranked)
+    thin, parts = df.select(id_col, *objectives).mapInPandas(local, schema), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while parts > 1:
+        parts = -(-parts // fan)
+        thin = thin.repartition(parts).mapInPandas(local if parts > 1 else last, schema if parts > 1 else ranked)
+    return thin if "pareto_rank" in thin.columns else thin.repartition(1).mapInPandas(last, ranked)
 
 
 def _front(v: np.ndarray) -> np.ndarray:
@@ -249,11 +300,13 @@ def _front(v: np.ndarray) -> np.ndarray:
     return front
 
 
-def stratified_split(df: DataFrame, id_col: str, stratum: str, shares: tuple[tuple[str, float], ...] = (("train", 0.7), ("val", 0.15), ("test", 0.15)), seed: int = 0, buckets: int = 64) -> DataFrame:
+def stratified_split(df: DataFrame, id_col: str, stratum: str, shares: tuple[tuple[str, float], ...] = (("train", 0.7), ("val", 0.15), ("test", 0.15)), seed: int = 0, bucket_rows: int = 50_000) -> DataFrame:
     """Rows of each stratum in order of a hash, cut at the shares; a stratum of one row goes to the
-    first part. A stratum is dealt over ``buckets`` by its hash, so a large one is not ranked in one task:
-    counts of buckets and places inside them give the rank."""
-    h = df.withColumn("__h", F.xxhash64(F.col(id_col), F.lit(seed))).withColumn("__b", F.shiftright("__h", 64 - (buckets - 1).bit_length()))
+    first part. A stratum is dealt over as many ranges of the hash as its rows ask for, so a large one is
+    not ranked in one task: counts of ranges and places inside them give the rank."""
+    sizes = df.groupBy(F.col(stratum).alias("__of")).agg(F.ceil(F.count("*") / bucket_rows).alias("__k"))
+    h = df.withColumn("__h", hash_key(id_col, seed)).join(sizes, F.col(stratum).eqNullSafe(F.col("__of")))
+    h = h.withColumn("__b", F.shiftright(F.col("__h") * F.col("__k"), 32)).drop("__of", "__k")
     per = h.groupBy(stratum, "__b").agg(F.count("*").alias("__c"))
     w = Window.partitionBy(stratum)
     before = w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

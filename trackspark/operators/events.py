@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackspark.schema import extended
 
+from .evaluate import hash_key
 from .tracks import TRACK
 
 
@@ -88,11 +89,12 @@ def sample_clips(cells: DataFrame, n: int, lengths: tuple[int, int] = (6, 10), s
     w = Window.partitionBy(*TRACK).orderBy("timeframe")
     k = F.row_number().over(w) - 1
     rows = cells.select(*TRACK, "timeframe", "sc_id", k.alias("k"), F.count("*").over(Window.partitionBy(*TRACK)).alias("n"))
-    off = F.pmod(F.xxhash64(*TRACK, F.lit(seed)), F.lit(block))
+    drawn = lambda *parts: hash_key(F.concat_ws(",", *[F.col(c).cast("string") for c in parts]), seed)
+    off = drawn(*TRACK) % block
     rows = rows.withColumn("b", F.floor((F.col("k") + off) / block).cast("long")).withColumn("in", F.pmod(F.col("k") + off, F.lit(block)))
-    h = F.xxhash64(*TRACK, "b", F.lit(seed + 1))
-    length = (lo + F.pmod(h, F.lit(hi - lo))).cast("int")
-    start = F.pmod(F.shiftright(h, 20), block - length + 1)
+    h = drawn(*TRACK, "b")
+    length = (lo + h % (hi - lo)).cast("int")
+    start = F.shiftright(h, 12) % (block - length + 1)
     rows = rows.withColumn("h", h).withColumn("length", length).withColumn("s", start).where((F.col("in") >= F.col("s")) & (F.col("in") < F.col("s") + F.col("length")) & (F.col("n") > F.col("length")))
     if excluded is not None:
         rows = rows.join(excluded.select("sc_id").distinct().withColumn("x", F.lit(1)), "sc_id", "left")
@@ -107,25 +109,44 @@ def stay_points(cells: DataFrame, features: list[str], radius: float, least_fram
     """Per track points where its feature path stays. The density of a row is the number of the track's
     rows within ``radius`` (Minkowski distance of that order); rows are taken by falling density, and one is a
     stay point if rows around it in time, without a break, stay within the radius for ``least_frames`` rows
-    and no earlier stay point is that near. A track is one group."""
+    and no earlier stay point is that near. A track is one group; memory is linear in its rows."""
     need = cells.select(*TRACK, "timeframe", *[F.col(f).cast("double").alias(f) for f in features])
     out = extended(need.select(*TRACK, "timeframe").schema, density="int", duration="int")
 
     def search(track: pd.DataFrame) -> pd.DataFrame:
         track = track.sort_values("timeframe")
         v = track[features].to_numpy()
-        near = (np.abs(v[:, None] - v[None]) ** order).sum(2) ** (1 / order) <= radius
-        density, found = near.sum(1), []
+        first = np.argsort(v[:, 0], kind="stable")  # rows near in all features are near in the first
+        reach = radius + 1e-9 * (radius + np.abs(v[:, 0]))  # a little more, for what rounding leaves out
+        lo, hi = np.searchsorted(v[first, 0], v[:, 0] - reach, "left"), np.searchsorted(v[first, 0], v[:, 0] + reach, "right")
+
+        def near(k: int, rows: np.ndarray) -> np.ndarray:
+            return (np.abs(v[rows] - v[k]) ** order).sum(1) ** (1 / order) <= radius
+
+        density = np.array([near(k, first[lo[k] : hi[k]]).sum() for k in range(len(v))], np.int64)
+
+        def run(k: int, step: int) -> int:
+            """Rows in time from k on, in steps of 64, until one is not near."""
+            n = 0
+            while True:
+                rows = np.arange(k + step * (n + 1), k + step * (n + 65), step)
+                rows = rows[(rows >= 0) & (rows < len(v))]
+                away = np.flatnonzero(~near(k, rows))
+                if len(away) or len(rows) < 64:
+                    return n + (int(away[0]) if len(away) else len(rows))
+                n += 64
+
+        found, points = [], np.zeros(0, np.int64)
         for k in np.argsort(-density, kind="stable"):
-            away = np.flatnonzero(~near[k])
-            left, right = away[away < k].max(initial=-1), away[away > k].min(initial=len(v))
-            stay = int(right - left - 1)
-            if stay >= least_frames and not near[k, [f[0] for f in found]].any():
-                found.append((k, int(density[k]), stay))
+            if len(points) and near(k, points).any():
+                continue
+            stay = run(k, -1) + 1 + run(k, 1)
+            if stay >= least_frames:
+                found.append((int(density[k]), stay))
+                points = np.append(points, k)
         if not found:
             return track.iloc[:0].assign(density=0, duration=0)[[f.name for f in out.fields]]
-        at = [f[0] for f in found]
-        return track.iloc[at].assign(density=[f[1] for f in found], duration=[f[2] for f in found])[[f.name for f in out.fields]]
+        return track.iloc[points].assign(density=[f[0] for f in found], duration=[f[1] for f in found])[[f.name for f in out.fields]]
 
     return need.groupBy(*TRACK).applyInPandas(search, out)
 

@@ -426,7 +426,11 @@ def pixels_of_images(images: DataFrame, values: str = "values") -> DataFrame:
 
 
 def images_of_pixels(pixels: DataFrame, keys: list[str], h: int, w: int, value: str = "value") -> DataFrame:
-    """Pixels as image rows, 0 where there is none. An image is one row, so one group."""
-    m = F.map_from_entries(F.collect_list(F.struct((F.col("r") * w + F.col("c")).cast("int"), F.col(value).cast("double"))))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda k: F.coalesce(F.element_at("__m", k), F.lit(0.0)))
-    return pixels.groupBy(*keys).agg(m.alias("__m")).select(*keys, F.lit(h).alias("h"), F.lit(w).alias("w"), dense.alias("values"))
+    """Pixels as image rows, 0 where there is none. An image is one row, so one group. Sorted pixels take
+    turns with the zeros between them, so the work is linear in the image's size."""
+    at = (F.col("r") * w + F.col("c")).cast("int")
+    m = F.sort_array(F.collect_list(F.struct(at.alias("k"), F.col(value).cast("double").alias("v")))).alias("__m")
+    zeros = lambda n: F.array_repeat(F.lit(0.0), F.greatest(n, F.lit(0)))
+    runs = F.expr("transform(__m, (x, i) -> concat(array_repeat(0.0D, x.k - coalesce(get(__m, i - 1).k, -1) - 1), array(x.v)))")
+    tail = zeros(F.lit(h * w - 1) - F.coalesce(F.get("__m", F.size("__m") - 1)["k"], F.lit(-1)))
+    return pixels.groupBy(*keys).agg(m).select(*keys, F.lit(h).alias("h"), F.lit(w).alias("w"), F.concat(F.flatten(runs), tail).alias("values"))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trackspark.functions.kalman import BoxTracker
@@ -24,9 +25,11 @@ def live_tracks(detections: DataFrame, delay: str = "10 minutes", max_age: int =
 
     A movie is a key. Detections wait in its state until the watermark has passed their time, then whole
     frames go through the tracker in order; frames without detections age the tracks. A frame at or before
-    the last one done is late: it is counted and dropped, as the tracker cannot go back. Rows of kind
-    'cell' carry the track of a detection, 'end' the number of cells of a track that expired, 'late' the
-    number of late detections of a batch. State holds live trackers and waiting detections only.
+    the last one done is late and dropped, as the tracker cannot go back: Spark drops detections that are
+    older than the watermark (``dropped_late`` counts them), and what is newer but of a frame that is done is
+    counted here. Rows of kind 'cell' carry the track of a detection, 'end' the number of cells of a track
+    that expired, 'late' the number of late detections of a batch. State holds live trackers and waiting
+    detections only.
     """
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -104,10 +107,19 @@ def closed(detections: DataFrame, delay: str) -> DataFrame:
     return detections.unionByName(end.where("ts IS NOT NULL"), allowMissingColumns=True)
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there and returns the rows (for tests and replays), which it writes as
-    Parquet beside the checkpoint."""
-    at = f"{checkpoint}_rows"
-    q = stream.writeStream.format("parquet").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(at)
+def dropped_late(query: StreamingQuery) -> int:
+    """Detections that a query has dropped so far as older than the watermark."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+
+
+def run_once(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
+    """Runs a stream over what is there; its rows go to Parquet beside the checkpoint."""
+    q = stream.writeStream.format("parquet").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(f"{checkpoint}_rows")
     q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(at)
+    return q
+
+
+def run_to_table(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
+    """``run_once``, and all rows so far (for tests and replays)."""
+    run_once(stream, name, checkpoint)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{checkpoint}_rows")
