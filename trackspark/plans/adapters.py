@@ -13,9 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as detections: a user is a track, an hour a frame."""
+    """events as detections: a user is a track, thirty of them a movie, an hour a frame."""
     return table(spark, sf_dir, "events").selectExpr(
-        "user_id % 4 AS dataset",
+        "user_id div 30 AS dataset",
         "user_id AS track_id",
         "CAST(timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) AS INT) AS timeframe",
         "event_id AS sc_id",
@@ -47,7 +47,8 @@ def unique_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(8)], "label")
+    """embeddings as a feature table of 64 columns."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(64)], "label")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +86,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same views for DuckDB, put before each oracle.
 VIEWS = """
 WITH raw_cells AS (
-  SELECT user_id % 4 AS dataset, user_id AS track_id, CAST(date_diff('hour', TIMESTAMP '2024-01-01', ts) AS INTEGER) AS timeframe,
+  SELECT user_id // 30 AS dataset, user_id AS track_id, CAST(date_diff('hour', TIMESTAMP '2024-01-01', ts) AS INTEGER) AS timeframe,
     event_id AS sc_id, value AS area, event_type AS status, event_id * 37 % 960 AS x1, event_id * 91 % 960 AS y1,
     event_id * 37 % 960 + 8 + event_id % 40 AS x2, event_id * 91 % 960 + 8 + event_id % 32 AS y2 FROM events),
 cells AS (SELECT * FROM raw_cells QUALIFY row_number() OVER (PARTITION BY dataset, track_id, timeframe ORDER BY sc_id DESC) = 1),
@@ -94,7 +95,7 @@ tracks AS (SELECT *, span - length AS missing, (span - length) / CAST(span AS DO
   FROM cells GROUP BY ALL)),
 pixels AS (SELECT l_orderkey % 50 AS image, l_suppkey % 20 AS label_a, l_partkey % 20 AS label_b, l_quantity AS value, l_partkey AS r, CAST(l_linenumber AS BIGINT) AS c FROM lineitem),
 upixels AS (SELECT image, r, c, label_a, label_b, value FROM pixels QUALIFY row_number() OVER (PARTITION BY image, r, c ORDER BY label_a, label_b, value) = 1),
-feats AS (SELECT vec_id, """ + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(8)) + """, label FROM embeddings),
+feats AS (SELECT vec_id, """ + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(64)) + """, label FROM embeddings),
 preds AS (SELECT l.doc_id, quality AS label_index, toxic AS prediction, source AS src_dir, n_chars % 4 AS padding, l.doc_id % 20 AS frame_idx
   FROM labels l JOIN documents d USING (doc_id)),
 runs AS (SELECT o_orderpriority AS strategy, o_custkey % 5 AS run_id, o_totalprice / 600000 AS test_iou, o_orderkey % 100 AS labeled_samples,

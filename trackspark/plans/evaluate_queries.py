@@ -9,7 +9,7 @@ from trackspark.operators import evaluate as ev
 from .adapters import cells, features, predictions, runs, unique_pixels
 from .base import query
 
-FS = [f"f{i}" for i in range(8)]
+FS = [f"f{i}" for i in range(64)]
 
 
 def r(*names, digits=6):
@@ -28,13 +28,19 @@ def a40(s, d):
 
 @query(
     "a14_correlations",
-    "WITH c AS (" + " UNION ALL ".join(f"SELECT 'f{i}' AS dim, 'f{j}' AS feature, corr(f{i}, f{j}) AS corr FROM feats" for i in range(3) for j in range(3, 8)) + ") SELECT dim, feature, round(corr, 6) AS corr, row_number() OVER (PARTITION BY dim ORDER BY abs(corr) DESC, feature) - 1 AS rank FROM c",
+    "WITH c AS (" + " UNION ALL ".join(f"SELECT 'f{i}' AS dim, 'f{j}' AS feature, corr(f{i}, f{j}) AS corr FROM feats" for i in range(3) for j in range(3, 64)) + ") SELECT dim, feature, round(corr, 6) AS corr, row_number() OVER (PARTITION BY dim ORDER BY abs(corr) DESC, feature) - 1 AS rank FROM c",
 )
 def a14(s, d):
     c = ev.correlations(features(s, d), FS[:3], FS[3:])
     return c.select("dim", "feature", *r("corr"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("w13_rank_per_key", "SELECT track_id, sc_id, area, row_number() OVER (PARTITION BY dataset, track_id ORDER BY area DESC, sc_id) - 1 AS rank FROM cells")
+def w13(s, d):
+    c = ev.rank_per_key(cells(s, d), ["dataset", "track_id"], F.desc("area"), "sc_id")
+    return c.select("track_id", "sc_id", "area", F.col("rank").cast("long").alias("rank"))
+
+
 @query("a15_pca_variance")
 def a15(s, d):
     return ev.principal_components(features(s, d), FS, 5, "vec_id")[1]
@@ -157,7 +163,11 @@ def o3(s, d):
     return ev.evenly_spaced(cells(s, d), 40, "timeframe", "sc_id").select("sc_id", "timeframe")
 
 
-@query("o4_random_k")
+def hashed(column: str, seed: int) -> str:
+    return f"CAST('0x' || substr(md5(CAST({column} AS VARCHAR) || ':{seed}'), 1, 8) AS BIGINT)"
+
+
+@query("o4_random_k", f"SELECT sc_id, area FROM cells ORDER BY {hashed('sc_id', 7)}, sc_id LIMIT 100")
 def o4(s, d):
     return ev.random_k(cells(s, d).select("sc_id", "area"), 100, "sc_id", 7)
 
@@ -170,17 +180,30 @@ def o5(s, d):
     return ev.pareto_ranks(features(s, d), "vec_id", ["f0", "f1"], 3).where("pareto_rank = 1").select("vec_id", "pareto_rank")
 
 
-@query("o5_pareto_ranks")
+FRONT = "SELECT a.* FROM {0} a WHERE NOT EXISTS (SELECT 1 FROM {0} b WHERE b.f0 >= a.f0 AND b.f1 >= a.f1 AND b.f2 >= a.f2 AND (b.f0 > a.f0 OR b.f1 > a.f1 OR b.f2 > a.f2))"
+
+
+@query(
+    "o5_pareto_ranks",
+    f"""WITH p1 AS (SELECT vec_id, f0, f1, f2 FROM feats), r1 AS ({FRONT.format('p1')}), p2 AS (SELECT * FROM p1 WHERE vec_id NOT IN (SELECT vec_id FROM r1)), r2 AS ({FRONT.format('p2')}),
+    p3 AS (SELECT * FROM p2 WHERE vec_id NOT IN (SELECT vec_id FROM r2)), r3 AS ({FRONT.format('p3')})
+    SELECT *, 1 AS pareto_rank FROM r1 UNION ALL SELECT *, 2 FROM r2 UNION ALL SELECT *, 3 FROM r3""",
+)
 def o5_ranks(s, d):
     return ev.pareto_ranks(features(s, d), "vec_id", ["f0", "f1", "f2"], 3)
 
 
-@query("o6_stratified_split")
+def split_sql(table: str, id_col: str, stratum: str, rule: str) -> str:
+    return f"""SELECT {id_col}, {stratum}, CASE WHEN n = 1 THEN 'train' {rule} END AS split FROM (SELECT {id_col}, {stratum}, count(*) OVER (PARTITION BY {stratum}) AS n,
+      (row_number() OVER (PARTITION BY {stratum} ORDER BY {hashed(id_col, 0)}, {id_col}) - 1) / CAST(count(*) OVER (PARTITION BY {stratum}) AS DOUBLE) AS p FROM {table})"""
+
+
+@query("o6_stratified_split", split_sql("cells", "sc_id", "status", "WHEN p < 0.7 THEN 'train' WHEN p < 0.7::DOUBLE + 0.15::DOUBLE THEN 'val' ELSE 'test'"))
 def o6(s, d):
     return ev.stratified_split(cells(s, d).select("sc_id", "status"), "sc_id", "status")
 
 
-@query("o7_class_split")
+@query("o7_class_split", split_sql("preds", "doc_id", "label_index", "WHEN p < 0.8 THEN 'train' ELSE 'test'"))
 def o7(s, d):
     return ev.stratified_split(predictions(s, d).select("doc_id", "label_index"), "doc_id", "label_index", (("train", 0.8), ("test", 0.2)))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackspark.operators import contours as co
@@ -21,13 +22,18 @@ def r(*names, digits=6):
     return [F.round(n, digits).alias(n) for n in names]
 
 
+H, W = 96, 64  # places of an image; about 64 of its rows are filled
+
+
 def grid(s, d):
-    """lineitem as images of 64 x 64: the latest value of a place, two labels."""
-    p = table(s, d, "lineitem").selectExpr("l_orderkey % 20 AS image", "l_partkey % 64 AS r", "l_suppkey * 7 % 64 AS c", "l_quantity AS value", "1 + l_linenumber % 3 AS label", "l_orderkey * 10 + l_linenumber AS k")
-    return p.groupBy("image", "r", "c").agg(F.max(F.struct("k", "value", "label")).alias("q")).select("image", "r", "c", "q.value", F.col("q.label").cast("long").alias("label"))
+    """lineitem as images: a thousand orders each, their items row by row, so that every item is a pixel."""
+    p = table(s, d, "lineitem").selectExpr("l_orderkey div 1024 AS image", "l_quantity AS value", "1 + l_linenumber % 3 AS label", "struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS k")
+    p = p.withColumn("at", F.row_number().over(Window.partitionBy("image").orderBy("k")) - 1)
+    return p.select("image", F.expr(f"CAST(at div {W} AS BIGINT)").alias("r"), F.expr(f"CAST(at % {W} AS BIGINT)").alias("c"), "value", F.col("label").cast("long").alias("label"))
 
 
-GRID = "grid AS (SELECT image, r, c, value, label FROM (SELECT l_orderkey % 20 AS image, l_partkey % 64 AS r, l_suppkey * 7 % 64 AS c, l_quantity AS value, CAST(1 + l_linenumber % 3 AS BIGINT) AS label, l_orderkey * 10 + l_linenumber AS k FROM lineitem) QUALIFY row_number() OVER (PARTITION BY image, r, c ORDER BY k DESC, value DESC, label DESC) = 1)"
+GRID = f"""items AS (SELECT l_orderkey // 1024 AS image, l_quantity AS value, CAST(1 + l_linenumber % 3 AS BIGINT) AS label,
+  row_number() OVER (PARTITION BY l_orderkey // 1024 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS k FROM lineitem), grid AS (SELECT image, k // {W} AS r, k % {W} AS c, value, label FROM items)"""
 
 
 @query(
@@ -95,15 +101,28 @@ def f13(s, d):
     return co.contour_distances(p, "a", "b").select("sc_id", *r("distance"))
 
 
-@query("f19_rigid_align")
+@query(
+    "f19_rigid_align",
+    """WITH p AS (SELECT sc_id, sc_id % 7 AS k, unnest([[x1, y1], [x1 + 3, y2], [x2, y2 - 2], [x2 - 1, y1]]) AS a FROM cells), q AS (SELECT sc_id, a[1]::DOUBLE AS ar, a[2]::DOUBLE AS ac, -a[2]::DOUBLE * 1.1 + 5 AS br, a[1]::DOUBLE + k AS bc FROM p),
+    m AS (SELECT sc_id, ar - avg(ar) OVER w AS ar, ac - avg(ac) OVER w AS ac, br - avg(br) OVER w AS br, bc - avg(bc) OVER w AS bc FROM q WINDOW w AS (PARTITION BY sc_id))
+    SELECT sc_id, round(sqrt(greatest(sum(ar * ar + ac * ac + br * br + bc * bc) - 2 * sqrt(sum(ar * br + ac * bc) ** 2 + sum(ar * bc - ac * br) ** 2), 0) / count(*)), 6) AS distance FROM m GROUP BY sc_id""",
+)
 def f19(s, d):
-    c = shapes(s, d).select("sc_id", F.col("contour").alias("a")).withColumn("b", F.transform("a", lambda p: F.array(-F.get(p, F.lit(1)) + 5, F.get(p, F.lit(0)) + F.col("sc_id") % 7)))
+    c = shapes(s, d).select("sc_id", F.col("contour").alias("a")).withColumn("b", F.transform("a", lambda p: F.array(-F.get(p, F.lit(1)) * 1.1 + 5, F.get(p, F.lit(0)) + F.col("sc_id") % 7)))
     return co.rigid_aligned(c, "a", "b").select("sc_id", F.round("distance", 6).alias("distance"))
 
 
-@query("f20_resample")
+@query(
+    "f20_resample",
+    """WITH p AS (SELECT sc_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS p FROM (SELECT sc_id, [[x1, y1], [x1 + 3, y2], [x2, y2 - 2], [x2 - 1, y1]] AS ps FROM cells)),
+    n AS (SELECT sc_id, i, p[1]::DOUBLE AS r, p[2]::DOUBLE AS c, coalesce(lead(p) OVER w, first_value(p) OVER w) AS q FROM p WINDOW w AS (PARTITION BY sc_id ORDER BY i)),
+    l AS (SELECT *, sqrt((q[1] - r) ** 2 + (q[2] - c) ** 2) AS len FROM n), a AS (SELECT *, sum(len) OVER (PARTITION BY sc_id ORDER BY i) AS upto, sum(len) OVER (PARTITION BY sc_id) AS total FROM l),
+    s AS (SELECT *, coalesce(lag(upto) OVER (PARTITION BY sc_id ORDER BY i), 0) AS start FROM a)
+    SELECT sc_id, CAST(k AS INTEGER) AS k, round(r + (q[1] - r) * (k * total / 12 - start) / len, 5) AS r, round(c + (q[2] - c) * (k * total / 12 - start) / len, 5) AS c FROM s, range(12) t(k) WHERE k * total / 12 >= start AND k * total / 12 < upto""",
+)
 def f20(s, d):
-    return shapes(s, d).select("sc_id", co.resampled(F.col("contour"), 12).alias("contour"))
+    p = shapes(s, d).select("sc_id", F.posexplode(co.resampled(F.col("contour"), 12)).alias("k", "p"))
+    return p.select("sc_id", "k", *[F.round(F.get("p", F.lit(i)), 5).alias(n) for i, n in enumerate("rc")])
 
 
 @query("x1_user_features", "SELECT CAST(sc_id AS VARCHAR) AS sc_id, CAST((x2 - x1) * (y2 - y1) AS DOUBLE) AS box_area FROM cells")
@@ -156,7 +175,13 @@ def x4(s, d):
     return im.keep_above_percentile(grid(s, d), KEY, 90, scale=2.0).select("image", "r", "c", "kept")
 
 
-@query("x5_distance_map")
+#: The nearest place outside a label is at most this far in these images
+REACH = 12
+DISTANCE = f"""{GRID}, step AS (SELECT dr.i - {REACH} AS dr, dc.i - {REACH} AS dc FROM range({2 * REACH + 1}) dr(i), range({2 * REACH + 1}) dc(i)),
+    dist AS (SELECT a.image, a.label, a.r, a.c, sqrt(min(CASE WHEN b.label IS NULL OR b.label <> a.label THEN dr * dr + dc * dc END)) AS distance FROM grid a CROSS JOIN step LEFT JOIN grid b ON b.image = a.image AND b.r = a.r + dr AND b.c = a.c + dc GROUP BY ALL)"""
+
+
+@query("x5_distance_map", f"WITH {DISTANCE} SELECT * FROM dist")
 def x5(s, d):
     return im.distance_map(grid(s, d), KEY)
 
@@ -171,7 +196,7 @@ def x7(s, d):
     return im.resized_labels(grid(s, d), KEY, 0.05)
 
 
-@query("x8_weight_map")
+@query("x8_weight_map", f"WITH {DISTANCE} SELECT image, label, r, c, round(20 * exp(-(greatest(distance - 1, 0) ** 2) / 128), 6) AS weight FROM dist")
 def x8(s, d):
     return im.weight_map(grid(s, d), KEY).select("image", "r", "c", "label", *r("weight"))
 
@@ -199,14 +224,14 @@ def x11(s, d):
     return im.piece_counts(grid(s, d), KEY)
 
 
-@query("x12_tiles", f"WITH {GRID}, t AS (SELECT unnest([0, 25, 39]) AS t) SELECT image, r, c, CAST(a.t AS BIGINT) AS tile_r, CAST(b.t AS BIGINT) AS tile_c FROM grid JOIN t a ON r >= a.t AND r < a.t + 25 AND (a.t <> 39 OR r >= 39) JOIN t b ON c >= b.t AND c < b.t + 25")
+@query("x12_tiles", f"WITH {GRID}, u AS (SELECT unnest([0, 25, 50, 71]) AS t), t AS (SELECT unnest([0, 25, 39]) AS t) SELECT image, r, c, CAST(a.t AS BIGINT) AS tile_r, CAST(b.t AS BIGINT) AS tile_c FROM grid JOIN u a ON r >= a.t AND r < a.t + 25 JOIN t b ON c >= b.t AND c < b.t + 25")
 def x12(s, d):
-    return im.cut_tiles(grid(s, d), 64, 64, 25, 25).select("image", "r", "c", "tile_r", "tile_c")
+    return im.cut_tiles(grid(s, d), H, W, 25, 25).select("image", "r", "c", "tile_r", "tile_c")
 
 
-@query("x13_crop_pad", f"WITH {GRID} SELECT image, r - 7 AS r, c + 3 AS c, value FROM grid WHERE r - 7 BETWEEN 0 AND 49")
+@query("x13_crop_pad", f"WITH {GRID} SELECT image, r - 23 AS r, c + 3 AS c, value FROM grid WHERE r - 23 BETWEEN 0 AND 49")
 def x13(s, d):
-    return im.crop_or_pad(grid(s, d), 64, 64, 50, 71).select("image", "r", "c", "value")
+    return im.crop_or_pad(grid(s, d), H, W, 50, 71).select("image", "r", "c", "value")
 
 
 @query("x14_media_rows", "WITH c AS (SELECT class, clip AS sample_id, clip % 7 AS track_id, min(timeframe) AS a, max(timeframe) AS b FROM clips GROUP BY ALL) SELECT CAST(CASE class WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE -1 END AS INTEGER) AS label_index, 'media/' || class || '/' || sample_id || '_trackid-' || track_id || '_' || a || '-' || b || '_pad-' || p || '_' || f || '.mp4' AS path FROM c, unnest([10, 20]) u(p), unnest(['raw', 'mask']) v(f)")
@@ -215,9 +240,9 @@ def x14(s, d):
     return im.media_rows(c, (10, 20), ("raw", "mask"), ["user", "assistant"]).select("label_index", "path")
 
 
-@query("s15_images_pixels", f"WITH {GRID}, a AS (SELECT DISTINCT image FROM grid) SELECT a.image, CAST(r.r AS BIGINT) AS r, CAST(c.c AS BIGINT) AS c, coalesce(g.value, 0.0) AS value FROM a, range(64) r(r), range(64) c(c) LEFT JOIN grid g ON g.image = a.image AND g.r = r.r AND g.c = c.c")
+@query("s15_images_pixels", f"WITH {GRID}, a AS (SELECT DISTINCT image FROM grid) SELECT a.image, CAST(r.r AS BIGINT) AS r, CAST(c.c AS BIGINT) AS c, coalesce(g.value, 0.0) AS value FROM a, range(96) r(r), range(64) c(c) LEFT JOIN grid g ON g.image = a.image AND g.r = r.r AND g.c = c.c")
 def s15(s, d):
-    return im.pixels_of_images(im.images_of_pixels(grid(s, d), KEY, 64, 64))
+    return im.pixels_of_images(im.images_of_pixels(grid(s, d), KEY, H, W))
 
 
 @query("x15_scoring", "SELECT sc_id, area * 2 + 1 AS score FROM cells")
@@ -257,14 +282,42 @@ def g16(s, d):
     return evs.stay_points(cells(s, d), ["area"], 5.0, 3)
 
 
-@query("g17_fusion_types")
+#: The rules of the table, over lists of labels
+TYPED = """WITH e AS (SELECT event_id // 4 AS event_id, struct_pack(label := event_id, single := (event_id % 10) / 10.0::DOUBLE, fragment := (event_id % 7) / 10.0::DOUBLE, multi := (event_id % 8) / 10.0::DOUBLE, n := event_id % 9, flag := event_id % 11 % 3, area := value + 1) AS m FROM events),
+    g AS (SELECT event_id, list(m ORDER BY m.label) AS ms FROM e GROUP BY event_id),
+    h AS (SELECT event_id, ms[1] AS hub, list_transform(ms[2:2 + event_id % 3], lambda x: struct_pack(label := x.label, sure := x.n > 5 OR x.flag IN (1, 2), single := x.n > 5 OR x.flag IN (1, 2) OR x.single >= x.fragment, n := x.n, flag := x.flag, area := x.area)) AS m FROM g),
+    v AS (SELECT event_id, hub, m, CASE WHEN hub.single >= CASE WHEN hub.n > 5 THEN 0 ELSE hub.multi END THEN 'single' ELSE 'multi' END AS hub_type, hub.n > 5 AS sure, [hub.label] AS own, list_transform(m, lambda x: x.label) AS every,
+      list_transform(list_filter(m, lambda x: NOT x.single), lambda x: x.label) AS fragments, list_transform(list_filter(m, lambda x: NOT x.sure), lambda x: x.label) AS unsure, len(list_filter(m, lambda x: x.single)) AS s, len(list_filter(m, lambda x: x.sure)) AS u FROM h),
+    w AS (SELECT *, CASE WHEN s > 1 THEN own || fragments WHEN u = 1 THEN own || unsure ELSE own || every END AS multi_rule FROM v),
+    x AS (SELECT *, CASE WHEN hub_type = 'multi' THEN multi_rule WHEN s <= 1 THEN fragments WHEN sure AND u = 0 THEN every WHEN sure AND u = 1 THEN unsure WHEN sure THEN {many} WHEN u = 0 THEN own || every WHEN u = 1 THEN own || unsure ELSE own || fragments END AS rule FROM w)"""
+LISTED = "array_to_string(list_sort({0}), ',')"
+FUSED = "len(m) = 2 AND list_sum(list_transform(m, lambda x: x.flag)) > 1 AND 1 - abs(m[1].area - m[2].area) / (m[1].area + m[2].area) > 0.8"
+SPLIT = "hub.flag = 2 OR len(list_filter(m, lambda x: x.flag > 0)) > 0 OR (sure AND len(m) = 2 AND len(list_filter(m, lambda x: x.n > 5)) = 2)"
+
+
+def typed(s, d, kind):
+    t = evs.typed_events(merge_events(s, d), kind)
+    return t.select("event_id", "hub_type", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("discard", "division")])
+
+
+@query(
+    "g17_fusion_types",
+    TYPED.replace("{many}", "CASE WHEN hub.n < list_max(list_transform(m, lambda x: x.n)) THEN own ELSE every END")
+    + f" SELECT event_id, hub_type, {LISTED.format('rule')} AS discard, CASE WHEN {FUSED} THEN {LISTED.format('own || every')} END AS division FROM x",
+)
 def g17(s, d):
-    return evs.typed_events(merge_events(s, d), "fusion").select("event_id", "hub_type", "discard", "division")
+    return typed(s, d, "fusion")
 
 
-@query("g17_split_types")
+@query(
+    "g17_split_types",
+    TYPED.replace("{many}", "[]")
+    + f""", y AS (SELECT *, {SPLIT} AS candidate FROM x)
+    SELECT event_id, hub_type, {LISTED.format("CASE WHEN NOT candidate THEN rule WHEN hub_type = 'single' THEN fragments ELSE multi_rule END")} AS discard,
+    CASE WHEN candidate OR (hub_type = 'single' AND s > 1 AND sure AND u > 1) THEN {LISTED.format('own || every')} END AS division FROM y""",
+)
 def g17_split(s, d):
-    return evs.typed_events(merge_events(s, d), "split").select("event_id", "hub_type", "discard", "division")
+    return typed(s, d, "split")
 
 
 def merge_events(s, d):
@@ -275,7 +328,17 @@ def merge_events(s, d):
     return g.select("event_id", F.get("ms", F.lit(0)).alias("hub"), F.slice("ms", F.lit(2), F.expr("CAST(1 + event_id % 3 AS INT)")).alias("members"))
 
 
-@query("o8_sample_clips")
+def drawn(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text} || ':3'), 1, 8) AS BIGINT)"
+
+
+@query(
+    "o8_sample_clips",
+    f"""WITH k AS (SELECT dataset, track_id, timeframe, sc_id, status = 'error' AND sc_id % 5 = 0 AS x, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY dataset, track_id) AS n, {drawn("dataset || ',' || track_id")} % 9 AS o FROM cells WINDOW w AS (PARTITION BY dataset, track_id ORDER BY timeframe)),
+    b AS (SELECT *, (k + o) // 9 AS b, (k + o) % 9 AS i FROM k), h AS (SELECT *, {drawn("dataset || ',' || track_id || ',' || b")} AS h FROM b), l AS (SELECT *, 6 + h % 4 AS l FROM h), s AS (SELECT *, (h >> 12) % (9 - l + 1) AS s FROM l),
+    c AS (SELECT dataset, track_id, b, h, l, min(timeframe) AS start_time, max(timeframe) AS end_time FROM s WHERE i >= s AND i < s + l AND n > l GROUP BY ALL HAVING count(*) = l AND count(*) FILTER (x) = 0)
+    SELECT dataset, track_id, start_time, end_time, CAST(l AS BIGINT) AS n_cells FROM c ORDER BY h, dataset, track_id, b LIMIT 200""",
+)
 def o8(s, d):
     c = cells(s, d)
     return evs.sample_clips(c, 200, (6, 10), 3, c.where("status = 'error' AND sc_id % 5 = 0"))

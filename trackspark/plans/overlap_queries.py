@@ -11,7 +11,7 @@ from trackspark.operators import overlap as ov
 from trackspark.operators import tracks as tr
 
 from .adapters import cells, lineage, pixels, table, unique_pixels
-from .base import query
+from .base import live_sql, query
 
 KEY = ["image"]
 
@@ -111,14 +111,26 @@ def j7(s, d):
     return lk.gap_pairs(tracklets(s, d), 3).select("dataset", "a", "b", *r("score", digits=4))
 
 
-@query("j8_division_triples")
+SISTERS = f"""{TRACKLETS}, {ENDS}, near AS (SELECT a.dataset, a.s AS "start", a.track_id AS a, b.track_id AS b, sqrt((a.fx - b.fx) ** 2 + (a.fy - b.fy) ** 2) AS distance, 1 - abs(a.fa - b.fa) / (a.fa + b.fa) AS similarity, (a.fx + b.fx) / 2 AS mx, (a.fy + b.fy) / 2 AS my
+    FROM ends a JOIN ends b ON a.dataset = b.dataset AND a.s = b.s AND a.track_id < b.track_id),
+  ordered AS (SELECT dataset, "start", list(struct_pack(a := a, b := b) ORDER BY similarity DESC, a, b) AS ps FROM near WHERE distance <= 400 AND similarity >= 0.7 GROUP BY ALL),
+  taken AS (SELECT dataset, "start", unnest(list_reduce(list_transform(ps, lambda p: [p]), lambda t, p: CASE WHEN len(list_filter(t, lambda x: x.a IN (p[1].a, p[1].b) OR x.b IN (p[1].a, p[1].b))) > 0 THEN t ELSE list_concat(t, p) END)) AS p FROM ordered),
+  sis AS (SELECT near.* FROM near JOIN taken ON near.dataset = taken.dataset AND near."start" = taken."start" AND a = p.a AND b = p.b)"""
+
+
+@query(
+    "j8_division_triples",
+    f"""WITH {SISTERS}, m AS (SELECT sis.*, e.track_id AS parent, sqrt((mx - lx) ** 2 + (my - ly) ** 2) AS parent_distance FROM sis JOIN ends e ON e.dataset = sis.dataset AND e.e + 1 = sis."start")
+    SELECT dataset, "start", parent, a, b, round(distance, 6) AS distance, round(similarity, 6) AS similarity, round(parent_distance, 6) AS parent_distance
+    FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY dataset, "start", a, b ORDER BY parent_distance, parent) = 1) WHERE parent_distance < 400 - distance""",
+)
 def j8(s, d):
-    return lk.division_triples(tracklets(s, d), 200, 0.7)
+    return lk.division_triples(tracklets(s, d), 200, 0.7).select("dataset", "start", "parent", "a", "b", *r("distance", "similarity", "parent_distance"))
 
 
-@query("j9_sister_pairs")
+@query("j9_sister_pairs", f'WITH {SISTERS} SELECT dataset, "start", a, b, round(distance, 6) AS distance, round(similarity, 6) AS similarity FROM sis')
 def j9(s, d):
-    return lk.sister_pairs(tracklets(s, d), 200, 0.7)
+    return lk.sister_pairs(tracklets(s, d), 200, 0.7).select("dataset", "start", "a", "b", *r("distance", "similarity"))
 
 
 @query("j10_object_info", "SELECT dataset, timeframe, sc_id, area, x1 FROM cells WHERE status = 'error'")
@@ -352,17 +364,21 @@ def g6(s, d):
     return ov.link_types(links, o, KEY).select("image", "label_a", "label_b", "mol_type")
 
 
-@query(
-    "g7_false_links",
-    f"""WITH {TYPES}, na AS (SELECT image, label_a AS best_a, count(*) AS n, min(mol_type) AS m FROM ty GROUP BY ALL), nb AS (SELECT image, label_b AS best_b, count(*) AS n, min(mol_type) AS m FROM ty GROUP BY ALL),
-    j AS (SELECT ty.*, best_a IS NOT NULL AND na.n IS NULL AS fa, best_b IS NOT NULL AND nb.n IS NULL AS fb, CASE WHEN na.n = 1 THEN na.m ELSE 0 END AS ka, CASE WHEN nb.n = 1 THEN nb.m ELSE 0 END AS kb FROM ty LEFT JOIN na USING (image, best_a) LEFT JOIN nb USING (image, best_b))
-    SELECT image, label_a, label_b, mol_type, CASE mol_type WHEN 0 THEN FALSE WHEN 1 THEN fa WHEN 2 THEN fb ELSE fa OR fb OR ka = 3 OR kb = 3 OR (ka > 0 AND kb > 0) END AS false_link FROM j""",
-)
+FALSE_LINKS = f"""{TYPES}, na AS (SELECT image, label_a AS best_a, count(*) AS n, min(mol_type) AS m FROM ty GROUP BY ALL), nb AS (SELECT image, label_b AS best_b, count(*) AS n, min(mol_type) AS m FROM ty GROUP BY ALL),
+    j AS (SELECT ty.*, best_a IS NOT NULL AND na.n IS NULL AS fa, best_b IS NOT NULL AND nb.n IS NULL AS fb, CASE WHEN na.n = 1 THEN na.m ELSE 0 END AS ka, CASE WHEN nb.n = 1 THEN nb.m ELSE 0 END AS kb FROM ty LEFT JOIN na USING (image, best_a) LEFT JOIN nb USING (image, best_b)),
+    fl AS (SELECT image, label_a, label_b, mol_type, CASE mol_type WHEN 0 THEN FALSE WHEN 1 THEN fa WHEN 2 THEN fb ELSE fa OR fb OR ka = 3 OR kb = 3 OR (ka > 0 AND kb > 0) END AS false_link FROM j)"""
+
+
+@query("g7_false_links", f"WITH {FALSE_LINKS} SELECT * FROM fl")
 def g7(s, d):
     return ov.false_links(*_links(s, d), KEY)
 
 
-@query("g8_groups_to_break")
+@query(
+    "g8_groups_to_break",
+    f"""WITH {FALSE_LINKS}, gr AS (SELECT image, label_b, list(label_a) AS ms FROM f GROUP BY ALL HAVING count(*) >= 2), e AS (SELECT image, label_b, unnest(ms) AS label_a FROM gr)
+    SELECT image, label_b, coalesce(bool_or(coalesce(false_link, TRUE)), TRUE) OR count(*) FILTER (label_a % 9 = 0) >= 2 AS broken, count(*) AS n FROM e LEFT JOIN fl USING (image, label_a, label_b) GROUP BY ALL""",
+)
 def g8(s, d):
     links, o = _links(s, d)
     edge = o.where("label_a % 9 = 0").select("image", "label_a").distinct()
@@ -396,20 +412,26 @@ def g10(s, d):
 
 
 def steady(s, d):
-    """Boxes that stay with their track and drift a little, in frames of a day."""
-    c = cells(s, d).groupBy("dataset", "track_id", F.expr("CAST(timeframe div 24 AS INT)").alias("timeframe")).agg(F.min("sc_id").alias("sc_id"))
-    at = lambda k: F.expr(f"track_id * {k} % 1900 + timeframe % 3")
-    return c.withColumn("x1", at(37)).withColumn("y1", at(91)).withColumn("x2", at(37) + 24).withColumn("y2", at(91) + 20)
+    """Cells in boxes that stay with their track and meet no other of the movie."""
+    at = lambda k: F.expr(f"track_id * {k} % 960")
+    return cells(s, d).withColumn("x1", at(37)).withColumn("y1", at(91)).withColumn("x2", at(37) + 20).withColumn("y2", at(91) + 20)
 
 
-@query("g11_track_boxes")
+@query("g11_track_boxes", live_sql(5, "'cell'", columns="CAST(dataset AS BIGINT) AS dataset, CAST(timeframe AS INTEGER) AS timeframe, sc_id, track_id"))
 def g11(s, d):
     return lk.track_boxes(steady(s, d), max_age=5, min_hits=1)
 
 
-@query("g12_tracking_sweep")
+CELL = "'cell'"
+SWEEP = "CAST(dataset AS BIGINT) AS dataset, track_id, count(*) AS n, max(timeframe) - min(timeframe) + 1 AS span"
+
+
+@query(
+    "g12_tracking_sweep",
+    " UNION ALL ".join(f"SELECT {age} AS max_age, count(*) AS n_tracks, CAST(sum(n) AS BIGINT) AS n_cells, round(avg(1 - n / CAST(span AS DOUBLE)), 9) AS mean_missing_rate FROM ({live_sql(age, CELL, columns=SWEEP)} GROUP BY dataset, track_id)" for age in (1, 5)),
+)
 def g12(s, d):
-    return lk.tracking_sweep(steady(s, d), (1, 5), 1)
+    return lk.tracking_sweep(steady(s, d), (1, 5), 1).select("max_age", "n_tracks", "n_cells", *r("mean_missing_rate", digits=9))
 
 
 @query(

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from trackspark.functions import names as nm
 from trackspark.functions.graph import shared_folder
+from trackspark.operators.tracks import last_write_wins
 from trackspark.sources import io
 from trackspark.streaming import live
 
 from .adapters import cells, manifest, table
-from .base import query
+from .base import live_sql, query
 
 
 def folder(s) -> str:
@@ -45,14 +46,20 @@ def s3(s, d):
     return c.select("sc_id", "track_id", "timeframe", "bbox.x1", "bbox.y2", F.col("meta")["status"].alias("status"))
 
 
-@query("s5_s6_tracks_json", "SELECT CAST(sc_id AS VARCHAR) AS sc_id, track_id, timeframe, CAST(x2 AS DOUBLE) AS last_row FROM cells")
+@query(
+    "s5_s6_tracks_json",
+    "SELECT CAST(dataset AS VARCHAR) AS dataset, CAST(sc_id AS VARCHAR) AS sc_id, track_id % 7 AS track_id, timeframe, CAST(x2 AS DOUBLE) AS last_row, CAST(track_id % 7 AS VARCHAR) || '>' || dataset AS mother FROM cells QUALIFY row_number() OVER (PARTITION BY dataset, track_id % 7, timeframe ORDER BY sc_id DESC) = 1",
+)
 def s5(s, d):
+    """Tracks of equal number in several movies, with a mother each."""
     from trackspark.schema import stored
 
     at = folder(s)
-    io.write_tracks_json(stored(full_cells(s, d)), at)
+    c = last_write_wins(full_cells(s, d).withColumn("track_id", F.col("track_id") % 7)).withColumn("dataset", F.col("dataset").cast("string"))
+    tracks = c.select("dataset", "track_id").distinct().withColumn("meta", F.create_map(F.lit("mother"), F.concat_ws(">", F.col("track_id").cast("string"), "dataset")))
+    io.write_tracks_json(stored(c), at, tracks)
     c = io.read_track_lines(s, at)
-    return c.select("sc_id", "track_id", "timeframe", F.get(F.get("contour", F.lit(2)), F.lit(0)).alias("last_row"))
+    return c.select("dataset", "sc_id", "track_id", "timeframe", F.get(F.get("contour", F.lit(2)), F.lit(0)).alias("last_row"), F.col("track_meta")["mother"].alias("mother"))
 
 
 @query("s7_coco", "SELECT sc_id, CAST(timeframe AS INTEGER) AS timeframe, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 + 1 AS DOUBLE) AS x2, CAST(y2 + 1 AS DOUBLE) AS y2 FROM cells")
@@ -86,8 +93,9 @@ def s9(s, d):
     at = folder(s)
     one = F.format_string('<s i="%d" x="%d" y="%d" s="0"/>', F.col("timeframe"), "x1", "y1")
     a = cells(s, d).groupBy("track_id").agg(F.array_join(F.sort_array(F.collect_list(one)), "").alias("t"))
-    a = a.select((F.col("track_id") % 4).alias("k"), F.format_string('<a id="%d"><ss>%s</ss></a>', "track_id", "t").alias("a"))
-    a.groupBy("k").agg(F.concat(F.lit("<f>"), F.array_join(F.collect_list("a"), ""), F.lit("</f>")).alias("value")).write.partitionBy("k").text(at)
+    a = a.select(F.expr("track_id div 500").alias("k"), F.format_string('<a id="%d"><ss>%s</ss></a>', "track_id", "t").alias("a"))
+    one = F.concat(F.lit("<f>"), F.array_join(F.collect_list("a"), ""), F.lit("</f>"))  # a file needs a root: up to 500 tracks each
+    a.groupBy("k").agg(one.alias("value")).write.partitionBy("k").text(at)
     return io.read_lineage_xml(s, at)[0].select("cell", "timeframe", "x", "y")
 
 
@@ -146,21 +154,44 @@ def f22(s, d):
 
 def detections(s, d):
     return table(s, d, "events").selectExpr(
-        "CAST(ts AS TIMESTAMP) AS ts", "user_id % 4 AS dataset", "user_id AS track_id", "CAST(timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) AS INT) AS timeframe", "event_id AS sc_id",
+        "CAST(ts AS TIMESTAMP) AS ts", "user_id div 30 AS dataset", "user_id AS track_id", "CAST(timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) AS INT) AS timeframe", "event_id AS sc_id",
         *[f"CAST({e} AS DOUBLE) AS {k}" for k, e in (("x1", "user_id * 37 % 960"), ("y1", "user_id * 91 % 960"), ("x2", "user_id * 37 % 960 + 20"), ("y2", "user_id * 91 % 960 + 20"))],
     )
 
 
-@query("t1_live_tracks")
+def one_each(s, d):
+    """One detection per track and frame, in boxes that stay with their track and meet no other of the movie."""
+    return last_write_wins(detections(s, d)).drop("track_id")
+
+
+def replay(s, at, rows, **options):
+    """A table of detections as new files of a stream, through the live tracker: all rows so far."""
+    live.closed(rows, "1 minute").write.mode("append").parquet(f"{at}/in")
+    stream = s.readStream.schema(rows.schema).parquet(f"{at}/in")
+    return live.run_to_table(live.live_tracks(stream, "1 minute", min_hits=1, **options), "t" + uuid.uuid4().hex, f"{at}/checkpoint")
+
+
+@query("t1_live_tracks", live_sql(30, "'cell', 'end'"))
 def t1(s, d):
     """events as a stream of detections, through the live tracker."""
-    at = folder(s)
-    live.closed(detections(s, d), "1 minute").write.parquet(f"{at}/in")
-    stream = s.readStream.schema(detections(s, d).schema).parquet(f"{at}/in")
-    return live.run_to_table(live.live_tracks(stream, "1 minute", max_age=30, min_hits=1), "t" + uuid.uuid4().hex, f"{at}/checkpoint")
+    return replay(s, folder(s), one_each(s, d), max_age=30)
+
+
+@query("t2_late_frames", live_sql(30, "'cell'", "track_id % 7 <> 0"))
+def t2(s, d):
+    """Every seventh track's detections arrive once the watermark has passed all others: they change nothing."""
+    at, rows = folder(s), last_write_wins(detections(s, d))
+    replay(s, at, rows.where("track_id % 7 <> 0").drop("track_id"), max_age=30)
+    return replay(s, at, rows.where("track_id % 7 = 0").drop("track_id"), max_age=30).where("kind = 'cell'")
+
+
+@query("t3_expired_tracks", live_sql(5, "'end'"))
+def t3(s, d):
+    """Tracks that ended, with the number of their cells."""
+    return replay(s, folder(s), one_each(s, d), max_age=5).where("kind = 'end'")
 
 
-@query("t4_window_counts", "SELECT time_bucket(INTERVAL '1 day', ts) AS \"start\", user_id % 4 AS dataset, count(*) AS n_cells FROM events GROUP BY ALL")
+@query("t4_window_counts", "SELECT time_bucket(INTERVAL '1 day', ts) AS \"start\", user_id // 30 AS dataset, count(*) AS n_cells FROM events GROUP BY ALL")
 def t4(s, d):
     w = live.window_counts(detections(s, d), "1 day")
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "dataset", "n_cells")

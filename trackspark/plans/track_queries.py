@@ -280,13 +280,31 @@ def w7(s, d):
     return tr.event_flag_near(cells(s, d).withColumn("flag", F.expr(FLAG)), "flag", 10).select(*PLAIN, "near_flag")
 
 
-@query("w8_apoptosis")
+NEAR_END = "coalesce(arg_max(flag, timeframe) FILTER (flag IS NOT NULL AND timeframe > 0 AND timeframe > e - {0}), 0)"
+
+
+@query(
+    "w8_apoptosis",
+    f"""WITH c AS (SELECT dataset, track_id * 40 + timeframe // 48 AS track_id, timeframe, area, {FLAG} AS flag FROM cells),
+    w AS (SELECT *, max(timeframe) OVER t AS e, min(timeframe) OVER t AS s, count(*) OVER t AS n, max(timeframe) OVER (PARTITION BY dataset) AS last, row_number() OVER (PARTITION BY dataset, track_id ORDER BY area) AS k FROM c WINDOW t AS (PARTITION BY dataset, track_id)),
+    g AS (SELECT dataset, track_id, count(*) AS length, {NEAR_END.format(1)} AS e0, {NEAR_END.format(2)} AS e1, {NEAR_END.format(3)} AS e2, {NEAR_END.format(5)} AS e3, coalesce(arg_max(flag, timeframe) FILTER (flag IS NOT NULL AND timeframe < last AND timeframe < s + 5), 0) AS s0,
+      avg(area) FILTER (k > n - 5) < 2 * avg(area) FILTER (k <= 5) AS even FROM w GROUP BY ALL)
+    SELECT dataset, track_id, length, CASE WHEN length <= 3 THEN e0 = 1 WHEN length <= 5 THEN e1 = 1 WHEN length <= 10 THEN e2 = 1 ELSE s0 = 1 AND e3 = 1 AND even END AS apoptosis FROM g""",
+)
 def w8(s, d):
     c = cells(s, d).withColumn("flag", F.expr(FLAG)).withColumn("track_id", F.expr("track_id * 40 + timeframe div 48"))
     return tr.apoptosis_tracklets(c)
 
 
-@query("w9_abnormal_jumps")
+@query(
+    "w9_abnormal_jumps",
+    """WITH v AS (SELECT dataset, track_id, timeframe, area - lag(area) OVER w AS d, lag(timeframe) OVER w AS b FROM cells WHERE area <> 0 WINDOW w AS (PARTITION BY dataset, track_id ORDER BY timeframe)),
+    j AS (SELECT *, d / nullif(avg(abs(d)) OVER (PARTITION BY dataset, track_id), 0) AS jump FROM v WHERE d IS NOT NULL),
+    n AS (SELECT *, CASE WHEN jump = lag(jump) OVER (PARTITION BY dataset, track_id ORDER BY timeframe) THEN 0 ELSE 1 END AS new FROM j), k AS (SELECT *, sum(new) OVER (PARTITION BY dataset, track_id ORDER BY timeframe) AS run FROM n),
+    r AS (SELECT dataset, track_id, run, min(jump) AS jump, list(timeframe ORDER BY timeframe) AS ts, list(b ORDER BY timeframe) AS bs FROM k GROUP BY ALL),
+    o AS (SELECT *, lag(jump) OVER w AS l, lead(jump) OVER w AS m FROM r WINDOW w AS (PARTITION BY dataset, track_id ORDER BY run))
+    SELECT DISTINCT dataset, track_id, CAST(timeframe AS INTEGER) AS timeframe FROM (SELECT dataset, track_id, ts[1 + (len(ts) - 1) // 2] AS timeframe FROM o WHERE jump > l AND jump > m AND jump >= 3 UNION ALL SELECT dataset, track_id, bs[1 + len(bs) // 2] FROM o WHERE jump < l AND jump < m AND jump <= -3)""",
+)
 def w9(s, d):
     return tr.abnormal_jumps(cells(s, d), "area", 3.0)
 
