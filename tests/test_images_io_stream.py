@@ -8,6 +8,7 @@ from trackspark.functions import geometry as ge
 from trackspark.functions import names, raster
 from trackspark.operators import contours as co
 from trackspark.operators import evaluate as ev
+from trackspark.operators import events as evs
 from trackspark.operators import images as im
 from trackspark.schema import CELLS, check_columns, flat
 from trackspark.sources import io
@@ -188,17 +189,33 @@ def test_cells_and_tracks_round_trip(spark, tmp_path):
     assert drop(back) == drop(c) and all("file:" in r.meta["src_json"] for r in back.collect())
     io.write_tracks_json(c, str(tmp_path / "t"))
     t = io.read_track_lines(spark, str(tmp_path / "t"))
+    assert all(r.track_meta == {} for r in t.collect())
+    both = c.unionByName(c.where("track_id = 1").withColumn("dataset", F.lit("e")).withColumn("sc_id", F.concat("sc_id", F.lit("e"))))
+    meta = spark.createDataFrame([("d", 1, {"mother": "2", "daughters": "[3, 4]"}), ("e", 1, {"mother": "7"})], "dataset string, track_id long, meta map<string, string>")
+    io.write_tracks_json(both, str(tmp_path / "u"), meta)
+    back = {(r.dataset, r.sc_id): r.track_meta for r in io.read_track_lines(spark, str(tmp_path / "u")).collect()}
+    assert back == {("d", "1-0"): {"mother": "2", "daughters": "[3, 4]"}, ("d", "1-1"): {"mother": "2", "daughters": "[3, 4]"}, ("d", "2-0"): {}, ("e", "1-0e"): {"mother": "7"}, ("e", "1-1e"): {"mother": "7"}}
     assert sorted(r.sc_id for r in t.collect()) == ["1-0", "1-1", "2-0"]  # the track without a contour is left out
     assert {r.x2 for r in flat(c).collect()} == {3.0}
-    (tmp_path / "one.json").write_text('{"3": {"track_id": 3, "timeframe_to_single_cell": {"7.0": {"sc_id": "a", "contour": [[1, 2]]}}, "meta": {}}}')
+    (tmp_path / "one.json").write_text('{"3": {"track_id": 3, "timeframe_to_single_cell": {"7.0": {"sc_id": "a", "contour": [[1, 2]]}}, "meta": {"mother": "1"}}}')
     r = io.read_tracks_json(spark, str(tmp_path / "one.json")).first()
-    assert (r.track_id, r.timeframe, r.sc_id, r.contour) == (3, 7, "a", [[1.0, 2.0]])
+    assert (r.track_id, r.timeframe, r.sc_id, r.contour, r.track_meta) == (3, 7, "a", [[1.0, 2.0]], {"mother": "1"})
 
 
 def test_annotation_readers(spark, tmp_path):
     (tmp_path / "coco.json").write_text('{"images": [{"id": 4, "file_name": "x"}], "annotations": [{"id": 1, "image_id": 4, "category_id": 2, "bbox": [1, 2, 3, 4], "segmentation": [[1, 2, 4, 2, 4, 6]]}]}')
     r = io.read_coco(spark, str(tmp_path / "coco.json")).first()
     assert (r.timeframe, r.x1, r.y1, r.x2, r.y2, r.contour) == (4, 2.0, 1.0, 7.0, 5.0, [[2.0, 1.0], [2.0, 4.0], [6.0, 4.0]])
+    box = lambda w, h, polygons: (tmp_path / "c2.json").write_text(f'{{"images": [{{"id": 4, "file_name": "x"}}], "annotations": [{{"id": 1, "image_id": 4, "category_id": 2, "bbox": [0, 0, {w}, {h}], "segmentation": {polygons}}}]}}')
+    box(5.5, 9, "[[1, 2, 5, 2, 5, 4]]")  # an end beyond the contour stays, one that it reaches is raised
+    r = io.read_coco(spark, str(tmp_path / "c2.json")).first()
+    assert (r.x2, r.y2) == (9.0, 5.5)
+    box(5, 4, "[[1, 2, 5, 2, 5, 4]]")
+    r = io.read_coco(spark, str(tmp_path / "c2.json")).first()
+    assert (r.x2, r.y2) == (5.0, 6.0)
+    box(5, 4, "[[1, 2, 5, 2, 5, 4], [7, 7, 8, 8, 9, 9]]")
+    with pytest.raises(Exception, match="several polygons"):
+        io.read_coco(spark, str(tmp_path / "c2.json")).collect()
     (tmp_path / "me").mkdir()
     (tmp_path / "me" / "f12.json").write_text('{"shapes": [{"label": "b", "shape_type": "rectangle", "points": [[1, 2], [5, 9]]}, {"label": "a", "shape_type": "polygon", "points": [[0, 0], [0, 2], [2, 2]]}]}')
     got = {r.label: r for r in io.read_labelme(spark, str(tmp_path / "me")).collect()}
@@ -240,18 +257,92 @@ def test_windows_and_sessions(spark):
     assert sorted(r.n_cells for r in live.activity_sessions(d, "10 minutes").collect()) == [2, 2]
 
 
-def test_live_tracks_query_covers_every_event(spark):
-    """The replay shows what the tracker shows, stepped over all events of each movie."""
-    from trackspark.functions.kalman import BoxTracker
-    from trackspark.plans.source_queries import detections, t1
-
-    d = "/root/testdata/sf0.001"
-    got = sorted(tuple(r) for r in t1(spark, d).where("kind = 'cell'").select("dataset", "timeframe", "sc_id", "track_id").collect())
-    events, want = detections(spark, d).toPandas(), []
-    for movie, e in events.groupby("dataset"):
-        tracker = BoxTracker(30, 1, 0.3)
-        for t in range(e.timeframe.min(), e.timeframe.max() + 1):
-            f = e[e.timeframe == t].sort_values("sc_id")
-            ids = tracker.step(f[["x1", "y1", "x2", "y2"]].to_numpy())
-            want += [(str(movie), t, sc, i) for sc, i in zip(f.sc_id.tolist(), ids.tolist()) if i]
-    assert got == sorted(want)
+def test_late_detections_are_counted_and_change_nothing(spark, tmp_path):
+    row = lambda t, k: ("m", t, 10 * t + k, 1_700_000_000 + 60 * t + k, 0.0, 0.0, 20.0, 20.0)
+    schema = "dataset string, timeframe int, sc_id long, s long, x1 double, y1 double, x2 double, y2 double"
+    make = lambda rows: spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    source = lambda: spark.readStream.schema(make([row(0, 0)]).schema).parquet(str(tmp_path / "in"))
+    run = lambda: live.run_once(live.live_tracks(source(), "1 minute", max_age=2, min_hits=1), "late", str(tmp_path / "ck"))
+    make([row(t, 0) for t in range(8)] + [row(20, 0)]).write.mode("append").parquet(str(tmp_path / "in"))
+    assert live.dropped_late(run()) == 0
+    make([row(3, 1), row(5, 2), row(23, 0)]).write.mode("append").parquet(str(tmp_path / "in"))
+    assert live.dropped_late(run()) == 2
+    got = spark.read.parquet(str(tmp_path / "ck_rows")).collect()
+    assert {r.sc_id for r in got if r.kind == "cell"} == {10 * t for t in range(8)}
+    # the track ends once frames 8 to 10 lack it, with the number of its cells
+    assert [(r.timeframe, r.n) for r in got if r.kind == "end"] == [(10, 8)]
+
+
+def test_experiment_logs_at_their_depth_only(spark, tmp_path):
+    for at in ("random_run3/ctc_seg_a", "random_run3/ctc_seg_a/deeper", "random_run3/other", "lc_run12_x/ctc_seg_b", "norun/ctc_seg_c"):
+        (tmp_path / at).mkdir(parents=True, exist_ok=True)
+        (tmp_path / at / "exp_iteration_metrics.csv").write_text("iteration,test_iou\n1,0.5\n")
+        (tmp_path / at / "exp_epoch_metrics.csv").write_text("iteration,test_iou\n9,0.9\n")
+    got = io.read_experiment_logs(spark, str(tmp_path), "iteration INT, test_iou DOUBLE").select("strategy_name", "run_id", "iteration").collect()
+    assert sorted(map(tuple, got)) == [("lc", 12, 1), ("random", 3, 1)]
+
+
+def test_region_kernels_against_brute_force(spark):
+    image = np.random.default_rng(2).integers(0, 3, (14, 14))
+    p = pixel_table(spark, image, image)
+    for scale in (0.05, 0.3, -0.2):
+        want = {}
+        for label in (1, 2):
+            mask = np.pad(image == label, 20)
+            size = int(np.ceil(2 * np.sqrt(mask.sum() / np.pi) * abs(scale) + 1))
+            lo = size // 2
+            for r, c in np.argwhere(np.ones(mask.shape, bool))[: mask.size]:
+                part = mask[max(r - lo, 0) : r - lo + size, max(c - lo, 0) : c - lo + size]
+                if part.size == size * size and (part.any() if scale > 0 else part.all()):
+                    want[r - 20, c - 20] = want.get((r - 20, c - 20), 0) + label
+        got = {(r.r, r.c): r.label for r in im.resized_labels(p, ["image"], scale).collect()}
+        assert sum(got.values()) == sum(want.values()) and len(got) == len(want)
+    counts = {r.label: r.n_pieces for r in im.piece_counts(p, ["image"]).collect()}
+    assert counts == {k: raster.pieces(image == k)[1] for k in (1, 2)}
+    shapes = {r.label: r for r in im.region_shapes(p, ["image"]).collect()}
+    assert all(shapes[k].perimeter == pytest.approx(im.shape_of(image == k)["perimeter"]) for k in (1, 2))
+
+
+def test_stay_points_against_the_definition(spark):
+    rng = np.random.default_rng(4)
+    rows = [("d", k, t, float(v)) for k in range(3) for t, v in enumerate(np.round(np.cumsum(rng.normal(0, 1.5, 90)), 1))]
+    got = sorted((r.track_id, r.timeframe, r.density, r.duration) for r in evs.stay_points(spark.createDataFrame(rows, "dataset string, track_id long, timeframe int, a double"), ["a"], 2.0, 4).collect())
+    want = []
+    for k in range(3):
+        v = np.array([r[3] for r in rows if r[1] == k])
+        near = np.abs(v[:, None] - v[None]) <= 2.0
+        found = []
+        for i in np.argsort(-near.sum(1), kind="stable"):
+            lo, hi = i, i
+            while lo > 0 and near[i, lo - 1]:
+                lo -= 1
+            while hi + 1 < len(v) and near[i, hi + 1]:
+                hi += 1
+            if hi - lo + 1 >= 4 and not near[i, found].any():
+                found.append(i)
+                want.append((k, int(i), int(near[i].sum()), int(hi - lo + 1)))
+    assert got == sorted(want) and want
+
+
+def test_shape_modes_and_components_against_svd(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(0, 1, (60, 6)) @ np.diag([5, 3, 2, 1, 0.5, 0.1]) @ np.linalg.qr(rng.normal(0, 1, (6, 6)))[0]
+    d = spark.createDataFrame([(k, x.reshape(3, 2).tolist()) for k, x in enumerate(v)], "id int, contour array<array<double>>").repartition(3)
+    positions, modes = co.shape_modes(d, "id", variance=0.9)
+    _, s, axes = np.linalg.svd(v - v.mean(0), full_matrices=False)
+    k = int(np.searchsorted(np.cumsum(s**2) / (s**2).sum(), 0.9) + 1)
+    assert modes.shape == (6, k) and np.allclose(np.abs(np.diag(axes[:k] @ modes)), 1)
+    got = np.array([r.positions for r in positions.orderBy("id").collect()])
+    assert np.allclose(np.abs(got), np.abs((v - v.mean(0)) @ axes[:k].T))
+    flat_ = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(v)], "id int, a double, b double, c double, d double, e double, f double").repartition(3)
+    scores, ratio = ev.principal_components(flat_, list("abcdef"), 3, "id")
+    assert np.allclose([r.ratio for r in ratio.collect()], (s**2 / (s**2).sum())[:3])
+    assert np.allclose(np.abs([tuple(r)[1:] for r in scores.orderBy("id").collect()]), np.abs((v - v.mean(0)) @ axes[:3].T))
+    x = v.copy()
+    x[3, 0] = x[5, 4] = np.nan
+    c = ev.correlations(spark.createDataFrame([(i, *map(float, y)) for i, y in enumerate(x)], flat_.schema), ["a", "b"], ["e", "f"]).collect()
+    for r in c:
+        p, q = x[:, "abcdef".index(r.dim)], x[:, "abcdef".index(r.feature)]
+        ok = ~np.isnan(p) & ~np.isnan(q)
+        assert r.corr == pytest.approx(np.corrcoef(p[ok], q[ok])[0, 1])
+    assert ev.pareto_ranks(flat_.limit(0), "id", ["a", "b"], 2).count() == 0

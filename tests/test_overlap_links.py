@@ -140,6 +140,37 @@ def test_lineage(spark, rows):
     assert sorted(r.path for r in paths.collect()) == [[0, 1, 3], [0, 1, 4], [0, 2]]
 
 
+def test_deep_lineage(spark):
+    """A chain of 75 generations is followed to its end, a cycle ends, and a limit that is too low is an error."""
+    e = spark.createDataFrame([(k, k + 1) for k in range(75)] + [(200, 201), (201, 200)], "mother_id long, daughter_id long")
+    start = spark.createDataFrame([(0,), (200,)], "track_id long")
+    got = sorted(tuple(r) for r in li.descendants(e, start).collect())
+    assert got == [(0, k, k) for k in range(1, 76)] + [(200, 201, 1)]
+    with pytest.raises(ValueError, match="deeper than 5"):
+        li.descendants(e, start, max_depth=5)
+    assert li.descendants(e.limit(0), start).count() == 0
+
+
+def test_near_gap_pairs_are_the_near_ones_of_all(spark):
+    rng = np.random.default_rng(7)
+    rows = [("d", k, int(t0 + t), 10 * k + t, x, y, x + 5, y + 5, 3.0) for k in range(60) for t0, x, y in [(rng.integers(0, 20), float(rng.integers(0, 90)), float(rng.integers(0, 90)))] for t in range(3)]
+    c = spark.createDataFrame(rows, "dataset string, track_id long, timeframe int, sc_id long, x1 double, y1 double, x2 double, y2 double, area double")
+    every = {(r.a, r.b): r.score for r in lk.gap_pairs(c, 3).collect()}
+    near = {(r.a, r.b): r.score for r in lk.gap_pairs(c, 3, max_distance=20.0).collect()}
+    assert near == {k: v for k, v in every.items() if v <= 20} and 0 < len(near) < len(every)
+
+
+@pytest.mark.parametrize("frames", [2, 500])
+def test_signals_reach_back_by_blocks(spark, frames):
+    square = lambda x, y: [[x, y], [x, y + 9.0], [x + 9.0, y + 9.0], [x + 9.0, y]]
+    cells = [("d", t, 100 * t + k, x, 0.0, x + 9.0, 9.0, square(x, 0.0)) for k, (x, ts) in enumerate([(0.0, (1, 4, 70)), (20.0, (2,)), (40.0, (80,))]) for t in ts]
+    c = spark.createDataFrame(cells, "dataset string, timeframe int, sc_id long, x1 double, y1 double, x2 double, y2 double, contour array<array<double>>")
+    s = spark.createDataFrame([("d", 1, 60, 4.5, 4.5), ("d", 2, 90, 4.5, 4.5), ("d", 3, 90, 24.5, 4.5), ("d", 4, 79, 44.5, 4.5), ("d", 5, 80, 44.5, 4.5), ("d", 6, 0, 4.5, 4.5)], "dataset string, sig_id long, timeframe int, x double, y double")
+    got = sorted((r.sig_id, r.timeframe, r.sc_id) for r in lk.signals_to_cells(s, c, frames=frames).collect())
+    assert got == [(1, 4, 400), (2, 70, 7000), (3, 2, 201), (5, 80, 8002)]
+    assert lk.signals_to_cells(s, c.limit(0)).count() == 0
+
+
 def test_division_split(spark):
     c = [(0, t, 10 * t, float(t), float(t)) for t in (0, 1, 2)] + [(0, 3, 30, 3.0, 3.0), (0, 3, 31, 3.0, 3.0), (1, 0, 5, 0.0, 0.0)]
     got = ev.split_divisions(spark.createDataFrame(c, "clip long, timeframe int, sc_id long, x double, y double")).collect()
