@@ -66,7 +66,7 @@ def exact_dedup(
     text_col: str = "text",
     *,
     carry: bool = True,
-    max_heavy: int = 256,
+    max_heavy: int = 1024,
     counters: int = 8192,
 ) -> DataFrame:
     """One output row per input row: the input columns (only ``id_col`` if not ``carry``), then
@@ -94,7 +94,7 @@ def drop_exact_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     *,
-    max_heavy: int = 256,
+    max_heavy: int = 1024,
     counters: int = 8192,
     scratch: Scratch | None = None,
 ) -> DataFrame:
