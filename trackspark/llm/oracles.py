@@ -84,6 +84,14 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 """
 
 
+#: Main text by the pages table's own rule: its pages have one article and no part inside it that isn't content.
+OP5 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '&amp', '&') AS t FROM b)
+SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text, CAST(length(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS BIGINT) AS n_chars FROM c
+"""
+
 _ESCAPED = r"length(regexp_replace(replace({0}, '\', '\\'), '(<|\[)(\||/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1\\\2', 'g'))"
 OP8 = f"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -140,6 +148,7 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(k * {shards} // n AS INTEGE
 ORACLES = {
     "op3_quality_rules": op3(),
     "op4_mixing": OP4,
+    "op5_html_extract": OP5,
     "op7_secret_scan": op7(),
     "op8_chat_format": OP8,
     "op9_sharding": op9(),
