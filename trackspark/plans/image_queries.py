@@ -88,9 +88,24 @@ def a33(s, d):
     return co.shape_modes(p, "sc_id")[0]
 
 
-@query("f10_clip_polygon")
+def _cut(axis: int, bound: int, low: bool) -> str:
+    """One side of the box: the points of a polygon that stay, and where its edges cross the side."""
+    p, q = "ps[CASE WHEN i = 1 THEN len(ps) ELSE i - 1 END]", "ps[i]"
+    inside = lambda x: f"{x}[{axis}] {'<=' if low else '>='} {bound}"
+    t = f"({bound} - {p}[{axis}]) / ({q}[{axis}] - {p}[{axis}])"
+    at = f"[{p}[1] + {t} * ({q}[1] - {p}[1]), {p}[2] + {t} * ({q}[2] - {p}[2])]"
+    return f"flatten(list_transform(range(1, len(ps) + 1), lambda i: CASE WHEN ({inside(p)}) <> ({inside(q)}) THEN [{at}] ELSE [] END || CASE WHEN {inside(q)} THEN [{q}] ELSE [] END))"
+
+
+@query(
+    "f10_clip_polygon",
+    "WITH p0 AS (SELECT sc_id, [[x1, y1], [x1 + 3, y2], [x2, y2 - 2], [x2 - 1, y1]]::DOUBLE[][] AS ps FROM cells), "
+    + ", ".join(f"p{k + 1} AS (SELECT sc_id, {_cut(*side)} AS ps FROM p{k})" for k, side in enumerate(((2, 0, False), (1, 500, True), (2, 500, True), (1, 0, False))))
+    + " SELECT sc_id, k, round(p[1], 6) AS r, round(p[2], 6) AS c FROM (SELECT sc_id, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS k, unnest(ps) AS p FROM p4)",
+)
 def f10(s, d):
-    return shapes(s, d).select("sc_id", co.clip_polygon(F.col("contour"), 500, 500).alias("contour"))
+    p = shapes(s, d).select("sc_id", F.posexplode(co.clip_polygon(F.col("contour"), 500, 500)).alias("k", "p"))
+    return p.select("sc_id", "k", *[F.round(F.get("p", F.lit(i)), 6).alias(n) for i, n in enumerate("rc")])
 
 
 @query("f13_contour_distance", "WITH p AS (SELECT track_id, sc_id, lead(sc_id) OVER w AS n, x1, y1, x2, y2, lead(x1) OVER w AS u1, lead(y1) OVER w AS v1, lead(x2) OVER w AS u2, lead(y2) OVER w AS v2 FROM cells WINDOW w AS (PARTITION BY dataset, track_id ORDER BY timeframe)), a AS (SELECT sc_id, n, unnest([[x1, y1], [x1 + 3, y2], [x2, y2 - 2], [x2 - 1, y1]]) AS p, [[u1, v1], [u1 + 3, v2], [u2, v2 - 2], [u2 - 1, v1]] AS qs FROM p WHERE n IS NOT NULL) SELECT sc_id, round(min(sqrt((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2)), 6) AS distance FROM (SELECT sc_id, p, unnest(qs) AS q FROM a) GROUP BY ALL")
@@ -151,9 +166,25 @@ def grey(s, d):
     return grid(s, d).withColumn("g", F.floor(F.col("value") / 10).cast("long"))
 
 
-@query("x2_haralick")
+HARALICK = ["asm", "contrast", "correlation", "variance", "idm", "sum_avg", "sum_var", "sum_entropy", "entropy", "diff_var", "diff_entropy", "imc1", "imc2"]
+
+
+@query(
+    "x2_haralick",
+    f"""WITH {PIX}, m AS (SELECT unnest([0, 1, 2, 3]) AS direction, unnest([0, 1, 1, 1]) AS dr, unnest([1, 1, 0, -1]) AS dc), b AS (SELECT a.image, direction, a.g AS i, b.g AS j, count(*) AS n FROM q a CROSS JOIN m JOIN q b ON b.image = a.image AND b.r = a.r + dr AND b.c = a.c + dc WHERE a.g <> 0 AND b.g <> 0 GROUP BY ALL),
+    co AS (SELECT image, direction, i, j, sum(n) AS n FROM (SELECT * FROM b UNION ALL SELECT image, direction, j, i, n FROM b) GROUP BY ALL), g AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY image, direction) AS DOUBLE) AS p FROM co),
+    mx AS (SELECT image, direction, i, sum(p) AS px FROM g GROUP BY ALL), st AS (SELECT image, direction, sum(i * px) AS mu, sum(i * i * px) AS s2, -sum(px * log2(px)) AS hx FROM mx GROUP BY ALL),
+    ma AS (SELECT g.image, g.direction, sum(p * p) AS "asm", sum((g.i - j) ** 2 * p) AS contrast, sum(g.i * j * p) AS ij, sum(p / (1 + (g.i - j) ** 2)) AS idm, -sum(p * log2(p)) AS entropy, -sum(p * log2(x.px * y.px)) AS hxy1
+      FROM g JOIN mx x ON x.image = g.image AND x.direction = g.direction AND x.i = g.i JOIN mx y ON y.image = g.image AND y.direction = g.direction AND y.i = g.j GROUP BY ALL),
+    su AS (SELECT image, direction, sum(k * w) AS sum_avg, sum(k * k * w) - sum(k * w) ** 2 AS sum_var, -sum(w * log2(w)) AS sum_entropy FROM (SELECT image, direction, i + j AS k, sum(p) AS w FROM g GROUP BY ALL) GROUP BY ALL),
+    di AS (SELECT image, direction, sum(k * k * w) - sum(k * w) ** 2 AS diff_var, -sum(w * log2(w)) AS diff_entropy FROM (SELECT image, direction, abs(i - j) AS k, sum(p) AS w FROM g GROUP BY ALL) GROUP BY ALL),
+    t AS (SELECT *, (ij - mu * mu) / (s2 - mu * mu) AS correlation, s2 - mu * mu AS variance, (entropy - hxy1) / hx AS imc1, sqrt(greatest(1 - exp(-2 * (2 * hx - entropy)), 0)) AS imc2 FROM ma JOIN st USING (image, direction) JOIN su USING (image, direction) JOIN di USING (image, direction))
+    SELECT image, """
+    + ", ".join(f'round(avg("{c}"), 6) AS "{c}"' for c in HARALICK)
+    + " FROM t GROUP BY image",
+)
 def x2_features(s, d):
-    return im.haralick(grey(s, d), KEY, "g")
+    return im.haralick(grey(s, d), KEY, "g").select("image", *r(*HARALICK))
 
 
 @query(
