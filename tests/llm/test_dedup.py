@@ -40,6 +40,13 @@ def test_exact_dedup_against_brute_force(spark):
     assert got[0].__fields__.count("kept") == 1
 
 
+def test_very_long_texts(spark):
+    long = "Ab c " * 1_000_000
+    got = exact_dedup(docs(spark, [(1, long), (2, long.lower()), (3, long + "x")]), carry=False).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)]
+    assert {r.text_sha256 for r in got} == {hashlib.sha256(low(t).encode()).hexdigest() for t in (long, long + "x")}
+
+
 def test_drop_exact_duplicates_keeps_columns(spark):
     d = docs(spark, CASES)
     out = drop_exact_duplicates(d)

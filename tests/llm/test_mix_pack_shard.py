@@ -58,6 +58,10 @@ def test_mix_reaches_targets(spark, rows_per_range):
     again = mix_sources(docs(spark, rows).repartition(7), rows_per_range=rows_per_range).collect()
     key = lambda rs: sorted((str(r.doc_id), r.size, r.taken) for r in rs)
     assert key(got) == key(again)
+    # rows of one id and size, different texts: the cut falls alike whatever the layout
+    twins = [(1, "a b c " * k + x, "en", "s0") for k in range(6) for x in "pqrs"] + [(k, "w " * 40, "en", "s1") for k in range(20)]
+    cut = lambda d: sorted((r.text, r.taken) for r in mix_sources(d).collect())
+    assert cut(docs(spark, twins)) == cut(docs(spark, twins[::-1]).repartition(5))
     assert mix_sources(docs(spark, rows).limit(0)).count() == 0
 
 

@@ -241,6 +241,14 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(chat_format.messages(d.limit(0))).count() == 0
 
 
+def test_chat_with_very_long_texts(spark):
+    texts = ["<|end|>\\" * 100_000, "plain words " * 200_000, "</s>" * 50_000]
+    log = [(1, k, k, "message", "assistant" if k else "user", t) for k, t in enumerate(texts)]
+    d = spark.createDataFrame(log, "conv_id long, message_id long, seq long, kind string, role string, text string")
+    r = chat_format.format_chats(chat_format.messages(d)).select(chat_format.read_back().alias("turns"), chat_format.read_loss().alias("loss")).first()
+    assert [t.text for t in r.turns] == texts and r.loss == texts[1] + texts[2]
+
+
 def test_chat_events_fold(spark):
     ev = [
         (1, "a", 1, "message", "user", "hi"), (1, "b", 2, "message", "assistant", "He"), (1, "b", 3, "delta", None, "llo"), (1, "c", 4, "message", "user", "gone"),

@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame, scratch: Scratch, weights: list[float], cap
 
 
 def _placed(rows: DataFrame, scratch: Scratch, weights: list[float], cap: float, rows_per_range: int) -> DataFrame:
-    """rows: __id, __source, size, __key, __rid. Adds source_size, target and __before: the words
+    """rows: __id, __source, size, __key, __tie, __rid. Adds source_size, target and __before: the words
     ahead of the row in its source's order.
 
     The source table is written first, so that Spark knows its size before it chooses the join: under
@@ -67,7 +67,7 @@ def _placed(rows: DataFrame, scratch: Scratch, weights: list[float], cap: float,
     starts = starts.withColumnRenamed("__source", "__s").withColumnRenamed("__range", "__r")
     inside = (
         Window.partitionBy("__source", "__range")
-        .orderBy("__key", F.col("__id").asc_nulls_first(), "size", RID)
+        .orderBy("__key", F.col("__id").asc_nulls_first(), "size", "__tie", RID)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
@@ -104,7 +104,8 @@ def mix_sources(
 
     Each source's taken words sum to its target's whole part. The row at the cut is taken in part.
     Null text: size 0. Null source: a source of its own, last in order. Null id: allowed; ids only
-    seed the random keys. Equal rows share a key and are told apart by a row id. Empty table, or
+    seed the random keys. Rows of one key stand in order of id, size and a hash of the text; equal rows
+    are told apart by a row id, which makes no difference. Empty table, or
     one without words: no rows, or taken 0. A computed column replaces an input column of its name.
     """
     scratch = Scratch(df.sparkSession)
@@ -115,6 +116,7 @@ def mix_sources(
             F.col(name(source_col)).cast("string").alias("__source"),
             n_words(text_of(text_col)).alias("size"),
             random_key(F.col(name(id_col)), seed).alias("__key"),
+            F.xxhash64(text_of(text_col)).alias("__tie"),
             F.monotonically_increasing_id().alias(RID),
         ),
         "sizes",
@@ -151,6 +153,7 @@ def take_mix(
             F.col(name(source_col)).cast("string").alias("__source"),
             n_words(text_of(text_col)).alias("size"),
             random_key(F.col(name(id_col)), seed).alias("__key"),
+            F.xxhash64(text_of(text_col)).alias("__tie"),
             F.monotonically_increasing_id().alias(RID),
         ),
         "sizes",
