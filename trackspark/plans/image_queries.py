@@ -217,12 +217,28 @@ def x5(s, d):
     return im.distance_map(grid(s, d), KEY)
 
 
-@query("x6_background")
+def _projected(k: int) -> str:
+    """One step of making the basis orthogonal within an image: basis k leaves the later ones and the values."""
+    less = lambda x: f"{x} - coalesce(sum({x} * b{k}) OVER w / nullif(sum(b{k} * b{k}) OVER w, 0), 0) * b{k} AS {x}"
+    return f"o{k + 1} AS (SELECT image, r, c, {', '.join([*map(less, [f'b{j}' for j in range(k + 1, 6)]), less('v')])} FROM o{k} WINDOW w AS (PARTITION BY image))"
+
+
+@query(
+    "x6_background",
+    f"WITH {GRID}, z AS (SELECT image, r, c, value, (r - avg(r) OVER w) / 32 AS y, (c - avg(c) OVER w) / 32 AS x FROM grid WINDOW w AS (PARTITION BY image)), o0 AS (SELECT image, r, c, 1.0::DOUBLE AS b0, y AS b1, x AS b2, y * y AS b3, y * x AS b4, x * x AS b5, value AS v FROM z), "
+    + ", ".join(_projected(k) for k in range(6))
+    + " SELECT image, r, c, round(v - min(v) OVER (PARTITION BY image), 4) AS corrected FROM o6",
+)
 def x6(s, d):
-    return im.background_removed(grid(s, d), KEY).select("image", "r", "c", *r("corrected"))
+    return im.background_removed(grid(s, d), KEY).select("image", "r", "c", *r("corrected", digits=4))
 
 
-@query("x7_resized_labels")
+@query(
+    "x7_resized_labels",
+    f"""WITH {GRID}, n AS (SELECT image, label, CAST(ceil(2 * sqrt(count(*) / pi()) * 0.05 + 1) AS BIGINT) AS size FROM grid WHERE label <> 0 GROUP BY ALL),
+    g AS (SELECT DISTINCT image, label, r + size // 2 - i.i AS r, c + size // 2 - j.j AS c FROM grid JOIN n USING (image, label), range(16) i(i), range(16) j(j) WHERE i.i < size AND j.j < size)
+    SELECT image, r, c, CAST(sum(label) AS BIGINT) AS label FROM g GROUP BY image, r, c""",
+)
 def x7(s, d):
     return im.resized_labels(grid(s, d), KEY, 0.05)
 
@@ -302,7 +318,17 @@ def u12(s, d):
     return evs.one_cell_each_frame(clips(s, d))
 
 
-@query("g13_split_divisions")
+_FAR = "list_transform(acc, lambda s: (s[-1].x - d[1].x) ** 2 + (s[-1].y - d[1].y) ** 2)"
+
+
+@query(
+    "g13_split_divisions",
+    f"""WITH k AS (SELECT clip, timeframe, list([struct_pack(t := timeframe, id := sc_id, x := area % 97, y := area % 89)] ORDER BY sc_id) AS f FROM clips GROUP BY ALL),
+    p AS (SELECT clip, list(f ORDER BY timeframe) AS fs FROM k GROUP BY ALL),
+    q AS (SELECT clip, list_reduce(fs, lambda acc, f: CASE WHEN len(f) = 1 THEN list_transform(acc, lambda s: s || f[1]) ELSE list_transform(f, lambda d: acc[list_position({_FAR}, list_min({_FAR}))] || d) END) AS ss, list_position(list_transform(fs, lambda f: len(f) > 1), TRUE) - 1 AS brk FROM p),
+    u AS (SELECT clip, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS series, unnest(ss) AS s, CASE WHEN brk >= 0 THEN CAST(brk AS INTEGER) END AS break_idx FROM q)
+    SELECT clip, series, x.t AS timeframe, x.id AS sc_id, break_idx FROM (SELECT clip, series, break_idx, unnest(s) AS x FROM u)""",
+)
 def g13(s, d):
     c = clips(s, d).selectExpr("clip", "timeframe", "sc_id", "area % 97 AS x", "area % 89 AS y")
     return evs.split_divisions(c)
