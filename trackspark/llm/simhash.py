@@ -158,18 +158,18 @@ def _gray_rank(code: str) -> Column:
     return rank.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def links_exact(codes: DataFrame, scratch: Scratch, radius: int, range_rows: int) -> DataFrame:
+def links_exact(codes: DataFrame, scratch: Scratch, radius: int, range_rows: int, least_ranges: int = 32) -> DataFrame:
     """codes: distinct __f0. A spanning set (a, b, d) of all links at ``radius`` or less.
 
     Codes are sorted by Gray rank in ranges of about ``range_rows``. The bits that all codes of a range
     share are its node; the nodes (one row per range) are factored further into the top of the index,
     which every task has. From the top each code goes to its own range and to those that its accumulated
-    differences don't rule out, of two ranges only one way. There the search goes on, in the range's own
-    part of the index.
+    differences don't rule out, of two ranges only one way: for b = log2(ranges) to about b * b / 4 of them.
+    There the search goes on, in the range's own part of the index.
     """
     spark = codes.sparkSession
     n = codes.count()
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // range_rows))
+    ranges = max(least_ranges, -(-n // range_rows))
     in_order = codes.select("__f0").repartitionByRange(ranges, _gray_rank("__f0"))
     in_order = scratch.write(in_order.select("__f0", F.spark_partition_id().alias("__range")), "in_order")
     nodes = in_order.groupBy("__range").agg(F.expr("bit_and(__f0)").alias("ones"), F.expr("bit_or(__f0)").alias("any")).orderBy("__range")
@@ -182,10 +182,10 @@ def links_exact(codes: DataFrame, scratch: Scratch, radius: int, range_rows: int
         ids, mask, pattern = top.value
         index = GrayIndex(pattern, mask)
         for batch in batches:
-            codes, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            codes, own = batch.column(0).to_numpy(), np.searchsorted(ids, batch.column(1).to_numpy())
             for at in range(0, len(codes), BLOCK):
-                q, node, _ = index.within(codes[at : at + BLOCK].view(np.uint64)[:, None], radius)
-                to, home = ids[node], own[at + q]
+                q, to, _ = index.within(codes[at : at + BLOCK].view(np.uint64)[:, None], radius)
+                home = own[at + q]
                 keep = (to == home) | ((to < home) == ((to + home) % 2 == 1))
                 to, q, probe = to[keep], at + q[keep], (to != home)[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(probe), pa.array(codes[q])], names)
@@ -205,7 +205,7 @@ def links_exact(codes: DataFrame, scratch: Scratch, radius: int, range_rows: int
             yield from map(_link_batch, RangeIndex(np.concatenate(own), radius).inside())
 
     routed = in_order.select("__f0", "__range").mapInArrow(route, "__range int, __probe boolean, __f0 long")
-    routed = routed.repartitionById(ranges, F.col("__range")).sortWithinPartitions("__probe")
+    routed = routed.repartitionById(max(len(ids), 1), F.col("__range")).sortWithinPartitions("__probe")
     return scratch.write_arrow(routed.mapInArrow(search, "a long, b long, d long"), "links", CODES)
 
 
@@ -388,7 +388,8 @@ def simhash_components(
     labels = codes.join(labels, codes["__f0"] == labels["node"], "left").select(
         F.col("__f0").alias("__code"), F.coalesce("__best", "__first").alias("__best")
     )
-    out = marked.join(labels, F.col("__f0") == F.col("__code"))
+    # a written table, so that the rows of a frequent code can be split over tasks
+    out = marked.join(scratch.write(labels, "labels"), F.col("__f0") == F.col("__code"))
     out = out.select(
         "__id", "__order", hex_code("__f0").alias("fingerprint"),
         F.col("__best.i").alias("component_id"), (F.col("__id") == F.col("__best.r")).alias("kept"),
