@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,11 +39,25 @@ def workspace(spark: SparkSession) -> str:
     return root
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files are deleted at the end of the SQL execution that made them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
-    """Scratch tables of one call; ``drop()`` deletes them once nothing reads them."""
+    """Scratch tables of one call; ``drop()`` deletes them once nothing reads them. free_shuffles: what a write
+    has shuffled goes from the executors' disks once the table is written, not when the driver's memory is
+    next cleared."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, free_shuffles: bool = False):
+        self.spark, self.free_shuffles = spark, free_shuffles
         self.root = f"{workspace(spark)}/trackspark/{uuid.uuid4().hex}"
 
     def path(self, label: str) -> str:
@@ -49,7 +65,8 @@ class Scratch:
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
         path = self.path(label)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with shuffles_freed(self.spark) if self.free_shuffles else nullcontext():
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def write_arrow(self, df: DataFrame, label: str, batch_rows: int) -> DataFrame:

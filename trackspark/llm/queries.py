@@ -34,7 +34,7 @@ RANK_FILE = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work, out = Scratch(spark), Scratch(spark)
+    work, out = Scratch(spark, free_shuffles=True), Scratch(spark)
     write_shards(token_sequences(table(spark, sf_dir, "documents").select("doc_id", "text"), RANK_FILE, scratch=work), out.path("shards"))
     work.drop()
     return read_shards(spark, out.path("shards"))

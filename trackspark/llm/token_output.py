@@ -2,8 +2,8 @@
 
 1. Texts become token ids (two bytes each) with an end token, read once.
 2. A hash of id and text gives every document its place, whatever files it came from: key ranges hold
-   equal shares of all documents, sums of tokens per range (one row each) give every range its place in
-   the joined stream, and a task reads its range in order and cuts it into sequences of ``seq_len`` tokens.
+   equal shares of all documents and are sorted; sums of tokens per range (one row each) give every range
+   its place in the joined stream, which is cut into sequences of ``seq_len`` tokens.
 3. A keyed Feistel permutation with cycle-walking gives every sequence a global slot: a bijection on
    0 .. n-1 that needs no shuffle, no state and no table, and can be inverted.
 4. Sequences are range-partitioned by slot, whole shards to a task, and written as records of a fixed
@@ -21,13 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, name, text_of
+from .common import Scratch, name, shuffles_freed, text_of
 
 # Fixed value: the public pattern that splits text before the merges of byte-level BPE rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ROUNDS = 6
 _PIECE = 1 << 16  # characters of a text tokenised at once
-PARTITION_BYTES = 1 << 27  # of tokens in a range of keys or slots, about
 
 
 # -- permutation ----------------------------------------------------------------------------------
@@ -110,22 +109,34 @@ def tokenize(df: DataFrame, rank_file: bytes, end_token: int) -> DataFrame:
 # -- sequences ------------------------------------------------------------------------------------
 
 
-def _cut(batches: Iterator[pa.RecordBatch], seq_len: int) -> Iterator[tuple[np.ndarray, list[int], list[bytes]]]:
-    """batches of one range in order: __at (place of the range in the stream), __tokens. Sequences, the place
-    in each where its tokens begin, and the tokens; only the first and the last may be in part."""
-    stride, at, held = 2 * seq_len, 0, b""
-    for k, batch in enumerate(batches):
-        if not k:
-            at = batch.column(0)[0].as_py()
-        held += b"".join(batch.column(1).to_pylist())
-        first = 2 * (-at % seq_len)  # bytes up to the next sequence
-        ends = list(range(first or stride, len(held) + 1, stride))
-        if ends:
-            starts = [0, *ends[:-1]]
-            yield np.array([(at + x // 2) // seq_len for x in starts], np.int64), [(at + x // 2) % seq_len for x in starts], [held[x:y] for x, y in zip(starts, ends)]
-            at, held = at + ends[-1] // 2, held[ends[-1] :]
+def _cut(batches: Iterator[pa.RecordBatch], seq_len: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """batches of documents: __start (place of its first token in the stream), __tokens. Sequences, the place
+    in each where its tokens begin, and the tokens: a sequence comes in parts where its documents don't
+    follow each other."""
+    stride, at, held = 2 * seq_len, 0, bytearray()
+
+    def part(n: int) -> tuple[int, int, bytes]:
+        """The first n bytes held, which belong to one sequence."""
+        nonlocal at
+        out = at // seq_len, at % seq_len, bytes(held[:n])
+        del held[:n]
+        at += n // 2
+        return out
+
+    for batch in batches:
+        done = []
+        for start, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if start != at + len(held) // 2:
+                if held:
+                    done.append(part(len(held)))
+                at = start
+            held += tokens
+            while len(held) >= (n := stride - 2 * (at % seq_len)):
+                done.append(part(n))
+        if done:
+            yield tuple(map(list, zip(*done)))
     if held:
-        yield np.array([at // seq_len], np.int64), [at % seq_len], [held]
+        yield tuple([x] for x in part(len(held)))
 
 
 def token_sequences(
@@ -153,26 +164,40 @@ def token_sequences(
     with open(rank_file, "rb") as f:
         ranks = f.read()
     spark = df.sparkSession
-    scratch = scratch or Scratch(spark)
+    scratch = scratch or Scratch(spark, free_shuffles=True)
     place = F.xxhash64(F.col(name(id_col)), text_of(text_col))
-    rows = scratch.write(tokenize(df.select(place.alias("__key"), text_of(text_col).alias("__text")), ranks, end_token), "tokens")
-    total = rows.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
-    n_seq = -(-total // seq_len)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 2 // PARTITION_BYTES))
-    # keys are uniform, so equal ranges of them hold equal shares of the documents
-    rows = rows.withColumn("__range", F.expr(f"CAST((shiftrightunsigned(__key, 32) * {parts}L) >> 32 AS INT)"))
+    # keys are uniform, so equal ranges of them hold equal shares of the documents; tokens take about as many
+    # bytes as compressed texts do, so as many ranges as the input has splits are of a split's size
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    made = tokenize(df.select(place.alias("__key"), text_of(text_col).alias("__text")), ranks, end_token)
+    made = made.withColumn("__range", F.expr(f"CAST((shiftrightunsigned(__key, 32) * {parts}L) >> 32 AS INT)"))
+    made = made.repartitionById(parts, F.col("__range")).sortWithinPartitions("__range", F.expr("shiftrightunsigned(__key, 1)"), "__key", "__tokens")
+
+    def place_in_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:  # a task has one range
+            n = batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at + np.cumsum(n) - n), batch.column(1), batch.column(2)], ["__range", "__in", "__n", "__tokens"])
+            at += int(n.sum())
+
+    rows = made.select("__range", "__n", "__tokens").mapInArrow(place_in_range, "__range int, __in long, __n long, __tokens binary")
+    rows = scratch.write_arrow(rows, "tokens", 1000)
     sums = scratch.write(rows.groupBy("__range").agg(F.sum("__n").alias("__sum")), "sums")  # one row per range
+    total = sums.agg(F.coalesce(F.sum("__sum"), F.lit(0))).first()[0]
+    n_seq = -(-total // seq_len)
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__at"))
-    placed = rows.join(F.broadcast(starts), "__range").repartitionById(parts, F.col("__range"))
-    in_order = placed.sortWithinPartitions(F.expr("shiftrightunsigned(__key, 1)"), "__key", "__tokens").select("__at", "__tokens")
+    in_order = rows.join(F.broadcast(starts), "__range").select((F.col("__at") + F.col("__in")).alias("__start"), "__tokens")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seqs, ats, tokens in _cut(batches, seq_len):
-            slots = permute(seqs, n_seq, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(seqs), pa.array(ats, pa.int32()), pa.array(tokens, pa.binary())], ["slot", "seq_id", "__at", "__part"])
+            slots = permute(np.array(seqs, np.int64), n_seq, key)
+            small = [pa.compress(t, "zstd", asbytes=True) for t in tokens]  # they move once more
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slots), pa.array(seqs, pa.int64()), pa.array(ats, pa.int32()), pa.array([len(t) for t in tokens], pa.int32()), pa.array(small, pa.binary())], ["slot", "seq_id", "__at", "__bytes", "__part"]
+            )
 
-    pieces = in_order.mapInArrow(cut, "slot long, seq_id long, __at int, __part binary")
+    pieces = in_order.mapInArrow(cut, "slot long, seq_id long, __at int, __bytes int, __part binary")
     # slots are spread evenly by construction, so ranges of whole shards need no sample of the data
     width = max(1, -(-n_seq // (parts * shard_slots))) * shard_slots
     shards = max(1, -(-n_seq // width))
@@ -194,7 +219,8 @@ def token_sequences(
 
         for batch in batches:
             done = []
-            for s, q, part in zip(batch.column("slot").to_pylist(), batch.column("seq_id").to_pylist(), batch.column("__part").to_pylist()):
+            for s, q, n, part in zip(*[batch.column(c).to_pylist() for c in ("slot", "seq_id", "__bytes", "__part")]):
+                part = pa.decompress(part, n, "zstd", asbytes=True)
                 if held is not None and s == held[0]:
                     held = (s, q, held[2] + part)
                 else:
@@ -206,7 +232,7 @@ def token_sequences(
         if held is not None:
             yield batch_of([held])
 
-    return pieces.select("slot", "seq_id", "__part").mapInArrow(assemble, "slot long, shard int, record int, seq_id long, n_tokens int, tokens binary")
+    return pieces.select("slot", "seq_id", "__bytes", "__part").mapInArrow(assemble, "slot long, shard int, record int, seq_id long, n_tokens int, tokens binary")
 
 
 # -- shards ---------------------------------------------------------------------------------------
@@ -218,7 +244,8 @@ def write_shards(sequences: DataFrame, path: str) -> None:
     they are and commits whole tasks only, to any store that Spark writes. No shuffle: partitions hold
     whole shards."""
     in_order = sequences.select("shard", "record", F.col("tokens").cast("string").alias("value")).sortWithinPartitions("shard", "record")
-    in_order.select("shard", "value").write.partitionBy("shard").option("compression", "none").text(path)
+    with shuffles_freed(sequences.sparkSession):
+        in_order.select("shard", "value").write.partitionBy("shard").option("compression", "none").text(path)
 
 
 def read_records(spark: SparkSession, path: str, slot: int, n: int, *, seq_len: int = 2048, shard_slots: int = 4096) -> Iterator[np.ndarray]:
@@ -250,6 +277,15 @@ def read_shards(spark: SparkSession, path: str, *, seq_len: int = 2048, shard_sl
     stride = 2 * seq_len + 1
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     files = files.select(F.regexp_extract("path", r"shard=(\d+)/[^/]*$", 1).cast("int").alias("shard"), "content")
-    records = F.expr(f"transform(sequence(0, CAST(octet_length(content) div {stride} AS INT) - 1), r -> substring(content, r * {stride} + 1, {2 * seq_len}))")
-    rows = files.select("shard", F.posexplode(records).alias("record", "tokens"))
-    return rows.select((F.col("shard").cast("long") * shard_slots + F.col("record")).alias("slot"), "shard", "record", "tokens")
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tokens = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, stride)[:, : 2 * seq_len]
+                for at in range(0, len(tokens), 1024):
+                    part = np.ascontiguousarray(tokens[at : at + 1024])
+                    n, r = len(part), at + np.arange(len(part))
+                    rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * seq_len), n, [None, pa.py_buffer(part)]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(shard * shard_slots + r), pa.array(np.full(n, shard, np.int32)), pa.array(r.astype(np.int32)), rows], ["slot", "shard", "record", "tokens"])
+
+    return files.mapInArrow(records, "slot long, shard int, record int, tokens binary")
