@@ -1,6 +1,6 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read as a run of blocks, each a leaf of a root-to-leaf path of tags and class tokens. Equal
+A page is read as a run of blocks, each a leaf of a root-to-leaf path of tags with their attributes. Equal
 paths are one path. Then, on every page alike:
 
 * aggregate: per path the text outside links and its punctuation marks over the path's blocks, and the
