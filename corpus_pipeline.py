@@ -20,8 +20,8 @@ from trackspark.llm.simhash import drop_near_duplicates
 
 
 def _written(spark: SparkSession, docs: DataFrame, operator: Callable[..., DataFrame]) -> DataFrame:
-    """The operator's result as a Parquet table of its own; its scratch tables go."""
-    work, out = Scratch(spark), Scratch(spark)
+    """The operator's result as a Parquet table of its own; its scratch tables and shuffle files go."""
+    work, out = Scratch(spark, free_shuffles=True), Scratch(spark, free_shuffles=True)
     try:
         return out.write(operator(docs, scratch=work), "docs")
     finally:
