@@ -145,6 +145,31 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(k * {shards} // n AS INTEGE
 """
 
 
+def op13(parts: int = 16, entries: int = 64, rounds: int = 2, width: int = 4) -> str:
+    d = range(width)
+    cols = ", ".join(f"v{i}" for i in d)
+    gap = " + ".join(f"(x.v{i} - b.v{i}) * (x.v{i} - b.v{i})" for i in d)
+    steps = f"""
+WITH k AS (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 256) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+x AS (SELECT rid, p, {", ".join(f"x[p * {width} + {i + 1}] AS v{i}" for i in d)} FROM k, range({parts}) r(p)),
+f AS (SELECT rid, row_number() OVER (ORDER BY vec_id, x) - 1 AS e FROM k QUALIFY row_number() OVER (ORDER BY vec_id, x) <= {entries}),
+b0 AS (SELECT p, e, {cols} FROM f JOIN x USING (rid))"""
+    for r in range(rounds + 1):
+        steps += f""",
+n{r} AS (SELECT rid, x.p, e, {gap} AS g, {", ".join(f"x.v{i}" for i in d)} FROM x JOIN b{r} b ON b.p = x.p QUALIFY row_number() OVER (PARTITION BY rid, x.p ORDER BY g, e) = 1)"""
+        if r < rounds:
+            steps += f""",
+m{r} AS (SELECT p, e, {", ".join(f"CAST(floor(CAST(sum(v{i}) AS DOUBLE) / count(*)) AS BIGINT) AS v{i}" for i in d)} FROM n{r} GROUP BY p, e),
+b{r + 1} AS (SELECT p, e, {", ".join(f"coalesce(m.v{i}, b.v{i}) AS v{i}" for i in d)} FROM b{r} b LEFT JOIN m{r} m USING (p, e))"""
+    flat = " || ',' || ".join(f"v{i}" for i in d)
+    return f"""{steps},
+c AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(g) AS BIGINT) AS error FROM n{rounds} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg({flat}, ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM c JOIN k USING (rid)
+"""
+
+
 ORACLES = {
     "op3_quality_rules": op3(),
     "op4_mixing": OP4,
@@ -153,4 +178,5 @@ ORACLES = {
     "op8_chat_format": OP8,
     "op9_sharding": op9(),
     "op10_exact_dedup": OP10,
+    "op13_vector_codes": op13(),
 }

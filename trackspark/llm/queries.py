@@ -19,6 +19,9 @@ from .secret_scan import scan_secrets
 from .sharding import hilbert_shards
 from .simhash import simhash_components
 from .token_output import read_shards, token_sequences, write_shards
+from .toxicity import score_toxicity
+from .vector_codes import compress_vectors
+from .whitening import whiten_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +97,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=False)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), labels, carry=False)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), carry=False)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), carry=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_output": op2_token_output,
@@ -105,5 +121,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_sharding": op9_sharding,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_toxicity": op11_toxicity,
+    "op12_whitening": op12_whitening,
+    "op13_vector_codes": op13_vector_codes,
 }
 
