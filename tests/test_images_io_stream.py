@@ -222,8 +222,8 @@ def test_annotation_readers(spark, tmp_path):
     assert got["b"].image_id == 12 and got["b"].bbox == [1.0, 2.0, 4.0, 7.0] and (got["b"].category_id, got["a"].category_id) == (1, 2)
     (tmp_path / "l.xml").write_text('<f><a id="1"><ss><s i="0" x="1" y="2" s="0"/><s i="1" x="1" y="2" s="7"/></ss><as><a id="2"><ss><s i="2" x="3" y="4" s="0"/></ss></a><a id="3"><ss><s i="2" x="5" y="6" s="0"/></ss></a></as></a></f>')
     frames, divisions = io.read_lineage_xml(spark, str(tmp_path / "l.xml"))
-    assert (1, [2, 3]) in [(r.mother, r.daughters) for r in divisions.collect()]
-    assert {(r.cell, r.timeframe) for r in frames.collect()} >= {(1, 0), (1, 1)}
+    assert [(r.mother, r.daughters) for r in divisions.collect()] == [(1, [2, 3])]
+    assert sorted((r.cell, r.timeframe, r.x, r.status) for r in frames.collect()) == [(1, 0, 1.0, 0), (1, 1, 1.0, 7), (2, 2, 3.0, 0), (3, 2, 5.0, 0)]
 
 
 def test_names(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackspark.functions import names as nm
@@ -88,15 +89,41 @@ def s8(s, d):
     return io.labelme_rows(f).select("image_id", "label", F.get("bbox", F.lit(0)).alias("x"), F.get("bbox", F.lit(2)).alias("w"))
 
 
-@query("s9_lineage_xml", "SELECT track_id AS cell, timeframe, CAST(x1 AS DOUBLE) AS x, CAST(y1 AS DOUBLE) AS y FROM cells")
-def s9(s, d):
+def nested_lineage(s, d):
+    """A file for each movie: its n tracks, numbered from 0, are cells of a tree; the daughters of k are 2 k + 1 and
+    2 k + 2. Tags stand in an order of keys: a cell's own tags sort before its daughters' and its end after them."""
+    k = F.col("k")
+    tracks = cells(s, d).groupBy("dataset", "track_id").agg(F.sort_array(F.collect_list(F.struct("timeframe", "x1", "y1"))).alias("ss"))
+    movie = Window.partitionBy("dataset")
+    tracks = tracks.withColumn("k", F.row_number().over(movie.orderBy("track_id")) - 1).withColumn("n", F.count("*").over(movie))
+    spots = F.array_join(F.transform("ss", lambda c: F.format_string('<s i="%d" x="%d" y="%d" s="0"/>', c["timeframe"], c["x1"], c["y1"])), "")
+    mother = 2 * k + 1 < F.col("n")
+    tag = lambda after, text: F.struct(F.concat(F.conv((k + 1).cast("string"), 10, 2), F.lit(after)).alias("key"), text.alias("tag"))
+    tags = F.array(
+        tag(" ", F.concat(F.format_string('<a id="%d" brush="b%d" type="0">', "track_id", F.col("track_id") % 3), F.lit("<ss>"), spots, F.lit("</ss>"))),
+        tag("!", F.when(mother, F.lit("<as>"))), tag(":", F.when(mother, F.lit("</as>"))), tag("~", F.lit("</a>")),
+    )
+    one = tracks.select("dataset", F.explode(tags).alias("t")).where("t.tag IS NOT NULL").groupBy("dataset").agg(F.sort_array(F.collect_list("t")).alias("t"))
     at = folder(s)
-    one = F.format_string('<s i="%d" x="%d" y="%d" s="0"/>', F.col("timeframe"), "x1", "y1")
-    a = cells(s, d).groupBy("track_id").agg(F.array_join(F.sort_array(F.collect_list(one)), "").alias("t"))
-    a = a.select(F.expr("track_id div 500").alias("k"), F.format_string('<a id="%d"><ss>%s</ss></a>', "track_id", "t").alias("a"))
-    one = F.concat(F.lit("<f>"), F.array_join(F.collect_list("a"), ""), F.lit("</f>"))  # a file needs a root: up to 500 tracks each
-    a.groupBy("k").agg(one.alias("value")).write.partitionBy("k").text(at)
-    return io.read_lineage_xml(s, at)[0].select("cell", "timeframe", "x", "y")
+    whole = F.concat(F.format_string('<fs><f id="%d"><as>\n', "dataset"), F.array_join(F.transform("t", lambda x: x["tag"]), "\n"), F.lit("\n</as></f></fs>"))
+    one.select(whole.alias("value"), "dataset").write.partitionBy("dataset").text(at)
+    return io.read_lineage_xml(s, at)
+
+
+@query("s9_lineage_xml", "SELECT dataset AS field, track_id AS cell, 'b' || track_id % 3 AS colour, timeframe, CAST(x1 AS DOUBLE) AS x, CAST(y1 AS DOUBLE) AS y, CAST(0 AS INTEGER) AS status FROM cells")
+def s9(s, d):
+    return nested_lineage(s, d)[0].select("field", "cell", "colour", "timeframe", "x", "y", "status")
+
+
+@query(
+    "s9_divisions",
+    """WITH k AS (SELECT dataset, track_id, row_number() OVER (PARTITION BY dataset ORDER BY track_id) - 1 AS k FROM (SELECT DISTINCT dataset, track_id FROM cells))
+    SELECT m.dataset AS field, m.track_id AS mother, count(*) AS n, CASE WHEN count(*) = 2 THEN min(d.track_id) END AS first, CASE WHEN count(*) = 2 THEN max(d.track_id) END AS second
+    FROM k m JOIN k d ON m.dataset = d.dataset AND (d.k - 1) // 2 = m.k AND d.k > 0 GROUP BY ALL""",
+)
+def s9_divisions(s, d):
+    out = nested_lineage(s, d)[1]
+    return out.selectExpr("field", "mother", "CAST(if(size(daughters) = 2, 2, 1) AS BIGINT) AS n", "get(daughters, 0) AS first", "get(daughters, 1) AS second")
 
 
 @query("s10_s11_class_clips", "SELECT status AS class, CAST(sc_id AS VARCHAR) AS sc_id FROM cells WHERE status IN ('error', 'signup')")

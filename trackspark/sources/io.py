@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trackspark.functions.graph import Rounds
 from trackspark.schema import CELLS, stored
 
 PATH = "_metadata.file_path"
@@ -161,15 +162,88 @@ def read_labelme(spark: SparkSession, folder: str, **options) -> DataFrame:
     return labelme_rows(files.withColumn("path", F.col(PATH)), **options)
 
 
+def _tags(spark: SparkSession, path: str, names: str) -> DataFrame:
+    """The start and end tags of ``names`` in XML files: __f file, __b block of it, __i place in the block, name,
+    end (an end tag), empty (a tag of an element without content), text. A file is read by blocks."""
+    lines = spark.read.option("lineSep", ">").text(path)
+    tag = F.regexp_extract("value", r"<[^<]*$", 0)
+    rows = lines.select(
+        F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__i"), tag.alias("text")
+    )
+    rows = rows.withColumn("name", F.regexp_extract("text", r"^</?([A-Za-z0-9_.:-]+)", 1))
+    return rows.where(F.col("name").rlike(f"^(?:{names})$")).withColumn("end", F.col("text").startswith("</")).withColumn("empty", F.col("text").endswith("/"))
+
+
 def read_lineage_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Frame rows (cell, timeframe, x, y, status) and divisions (mother, daughters). Exactly two nested
-    cells are a division; without a nested list there is no row; another number gives empty daughters."""
-    kids = "as STRUCT<a: ARRAY<STRUCT<_id: BIGINT>>>"
-    x = spark.read.format("xml").option("rowTag", "a").schema(f"_id BIGINT, ss STRUCT<s: ARRAY<STRUCT<_i: INT, _x: DOUBLE, _y: DOUBLE, _s: INT>>>, {kids}").load(path)
-    s = x.select(F.col("_id").alias("cell"), F.explode("ss.s").alias("s"))
-    frames = s.select("cell", F.col("s._i").alias("timeframe"), F.col("s._x").alias("x"), F.col("s._y").alias("y"), F.col("s._s").alias("status"))
-    d = x.where("as.a IS NOT NULL").select(F.col("_id").alias("mother"), F.transform("as.a", lambda a: a["_id"]).alias("k"))
-    return frames, d.select("mother", F.when(F.size("k") == 2, F.col("k")).otherwise(F.array().cast("array<bigint>")).alias("daughters"))
+    """Frame rows (field, cell, colour, type, timeframe, x, y, status) of cells nested to any depth, and
+    divisions (field, mother, daughters): a row for each cell with a nested list, whose daughters are those of all
+    its lists if the first holds exactly two cells, and none otherwise.
+
+    Files are streams of tags, cut into blocks: how many cells are open at a tag, and which cell is the innermost
+    one, comes from running values inside blocks and from what earlier blocks of the file leave open, so neither
+    a deep tree nor a long file is one task. Attribute values and comments must not hold a '>'.
+    """
+    t = Rounds(spark)
+    attr = lambda k: F.nullif(F.regexp_extract("text", rf"""[\s"']{k}\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
+    tags = t.write(_tags(spark, path, "f|as|a|s"), "tags")
+    block, place = Window.partitionBy("__f", "__b"), Window.partitionBy("__f", "__b").orderBy("__i")
+    step = F.when((F.col("name") != "a") | F.col("empty"), 0).when(F.col("end"), -1).otherwise(1)
+    # how many cells are open when a block starts: one row a block
+    starts = tags.groupBy("__f", "__b").agg(F.sum(step).alias("__n"))
+    starts = starts.select("__f", "__b", F.coalesce(F.sum("__n").over(Window.partitionBy("__f").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__n"))
+    here = tags.withColumn("__d", F.coalesce(F.sum(step).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(starts, ["__f", "__b"])
+    opens = (F.col("name") == "a") & ~F.col("end")
+    here = here.where("NOT end").withColumn("depth", F.col("__d") + F.col("__n") + opens.cast("int"))
+    # a place is kept as (block, place in it); an element is found by the last one of its kind and depth before
+    at = F.struct("__b", "__i")
+    here = here.select("__f", "__b", "__i", "name", "depth", "text", at.alias("at"))
+    kinds = {
+        "cell": (F.col("name") == "a", F.struct("at", attr("id").cast("long").alias("id"), attr("brush").alias("colour"), attr("type").alias("type"))),
+        "list": (F.col("name") == "as", F.struct("at", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("colour"), F.lit(None).cast("string").alias("type"))),
+        "field": (F.col("name") == "f", F.struct("at", attr("id").cast("long").alias("id"), F.lit(None).cast("string").alias("colour"), F.lit(None).cast("string").alias("type"))),
+    }
+    kind = F.when(kinds["cell"][0], "cell").when(kinds["list"][0], "list").when(kinds["field"][0], "field")
+    element = F.when(kinds["cell"][0], kinds["cell"][1]).when(kinds["list"][0], kinds["list"][1]).otherwise(kinds["field"][1])
+    level = F.when(F.col("name") == "f", -1).otherwise(F.col("depth"))
+    here = t.write(here.withColumn("kind", kind).withColumn("element", F.when(kind.isNotNull(), element)).withColumn("level", level), "here")
+
+    # what each kind and level was last in a block, and so far in the file: rows of blocks times levels
+    last = here.where("kind IS NOT NULL").groupBy("__f", "__b", "kind", "level").agg(F.max_by("element", "__i").alias("element"))
+    blocks = here.select("__f", "__b").distinct()
+    grid = blocks.join(last.select("__f", "kind", "level").distinct(), "__f").join(last, ["__f", "__b", "kind", "level"], "left")
+    before = Window.partitionBy("__f", "kind", "level").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = t.write(grid.withColumn("carried", F.last("element", ignorenulls=True).over(before)).where("carried IS NOT NULL").drop("element"), "carried")
+
+    def innermost(rows: DataFrame, kind: str, level: Column, name: str) -> DataFrame:
+        """rows of ``here`` with the element of a kind and level that was last opened before them."""
+        both = rows.select("*", level.alias("want"), F.lit(None).cast(here.schema["element"].dataType).alias("own")).unionByName(
+            here.where(F.col("kind") == kind).select("__f", "__b", "__i", F.col("level").alias("want"), F.col("element").alias("own")), allowMissingColumns=True
+        )
+        inside = F.last("own", ignorenulls=True).over(Window.partitionBy("__f", "__b", "want").orderBy("__i", F.col("own").isNotNull()).rowsBetween(Window.unboundedPreceding, -1))
+        found = both.withColumn("found", inside).where("own IS NULL").drop("own")
+        c = carried.where(F.col("kind") == kind).select("__f", "__b", F.col("level").alias("want"), "carried")
+        return found.join(c, ["__f", "__b", "want"], "left").withColumn(name, F.coalesce("found", "carried")).drop("want", "found", "carried")
+
+    d = F.col("depth")
+    s = innermost(here.where("name = 's' AND depth > 0"), "cell", d, "cell")
+    s = innermost(s, "field", F.lit(-1).cast("int"), "field")
+    frames = s.select(
+        F.col("field.id").alias("field"), F.col("cell.id").alias("cell"), F.col("cell.colour").alias("colour"), F.col("cell.type").alias("type"),
+        attr("i").cast("int").alias("timeframe"), attr("x").cast("double").alias("x"), attr("y").cast("double").alias("y"), attr("s").cast("int").alias("status"),
+    )
+    lists = innermost(here.where("name = 'as' AND depth > 0"), "cell", d, "cell")
+    lists = innermost(lists, "field", F.lit(-1).cast("int"), "field")
+    firsts = lists.groupBy("__f", F.col("cell.at").alias("mother_at")).agg(
+        F.first("cell.id").alias("mother"), F.first("field.id").alias("field"), F.min("at").alias("first_list")
+    )
+    inner = innermost(here.where("name = 'a' AND depth > 1"), "cell", d - 1, "cell")
+    inner = innermost(inner, "list", d - 1, "list")
+    inner = inner.select("__f", F.col("cell.at").alias("mother_at"), F.col("list.at").alias("list_at"), F.col("element.id").alias("daughter"), "at")
+    both = firsts.join(inner, ["__f", "mother_at"], "left").groupBy("__f", "mother_at", "mother", "field").agg(
+        F.count(F.when(F.col("list_at") == F.col("first_list"), 1)).alias("n"),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("daughter").isNotNull(), F.struct("at", "daughter")))), lambda x: x["daughter"]).alias("daughters"),
+    )
+    return frames, both.select("field", "mother", F.when(F.col("n") == 2, F.col("daughters")).otherwise(F.array().cast("array<bigint>")).alias("daughters"))
 
 
 def read_class_clips(spark: SparkSession, folder: str, classes: list[str] | None = None) -> DataFrame:
