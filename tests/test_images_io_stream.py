@@ -9,6 +9,7 @@ from trackspark.functions import names, raster
 from trackspark.operators import contours as co
 from trackspark.operators import evaluate as ev
 from trackspark.operators import events as evs
+from trackspark.operators import fields as fi
 from trackspark.operators import images as im
 from trackspark.schema import CELLS, check_columns, flat
 from trackspark.sources import io
@@ -105,7 +106,7 @@ def test_intensities(spark):
     mask = np.zeros((10, 10), int)
     mask[2:8, 2:8] = 1
     for top in (5.0, 10.0):
-        d = im.distance_map(pixel_table(spark, np.ones((10, 10)), mask), ["image"], edt_max=top)
+        d = fi.distance_map(pixel_table(spark, np.ones((10, 10)), mask), ["image"], edt_max=top)
         assert max(r.distance for r in d.collect()) == pytest.approx(top)
 
 

@@ -292,20 +292,6 @@ def _label_pixels(pixels: DataFrame, keys: list[str], label: str) -> DataFrame:
     return pixels.where(F.col(label) != 0).select(*keys, F.col(label).cast("long").alias("label"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
 
 
-def distance_map(pixels: DataFrame, keys: list[str], label: str = "label", edt_max: float | None = None) -> DataFrame:
-    """Distance of each label's pixels to its outside; with ``edt_max`` scaled so that the largest is that."""
-    p = _label_pixels(pixels, keys, label)
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        mask, r0, c0 = _mask_of(g)
-        d = raster.distance_transform(np.pad(mask, 1))[1:-1, 1:-1]
-        if edt_max is not None:
-            d = d * edt_max / d.max()
-        return g.assign(distance=d[g["r"] - r0, g["c"] - c0])
-
-    return _per_group(p, [*keys, "label"], extended(p.schema, distance="double"), one)
-
-
 def resized_labels(pixels: DataFrame, keys: list[str], scale: float, label: str = "label") -> DataFrame:
     """Labels grown or shrunk; where grown labels overlap, their sum."""
     p = _label_pixels(pixels, keys, label)
@@ -320,14 +306,6 @@ def resized_labels(pixels: DataFrame, keys: list[str], scale: float, label: str
     return _per_group(p, [*keys, "label"], p.schema, one).groupBy(*keys, "r", "c").agg(F.sum("label").alias("label"))
 
 
-def weight_map(pixels: DataFrame, keys: list[str], label: str = "label", w0: float = 20, sigma: float = 8) -> DataFrame:
-    """Per pixel of a label w0 * exp(-d^2 / 2 sigma^2), d its distance to the label's inner boundary, plus
-    the share of the other class in the image."""
-    p = distance_map(pixels, keys, label).withColumn("d", F.greatest(F.col("distance") - 1, F.lit(0.0)))
-    total = pixels.groupBy(*keys).agg(F.avg((F.col(label) == 0).cast("double")).alias("__other"))
-    return p.join(total, keys).withColumn("weight", w0 * F.exp(-F.pow("d", F.lit(2)) / (2 * sigma**2)) + F.col("__other")).drop("d", "__other")
-
-
 def cells_from_labels(pixels: DataFrame, keys: list[str], label: str = "label", least_points: int = 10) -> DataFrame:
     """Outer boundaries of the connected pieces of each label that have ``least_points`` or more: (keys,
     label, piece, contour, box)."""

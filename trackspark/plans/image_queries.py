@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trackspark.operators import contours as co
 from trackspark.operators import events as evs
+from trackspark.operators import fields as fi
 from trackspark.operators import images as im
 from trackspark.operators import tracks as tr
 
@@ -206,15 +207,39 @@ def x4(s, d):
     return im.keep_above_percentile(grid(s, d), KEY, 90, scale=2.0).select("image", "r", "c", "kept")
 
 
-#: The nearest place outside a label is at most this far in these images
-REACH = 12
-DISTANCE = f"""{GRID}, step AS (SELECT dr.i - {REACH} AS dr, dc.i - {REACH} AS dc FROM range({2 * REACH + 1}) dr(i), range({2 * REACH + 1}) dc(i)),
-    dist AS (SELECT a.image, a.label, a.r, a.c, sqrt(min(CASE WHEN b.label IS NULL OR b.label <> a.label THEN dr * dr + dc * dc END)) AS distance FROM grid a CROSS JOIN step LEFT JOIN grid b ON b.image = a.image AND b.r = a.r + dr AND b.c = a.c + dc GROUP BY ALL)"""
+def blobs(s, d):
+    """The images with labels of up to 12 x 12 pixels: some meet, some keep apart, all have holes."""
+    g = grid(s, d).drop("label").withColumn("k", F.expr("r div 12 * 6 + c div 12"))
+    gap = "c % 12 = 11 OR (r % 12 = 11 AND k % 2 = 1) OR value < 2"
+    return g.select("image", "r", "c", "value", F.expr(f"CAST(if({gap}, 0, k + 1) AS BIGINT)").alias("label"))
 
 
-@query("x5_distance_map", f"WITH {DISTANCE} SELECT * FROM dist")
+#: The same for DuckDB, on whole rectangles (rows beyond an image's items have no label), and inner boundaries.
+BLOBS = f"""{GRID}, blobs AS (SELECT image, r, c, CAST(CASE WHEN c % 12 = 11 OR (r % 12 = 11 AND (r // 12 * 6 + c // 12) % 2 = 1) OR value < 2 THEN 0 ELSE r // 12 * 6 + c // 12 + 1 END AS BIGINT) AS label FROM grid),
+    ends AS (SELECT image, max(r) AS h, max(c) AS w FROM blobs GROUP BY ALL),
+    whole AS (SELECT e.image, r.r, c.c, coalesce(b.label, 0) AS label FROM ends e JOIN range({H}) r(r) ON r.r <= h JOIN range({W}) c(c) ON c.c <= w LEFT JOIN blobs b ON b.image = e.image AND b.r = r.r AND b.c = c.c)"""
+EDGES = f"""{BLOBS}, edge AS (SELECT DISTINCT a.* FROM blobs a JOIN whole b ON a.image = b.image AND abs(a.r - b.r) + abs(a.c - b.c) = 1 WHERE a.label <> 0 AND b.label <> a.label),
+    far AS (SELECT b.image, b.r, b.c, b.label, e.label AS other, min((b.r - e.r) * (b.r - e.r) + (b.c - e.c) * (b.c - e.c)) AS d2 FROM blobs b JOIN edge e USING (image) GROUP BY ALL),
+    shares AS (SELECT *, count(*) OVER (PARTITION BY image, label) AS area, count(*) OVER (PARTITION BY image) AS total, count(CASE WHEN label <> 0 THEN 1 END) OVER (PARTITION BY image) AS labelled FROM blobs),
+    counts AS (SELECT image, count(DISTINCT label) AS n FROM blobs WHERE label <> 0 GROUP BY ALL)"""
+#: By definition: the nearest of all pixels that have not the label (13 steps reach it in these images).
+DISTANCE = f"""{BLOBS}, dist AS (SELECT a.image, a.label, a.r, a.c, sqrt(min((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c))) AS distance FROM blobs a
+    JOIN range(27) s(i) ON TRUE JOIN whole b ON b.image = a.image AND b.r = a.r + s.i - 13 AND b.c BETWEEN a.c - 13 AND a.c + 13 WHERE a.label <> 0 AND b.label <> a.label GROUP BY ALL)"""
+
+
+@query("x5_distance_map", f"WITH {DISTANCE} SELECT image, label, r, c, round(distance, 6) AS distance FROM dist")
 def x5(s, d):
-    return im.distance_map(grid(s, d), KEY)
+    return fi.distance_map(blobs(s, d), KEY).select("image", "label", "r", "c", *r("distance"))
+
+
+@query("x5_scaled_distances", f"WITH {DISTANCE} SELECT image, label, r, c, round(distance / (max(distance) OVER (PARTITION BY image) / 4) + 1, 6) AS distance FROM dist")
+def x5_scaled(s, d):
+    return fi.distance_map(blobs(s, d), KEY, edt_max=5).select("image", "label", "r", "c", *r("distance"))
+
+
+@query("x5_distance_bytes", f"WITH {DISTANCE} SELECT image, label, r, c, CAST(floor(distance / max(distance) OVER (PARTITION BY image, label) * 255) AS INTEGER) AS distance FROM dist")
+def x5_bytes(s, d):
+    return fi.distance_bytes(blobs(s, d), KEY).select("image", "label", "r", "c", "distance")
 
 
 def _projected(k: int) -> str:
@@ -243,9 +268,23 @@ def x7(s, d):
     return im.resized_labels(grid(s, d), KEY, 0.05)
 
 
-@query("x8_weight_map", f"WITH {DISTANCE} SELECT image, label, r, c, round(20 * exp(-(greatest(distance - 1, 0) ** 2) / 128), 6) AS weight FROM dist")
+@query(
+    "x8_weight_map",
+    f"""WITH {EDGES}, sums AS (SELECT image, r, c, sum(20 * exp(-d2 / 128.0)) AS border FROM far GROUP BY ALL)
+    SELECT image, r, c, label, round((border + CASE WHEN label <> 0 THEN 1 - area / CAST(total AS DOUBLE) ELSE 0 END) / n, 6) AS weight FROM shares JOIN sums USING (image, r, c) JOIN counts USING (image)""",
+)
 def x8(s, d):
-    return im.weight_map(grid(s, d), KEY).select("image", "r", "c", "label", *r("weight"))
+    return fi.weight_map(blobs(s, d), KEY).select("image", "r", "c", "label", *r("weight"))
+
+
+@query(
+    "x8_two_nearest",
+    f"""WITH {EDGES}, two AS (SELECT image, r, c, list_sort(list(sqrt(d2))) AS d FROM far GROUP BY ALL)
+    SELECT image, r, c, label, round(10 * exp(-((d[1] + coalesce(d[2], 0)) ** 2) / 50) + CASE WHEN label <> 0 THEN 1 - labelled / CAST(total AS DOUBLE) ELSE labelled / CAST(total AS DOUBLE) END, 6) AS weight
+    FROM shares JOIN two USING (image, r, c)""",
+)
+def x8_two(s, d):
+    return fi.weight_map(blobs(s, d), KEY, w0=10, sigma=5, nearest_two=True).select("image", "r", "c", "label", *r("weight"))
 
 
 @query("x9_label_cells")
