@@ -236,7 +236,7 @@ def test_names(spark):
 
 
 def test_live_tracking_equals_batch(spark, tmp_path):
-    from trackspark.operators.linking import track_boxes
+    from trackspark.operators.tracking import track_boxes
 
     rows = [("m", t, 100 * k + t, 40.0 * k + 2 * t, 3.0 * t, 40.0 * k + 2 * t + 20, 3.0 * t + 20) for k in range(3) for t in range(10) if (k, t) != (1, 4)]
     d = spark.createDataFrame(rows, "dataset string, timeframe int, sc_id long, x1 double, y1 double, x2 double, y2 double")

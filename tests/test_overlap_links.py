@@ -11,6 +11,7 @@ from trackspark.functions.kalman import BoxTracker
 from trackspark.operators import events as ev
 from trackspark.operators import lineage as li
 from trackspark.operators import linking as lk
+from trackspark.operators import tracking as tk
 from trackspark.operators import overlap as ov
 
 CELLS = "dataset int, track_id long, timeframe int, sc_id long, x1 long, y1 long, x2 long, y2 long, area double"
@@ -110,9 +111,9 @@ def moving(n_tracks=4, n_frames=12):
 
 def test_box_tracking_keeps_identity(spark):
     c = spark.createDataFrame(moving(), CELLS)
-    got = lk.track_boxes(c, max_age=3, min_hits=1).join(c.select("sc_id", F.col("track_id").alias("true")), "sc_id").collect()
+    got = tk.track_boxes(c, max_age=3, min_hits=1).join(c.select("sc_id", F.col("track_id").alias("true")), "sc_id").collect()
     assert len({(r.true, r.track_id) for r in got}) == 4 and len(got) >= len(moving()) - 1
-    few = lk.track_boxes(c, max_age=3, min_hits=1).repartition(3).count()
+    few = tk.track_boxes(c, max_age=3, min_hits=1).repartition(3).count()
     assert few == len(got)
 
 

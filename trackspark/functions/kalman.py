@@ -29,10 +29,39 @@ def boxes_of(x: np.ndarray) -> np.ndarray:
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Overlap shares to ten digits, so that equal ones tie whatever the last bits of a prediction are."""
     lo, hi = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
     inter = np.clip(hi - lo, 0, None).prod(2)
     area = lambda z: (z[:, 2] - z[:, 0]) * (z[:, 3] - z[:, 1])
-    return inter / (area(a)[:, None] + area(b)[None, :] - inter)
+    with np.errstate(invalid="ignore"):
+        return np.nan_to_num(np.round(inter / (area(a)[:, None] + area(b)[None, :] - inter), 10))
+
+
+def best_overlaps(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The assignment with the largest sum of overlaps. Boxes that share no overlap, also over others, don't compete:
+    each group is solved apart and in the order of its rows and columns, so that a group has one result whatever
+    else the frame holds. Pairs without overlap are left out."""
+    rows, columns = np.nonzero(m > 0)
+    group = np.arange(m.shape[0])
+    owner = {}
+    find = lambda i: i if group[i] == i else find(group[i])
+    for r, c in zip(rows.tolist(), columns.tolist()):
+        if c in owner:
+            a, b = sorted((find(owner[c]), find(r)))
+            group[b] = a
+        owner[c] = r
+    of_row = np.array([find(i) for i in range(m.shape[0])])
+    d, t = [], []
+    for g in np.unique(of_row[rows]):
+        i = np.flatnonzero(of_row == g)
+        j = np.unique(columns[of_row[rows] == g])
+        a, b = assign(-m[np.ix_(i, j)])
+        good = m[i[a], j[b]] > 0
+        d.append(i[a][good])
+        t.append(j[b][good])
+    d, t = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (d, t))
+    order = np.argsort(d)
+    return d[order], t[order]
 
 
 class BoxTracker:
@@ -61,16 +90,24 @@ class BoxTracker:
         return boxes[good]
 
     def _match(self, boxes: np.ndarray, predicted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of boxes and predictions: those over the threshold if some are and each side has one at most, else
+        the best assignment. ``rule`` is the most of them that one side has, 2 at most; ``open`` says that the two
+        rules differ here."""
+        self.rule, self.open = 0, False
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(boxes) or not len(predicted):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none
         m = iou_matrix(boxes, predicted)
         over = m > self.iou
-        if over.sum(0).max() == 1 and over.sum(1).max() == 1:
-            d, t = np.nonzero(over)
-        else:
-            d, t = assign(-m)
+        self.rule = int(min(2, max(over.sum(0).max(), over.sum(1).max())))
+        plain = np.nonzero(over)
+        if self.rule < 2 and ((m > 0) == over).all() and self.iou >= 0:
+            return plain  # nothing else overlaps, so both rules agree
+        d, t = best_overlaps(m)
         keep = m[d, t] >= self.iou
-        return d[keep], t[keep]
+        best = d[keep], t[keep]
+        self.open = self.rule < 2 and set(zip(*plain)) != set(zip(*best))
+        return plain if self.rule == 1 else best
 
     def _correct(self, t: np.ndarray, boxes: np.ndarray) -> None:
         p = self.p[t]
@@ -82,23 +119,28 @@ class BoxTracker:
 
     def step(self, boxes: np.ndarray) -> np.ndarray:
         """Track id of each box, 0 where its track is not shown (yet)."""
+        ids, shown = self.step_all(boxes)
+        return np.where(shown, ids, 0)
+
+    def step_all(self, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Track id of each box, and whether its track is shown."""
         self.frames += 1
         boxes = np.asarray(boxes, float).reshape(-1, 4)
-        d, t = self._match(boxes, self._predict())
+        self.predicted = self._predict()
+        d, t = self._match(boxes, self.predicted)
         self._correct(t, boxes[d])
-        out = np.zeros(len(boxes), np.int64)
-        out[d] = np.where((self.streak[t] >= self.min_hits) | (self.frames <= self.min_hits), self.ids[t], 0)
+        out, shown = np.zeros(len(boxes), np.int64), np.full(len(boxes), self.min_hits <= 0 or self.frames <= self.min_hits)
+        out[d] = self.ids[t]
+        shown[d] |= self.streak[t] >= self.min_hits
         new = np.setdiff1d(np.arange(len(boxes)), d)
-        ids = self.last_id + 1 + np.arange(len(new))
+        out[new] = self.last_id + 1 + np.arange(len(new))
         self.last_id += len(new)
-        if self.min_hits <= 0 or self.frames <= self.min_hits:
-            out[new] = ids
         x = np.concatenate([measured(boxes[new]), np.zeros((len(new), 3))], 1)
         self.x, self.p = np.concatenate([self.x, x]), np.concatenate([self.p, np.repeat(START[None], len(new), 0)])
         zero = np.zeros(len(new), np.int64)
-        self.ids, self.streak, self.since = np.concatenate([self.ids, ids]), np.concatenate([self.streak, zero]), np.concatenate([self.since, zero])
+        self.ids, self.streak, self.since = np.concatenate([self.ids, out[new]]), np.concatenate([self.streak, zero]), np.concatenate([self.since, zero])
         self._keep(self.since <= self.max_age)
-        return out
+        return out, shown
 
     def state(self) -> tuple:
         """Flat lists, for a streaming state store."""

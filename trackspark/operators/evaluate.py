@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackspark.functions.ranks import ranked
 from trackspark.schema import extended
 
 # -- tables of features ---------------------------------------------------------------------------
@@ -227,15 +228,11 @@ def top_k(df: DataFrame, k: int, *order) -> DataFrame:
 
 
 def evenly_spaced(df: DataFrame, k: int, time: str, id_col: str) -> DataFrame:
-    """O3: in order of time, every step-th row, step = max(1, n // k), the first k of these. Rows are counted
-    per time first; ranks are sums over times plus places inside one time."""
-    per = df.groupBy(time).agg(F.count("*").alias("__c"))
-    before = Window.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)  # one row per time
-    starts = per.select(time, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__s"), F.sum("__c").over(Window.partitionBy()).alias("__n"))
-    place = F.row_number().over(Window.partitionBy(time).orderBy(id_col)) - 1
-    ranked = df.withColumn("__p", place).join(starts, time).withColumn("__r", F.col("__s") + F.col("__p"))
-    step = F.greatest(F.lit(1), F.expr(f"__n div {k}"))
-    return ranked.where((F.col("__r") % step == 0) & (F.col("__r") < step * k)).drop("__p", "__s", "__n", "__r")
+    """O3: in order of time, every step-th row, step = max(1, n // k), the first k of these. Rows are ranked by
+    ranges, so that neither one time nor the table is one task's work."""
+    step = max(1, df.count() // k)
+    r = ranked(df, [], [time, id_col], "__r")
+    return r.where((F.col("__r") % step == 0) & (F.col("__r") < step * k)).drop("__r")
 
 
 def hash_key(column: str | Column, seed: int) -> Column:

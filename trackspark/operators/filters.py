@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackspark.functions.ranks import ranked
+
 from .tracks import TRACK, track_summary
 
 
@@ -38,8 +40,7 @@ def tracks_in_time_span(cells: DataFrame, lo: int, hi: int, keep_track_id: bool
     cut = cells.where(F.col("timeframe").between(lo, hi))
     if keep_track_id:
         return cut
-    number = F.row_number().over(Window.partitionBy("dataset").orderBy("track_id")) - 1
-    ids = cells.select(*TRACK).distinct().select(*TRACK, number.cast("long").alias("__new"))
+    ids = ranked(cells.select(*TRACK).distinct(), ["dataset"], ["track_id"], "__new")
     return cut.join(ids, TRACK).withColumn("track_id", F.col("__new")).drop("__new")
 
 

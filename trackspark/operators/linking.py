@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from trackspark.functions.assignment import assign_allowed
 from trackspark.functions.geometry import contains_point
 from trackspark.functions.graph import Rounds, components
-from trackspark.functions.kalman import BoxTracker
 from trackspark.schema import extended
 
 from .overlap import box_pairs
@@ -278,41 +277,6 @@ def optimal_links(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return alone.union(rest.groupBy("root").applyInPandas(solve, out))
 
 
-# -- tracking -------------------------------------------------------------------------------------
-
-
-def track_boxes(cells: DataFrame, max_age: int = 5, min_hits: int = 3, iou: float = 0.3, keys: tuple[str, ...] = ("dataset",)) -> DataFrame:
-    """Box tracking of each movie: (keys, timeframe, sc_id, track_id), tracks from 1 per movie. Frames
-    between the first and last count also where they hold no cell. Movies are independent; inside one the
-    state goes from frame to frame, so a movie is one task's work."""
-    need = cells.select(*keys, "timeframe", "sc_id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    out = extended(need.select(*keys, "timeframe", "sc_id").schema, track_id="long")
-
-    def follow(movie: pd.DataFrame) -> pd.DataFrame:
-        tracker = BoxTracker(max_age, min_hits, iou)
-        movie = movie.sort_values(["timeframe", "sc_id"])
-        movie["track_id"] = 0
-        frames = movie.groupby("timeframe").indices
-        boxes, ids = movie[["x1", "y1", "x2", "y2"]].to_numpy(), np.zeros(len(movie), np.int64)
-        for t in range(int(movie["timeframe"].min()), int(movie["timeframe"].max()) + 1):
-            at = frames.get(t, np.zeros(0, np.int64))
-            ids[at] = tracker.step(boxes[at])
-        movie["track_id"] = ids
-        return movie.loc[movie["track_id"] > 0, [f.name for f in out]]
-
-    return need.groupBy(*keys).applyInPandas(follow, out)
-
-
-def tracking_sweep(cells: DataFrame, max_ages: tuple[int, ...], min_hits: int = 3) -> DataFrame:
-    """For each max_age the tracks, cells and mean missing rate."""
-    each = None
-    for age in max_ages:
-        t = track_boxes(cells, age, min_hits).withColumn("max_age", F.lit(age))
-        each = t if each is None else each.union(t)
-    per = each.groupBy("max_age", *TRACK).agg(F.count("*").alias("n"), (F.max("timeframe") - F.min("timeframe") + 1).alias("span"))
-    return per.groupBy("max_age").agg(F.count("*").alias("n_tracks"), F.sum("n").alias("n_cells"), F.avg(1 - F.col("n") / F.col("span")).alias("mean_missing_rate"))
-
-
 def case_types(cases: DataFrame, strict_reference: bool = True) -> DataFrame:
     """Cases (n_in, n_missing: pieces found for the cell in view and for the missing one).
 

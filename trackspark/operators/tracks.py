@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from trackspark.functions.ranks import ranked
+
 TRACK = ["dataset", "track_id"]
 
 
@@ -160,8 +162,7 @@ def neighbours_in_time(cells: DataFrame) -> DataFrame:
 def relabel_tracks(cells: DataFrame) -> DataFrame:
     """Tracks numbered from 1 by first frame, then by old label; labels of 0 or less stay."""
     starts = cells.where("track_id > 0").groupBy(*TRACK).agg(F.min("timeframe").alias("__s"))
-    new = F.row_number().over(Window.partitionBy("dataset").orderBy("__s", "track_id")).cast("long")
-    ids = starts.select(*TRACK, new.alias("__new"))
+    ids = ranked(starts, ["dataset"], ["__s", "track_id"], "__k").select(*TRACK, (F.col("__k") + 1).alias("__new"))
     return cells.join(ids, TRACK, "left").withColumn("track_id", F.coalesce("__new", "track_id")).drop("__new")
 
 
@@ -331,8 +332,7 @@ def split_tracks(cells: DataFrame, edits: DataFrame) -> DataFrame:
     [at, end] get ids above the largest id of the other tracks, in order of track."""
     cut = cells.join(edits, TRACK, "left")
     largest = cut.where("at IS NULL").groupBy("dataset").agg(F.max("track_id").alias("__max"))
-    rank = F.row_number().over(Window.partitionBy("dataset").orderBy("track_id"))
-    ids = edits.select(*TRACK, "at", (2 * (rank - 1)).alias("__k")).join(largest, "dataset", "left")
+    ids = ranked(edits.select(*TRACK, "at"), ["dataset"], ["track_id"], "__k").withColumn("__k", 2 * F.col("__k")).join(largest, "dataset", "left")
     ids = ids.select(*TRACK, F.col("at").alias("__at"), (F.coalesce("__max", F.lit(-1)) + 1 + F.col("__k")).alias("__low"))
     out = cells.join(ids, TRACK, "left")
     new = F.when(F.col("__at").isNull(), F.col("track_id")).otherwise(F.col("__low") + (F.col("timeframe") >= F.col("__at")).cast("int"))
@@ -351,8 +351,7 @@ def break_links(cells: DataFrame, cuts: DataFrame) -> DataFrame:
     rows = cells.join(c, [*TRACK, "timeframe"], "left").withColumn("__part", F.coalesce(F.sum("__c").over(in_time()), F.lit(0)))
     tops = cells.groupBy("dataset").agg(F.max("track_id").alias("__top"))
     parts = rows.where("__part > 0").select(*TRACK, "__part").distinct()
-    fresh = F.row_number().over(Window.partitionBy("dataset").orderBy("track_id", "__part"))
-    ids = parts.withColumn("__f", fresh).join(tops, "dataset").select(*TRACK, "__part", (F.col("__top") + F.col("__f")).alias("__new"))
+    ids = ranked(parts, ["dataset"], ["track_id", "__part"], "__f").join(tops, "dataset").select(*TRACK, "__part", (F.col("__top") + F.col("__f") + 1).alias("__new"))
     return rows.join(ids, [*TRACK, "__part"], "left").withColumn("track_id", F.coalesce("__new", "track_id")).drop("__c", "__part", "__new")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackspark.functions.ranks import ranked
 from trackspark.operators.tracks import last_write_wins
 
 
@@ -63,10 +64,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").selectExpr(
         "o_orderpriority AS strategy", "o_custkey % 5 AS run_id", "o_totalprice / 600000 AS test_iou", "o_orderkey % 100 AS labeled_samples", "o_orderdate", "o_orderkey"
     )
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("strategy", "run_id").orderBy("o_orderdate", "o_orderkey")
-    return o.withColumn("iteration", F.row_number().over(w)).drop("o_orderdate", "o_orderkey")
+    place = ranked(o, ["strategy", "run_id"], ["o_orderdate", "o_orderkey"], "iteration")
+    return place.withColumn("iteration", (F.col("iteration") + 1).cast("int")).drop("o_orderdate", "o_orderkey")
 
 
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:

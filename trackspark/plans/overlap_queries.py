@@ -8,6 +8,7 @@ from trackspark.functions import geometry as ge
 from trackspark.operators import lineage as li
 from trackspark.operators import linking as lk
 from trackspark.operators import overlap as ov
+from trackspark.operators import tracking as tk
 from trackspark.operators import tracks as tr
 
 from .adapters import cells, lineage, pixels, table, unique_pixels
@@ -419,7 +420,7 @@ def steady(s, d):
 
 @query("g11_track_boxes", live_sql(5, "'cell'", columns="CAST(dataset AS BIGINT) AS dataset, CAST(timeframe AS INTEGER) AS timeframe, sc_id, track_id"))
 def g11(s, d):
-    return lk.track_boxes(steady(s, d), max_age=5, min_hits=1)
+    return tk.track_boxes(steady(s, d), max_age=5, min_hits=1)
 
 
 CELL = "'cell'"
@@ -431,7 +432,28 @@ SWEEP = "CAST(dataset AS BIGINT) AS dataset, track_id, count(*) AS n, max(timefr
     " UNION ALL ".join(f"SELECT {age} AS max_age, count(*) AS n_tracks, CAST(sum(n) AS BIGINT) AS n_cells, round(avg(1 - n / CAST(span AS DOUBLE)), 9) AS mean_missing_rate FROM ({live_sql(age, CELL, columns=SWEEP)} GROUP BY dataset, track_id)" for age in (1, 5)),
 )
 def g12(s, d):
-    return lk.tracking_sweep(steady(s, d), (1, 5), 1).select("max_age", "n_tracks", "n_cells", *r("mean_missing_rate", digits=9))
+    return tk.tracking_sweep(steady(s, d), (1, 5), 1).select("max_age", "n_tracks", "n_cells", *r("mean_missing_rate", digits=9))
+
+
+def moving(s, d):
+    """Cells of half-days in boxes that move: in each movie three fields of ten tracks, which turn round at the
+    fields' ends, cross and overlap. Steps and places are whole numbers, so that overlaps are often equal."""
+    c = tr.last_write_wins(cells(s, d).withColumn("timeframe", F.expr("timeframe div 12")))
+    t, u = F.col("timeframe"), F.col("track_id")
+    turn = lambda start, step: F.abs(F.pmod(start + t * step, F.lit(400)) - 200)
+    x, y = turn(u * 53, (u % 5 - 2) * 3) + u % 3 * 700, turn(u * 29, (u % 7 - 3) * 2)
+    side = 24 + u % 2 * 6
+    return c.select("dataset", "track_id", "timeframe", "sc_id", x.alias("x1"), y.alias("y1"), (x + side).alias("x2"), (y + side).alias("y2"))
+
+
+@query("g11_moving_boxes")
+def g11_moving(s, d):
+    return tk.track_boxes(moving(s, d), max_age=3, min_hits=1)
+
+
+@query("g12_moving_sweep")
+def g12_moving(s, d):
+    return tk.tracking_sweep(moving(s, d), (1, 4), 2)
 
 
 @query(
