@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -40,14 +40,16 @@ INSULTS = (
     "idiot idiotic ignorant imbecile jerk lame liar loser lunatic moron moronic nasty nutjob pathetic pig rat retard rubbish scum shit shut sick "
     "stupid subhuman sucker sucks trash ugly useless vermin vile weirdo worthless wretched"
 ).split()
-#: Patterns that may go with toxic texts; whether they do, the label model finds out.
+_INSULTS = set(INSULTS)
+#: Patterns that may go with toxic texts; whether they do, the label model finds out. ``insult`` counts
+#: words of the list above; ``aimed`` is looked for where there are some.
 PATTERNS = {
-    "insult": re.compile(rf"\b(?:{'|'.join(INSULTS)})\b", re.I),
+    "insult": None,
     "aimed": re.compile(rf"\byou(?:r|'re)?\W+(?:\w+\W+){{0,3}}?(?:{'|'.join(INSULTS)})\b", re.I),
     "shout": re.compile(r"\b[A-Z]{4,}\b"),
     "marks": re.compile(r"[!?]{2,}"),
     "masked": re.compile(r"\b\w[*@#$]{2,}\w*"),
-    "drawn": re.compile(r"([^\W\d_])\1{3,}"),
+    "drawn": re.compile(r"([A-Za-z])\1{3,}"),
 }
 PREFIXES = range(3, 9)  # lengths of beginnings of words
 LEVELS = (0.0, 0.1, 0.2, 0.4, 0.8, 1.2)  # hits per 100 words that an entry may have to exceed
@@ -61,6 +63,18 @@ def entries_of(word: str) -> list[str]:
     return [word] + [word[:k] + "-" for k in PREFIXES if k < len(word)]
 
 
+def _words(text: str) -> Counter:
+    """How often each run of letters occurs, in lower case. Whole pieces between white space are counted first."""
+    words: Counter = Counter()
+    for piece, times in Counter(text.lower().split()).items():
+        if piece.isalpha():
+            words[piece] += times
+        else:
+            for word in TOKEN.findall(piece):
+                words[word] += times
+    return words
+
+
 def level_of(share: float) -> int:
     """The number of levels that a share exceeds."""
     return sum(share > at for at in LEVELS)
@@ -74,7 +88,10 @@ class Lexicon:
     entries: list[str]
     shares: list[float]
     voters: int
-    known: dict[str, list[int]] = field(default_factory=dict, repr=False)
+
+    def __post_init__(self):
+        self.index = {e: i for i, e in enumerate(self.entries)}
+        self.starts = {e[: PREFIXES[0]] for e in self.entries} | {w[: PREFIXES[0]] for w in INSULTS}
 
     @property
     def width(self) -> int:
@@ -87,36 +104,27 @@ class Lexicon:
         return np.array([i for i, _ in at]), np.array([s for _, s in at])
 
     def read(self, text: str) -> tuple[list[int], list[float]]:
-        """Features of a text that are not zero: hits per 100 words, 5 at most."""
-        words = Counter(TOKEN.findall(text.lower()))
+        """Features of a text that are not zero: hits per 100 words, 5 at most. Words are runs of letters."""
+        words = _words(text)
         n = sum(words.values())
         if not n:
             return [], []
-        index = self._index()
         hits: Counter = Counter()
         for word, times in words.items():
-            at = self.known.get(word)
-            if at is None:
-                at = [index[e] for e in entries_of(word) if e in index]
-                if len(self.known) >= 1_000_000:
-                    self.known.clear()
-                self.known[word] = at
-            if at:
-                for i in at:
+            if word[: PREFIXES[0]] in self.starts:
+                own = [self.index[e] for e in entries_of(word) if e in self.index]
+                for i in own:
                     hits[FIRST + i] += times
-                if min(at) < self.voters:
+                if own and min(own) < self.voters:
                     hits[FIRST - 1] += times
-        for i, p in enumerate(PATTERNS.values()):
-            if found := sum(1 for _ in p.finditer(text)):
+                if word in _INSULTS:
+                    hits[0] += times
+        for i, (kind, p) in enumerate(PATTERNS.items()):
+            if p is not None and (kind != "aimed" or hits[0]) and (found := sum(1 for _ in p.finditer(text))):
                 hits[i] = found
-        ids = sorted(hits)
+        ids = sorted(i for i, k in hits.items() if k)
         return ids, [min(TOP, 100.0 * hits[i] / n) for i in ids]
 
-    def _index(self) -> dict[str, int]:
-        if not hasattr(self, "_at"):
-            self._at = {e: i for i, e in enumerate(self.entries)}
-        return self._at
-
 
 def mine_lexicon(sample: DataFrame, entries: int, voters: int, support: int) -> Lexicon:
     """sample (text, toxic), bounded: the ``entries`` entries that most favour toxic texts, ``voters`` of them to
@@ -132,7 +140,7 @@ def mine_lexicon(sample: DataFrame, entries: int, voters: int, support: int) ->
             seen: Counter = Counter()
             for b in batches:
                 for text, toxic in zip(b["text"], b["toxic"]):
-                    words = Counter(TOKEN.findall(text.lower()))
+                    words = _words(text)
                     n, own = sum(words.values()), Counter()
                     for word, times in words.items():
                         for e in entries_of(word):
