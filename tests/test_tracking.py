@@ -5,10 +5,12 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trackspark.functions.kalman import best_overlaps, iou_matrix
 from trackspark.operators import tracking as tk
 from trackspark.plans.registry import QUERIES
+from trackspark.streaming import live
 from tests.test_entry import DATA, needs_data
 
 SCHEMA = "dataset int, timeframe int, sc_id long, x1 double, y1 double, x2 double, y2 double"
@@ -119,8 +121,8 @@ def by_loop(cells, max_age, min_hits):
     return want, seen
 
 
-def tracked(cells, max_age, min_hits):
-    return {(r.dataset, r.sc_id, r.track_id) for r in tk.track_boxes(cells, max_age, min_hits).collect()}
+def tracked(cells, max_age, min_hits, **options):
+    return {(r.dataset, r.sc_id, r.track_id) for r in tk.track_boxes(cells, max_age, min_hits, **options).collect()}
 
 
 @needs_data
@@ -134,6 +136,38 @@ def test_query_of_moving_boxes(spark):
         assert seen["contested"] > 0 and seen["overlaps"] > 0
 
 
+@needs_data
+def test_live_query_of_moving_boxes(spark):
+    got = {(int(r.dataset), r.sc_id, r.track_id) for r in QUERIES["t1_moving_boxes"](spark, DATA).collect()}
+    assert got == {(r.dataset, r.sc_id, r.track_id) for r in QUERIES["g11_moving_boxes"](spark, DATA).collect()}
+
+
+def test_a_silent_movie_ends_and_leaves_no_state(spark, tmp_path):
+    """Two movies; one falls silent. The other's rows move the watermark on, and the timeout does the rest."""
+    row = lambda m, t, k, x=0.0: (m, t, 1000 * t + k, 1_700_000_000 + 60 * t, x, x, x + 20, x + 20)
+    schema = "dataset string, timeframe int, sc_id long, s long, x1 double, y1 double, x2 double, y2 double"
+    write = lambda rows: spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    # silent: one track to frame 7, one to frame 6
+    write([row("silent", t, 1) for t in range(8)] + [row("silent", t, 2, 100.0) for t in range(7)] + [row("loud", t, 3, 300.0) for t in range(8)])
+    source = lambda: spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    run = lambda: live.run_once(live.live_tracks(source(), "1 minute", max_age=4, min_hits=1, silence="10 minutes"), "quiet", str(tmp_path / "ck"))
+    states = lambda q: sum(op["numRowsTotal"] for op in q.recentProgress[-1]["stateOperators"])
+    ends = lambda: sorted((r.dataset, r.timeframe, r.track_id, r.n) for r in spark.read.parquet(str(tmp_path / "ck_rows")).where("kind = 'end'").collect())
+    assert states(run()) == 2 and ends() == []
+    write([row("loud", t, 3, 300.0) for t in range(8, 13)])
+    assert states(run()) == 2 and ends() == []  # frame 7 is less than ten minutes past
+    write([row("loud", t, 3, 300.0) for t in range(13, 22)])
+    assert states(run()) == 1
+    assert ends() == [("silent", 11, 2, 7), ("silent", 12, 1, 8)]
+    # a detection that is not late begins the movie anew
+    write([row("silent", 22, 9)] + [row("loud", t, 3, 300.0) for t in range(22, 26)])
+    assert states(run()) == 2
+    again = spark.read.parquet(str(tmp_path / "ck_rows")).where("kind = 'cell' AND sc_id = 22009").collect()
+    assert [r.track_id for r in again] == [1]
+    write([row("new", 90, 1)])
+    assert states(run()) == 1 and len(ends()) == 4
+
+
 def crowd(seed, n_tracks, n_frames, field, step):
     """Boxes of three sizes that walk about on whole numbers and turn up in nine frames of ten."""
     rng = np.random.default_rng(seed)
@@ -157,6 +191,7 @@ def test_crowds(spark, max_age, min_hits):
     want, seen = by_loop(c, max_age, min_hits)
     assert min(seen.values()) > 0
     assert tracked(c, max_age, min_hits) == want
+    assert tracked(c, max_age, min_hits, rows_per_task=40) == want  # parts of a movie in many tasks
     parts = tk.movie_parts(c, ["dataset"], max_age).groupBy("dataset").agg({"__part": "count"})
     assert tk.movie_parts(c, ["dataset"], max_age).select("dataset", "__part").distinct().count() > 10 and parts.count() == 3
 
@@ -186,7 +221,7 @@ def test_rules_of_one_part_reach_another(spark):
     c = spark.createDataFrame(rows, SCHEMA)
     for max_age in (1, 3):
         want, _ = by_loop(c, max_age, 1)
-        assert tracked(c, max_age, 1) == want
+        assert tracked(c, max_age, 1) == tracked(c, max_age, 1, rows_per_task=1) == want
 
 
 def test_sweep_and_odd_movies(spark):

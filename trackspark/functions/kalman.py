@@ -70,12 +70,12 @@ class BoxTracker:
     def __init__(self, max_age: int = 5, min_hits: int = 3, iou: float = 0.3):
         self.max_age, self.min_hits, self.iou = max_age, min_hits, iou
         self.x, self.p = np.zeros((0, 7)), np.zeros((0, 7, 7))
-        self.ids, self.streak, self.since = (np.zeros(0, np.int64) for _ in range(3))
+        self.ids, self.streak, self.since, self.part = (np.zeros(0, np.int64) for _ in range(4))
         self.frames = self.last_id = 0
 
     def _keep(self, which: np.ndarray) -> None:
         self.x, self.p = self.x[which], self.p[which]
-        self.ids, self.streak, self.since = self.ids[which], self.streak[which], self.since[which]
+        self.ids, self.streak, self.since, self.part = self.ids[which], self.streak[which], self.since[which], self.part[which]
 
     def _predict(self) -> np.ndarray:
         shrinking = self.x[:, 6] + self.x[:, 2] <= 0
@@ -89,25 +89,36 @@ class BoxTracker:
         self._keep(good)
         return boxes[good]
 
-    def _match(self, boxes: np.ndarray, predicted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of boxes and predictions: those over the threshold if some are and each side has one at most, else
-        the best assignment. ``rule`` is the most of them that one side has, 2 at most; ``open`` says that the two
-        rules differ here."""
-        self.rule, self.open = 0, False
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def _match(self, boxes: np.ndarray, predicted: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of boxes and predictions of one part: those over the threshold if some are and each side has one at
+        most, else the best assignment. ``rule`` is for each part the most of them that one side has, 2 at most;
+        ``open`` says that the two rules differ there."""
+        self.parts = np.unique(np.concatenate([part, self.part]))
+        self.rule, self.open = np.zeros(len(self.parts), np.int64), np.zeros(len(self.parts), bool)
         if not len(boxes) or not len(predicted):
-            return none
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         m = iou_matrix(boxes, predicted)
+        m[part[:, None] != self.part[None, :]] = 0
         over = m > self.iou
-        self.rule = int(min(2, max(over.sum(0).max(), over.sum(1).max())))
+        of_box, of_track = np.searchsorted(self.parts, part), np.searchsorted(self.parts, self.part)
+        np.maximum.at(self.rule, of_box, np.minimum(over.sum(1), 2))
+        np.maximum.at(self.rule, of_track, np.minimum(over.sum(0), 2))
+        unclear = self.rule == 2
+        unclear[of_box[((m > 0) & ~over).any(1)]] = True  # else nothing overlaps but what is over the threshold
         plain = np.nonzero(over)
-        if self.rule < 2 and ((m > 0) == over).all() and self.iou >= 0:
-            return plain  # nothing else overlaps, so both rules agree
-        d, t = best_overlaps(m)
+        if not unclear.any():
+            return plain
+        d, t = best_overlaps(np.where(unclear[of_box][:, None], m, 0))
         keep = m[d, t] >= self.iou
-        best = d[keep], t[keep]
-        self.open = self.rule < 2 and set(zip(*plain)) != set(zip(*best))
-        return plain if self.rule == 1 else best
+        best = set(zip(d[keep].tolist(), t[keep].tolist()))
+        pairs = set(zip(*(x.tolist() for x in plain)))
+        for k in np.flatnonzero(unclear):
+            mine, other = {x for x in pairs if of_box[x[0]] == k}, {x for x in best if of_box[x[0]] == k}
+            self.open[k] = self.rule[k] < 2 and mine != other
+            if self.rule[k] != 1:
+                pairs = (pairs - mine) | other
+        d, t = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
+        return d, t
 
     def _correct(self, t: np.ndarray, boxes: np.ndarray) -> None:
         p = self.p[t]
@@ -122,12 +133,15 @@ class BoxTracker:
         ids, shown = self.step_all(boxes)
         return np.where(shown, ids, 0)
 
-    def step_all(self, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Track id of each box, and whether its track is shown."""
+    def step_all(self, boxes: np.ndarray, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Track id of each box, and whether its track is shown. Boxes of different ``part`` don't act on each
+        other. ``predicted`` and ``predicted_part`` are what they met."""
         self.frames += 1
         boxes = np.asarray(boxes, float).reshape(-1, 4)
+        part = np.zeros(len(boxes), np.int64) if part is None else part
         self.predicted = self._predict()
-        d, t = self._match(boxes, self.predicted)
+        self.predicted_part = self.part
+        d, t = self._match(boxes, self.predicted, part)
         self._correct(t, boxes[d])
         out, shown = np.zeros(len(boxes), np.int64), np.full(len(boxes), self.min_hits <= 0 or self.frames <= self.min_hits)
         out[d] = self.ids[t]
@@ -139,6 +153,7 @@ class BoxTracker:
         self.x, self.p = np.concatenate([self.x, x]), np.concatenate([self.p, np.repeat(START[None], len(new), 0)])
         zero = np.zeros(len(new), np.int64)
         self.ids, self.streak, self.since = np.concatenate([self.ids, out[new]]), np.concatenate([self.streak, zero]), np.concatenate([self.since, zero])
+        self.part = np.concatenate([self.part, part[new]])
         self._keep(self.since <= self.max_age)
         return out, shown
 
@@ -150,4 +165,5 @@ class BoxTracker:
         self.frames, self.last_id, x, p, ids, streak, since = state
         self.x, self.p = np.array(x, float).reshape(-1, 7), np.array(p, float).reshape(-1, 7, 7)
         self.ids, self.streak, self.since = (np.array(z, np.int64) for z in (ids, streak, since))
+        self.part = np.zeros(len(self.ids), np.int64)
         return self

@@ -26,7 +26,7 @@ def ranked(table: DataFrame, by: list[str], order: list[str | Column], name: str
     first = F.min("__m").over(Window.partitionBy(*by, "__p"))
     per = placed.groupBy(*by, "__p").agg(F.count("*").alias("__c"))
     before = F.sum("__c").over(Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
-    moved = t.write(per.withColumn("__s", before).where("__s IS NOT NULL").select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__p").alias("__q"), "__s"), "moved")
+    moved = t.write(per.withColumn("__moved", before).where("__moved IS NOT NULL").select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__p").alias("__q"), "__moved"), "moved")
     same = reduce(lambda a, b: a & b, [F.col("__p") == F.col("__q"), *[F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)]])
     inside = placed.withColumn("__k", F.col("__m") - first)
-    return inside.join(F.broadcast(moved), same, "left").select(*table.columns, (F.col("__k") + F.coalesce("__s", F.lit(0))).alias(name))
+    return inside.join(F.broadcast(moved), same, "left").select(*table.columns, (F.col("__k") + F.coalesce("__moved", F.lit(0))).alias(name))

@@ -67,7 +67,13 @@ def _met(trace: DataFrame, cells: DataFrame, keys: list[str], width: float) -> D
     return boxes.select(*keys, "a", "b").union(rules.select(*keys, "a", "b")).distinct()
 
 
-def track_boxes(cells: DataFrame, max_age: int = 5, min_hits: int = 3, iou: float = 0.3, keys: tuple[str, ...] = ("dataset",), max_rounds: int = 20) -> DataFrame:
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-last places of runs of equal values."""
+    ends = np.append(np.flatnonzero(values[1:] != values[:-1]) + 1, len(values))
+    return np.append(0, ends[:-1]), ends
+
+
+def track_boxes(cells: DataFrame, max_age: int = 5, min_hits: int = 3, iou: float = 0.3, keys: tuple[str, ...] = ("dataset",), max_rounds: int = 20, rows_per_task: int = 20_000) -> DataFrame:
     """Box tracking of each movie: (keys, timeframe, sc_id, track_id). Tracks are numbered from 1 per movie, by
     the frame in which they begin and in it by the id of their first cell. Frames between the first and last count
     also where they hold no cell. Of equally good assignments the one of lowest ids is taken."""
@@ -83,15 +89,16 @@ def track_boxes(cells: DataFrame, max_age: int = 5, min_hits: int = 3, iou: floa
         x1="double", y1="double", x2="double", y2="double", rule="int", open="boolean",
     )
 
-    def follow(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["timeframe", "sc_id"])
-        tracker, first, last = BoxTracker(max_age, min_hits, iou), int(part["__first"].iloc[0]), int(part["__last"].iloc[0])
-        frames = part.groupby("timeframe").indices
-        boxes, names = part[list(BOX)].to_numpy(), part["sc_id"].to_numpy()
+    def follow(movie: pd.DataFrame) -> pd.DataFrame:
+        """A number of parts of one movie, side by side."""
+        movie = movie.sort_values(["timeframe", "sc_id"])
+        tracker, first, last = BoxTracker(max_age, min_hits, iou), int(movie["__first"].iloc[0]), int(movie["__last"].iloc[0])
+        times, boxes, names, part = (movie[c].to_numpy() for c in ("timeframe", list(BOX), "sc_id", "__part"))
+        frames = {int(times[a]): np.arange(a, b) for a, b in zip(*_runs(times))}
         start: dict[int, tuple[int, int]] = {}
         rows = []
-        now, ahead = int(part["timeframe"].min()), iter(sorted(frames))
-        upcoming = next(ahead)
+        ahead = iter(frames)  # in order of time
+        now = upcoming = next(ahead)
         while now <= last:
             if not len(tracker.ids):  # nothing lives: on to the next detection
                 if upcoming is None:
@@ -100,23 +107,26 @@ def track_boxes(cells: DataFrame, max_age: int = 5, min_hits: int = 3, iou: floa
             tracker.frames = now - first
             at = frames.get(now, np.zeros(0, np.int64))
             known = tracker.last_id
-            ids, shown = tracker.step_all(boxes[at])
-            for i, k in zip(ids.tolist(), at.tolist()):
-                if i > known:
-                    start[i] = (now, int(names[k]))
-            flags = (tracker.rule, tracker.open)
-            rows += [(now, int(names[k]), *start[i], s, None, None, None, None, *flags) for k, i, s in zip(at.tolist(), ids.tolist(), shown.tolist())]
-            rows += [(now, None, None, None, None, *p, *flags) for p in tracker.predicted.tolist() if np.isfinite(p).all()]
+            ids, shown = tracker.step_all(boxes[at], part[at])
+            start |= {i: (now, int(names[k])) for i, k in zip(ids.tolist(), at.tolist()) if i > known}
+            flags = dict(zip(tracker.parts.tolist(), zip(tracker.rule.tolist(), tracker.open.tolist())))
+            rows += [(now, p, int(names[k]), *start[i], s, None, None, None, None, *flags[p]) for k, p, i, s in zip(at.tolist(), part[at].tolist(), ids.tolist(), shown.tolist())]
+            rows += [(now, p, None, None, None, None, *b, *flags[p]) for p, b in zip(tracker.predicted_part.tolist(), tracker.predicted.tolist()) if np.isfinite(b).all()]
             if upcoming == now:
                 upcoming = next(ahead, None)
             now += 1
-        made = pd.DataFrame(rows, columns=["timeframe", "sc_id", "began", "founder", "shown", *BOX, "rule", "open"])
-        made = made.astype({"sc_id": "Int64", "began": "Int32", "founder": "Int64", "shown": "boolean", **{k: "float64" for k in BOX}})
-        for k in [*fixed.names, "__part"]:
-            made[k] = part[k].iloc[0]
-        return made[out.names]
-
-    done = t.write(parts.groupBy(*keys, "__part").applyInPandas(follow, out), "done0")
+        made = pd.DataFrame(rows, columns=[c for c in out.names if c not in fixed.names])
+        for k in fixed.names:
+            made[k] = movie[k].iloc[0]
+        return made[out.names].astype({"sc_id": "Int64", "began": "Int32", "founder": "Int64", "shown": "boolean", **{k: "float64" for k in BOX}})
+
+    def tracked(parts: DataFrame) -> DataFrame:
+        """Parts of a movie are dealt to as many tasks as its rows ask for."""
+        tasks = parts.groupBy(*keys).agg(F.ceil(F.count("*") / rows_per_task).alias("__n"))
+        dealt = parts.join(tasks, keys).withColumn("__n", F.pmod(F.xxhash64("__part"), F.col("__n")))
+        return dealt.groupBy(*keys, "__n").applyInPandas(lambda g: follow(g.drop(columns="__n")), out)
+
+    done = t.write(tracked(parts), "done0")
     for k in range(1, max_rounds + 1):
         met = t.write(_met(done, parts, keys, width), f"met{k}")
         if met.isEmpty():
@@ -127,7 +137,7 @@ def track_boxes(cells: DataFrame, max_age: int = 5, min_hits: int = 3, iou: floa
         # a joined part's number is its root's hash; parts that met nothing keep theirs
         now = t.write(moved.withColumn("__part", F.coalesce("__root", "__part")).withColumn("__new", F.col("__root").isNotNull()).drop("__node", "node", "__root"), f"parts{k}")
         old = done.withColumn("__node", node("__part")).join(roots, F.col("__node") == F.col("node"), "left_anti").drop("__node")
-        again = now.where("__new").drop("__new").groupBy(*keys, "__part").applyInPandas(follow, out)
+        again = tracked(now.where("__new").drop("__new"))
         done, parts = t.write(old.unionByName(again), f"done{k}"), now.drop("__new")
     else:
         raise RuntimeError(f"parts still met after {max_rounds} rounds")

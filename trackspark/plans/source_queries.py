@@ -15,6 +15,7 @@ from trackspark.streaming import live
 
 from .adapters import cells, manifest, table
 from .base import live_sql, query
+from .overlap_queries import moving
 
 
 def folder(s) -> str:
@@ -191,11 +192,11 @@ def one_each(s, d):
     return last_write_wins(detections(s, d)).drop("track_id")
 
 
-def replay(s, at, rows, **options):
+def replay(s, at, rows, wait="1 minute", dataset="min(dataset)", silence=None, **options):
     """A table of detections as new files of a stream, through the live tracker: all rows so far."""
-    live.closed(rows, "1 minute").write.mode("append").parquet(f"{at}/in")
+    live.closed(rows, wait, dataset).write.mode("append").parquet(f"{at}/in")
     stream = s.readStream.schema(rows.schema).parquet(f"{at}/in")
-    return live.run_to_table(live.live_tracks(stream, "1 minute", min_hits=1, **options), "t" + uuid.uuid4().hex, f"{at}/checkpoint")
+    return live.run_to_table(live.live_tracks(stream, "1 minute", min_hits=1, silence=silence, **options), "t" + uuid.uuid4().hex, f"{at}/checkpoint")
 
 
 @query("t1_live_tracks", live_sql(30, "'cell', 'end'"))
@@ -218,6 +219,20 @@ def t3(s, d):
     return replay(s, folder(s), one_each(s, d), max_age=5).where("kind = 'end'")
 
 
+@query("t3_silent_movies", live_sql(5, "'end'", silent=True))
+def t3_silent(s, d):
+    """The watermark passes every movie by more than a day: all tracks end, also those that no later frame ends."""
+    return replay(s, folder(s), one_each(s, d), "2 days", "-1", "1 day", max_age=5).where("kind = 'end'")
+
+
+@query("t1_moving_boxes")
+def t1_moving(s, d):
+    """Boxes that move and meet, half a day a frame, through the live tracker."""
+    rows = moving(s, d).drop("track_id").withColumn("ts", F.timestamp_seconds(1_704_067_200 + F.col("timeframe") * 43_200))
+    rows = rows.select("ts", "dataset", "timeframe", "sc_id", *[F.col(k).cast("double").alias(k) for k in ("x1", "y1", "x2", "y2")])
+    return replay(s, folder(s), rows, "2 days", max_age=3).where("kind = 'cell'").select("dataset", "timeframe", "sc_id", "track_id")
+
+
 @query("t4_window_counts", "SELECT time_bucket(INTERVAL '1 day', ts) AS \"start\", user_id // 30 AS dataset, count(*) AS n_cells FROM events GROUP BY ALL")
 def t4(s, d):
     w = live.window_counts(detections(s, d), "1 day")

@@ -16,11 +16,11 @@ from trackspark.functions.kalman import BoxTracker
 OUTPUT = "dataset STRING, kind STRING, timeframe INT, sc_id BIGINT, track_id BIGINT, n BIGINT"
 STATE = (
     "frames INT, last_id BIGINT, x ARRAY<DOUBLE>, p ARRAY<DOUBLE>, ids ARRAY<BIGINT>, streak ARRAY<BIGINT>, since ARRAY<BIGINT>, "
-    "done INT, late BIGINT, waiting ARRAY<STRUCT<t: INT, ts: BIGINT, sc: BIGINT, x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>>, lengths MAP<BIGINT, BIGINT>"
+    "done INT, late BIGINT, waiting ARRAY<STRUCT<t: INT, ts: BIGINT, sc: BIGINT, x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>>, lengths MAP<BIGINT, BIGINT>, seen BIGINT"
 )
 
 
-def live_tracks(detections: DataFrame, delay: str = "10 minutes", max_age: int = 5, min_hits: int = 3, iou: float = 0.3) -> DataFrame:
+def live_tracks(detections: DataFrame, delay: str = "10 minutes", max_age: int = 5, min_hits: int = 3, iou: float = 0.3, silence: str | None = "1 day") -> DataFrame:
     """Detections (ts, dataset, timeframe, sc_id, x1, y1, x2, y2) as a stream; event time is ts.
 
     A movie is a key. Detections wait in its state until the watermark has passed their time, then whole
@@ -30,12 +30,18 @@ def live_tracks(detections: DataFrame, delay: str = "10 minutes", max_age: int =
     counted here. Rows of kind 'cell' carry the track of a detection, 'end' the number of cells of a track
     that expired, 'late' the number of late detections of a batch. State holds live trackers and waiting
     detections only.
+
+    T3: a movie is over once the watermark has passed its newest detection by ``silence``: a timeout, which needs
+    no further row of it, ends its live tracks as frames without detections would have, and its state is removed.
+    Detections that come later still start a movie of that name anew, with tracks from 1. Without ``silence``
+    movies wait for ever.
     """
+    quiet = None if silence is None else int(pd.Timedelta(silence).total_seconds() * 1000)
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker, done, waiting, lengths, late = BoxTracker(max_age, min_hits, iou), None, [], {}, 0
+        tracker, done, waiting, lengths, late, seen = BoxTracker(max_age, min_hits, iou), None, [], {}, 0, None
         if state.exists:
-            *kept, done, _, waiting, lengths = state.get
+            *kept, done, _, waiting, lengths, seen = state.get
             tracker.restore(tuple(kept))
             waiting, lengths = [tuple(w) for w in waiting], dict(lengths)
         for b in batches:
@@ -43,7 +49,9 @@ def live_tracks(detections: DataFrame, delay: str = "10 minutes", max_age: int =
                 if done is not None and r.timeframe <= done:
                     late += 1
                 else:
-                    waiting.append((int(r.timeframe), int(pd.Timestamp(r.ts).timestamp() * 1000), int(r.sc_id), float(r.x1), float(r.y1), float(r.x2), float(r.y2)))
+                    ts = int(pd.Timestamp(r.ts).timestamp() * 1000)
+                    waiting.append((int(r.timeframe), ts, int(r.sc_id), float(r.x1), float(r.y1), float(r.x2), float(r.y2)))
+                    seen = ts if seen is None else max(seen, ts)
         mark = state.getCurrentWatermarkMs()
         newest: dict[int, int] = {}
         for w in waiting:
@@ -69,9 +77,17 @@ def live_tracks(detections: DataFrame, delay: str = "10 minutes", max_age: int =
             waiting, done = [w for w in waiting if w[0] > ready], ready
         if late:
             rows.append(("late", done, None, None, late))
-        state.update((*tracker.state(), done, late, waiting, lengths))
-        if waiting:
-            state.setTimeoutTimestamp(max(mark + 1, min(ts for t, ts in newest.items() if ready is None or t > ready)))
+        if quiet is not None and not waiting and (seen is None or mark >= seen + quiet):
+            for i, missed in sorted(zip(tracker.ids.tolist(), tracker.since.tolist())):
+                if i in lengths:
+                    rows.append(("end", done + max_age + 1 - missed, None, i, lengths[i]))
+            state.remove()
+        else:
+            state.update((*tracker.state(), done, late, waiting, lengths, seen))
+            if waiting:
+                state.setTimeoutTimestamp(max(mark + 1, min(ts for t, ts in newest.items() if ready is None or t > ready)))
+            elif quiet is not None:
+                state.setTimeoutTimestamp(max(mark + 1, seen + quiet))
         if rows:
             out = pd.DataFrame(rows, columns=["kind", "timeframe", "sc_id", "track_id", "n"])
             out = out.astype({"timeframe": "Int32", "sc_id": "Int64", "track_id": "Int64", "n": "Int64"})
@@ -97,11 +113,11 @@ def activity_sessions(detections: DataFrame, gap: str, delay: str = "10 minutes"
     return g.select("dataset", "track_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n_cells")
 
 
-def closed(detections: DataFrame, delay: str) -> DataFrame:
+def closed(detections: DataFrame, delay: str, dataset: str = "min(dataset)") -> DataFrame:
     """detections for a replay: with one more row, past the end by more than ``delay``, so that the watermark
-    passes all others. It waits for ever in its movie's state and leaves no row itself."""
+    passes all others. It waits for ever in its movie's state (``dataset``, SQL) and leaves no row itself."""
     end = detections.selectExpr(
-        f"max(ts) + 2 * INTERVAL {delay} AS ts", "min(dataset) AS dataset", "max(timeframe) + 1 AS timeframe",
+        f"max(ts) + 2 * INTERVAL {delay} AS ts", f"CAST({dataset} AS {detections.schema['dataset'].dataType.simpleString()}) AS dataset", "max(timeframe) + 1 AS timeframe",
         "CAST(-1 AS BIGINT) AS sc_id", *[f"CAST(0 AS DOUBLE) AS {k}" for k in ("x1", "y1", "x2", "y2")],
     )
     return detections.unionByName(end.where("ts IS NOT NULL"), allowMissingColumns=True)
