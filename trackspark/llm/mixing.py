@@ -18,9 +18,10 @@ COMPUTED = ["size", "source_size", "target", "taken"]
 _KEY_SPACE = 1 << 32
 
 
-def random_key(id_col: Column, seed: int) -> Column:
-    """A 32-bit key, the same in every run, from the id and a seed."""
-    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit("null")))
+def random_key(id_col: Column, text: Column, seed: int) -> Column:
+    """A 32-bit key, the same in every run and layout, from the id, the text and a seed: rows without an id, or
+    with one id, spread by their texts."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit("null")), F.md5(text.cast("binary")))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
@@ -103,8 +104,8 @@ def mix_sources(
     (words), source_size, target (of its source) and taken (words the mix takes of it).
 
     Each source's taken words sum to its target's whole part. The row at the cut is taken in part.
-    Null text: size 0. Null source: a source of its own, last in order. Null id: allowed; ids only
-    seed the random keys. Rows of one key stand in order of id, size and a hash of the text; equal rows
+    Null text: size 0. Null source: a source of its own, last in order. Null id: allowed; ids and
+    texts only seed the random keys. Rows of one key stand in order of id, size and a hash of the text; equal rows
     are told apart by a row id, which makes no difference. Empty table, or
     one without words: no rows, or taken 0. A computed column replaces an input column of its name.
     """
@@ -115,7 +116,7 @@ def mix_sources(
             F.col(name(id_col)).alias("__id"),
             F.col(name(source_col)).cast("string").alias("__source"),
             n_words(text_of(text_col)).alias("size"),
-            random_key(F.col(name(id_col)), seed).alias("__key"),
+            random_key(F.col(name(id_col)), text_of(text_col), seed).alias("__key"),
             F.xxhash64(text_of(text_col)).alias("__tie"),
             F.monotonically_increasing_id().alias(RID),
         ),
@@ -152,7 +153,7 @@ def take_mix(
             F.col(name(id_col)).alias("__id"),
             F.col(name(source_col)).cast("string").alias("__source"),
             n_words(text_of(text_col)).alias("size"),
-            random_key(F.col(name(id_col)), seed).alias("__key"),
+            random_key(F.col(name(id_col)), text_of(text_col), seed).alias("__key"),
             F.xxhash64(text_of(text_col)).alias("__tie"),
             F.monotonically_increasing_id().alias(RID),
         ),

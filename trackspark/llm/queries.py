@@ -73,8 +73,9 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
-    # each row is a message of its own, also where rows repeat
-    log = rows.withColumn("message_id", F.monotonically_increasing_id()).withColumn("kind", F.lit("message"))
+    # each row is a message of its own, also where rows repeat; rows of one turn stand by role and text, not by file
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    log = rows.withColumn("message_id", F.struct("role", digest.alias("digest"), F.monotonically_increasing_id().alias("row"))).withColumn("kind", F.lit("message"))
     chats = format_chats(messages(log, seq="turn"))
     turns, loss = F.col("turns"), F.col("loss")
     read = chats.withColumn("turns", read_back()).withColumn("loss", read_loss())
