@@ -7,8 +7,10 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from trackspark.llm import gray_index, simhash
+from trackspark.llm.common import Scratch
 from trackspark.llm.exact_dedup import drop_exact_duplicates, exact_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string, `__digest` int"
@@ -145,7 +147,6 @@ def test_gray_index_finds_all(words_):
 
 def test_ranges_find_every_link(spark):
     """Codes in dense balls and far apart, in many ranges: the forest joins what all links join."""
-    from trackspark.llm.common import Scratch
 
     rng = np.random.default_rng(5)
     codes = rng.integers(0, 2**63, 40, dtype=np.uint64)[rng.integers(0, 40, 3000)]
@@ -256,3 +257,21 @@ def test_equal_sets_and_stars(spark):
     rows = [(k, base.replace(" ", "  " if k % 2 else "\t")) for k in range(50, 150)] + [(7, base + " end"), (None, base + "  end"), (9, words(rng, 120))]
     got = simhash.drop_near_duplicates(docs(spark, rows), leaf_size=4).collect()
     assert sorted(r.doc_id for r in got) == [7, 9]
+
+
+def test_copies_in_a_large_family_grow_with_its_rows(spark, monkeypatch):
+    """Near copies of one text: what meets in groups stays in line with the rows, and every link's ends are joined."""
+    met, groups = [], simhash._alike_groups
+    monkeypatch.setattr(simhash, "_alike_groups", lambda g, s: met.append(g.agg(F.sum(F.size("m"))).first()[0] or 0) or groups(g, s))
+    rng = np.random.default_rng(3)
+    base, counts = np.unique(rng.integers(0, 2**31, 100)).astype(np.int32), []
+    for n in (200, 800):
+        sets = [np.unique(np.concatenate([base[rng.random(len(base)) < 0.97], rng.integers(0, 2**31, 2, np.int32)])) for _ in range(n - 2)]
+        sets += [base[:70], np.concatenate([base[:69], [np.int32(5)]])]  # a pair that is alike, but not like the rest
+        table = spark.createDataFrame([(k, np.sort(s).tolist()) for k, s in enumerate(sets)], "__id long, s array<int>")
+        member = table.selectExpr("__id AS node", "0L AS root")
+        met.clear()
+        links = simhash.alike_in_families(member, table, Scratch(spark), 0.8, 20).collect()
+        assert len({*union(n, [(r.a, r.b) for r in links])}) == 2
+        counts.append(sum(met))
+    assert counts[1] < 6 * counts[0] and counts[1] < 8 * 800

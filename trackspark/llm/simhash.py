@@ -321,10 +321,42 @@ def alike(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]
 
 def alike_in_families(member: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, block_rows: int) -> DataFrame:
     """member: (node, root); sets: (__id, s). Links (a, b) of the given similarity inside each family: a
-    spanning forest of all that hold."""
+    spanning forest of all that hold.
+
+    A family of up to ``block_rows`` is one group. A larger one is first dealt into blocks, each with the family's
+    first row, which joins most of it. What is then outside the family's largest component, k of its n rows, meets
+    all of its rows once more, block by block: n + k * n / block_rows copies for small k, not n * n / block_rows.
+    """
     size = member.groupBy("root").agg(F.count("*").alias("n"))
-    rows = member.join(size, "root").join(sets, F.col("node") == F.col("__id")).select("root", "n", F.struct("__id", "s").alias("m"))
-    groups = _by_blocks(rows, ["root"], "m.__id", "n", block_rows).groupBy("root", "__two").agg(F.collect_list("m").alias("m")).select("m")
+    rows = member.join(size, "root").join(sets, F.col("node") == F.col("__id")).select("root", "n", "__id", F.struct("__id", "s").alias("m"))
+    small = rows.where(F.col("n") <= block_rows).groupBy("root").agg(F.collect_list("m").alias("m")).select("m")
+    found = scratch.write_arrow(_alike_groups(small, similarity), "alike_0", GROUPS // 10)
+    large = rows.where(F.col("n") > block_rows)
+    lead = scratch.write(large.groupBy("root").agg(F.min("m").alias("lead")), "leads")
+    if lead.isEmpty():
+        return found
+    blocks = lambda n: F.ceil(2 * F.col(n) / block_rows)
+    dealt = lambda *seed, n: F.pmod(F.xxhash64("__id", *seed), blocks(n))
+    first = large.groupBy("root", dealt(n="n").alias("x")).agg(F.collect_list("m").alias("m")).join(lead, "root")
+    first = first.select(F.array_union("m", F.array("lead")).alias("m"))
+    found = found.union(scratch.write_arrow(_alike_groups(first, similarity), "alike_1", GROUPS // 10))
+
+    joined = star_components(found, scratch, "alike_cc").select(F.col("node").alias("__id"), F.col("root").alias("sub"))
+    ids = large.select("root", "n", "__id").join(joined, "__id", "left").withColumn("sub", F.coalesce("sub", "__id"))
+    ids = scratch.write(ids, "subs")
+    per = ids.groupBy("root", "sub").agg(F.count("*").alias("c"))
+    main = per.groupBy("root").agg(F.max_by("sub", F.struct("c", "sub")).alias("main"), (F.sum("c") - F.max("c")).alias("k")).where("k > 0")
+    split = ids.join(main, "root").select("root", "n", "k", "__id", (F.col("sub") != F.col("main")).alias("out"))
+    split = split.join(sets, "__id").select("root", "n", "k", "__id", "out", F.struct("__id", "s").alias("m"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
+    all_rows = split.withColumn("x", dealt(F.lit("x"), n="n")).withColumn("y", every("k"))
+    outside = split.where("out").withColumn("y", dealt(F.lit("y"), n="k")).withColumn("x", every("n"))
+    met = all_rows.unionByName(outside).groupBy("root", "x", "y").agg(F.collect_list("m").alias("m")).select("m")
+    return found.union(scratch.write_arrow(_alike_groups(met, similarity), "alike_2", GROUPS // 10))
+
+
+def _alike_groups(groups: DataFrame, similarity: float) -> DataFrame:
+    """groups: m, an array of (id, set); an id may stand there twice. A spanning forest (a, b) of each group's links."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,12 +366,14 @@ def alike_in_families(member: DataFrame, sets: DataFrame, scratch: Scratch, simi
             at, hashes = own.offsets.to_numpy() - own.offsets[0].as_py(), own.flatten().to_numpy()
             a, b = [], []
             for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                for i, j in alike([hashes[at[k] : at[k + 1]] for k in range(lo, hi)], similarity):
-                    a.append(ids[lo + i])
-                    b.append(ids[lo + j])
+                each = lo + np.unique(ids[lo:hi], return_index=True)[1]
+                if len(each) > 1:
+                    for i, j in alike([hashes[at[k] : at[k + 1]] for k in each], similarity):
+                        a.append(ids[each[i]])
+                        b.append(ids[each[j]])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return scratch.write_arrow(groups.mapInArrow(links, "a long, b long"), "alike", GROUPS // 10)
+    return groups.mapInArrow(links, "a long, b long")
 
 
 # -- operators ------------------------------------------------------------------------------------
