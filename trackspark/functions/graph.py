@@ -42,20 +42,27 @@ class Rounds:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges (a, b) of longs: (node, root) for every node with an edge; root is its component's least.
 
-    Labels go to all neighbours and then jump to the label's own label, until none changes.
+    In each round every node that has a lesser neighbour moves to the least one, and from there on to where that one
+    moves; edges move with their ends. What is left are edges between fewer nodes, so that rounds grow with the
+    logarithm of a component, whatever its shape. A node's moves are put together at the end.
     """
     t = Rounds(edges.sparkSession)
-    e = t.write(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct(), "edges")
-    label = t.write(e.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "l0")
+    e = edges.where("a <> b").select("a", "b")
+    now = t.write(e.union(e.select("b", "a")).distinct(), "edges0")
+    nodes = t.write(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct(), "nodes")
+    moves = []
     for k in range(1, max_rounds + 1):
-        near = e.join(label, e["b"] == label["node"]).groupBy("a").agg(F.min("root").alias("m"))
-        low = label.join(near, label["node"] == near["a"], "left").select("node", F.least("root", F.coalesce("m", "root")).alias("r"), F.col("root").alias("old"))
-        up = low.select(F.col("node").alias("n2"), F.col("r").alias("r2"))
-        jumped = low.join(up, low["r"] == up["n2"], "left").select("node", F.least("r", F.coalesce("r2", "r")).alias("root"), "old")
-        now = t.write(jumped, f"l{k}")
-        t.drop(f"l{k - 1}")
-        label = now.select("node", "root")
-        if not now.where("root <> old").limit(1).count():
-            t.drop("edges")
-            return label
+        least = now.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("y")).where("y < x")
+        on = least.select(F.col("x").alias("y"), F.col("y").alias("z"))
+        to = t.write(least.join(on, "y", "left").select("x", F.coalesce("z", "y").alias("to")), f"to{k}")
+        moves.append(to)
+        moved = now
+        for c in "ab":
+            moved = moved.join(to, moved[c] == to["x"], "left").withColumn(c, F.coalesce("to", c)).select("a", "b")
+        now = t.write(moved.where("a <> b").distinct(), f"edges{k}")
+        t.drop(f"edges{k - 1}")
+        if now.isEmpty():
+            for to in moves:
+                nodes = nodes.join(to, nodes["root"] == to["x"], "left").select("node", F.coalesce("to", "root").alias("root"))
+            return t.write(nodes, "roots")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -49,19 +49,42 @@ def pieces(mask: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, int]:
     return number[inverse].reshape(mask.shape), int(number[-1])
 
 
+def _steps(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each k the whole numbers of [low[k], high[k]]: (k, number) one after another."""
+    n = np.maximum(high - low + 1, 0)
+    k = np.repeat(np.arange(len(n)), n)
+    return k, low[k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+
+
 def fill_polygon(contour: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Pixels inside or on a polygon of (row, col) vertices, cut to the image."""
-    rows, cols = np.mgrid[0:h, 0:w]
-    inside, edge = np.zeros((h, w), bool), np.zeros((h, w), bool)
-    p, q = contour, np.roll(contour, -1, 0)
-    for (r0, c0), (r1, c1) in zip(p, q):
-        cross = (r1 - r0) * (cols - c0) - (c1 - c0) * (rows - r0)
-        within = (rows >= min(r0, r1)) & (rows <= max(r0, r1)) & (cols >= min(c0, c1)) & (cols <= max(c0, c1))
-        edge |= within & (np.abs(cross) <= 0.5 * max(abs(r1 - r0), abs(c1 - c0), 1e-9))
-        if r0 != r1:
-            spans = (r0 > rows) != (r1 > rows)
-            inside ^= spans & (cols < c0 + (rows - r0) * (c1 - c0) / (r1 - r0))
-    return inside | edge
+    """Pixels inside or on a polygon of (row, col) vertices, cut to the image.
+
+    A table of edges by the rows that they cross gives the crossings of each row; a pixel is inside where an odd
+    number of them lies to its right. Edges themselves are drawn row by row, flat ones column by column. The work is
+    in line with the edges' rows and the pixels."""
+    p, q = np.asarray(contour, float), np.roll(np.asarray(contour, float), -1, 0)
+    crossings = np.zeros((h, w + 1), np.int64)
+    low, high = np.ceil(np.minimum(p[:, 0], q[:, 0])), np.ceil(np.maximum(p[:, 0], q[:, 0])) - 1
+    k, row = _steps(np.clip(low, 0, h).astype(int), np.clip(high, -1, h - 1).astype(int))
+    at = p[k, 1] + (row - p[k, 0]) * (q[k, 1] - p[k, 1]) / (q[k, 0] - p[k, 0])
+    np.add.at(crossings, (row, np.clip(np.ceil(at), 0, w).astype(int)), 1)
+    out = (np.cumsum(crossings[:, ::-1], 1)[:, ::-1][:, 1:] % 2).astype(bool)
+    for axis in (0, 1):  # steep edges by rows, flat ones by columns
+        other, size = 1 - axis, (h, w)
+        d = q - p
+        mine = np.flatnonzero(np.abs(d[:, axis]) >= np.abs(d[:, other]) if axis == 0 else np.abs(d[:, 1]) > np.abs(d[:, 0]))
+        a, b = p[mine], q[mine]
+        first, last = np.minimum(a, b), np.maximum(a, b)
+        k, s = _steps(np.clip(np.ceil(first[:, axis]), 0, size[axis]).astype(int), np.clip(np.floor(last[:, axis]), -1, size[axis] - 1).astype(int))
+        along, across = (b - a)[k, axis], (b - a)[k, other]
+        line = a[k, other] + (s - a[k, axis]) * across / np.where(along == 0, 1, along)
+        for shift in (-1, 0, 1):
+            o = np.rint(line).astype(int) + shift
+            near = np.abs(along * (o - a[k, other]) - across * (s - a[k, axis])) <= 0.5 * np.maximum(np.abs(along), 1e-9)
+            near &= (o >= first[k, other]) & (o <= last[k, other]) & (o >= 0) & (o < size[other])
+            at = (s[near], o[near])
+            out[at if axis == 0 else at[::-1]] = True
+    return out
 
 
 def holes_filled(mask: np.ndarray) -> np.ndarray:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from trackspark.functions import raster
+from trackspark.functions.graph import Rounds, components
+from trackspark.functions.ranks import ranked
 from trackspark.schema import extended
 
 # -- region properties ----------------------------------------------------------------------------
@@ -306,36 +308,71 @@ def resized_labels(pixels: DataFrame, keys: list[str], scale: float, label: str
     return _per_group(p, [*keys, "label"], p.schema, one).groupBy(*keys, "r", "c").agg(F.sum("label").alias("label"))
 
 
+def label_runs(pixels: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
+    """The pixels of each label as runs along rows: (keys, label, r, first, last)."""
+    p = _label_pixels(pixels, keys, label).distinct()
+    row = Window.partitionBy(*keys, "label", "r").orderBy("c")
+    new = F.coalesce((F.col("c") - F.lag("c").over(row) > 1).cast("int"), F.lit(1))
+    p = p.withColumn("__new", new).withColumn("__run", F.sum("__new").over(row))
+    return p.groupBy(*keys, "label", "r", "__run").agg(F.min("c").alias("first"), F.max("c").alias("last")).drop("__run")
+
+
+def label_pieces(pixels: DataFrame, keys: list[str], label: str = "label", diagonal: bool = True, tile: int = 256) -> DataFrame:
+    """X11: runs (keys, label, r, first, last) with ``piece``, their connected piece of the label, numbered from 1 in
+    order of its first pixel. Runs of neighbouring rows meet by joins and are united over the whole table, so a
+    region of any size is many tasks' work. A run is an edge table's row for each ``tile`` columns that it covers."""
+    t = Rounds(pixels.sparkSession)
+    node = F.xxhash64(*keys, "label", "r", "first")
+    runs = t.write(label_runs(pixels, keys, label).withColumn("__id", node), "runs")
+    more = int(diagonal)
+    cover = F.explode(F.sequence(F.floor((F.col("first") - more) / tile), F.floor((F.col("last") + more) / tile)))
+    cut = runs.withColumn("__t", cover)
+    below = cut.select(*keys, "label", (F.col("r") - 1).alias("r"), "__t", F.col("first").alias("f"), F.col("last").alias("l"), F.col("__id").alias("b"))
+    edges = cut.join(below, [*keys, "label", "r", "__t"]).where((F.col("f") <= F.col("last") + more) & (F.col("first") <= F.col("l") + more))
+    roots = components(edges.select(F.col("__id").alias("a"), "b"))
+    joined = runs.join(roots, F.col("__id") == F.col("node"), "left").withColumn("__root", F.coalesce("root", "__id")).drop("node", "root", "__id")
+    joined = t.write(joined, "joined")
+    starts = joined.groupBy(*keys, "label", "__root").agg(F.min(F.struct("r", "first")).alias("__s"))
+    number = ranked(starts, [*keys, "label"], ["__s"], "piece").select(*keys, "label", "__root", (F.col("piece") + 1).cast("int").alias("piece"))
+    return joined.join(number, [*keys, "label", "__root"]).drop("__root")
+
+
+def _outline(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """Pixels (keys, label, r, c) with one of their eight neighbours not of their label: all that a walk around a
+    piece can step on."""
+    row, column = Window.partitionBy(*keys, "label", "r").orderBy("c"), Window.partitionBy(*keys, "label", "c").orderBy("r")
+    near = lambda at, by, w: F.coalesce(F.lag(at, by).over(w) == F.col(at) - by, F.lit(False))
+    p = pixels.withColumn("__row", near("c", 1, row) & near("c", -1, row))
+    full = lambda by: near("r", by, column) & F.coalesce(F.lag("__row", by).over(column), F.lit(False))
+    return p.withColumn("__in", F.col("__row") & full(1) & full(-1)).where("NOT __in").drop("__row", "__in")
+
+
 def cells_from_labels(pixels: DataFrame, keys: list[str], label: str = "label", least_points: int = 10) -> DataFrame:
-    """Outer boundaries of the connected pieces of each label that have ``least_points`` or more: (keys,
-    label, piece, contour, box)."""
-    p = _label_pixels(pixels, keys, label)
+    """Outer boundaries of the connected pieces of each label that have ``least_points`` or more: (keys, label,
+    piece, contour, box). Pieces are found over the whole table; one piece's outline, not its area, is a group."""
+    p = _label_pixels(pixels, keys, label).distinct()
+    runs = label_pieces(pixels, keys, label)
+    edge = _outline(p, keys)
+    inside = F.last("piece", ignorenulls=True).over(Window.partitionBy(*keys, "label", "r").orderBy("c", F.col("piece").isNull()))
+    both = edge.withColumn("piece", F.lit(None).cast("int")).unionByName(runs.select(*keys, "label", "r", F.col("first").alias("c"), "piece"))
+    edge = both.withColumn("__p", inside).where("piece IS NULL").select(*keys, "label", "r", "c", F.col("__p").alias("piece"))
     schema = extended(p.select(*keys, "label").schema, piece="int", contour="array<array<double>>", x1="long", y1="long", x2="long", y2="long")
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         mask, r0, c0 = _mask_of(g)
-        number, n = raster.pieces(mask)
-        rows = []
-        for k in range(1, n + 1):
-            b = raster.boundary(number == k) + (r0, c0)
-            if len(b) >= least_points:
-                rows.append((k, b.astype(float).tolist(), *b.min(0).tolist(), *(b.max(0) + 1).tolist()))
-        out = pd.DataFrame(rows, columns=["piece", "contour", "x1", "y1", "x2", "y2"])
-        for k in [*keys, "label"]:
+        b = raster.boundary(mask) + (r0, c0)
+        rows = [(b.astype(float).tolist(), *b.min(0).tolist(), *(b.max(0) + 1).tolist())] if len(b) >= least_points else []
+        out = pd.DataFrame(rows, columns=["contour", "x1", "y1", "x2", "y2"])
+        for k in [*keys, "label", "piece"]:
             out[k] = g.iloc[0][k]
         return out[[f.name for f in schema.fields]]
 
-    return _per_group(p, [*keys, "label"], schema, one)
+    return _per_group(edge, [*keys, "label", "piece"], schema, one)
 
 
 def piece_counts(pixels: DataFrame, keys: list[str], label: str = "label", diagonal: bool = True) -> DataFrame:
     """X11: connected pieces of each label."""
-    p = _label_pixels(pixels, keys, label)
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        return g.iloc[:1][[*keys, "label"]].assign(n_pieces=raster.pieces(_mask_of(g)[0], diagonal)[1])
-
-    return _per_group(p, [*keys, "label"], extended(p.select(*keys, "label").schema, n_pieces="int"), one)
+    return label_pieces(pixels, keys, label, diagonal).groupBy(*keys, "label").agg(F.max("piece").alias("n_pieces"))
 
 
 def rasterize(cells: DataFrame, keys: list[str], h: int, w: int) -> DataFrame:

@@ -40,18 +40,40 @@ def descendants(lineage: DataFrame, roots: DataFrame, max_depth: int | None = No
         found = lineage.sparkSession.read.schema(now.schema).parquet(f"{t.root}/found").drop("g")
 
 
-def lineage_paths(spark, lineage: DataFrame, root: int, max_depth: int = 64) -> DataFrame:
-    """Every path from a root to a leaf, as arrays, by a recursive query over the edges. A deeper tree is an
-    error, and so are more rows than ``spark.sql.cteRecursionRowLimit``."""
-    return spark.sql(
-        f"""WITH RECURSIVE walk(track_id, path, depth) MAX RECURSION LEVEL {max_depth + 1} AS (
-          SELECT CAST({int(root)} AS BIGINT), array(CAST({int(root)} AS BIGINT)), 0
-          UNION ALL
-          SELECT e.daughter_id, concat(w.path, array(e.daughter_id)), w.depth + 1 FROM walk w JOIN {{lineage}} e ON e.mother_id = w.track_id
-          WHERE NOT array_contains(w.path, e.daughter_id))
-        SELECT path FROM walk w LEFT ANTI JOIN {{lineage}} e ON e.mother_id = w.track_id""",
-        lineage=lineage,
-    )
+def lineage_paths(spark, lineage: DataFrame, root: int | None = None, max_rounds: int = 40) -> DataFrame:
+    """Every path from ``root`` (None: from every node without a mother) to a leaf, as arrays.
+
+    Every edge is a path; in each round a path whose top has a mother is lengthened by all paths that end at its
+    top, so that lengths double and a tree of depth d takes log2(d) rounds, each a written table. Paths that meet
+    themselves are dropped: on a cycle nothing ends. A root without daughters is a path of its own."""
+    t = Rounds(spark)
+    e = lineage.where("mother_id IS NOT NULL AND daughter_id IS NOT NULL").select(F.col("mother_id").cast("long").alias("m"), F.col("daughter_id").cast("long").alias("d")).distinct()
+    if root is not None:
+        e = e.where(F.col("d") != int(root))  # the walk starts there
+    e = t.write(e.where("m <> d"), "edges")
+    born = e.select(F.col("d").alias("top")).distinct()
+    now = e.select(F.col("m").alias("top"), F.col("d").alias("end"), F.array("m", "d").alias("path"))
+    open_ = lambda paths: paths.join(born, "top", "left_semi")
+    done, k = t.write(now.join(born, "top", "left_anti"), "done/k=0"), 0
+    going = t.write(open_(now), "going0")
+    while not going.isEmpty():
+        k += 1
+        if k > max_rounds:
+            raise RuntimeError(f"paths did not end in {max_rounds} rounds")
+        upper = done.select("top", "end", "path").union(going.select("top", "end", "path")).toDF("top", "mid", "upper")
+        longer = going.select(F.col("top").alias("mid"), "end", F.slice("path", 2, F.size("path")).alias("lower")).join(upper, "mid")
+        longer = longer.where(~F.arrays_overlap("upper", "lower")).select("top", "end", F.concat("upper", "lower").alias("path"))
+        longer = t.write(longer, f"longer{k}")
+        t.write(longer.join(born, "top", "left_anti"), f"done/k={k}")
+        done = spark.read.schema(longer.schema).parquet(f"{t.root}/done")
+        going = t.write(open_(longer), f"going{k}")
+        t.drop(f"longer{k}")
+        t.drop(f"going{k - 1}")
+    leaves = done.join(e.select(F.col("m").alias("end")).distinct(), "end", "left_anti")
+    if root is None:
+        return leaves.select("path")
+    alone = spark.range(1).select(F.array(F.lit(int(root)).cast("long")).alias("path"), F.lit(int(root)).cast("long").alias("m")).join(e.select("m").distinct(), "m", "left_anti")
+    return leaves.where(F.col("top") == int(root)).select("path").union(alone.select("path"))
 
 
 def wrong_divisions(divisions: DataFrame, mature_time: int) -> DataFrame:
