@@ -117,6 +117,18 @@ def test_ratios_and_names_both_count():
     assert main_text(f"<body><div class=sidebar><p>{LONG * 9}</p></div><div class=z>Hi.</div></body>").startswith(LONG.strip())
 
 
+def test_ratios_overrule_names_and_drop_what_has_none():
+    """A named part that holds nearly all text stays; a part without a name that is all links goes, and so does a
+    short unnamed line beside a long article."""
+    rich = "<p>" + " ".join(f"word{i}, and more of it here." for i in range(200)) + "</p>"
+    assert main_text(f"<body><div class='promo'>{rich}</div><div class='text'><p>Hi, short.</p></div></body>").startswith("word0, and")
+    links = "<div class='x'><a href='#'>One</a> <a href='#'>Two</a> <a href='#'>Three</a> ok</div>"
+    text = main_text(f"<body><div class='text'>{rich}</div>{links}<div class='y'>Seen 4 times</div></body>")
+    assert text.endswith("word199, and more of it here.") and text.startswith("word0")
+    # the same named part beside an article of its own size goes
+    assert "promo" not in main_text(f"<body><div class='promo'>{rich.replace('word', 'promo')}</div><div class='text'>{rich}</div></body>")
+
+
 @pytest.mark.parametrize("names", ["right-sidebar", "with-sidebar", "has-comments", "category-legal", "main-wrapper"])
 def test_names_of_what_holds_the_article_do_no_harm(names):
     page = f'<body class="{names}"><div class="layout {names}"><article class="post {names}"><h1 class="article-title">T</h1><div class=body><p>{LONG * 5}</p></div></article></div></body>'
