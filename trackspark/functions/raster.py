@@ -56,34 +56,64 @@ def _steps(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k, low[k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def fill_polygon(contour: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Pixels inside or on a polygon of (row, col) vertices, cut to the image.
+def runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-last places of runs of equal values."""
+    ends = np.append(np.flatnonzero(values[1:] != values[:-1]) + 1, len(values))
+    return np.append(0, ends[:-1]), ends
+
+
+def fill_polygons(points: np.ndarray, first: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pixels inside or on many polygons, as runs along rows: (polygon, row, first column, last column).
+
+    ``points`` are the (row, col) vertices of all polygons one after another; polygon k's begin at ``first[k]`` and are
+    cut to ``size[k]`` pixels from ``low[k]``. All polygons are drawn at once, each on its own part of one canvas.
 
     A table of edges by the rows that they cross gives the crossings of each row; a pixel is inside where an odd
-    number of them lies to its right. Edges themselves are drawn row by row, flat ones column by column. The work is
-    in line with the edges' rows and the pixels."""
-    p, q = np.asarray(contour, float), np.roll(np.asarray(contour, float), -1, 0)
-    crossings = np.zeros((h, w + 1), np.int64)
-    low, high = np.ceil(np.minimum(p[:, 0], q[:, 0])), np.ceil(np.maximum(p[:, 0], q[:, 0])) - 1
-    k, row = _steps(np.clip(low, 0, h).astype(int), np.clip(high, -1, h - 1).astype(int))
+    number of them lies to one side of it. Edges themselves are drawn row by row, flat ones column by column. The work
+    is in line with the edges' rows and the pixels."""
+    of = np.repeat(np.arange(len(low)), np.diff(np.append(first, len(points))))
+    p = np.asarray(points, float) - low[of]
+    after = np.arange(1, len(p) + 1)
+    after[np.append(first, len(p))[1:][np.diff(np.append(first, len(p))) > 0] - 1] = first[np.diff(np.append(first, len(p))) > 0]
+    q = p[after]
+    size = np.asarray(size, np.int64)
+    stride = size[:, 1] + 1  # a column past the last keeps rows apart
+    base = np.cumsum(size[:, 0] * stride) - size[:, 0] * stride
+    total = int((size[:, 0] * stride).sum())
+    bound = size[of]
+    lo, hi = np.ceil(np.minimum(p[:, 0], q[:, 0])), np.ceil(np.maximum(p[:, 0], q[:, 0])) - 1
+    k, row = _steps(np.clip(lo, 0, bound[:, 0]).astype(int), np.clip(hi, -1, bound[:, 0] - 1).astype(int))
     at = p[k, 1] + (row - p[k, 0]) * (q[k, 1] - p[k, 1]) / (q[k, 0] - p[k, 0])
-    np.add.at(crossings, (row, np.clip(np.ceil(at), 0, w).astype(int)), 1)
-    out = (np.cumsum(crossings[:, ::-1], 1)[:, ::-1][:, 1:] % 2).astype(bool)
+    crossings = np.bincount(base[of[k]] + row * stride[of[k]] + np.clip(np.ceil(at), 0, bound[k, 1]).astype(int), minlength=total)
+    out = (np.cumsum(crossings) % 2).astype(bool)  # a row of a closed polygon has an even number of them
+    d = q - p
     for axis in (0, 1):  # steep edges by rows, flat ones by columns
-        other, size = 1 - axis, (h, w)
-        d = q - p
+        other = 1 - axis
         mine = np.flatnonzero(np.abs(d[:, axis]) >= np.abs(d[:, other]) if axis == 0 else np.abs(d[:, 1]) > np.abs(d[:, 0]))
-        a, b = p[mine], q[mine]
-        first, last = np.minimum(a, b), np.maximum(a, b)
-        k, s = _steps(np.clip(np.ceil(first[:, axis]), 0, size[axis]).astype(int), np.clip(np.floor(last[:, axis]), -1, size[axis] - 1).astype(int))
+        a, b, own = p[mine], q[mine], of[mine]
+        least, most = np.minimum(a, b), np.maximum(a, b)
+        k, s = _steps(np.clip(np.ceil(least[:, axis]), 0, size[own, axis]).astype(int), np.clip(np.floor(most[:, axis]), -1, size[own, axis] - 1).astype(int))
         along, across = (b - a)[k, axis], (b - a)[k, other]
         line = a[k, other] + (s - a[k, axis]) * across / np.where(along == 0, 1, along)
         for shift in (-1, 0, 1):
             o = np.rint(line).astype(int) + shift
             near = np.abs(along * (o - a[k, other]) - across * (s - a[k, axis])) <= 0.5 * np.maximum(np.abs(along), 1e-9)
-            near &= (o >= first[k, other]) & (o <= last[k, other]) & (o >= 0) & (o < size[other])
-            at = (s[near], o[near])
-            out[at if axis == 0 else at[::-1]] = True
+            near &= (o >= least[k, other]) & (o <= most[k, other]) & (o >= 0) & (o < size[own[k], other])
+            r, c = (s[near], o[near]) if axis == 0 else (o[near], s[near])
+            out[base[own[k[near]]] + r * stride[own[k[near]]] + c] = True
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]]).astype(np.int8)))
+    start, end = edge[::2], edge[1::2] - 1
+    owner = np.searchsorted(base, start, "right") - 1
+    row, col = np.divmod(start - base[owner], stride[owner])
+    return owner, row + low[owner, 0].astype(np.int64), col + low[owner, 1].astype(np.int64), end - start + col + low[owner, 1].astype(np.int64)
+
+
+def fill_polygon(contour: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Pixels inside or on a polygon of (row, col) vertices, cut to the image."""
+    out = np.zeros((h, w), bool)
+    _, row, first, last = fill_polygons(np.asarray(contour, float), np.zeros(1, np.int64), np.zeros((1, 2)), np.array([[h, w]]))
+    k, column = _steps(first, last)
+    out[row[k], column] = True
     return out
 
 

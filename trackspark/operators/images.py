@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -375,25 +376,39 @@ def piece_counts(pixels: DataFrame, keys: list[str], label: str = "label", diago
     return label_pieces(pixels, keys, label, diagonal).groupBy(*keys, "label").agg(F.max("piece").alias("n_pieces"))
 
 
-def rasterize(cells: DataFrame, keys: list[str], h: int, w: int) -> DataFrame:
-    """Pixels inside or on contours (``contour``, cut to the image): (keys, sc_id, r, c)."""
-    schema = extended(cells.select(*keys, "sc_id").schema, r="long", c="long")
-    need = cells.select(*keys, "sc_id", "contour")
+def rasterized_runs(cells: DataFrame, keys: list[str], h: int, w: int, canvas: int = 1 << 21) -> DataFrame:
+    """Pixels inside or on contours (``contour``, cut to the image) as runs along rows: (keys, sc_id, r, first, last).
+    Contours without points have none. About ``canvas`` pixels are drawn at once."""
+    own = [*keys, "sc_id"]
+    at = lambda i: F.transform("contour", lambda x: F.get(x, F.lit(i)).cast("double"))
+    need = cells.select(*own, at(0).alias("__r"), at(1).alias("__c"))
+    schema = extended(need.select(*own).schema, r="long", first="long", last="long")
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start in range(0, len(b), 128):  # a few cells at a time, as each becomes many rows
-                parts = []
-                for k in range(start, min(start + 128, len(b))):
-                    points = np.array([list(x) for x in b["contour"].iloc[k]], float)
-                    low = np.maximum(np.floor(points.min(0)), 0)
-                    high = np.minimum(np.ceil(points.max(0)) + 1, (h, w))
-                    at = np.argwhere(raster.fill_polygon(points - low, *np.maximum(high - low, 0).astype(int))) + low.astype(int)
-                    row = b.iloc[[k]][[*keys, "sc_id"]]
-                    parts.append(row.loc[row.index.repeat(len(at))].reset_index(drop=True).assign(r=at[:, 0], c=at[:, 1]))
-                yield pd.concat(parts)
-
-    return need.mapInPandas(fill, schema)
+            n = b.column("__r").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            points = np.stack([b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("__r", "__c")], 1)
+            drawn = np.flatnonzero(n)
+            if not len(drawn):
+                continue
+            first = np.cumsum(n[drawn]) - n[drawn]
+            low = np.maximum(np.floor(np.minimum.reduceat(points, first)), 0)
+            size = np.maximum(np.minimum(np.ceil(np.maximum.reduceat(points, first)) + 1, (h, w)) - low, 0).astype(np.int64)
+            ends = np.append(first, len(points))
+            part = np.cumsum(size.prod(1)) // canvas
+            for i, j in zip(*raster.runs_of(part)):
+                k, *run = raster.fill_polygons(points[ends[i] : ends[j]], first[i:j] - first[i], low[i:j], size[i:j])
+                head = b.select(own).take(pa.array(drawn[i:j][k]))
+                for a in range(0, len(k), 100_000):
+                    yield pa.RecordBatch.from_arrays([*(c.slice(a, 100_000) for c in head.columns), *(pa.array(x[a : a + 100_000]) for x in run)], schema.names)
+
+    return need.mapInArrow(fill, schema)
+
+
+def rasterize(cells: DataFrame, keys: list[str], h: int, w: int) -> DataFrame:
+    """Pixels inside or on contours (``contour``, cut to the image): (keys, sc_id, r, c). Python hands over runs;
+    they become pixels in Spark."""
+    return rasterized_runs(cells, keys, h, w).select(*keys, "sc_id", "r", F.explode(F.sequence("first", "last")).alias("c"))
 
 
 def combine_masks(pixels: DataFrame, keys: list[str], order: str = "sc_id") -> DataFrame:
