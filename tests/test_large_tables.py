@@ -1,6 +1,7 @@
 """Kernels that take many small regions, polygons or movies at once, against one at a time."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,3 +29,22 @@ def test_polygons_are_handed_over_as_runs(spark):
             assert (got == (raster.fill_polygon(np.array(c), 25, 20) if c else 0)).all()
         assert sum(x.sc_id == 8 for x in runs) == 6
     assert im.rasterize(cells, ["dataset"], 25, 20).where("sc_id = 8").agg(F.count("*"), F.min("c"), F.max("r")).first() == (36, 3, 7)
+
+
+def test_groups_over_arrow_batches(spark):
+    """A kernel gets whole groups, many at once, also a group of several batches and null keys."""
+    from trackspark.functions.groups import in_groups, numbers
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        d = spark.range(200).selectExpr("IF(id < 3, NULL, CAST(SQRT(id) AS INT)) AS k", "id AS v").repartition(3)
+
+        def kernel(t, starts):
+            (v,) = numbers(t, "v")
+            assert all((np.diff(x) > 0).all() for x in np.split(v, starts[1:]))
+            yield pa.RecordBatch.from_arrays([t.column("k").combine_chunks().take(pa.array(starts)), pa.array(np.add.reduceat(v, starts))], ["k", "s"])
+
+        got = sorted(map(tuple, in_groups(d, ["k"], ["v"], kernel, "k int, s long").collect()), key=str)
+        assert got == sorted(map(tuple, d.groupBy("k").agg(F.sum("v")).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -124,29 +124,68 @@ def holes_filled(mask: np.ndarray) -> np.ndarray:
     return ~(label == label[0, 0])[1:-1, 1:-1]
 
 
+_AROUND = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]
+#: By the direction of a step: where the place tried before lies from the new one.
+_BACK = [_AROUND.index((_AROUND[d - 1][0] - r, _AROUND[d - 1][1] - c)) for d, (r, c) in enumerate(_AROUND)]
+
+
 def boundary(mask: np.ndarray) -> np.ndarray:
     """Outer boundary of a piece, clockwise from its first pixel, by following neighbours."""
-    padded = np.pad(mask, 1)
-    start = np.argwhere(padded)[0]
-    around = np.array([(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)])
-    path, at, came = [tuple(start - 1)], start, 0
-    first_move = None
+    w = mask.shape[1] + 2
+    flat = np.pad(mask, 1).astype(np.uint8).tobytes()
+    step = [r * w + c for r, c in _AROUND]
+    start = at = flat.index(1)
+    path, came, first_move = [start], 0, None
     while True:
         for k in range(1, 9):
             d = (came + k) % 8
-            to = at + around[d]
-            if padded[tuple(to)]:
+            to = at + step[d]
+            if flat[to]:
                 break
         else:
-            return np.array(path)
+            break
         if first_move is None:
-            first_move = tuple(to)
-        elif tuple(at) == tuple(start) and tuple(to) == first_move:
-            return np.array(path[:-1])
-        path.append(tuple(to - 1))
-        back = at + around[(d - 1) % 8] - to
-        at = to
-        came = int(np.flatnonzero((around == back).all(1))[0])
+            first_move = to
+        elif at == start and to == first_move:
+            path.pop()
+            break
+        path.append(to)
+        at, came = to, _BACK[d]
+    return np.stack(np.divmod(np.array(path), w), 1) - 1
+
+
+def united(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least node of its connected component; a[k] and b[k] are linked. Roots move to the
+    least root that they are linked with, then nodes jump to their roots."""
+    root = np.arange(n)
+    while True:
+        p, q = root[a], root[b]
+        apart = p != q
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def runs_and_pieces(group: np.ndarray, r: np.ndarray, c: np.ndarray, more: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pixels in order of (group, r, c) as runs along rows: the places of each run's first and last pixel, and the
+    number of the first run of its connected piece. Runs of neighbouring rows of one group meet if they share a column,
+    or come as near as ``more`` columns."""
+    row_new = np.append(True, (group[1:] != group[:-1]) | (r[1:] != r[:-1]))
+    new = row_new | np.append(True, np.diff(c) > 1)
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(r)) - 1
+    row = np.cumsum(row_new)[start]  # from 1
+    first_of = np.flatnonzero(row_new)
+    above = np.append(False, (group[first_of[1:]] == group[first_of[:-1]]) & (np.diff(r[first_of]) == 1))[row - 1]
+    low = c.min() - more - 1
+    wide = c.max() + more + 2 - low
+    f, l = c[start] - low, c[end] - low
+    lo = np.searchsorted(row * wide + l, (row - 1) * wide + f - more, "left")
+    hi = np.searchsorted(row * wide + f, (row - 1) * wide + l + more, "right")
+    k, other = _steps(np.where(above, lo, 0), np.where(above, hi, 0) - 1)
+    return start, end, united(k, other, len(start))
 
 
 def hull(points: np.ndarray) -> np.ndarray:

@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from trackspark.functions import raster
 from trackspark.functions.graph import Rounds, components
+from trackspark.functions.groups import heads, in_groups, numbers
 from trackspark.functions.ranks import ranked
 from trackspark.schema import extended
 
@@ -309,71 +310,96 @@ def resized_labels(pixels: DataFrame, keys: list[str], scale: float, label: str
     return _per_group(p, [*keys, "label"], p.schema, one).groupBy(*keys, "r", "c").agg(F.sum("label").alias("label"))
 
 
-def label_runs(pixels: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
-    """The pixels of each label as runs along rows: (keys, label, r, first, last)."""
-    p = _label_pixels(pixels, keys, label).distinct()
-    row = Window.partitionBy(*keys, "label", "r").orderBy("c")
-    new = F.coalesce((F.col("c") - F.lag("c").over(row) > 1).cast("int"), F.lit(1))
-    p = p.withColumn("__new", new).withColumn("__run", F.sum("__new").over(row))
-    return p.groupBy(*keys, "label", "r", "__run").agg(F.min("c").alias("first"), F.max("c").alias("last")).drop("__run")
+def _tile_pieces(pixels: DataFrame, keys: list[str], label: str, diagonal: bool, tile: int) -> DataFrame:
+    """The pixels of each label as runs along rows, cut at the borders of tiles: (keys, label, r, first, last,
+    __r, __c), the last two the first pixel of their connected piece within the tile."""
+    at = lambda c: F.floor(F.col(c) / tile).alias(f"__t{c}")
+    p = _label_pixels(pixels, keys, label).select("*", at("r"), at("c"))
+    by = [*keys, "__tr", "__tc", "label"]
+    schema = extended(p.select(*keys, "label", "r").schema, first="long", last="long", __r="long", __c="long")
+
+    def unite(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        r, c = numbers(t, "r", "c")
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(r))))
+        once = np.flatnonzero(np.append(True, (np.diff(group) != 0) | (np.diff(r) != 0) | (np.diff(c) != 0)))
+        r, c = r[once], c[once]
+        first, last, root = raster.runs_and_pieces(group[once], r, c, int(diagonal))
+        top = first[root]
+        yield pa.RecordBatch.from_arrays([*heads(t, [*keys, "label"], once[first]), *map(pa.array, (r[first], c[first], c[last], r[top], c[top]))], schema.names)
+
+    return in_groups(p, by, ["r", "c"], unite, schema)
+
+
+def _rooted_runs(pixels: DataFrame, keys: list[str], label: str, diagonal: bool, tile: int, t: Rounds) -> DataFrame:
+    """``_tile_pieces`` with __root, a number of the run's piece in the whole label. Only runs at borders of tiles can
+    meet runs of other tiles; these meet by joins and are united over the whole table."""
+    node, more = F.xxhash64(*keys, "label", "__r", "__c"), int(diagonal)
+    runs = t.write(_tile_pieces(pixels, keys, label, diagonal, tile), "runs").withColumn("__id", node)
+    edge = lambda c, k: F.pmod(F.col(c), F.lit(tile)) == k
+    border = runs.where(edge("r", 0) | edge("r", tile - 1) | edge("first", 0) | edge("last", tile - 1))
+    cover = F.explode(F.sequence(F.floor((F.col("first") - more) / tile), F.floor((F.col("last") + more) / tile)))
+    cut = border.withColumn("__t", cover)
+    below = cut.select(*keys, "label", (F.col("r") - 1).alias("r"), "__t", F.col("first").alias("f"), F.col("last").alias("l"), F.col("__id").alias("b"))
+    edges = cut.join(below, [*keys, "label", "r", "__t"]).where((F.col("f") <= F.col("last") + more) & (F.col("first") <= F.col("l") + more)).select(F.col("__id").alias("a"), "b")
+    left = border.where(edge("last", tile - 1)).select(*keys, "label", "r", (F.col("last") + 1).alias("first"), F.col("__id").alias("b"))
+    edges = edges.union(border.where(edge("first", 0)).join(left, [*keys, "label", "r", "first"]).select(F.col("__id").alias("a"), "b"))
+    edges = t.write(edges.where("a <> b").distinct(), "edges")
+    if edges.isEmpty():
+        return runs.withColumnRenamed("__id", "__root")
+    joined = runs.join(components(edges), F.col("__id") == F.col("node"), "left")
+    return joined.withColumn("__root", F.coalesce("root", "__id")).drop("node", "root", "__id")
 
 
 def label_pieces(pixels: DataFrame, keys: list[str], label: str = "label", diagonal: bool = True, tile: int = 256) -> DataFrame:
     """X11: runs (keys, label, r, first, last) with ``piece``, their connected piece of the label, numbered from 1 in
-    order of its first pixel. Runs of neighbouring rows meet by joins and are united over the whole table, so a
-    region of any size is many tasks' work. A run is an edge table's row for each ``tile`` columns that it covers."""
+    order of its first pixel. Runs are united inside tiles of an image, and over the whole table where they meet at a
+    tile's border, so a region of any size is many tasks' work."""
     t = Rounds(pixels.sparkSession)
-    node = F.xxhash64(*keys, "label", "r", "first")
-    runs = t.write(label_runs(pixels, keys, label).withColumn("__id", node), "runs")
-    more = int(diagonal)
-    cover = F.explode(F.sequence(F.floor((F.col("first") - more) / tile), F.floor((F.col("last") + more) / tile)))
-    cut = runs.withColumn("__t", cover)
-    below = cut.select(*keys, "label", (F.col("r") - 1).alias("r"), "__t", F.col("first").alias("f"), F.col("last").alias("l"), F.col("__id").alias("b"))
-    edges = cut.join(below, [*keys, "label", "r", "__t"]).where((F.col("f") <= F.col("last") + more) & (F.col("first") <= F.col("l") + more))
-    roots = components(edges.select(F.col("__id").alias("a"), "b"))
-    joined = runs.join(roots, F.col("__id") == F.col("node"), "left").withColumn("__root", F.coalesce("root", "__id")).drop("node", "root", "__id")
-    joined = t.write(joined, "joined")
-    starts = joined.groupBy(*keys, "label", "__root").agg(F.min(F.struct("r", "first")).alias("__s"))
+    runs = _rooted_runs(pixels, keys, label, diagonal, tile, t)
+    tops = runs.where("r = __r AND first = __c")
+    starts = tops.groupBy(*keys, "label", "__root").agg(F.min(F.struct("r", "first")).alias("__s"))
     number = ranked(starts, [*keys, "label"], ["__s"], "piece").select(*keys, "label", "__root", (F.col("piece") + 1).cast("int").alias("piece"))
-    return joined.join(number, [*keys, "label", "__root"]).drop("__root")
-
-
-def _outline(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Pixels (keys, label, r, c) with one of their eight neighbours not of their label: all that a walk around a
-    piece can step on."""
-    row, column = Window.partitionBy(*keys, "label", "r").orderBy("c"), Window.partitionBy(*keys, "label", "c").orderBy("r")
-    near = lambda at, by, w: F.coalesce(F.lag(at, by).over(w) == F.col(at) - by, F.lit(False))
-    p = pixels.withColumn("__row", near("c", 1, row) & near("c", -1, row))
-    full = lambda by: near("r", by, column) & F.coalesce(F.lag("__row", by).over(column), F.lit(False))
-    return p.withColumn("__in", F.col("__row") & full(1) & full(-1)).where("NOT __in").drop("__row", "__in")
+    return runs.join(number, [*keys, "label", "__root"]).select(*keys, "label", "r", "first", "last", "piece")
 
 
 def cells_from_labels(pixels: DataFrame, keys: list[str], label: str = "label", least_points: int = 10) -> DataFrame:
     """Outer boundaries of the connected pieces of each label that have ``least_points`` or more: (keys, label,
-    piece, contour, box). Pieces are found over the whole table; one piece's outline, not its area, is a group."""
-    p = _label_pixels(pixels, keys, label).distinct()
-    runs = label_pieces(pixels, keys, label)
-    edge = _outline(p, keys)
-    inside = F.last("piece", ignorenulls=True).over(Window.partitionBy(*keys, "label", "r").orderBy("c", F.col("piece").isNull()))
-    both = edge.withColumn("piece", F.lit(None).cast("int")).unionByName(runs.select(*keys, "label", "r", F.col("first").alias("c"), "piece"))
-    edge = both.withColumn("__p", inside).where("piece IS NULL").select(*keys, "label", "r", "c", F.col("__p").alias("piece"))
-    schema = extended(p.select(*keys, "label").schema, piece="int", contour="array<array<double>>", x1="long", y1="long", x2="long", y2="long")
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        mask, r0, c0 = _mask_of(g)
-        b = raster.boundary(mask) + (r0, c0)
-        rows = [(b.astype(float).tolist(), *b.min(0).tolist(), *(b.max(0) + 1).tolist())] if len(b) >= least_points else []
-        out = pd.DataFrame(rows, columns=["contour", "x1", "y1", "x2", "y2"])
-        for k in [*keys, "label", "piece"]:
-            out[k] = g.iloc[0][k]
-        return out[[f.name for f in schema.fields]]
-
-    return _per_group(edge, [*keys, "label", "piece"], schema, one)
-
-
-def piece_counts(pixels: DataFrame, keys: list[str], label: str = "label", diagonal: bool = True) -> DataFrame:
+    piece, contour, box). Pieces are found over the whole table; one piece's runs, of which each has a pixel of its
+    outline, are a group."""
+    runs, own = label_pieces(pixels, keys, label), [*keys, "label", "piece"]
+    schema = extended(runs.select(*own).schema, contour="array<array<double>>", x1="long", y1="long", x2="long", y2="long")
+
+    def walk(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        r, first, last = numbers(t, "r", "first", "last")
+        ends = np.append(starts, len(r))
+        # a walk leaves a pixel by each of eight directions once at most
+        large = np.flatnonzero(8 * np.add.reduceat(last - first + 1, starts) >= least_points)
+        kept, points = [], []
+        for k in large.tolist():
+            mine = slice(ends[k], ends[k + 1])
+            r0, c0 = r[mine].min(), first[mine].min()
+            mask = np.zeros((r[mine].max() - r0 + 1, last[mine].max() - c0 + 1), bool)
+            for y, a, b in zip((r[mine] - r0).tolist(), (first[mine] - c0).tolist(), (last[mine] - c0).tolist()):
+                mask[y, a : b + 1] = True
+            walked = raster.boundary(mask) + (r0, c0)
+            if len(walked) >= least_points:
+                kept.append(starts[k])
+                points.append(walked)
+        if kept:
+            at = np.cumsum([0, *map(len, points)])
+            flat = np.concatenate(points)
+            pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(flat) + 1, 2), pa.int32()), pa.array(flat.ravel().astype(float)))
+            box = [f(flat[:, i], at[:-1]) + d for f, d in ((np.minimum.reduceat, 0), (np.maximum.reduceat, 1)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*heads(t, own, np.array(kept)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pairs), *map(pa.array, box)], schema.names)
+
+    return in_groups(runs, own, [], walk, schema)
+
+
+def piece_counts(pixels: DataFrame, keys: list[str], label: str = "label", diagonal: bool = True, tile: int = 256) -> DataFrame:
     """X11: connected pieces of each label."""
-    return label_pieces(pixels, keys, label, diagonal).groupBy(*keys, "label").agg(F.max("piece").alias("n_pieces"))
+    runs = _rooted_runs(pixels, keys, label, diagonal, tile, Rounds(pixels.sparkSession))
+    tops = runs.where("r = __r AND first = __c").select(*keys, "label", "__root").distinct()
+    return tops.groupBy(*keys, "label").agg(F.count("*").cast("int").alias("n_pieces"))
 
 
 def rasterized_runs(cells: DataFrame, keys: list[str], h: int, w: int, canvas: int = 1 << 21) -> DataFrame:
