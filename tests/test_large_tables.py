@@ -48,3 +48,13 @@ def test_groups_over_arrow_batches(spark):
         assert got == sorted(map(tuple, d.groupBy("k").agg(F.sum("v")).collect()), key=str)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pieces_meet_at_borders_of_tiles_only(spark, monkeypatch):
+    """X11: images inside one tile need no component search over the table; small tiles give the same counts."""
+    rng = np.random.default_rng(7)
+    p = pixels(spark, *(rng.integers(0, 3, (30, 41)) for _ in range(3)), np.ones((9, 9), int)).cache()
+    count = lambda tile, diagonal: {(x.image, x.label): x.n_pieces for x in im.piece_counts(p, ["image"], diagonal=diagonal, tile=tile).collect()}
+    small = {d: count(8, d) for d in (True, False)}
+    monkeypatch.setattr(im, "components", lambda edges: pytest.fail("nothing meets outside its tile"))
+    assert {d: count(256, d) for d in (True, False)} == small and small[True] != small[False]
