@@ -58,3 +58,20 @@ def test_pieces_meet_at_borders_of_tiles_only(spark, monkeypatch):
     small = {d: count(8, d) for d in (True, False)}
     monkeypatch.setattr(im, "components", lambda edges: pytest.fail("nothing meets outside its tile"))
     assert {d: count(256, d) for d in (True, False)} == small and small[True] != small[False]
+
+
+def test_gap_scores_next_to_ties_and_without_area(spark, tmp_path):
+    """J7 against its SQL: scores whose fifth digit is next to a 5, and areas of 0."""
+    duckdb = pytest.importorskip("duckdb")
+    from trackspark.plans.registry import ORACLES, QUERIES
+
+    found = [(40070, 36334, 96.0, 235.27), (57567, 63223, 32.0, 132.35), (0, 1, 0.0, 0.0), (7, 7 + 960 * 4, 0.0, 3.0), (7, 7 + 960 * 4, 0.0, 0.0)]
+    rows = [(e, f"2024-01-01 0{h}:00:00", 30 * k + i, v) for k, (a, b, la, fa) in enumerate(found) for i, (e, h, v) in enumerate(((a, 1, la), (b, 2, fa)))]
+    d = spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").selectExpr("event_id", "CAST(ts AS TIMESTAMP_NTZ) AS ts", "user_id", "'view' AS event_type", "value")
+    d.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "embeddings", "documents", "labels", "orders", "customer", "conversations", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLES["j7_gap_pairs"]).fetchall())
+    assert sorted(map(tuple, QUERIES["j7_gap_pairs"](spark, str(tmp_path)).collect())) == want and len(want) == len(found)
