@@ -75,3 +75,18 @@ def test_gap_scores_next_to_ties_and_without_area(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     want = sorted(con.execute(ORACLES["j7_gap_pairs"]).fetchall())
     assert sorted(map(tuple, QUERIES["j7_gap_pairs"](spark, str(tmp_path)).collect())) == want and len(want) == len(found)
+
+
+def test_distances_are_measured_once(spark):
+    """Scaled distances and bytes don't measure a label twice, and many labels share a call of Python."""
+    from trackspark.operators import fields as fi
+
+    rng = np.random.default_rng(8)
+    image = np.kron(rng.integers(0, 9, (6, 7)), np.ones((4, 5), int))
+    p = pixels(spark, image)
+    for d in (fi.distance_map(p, ["image"], edt_max=5), fi.distance_bytes(p, ["image"])):
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") <= 1 and "FlatMapGroups" not in plan
+    want = {k: raster.distance_transform(image == k) for k in np.unique(image) if k}
+    got = {(x.r, x.c): x.distance for x in fi.distance_bytes(p, ["image"]).collect()}
+    assert got == {(r, c): int(np.floor(d[r, c] / d.max() * 255)) for k, d in want.items() for r, c in np.argwhere(image == k)}

@@ -7,13 +7,17 @@ bounds; without it they are the largest row and column of the image's own pixels
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions import raster
+from trackspark.functions.graph import Rounds
+from trackspark.functions.groups import in_groups, numbers
 from trackspark.schema import extended
 
 TILE = 128
@@ -31,34 +35,45 @@ def _with_size(p: DataFrame, keys: list[str], size: tuple[int, int] | None) -> D
     return p.join(p.groupBy(*keys).agg((F.max("r") + 1).alias("__h"), (F.max("c") + 1).alias("__w")), keys)
 
 
+def _distances(pixels: DataFrame, keys: list[str], label: str, size: tuple[int, int] | None) -> DataFrame:
+    """The labelled pixels with ``distance`` and __top, the label's largest; both null where the label fills the image."""
+    p = _with_size(_labelled(pixels, label, keys), keys, size).where("label <> 0")
+    own = p.drop("__h", "__w").columns
+    schema = extended(p.select(*own).schema, distance="double", __top="double")
+
+    def measure(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        r, c, h, w = numbers(t, "r", "c", "__h", "__w")
+        d, n = np.empty(len(r)), np.diff(np.append(starts, len(r)))
+        for a, k in zip(starts.tolist(), n.tolist()):
+            y, x = r[a : a + k], c[a : a + k]
+            # the nearest other pixel lies in the label's box or the ring around it
+            r0, c0 = max(y.min() - 1, 0), max(x.min() - 1, 0)
+            mask = np.zeros((min(y.max() + 2, h[a]) - r0, min(x.max() + 2, w[a]) - c0), bool)
+            mask[y - r0, x - c0] = True
+            d[a : a + k] = raster.distance_transform(mask)[y - r0, x - c0]
+        top = np.repeat(np.maximum.reduceat(d, starts), n)
+        columns = [x.combine_chunks() for x in t.select(own).columns]
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, mask=np.isinf(x)) for x in (d, top))], schema.names)
+
+    return in_groups(p, [*keys, "label"], [], measure, schema)
+
+
 def distance_map(pixels: DataFrame, keys: list[str], label: str = "label", edt_max: float | None = None, size: tuple[int, int] | None = None) -> DataFrame:
     """Distance of each labelled pixel to the nearest pixel of the image that is not of its label (null where
     the label fills the image). With ``edt_max`` distances are scaled to 1 and more, so that the image's largest
     is that: d * (edt_max - 1) / max + 1. What lies beyond the image's bounds is no pixel."""
-    p = _with_size(_labelled(pixels, label, keys), keys, size).where("label <> 0")
-    out = extended(p.drop("__h", "__w").schema, distance="double")
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        r, c = g["r"].to_numpy(), g["c"].to_numpy()
-        # the nearest other pixel lies in the label's box or the ring around it
-        r0, c0 = max(r.min() - 1, 0), max(c.min() - 1, 0)
-        mask = np.zeros((min(r.max() + 2, g["__h"].iloc[0]) - r0, min(c.max() + 2, g["__w"].iloc[0]) - c0), bool)
-        mask[r - r0, c - c0] = True
-        d = raster.distance_transform(mask)[r - r0, c - c0]
-        return g.drop(columns=["__h", "__w"]).assign(distance=np.where(np.isinf(d), np.nan, d))
-
-    d = p.groupBy(*keys, "label").applyInPandas(one, out).withColumn("distance", F.nanvl("distance", F.lit(None)))
+    d = _distances(pixels, keys, label, size).drop("__top")
     if edt_max is None:
         return d
+    d = Rounds(pixels.sparkSession).write(d, "distances")  # measured once, read twice
     top = d.groupBy(*keys).agg(F.max("distance").alias("__top"))
     return d.join(top, keys).withColumn("distance", F.col("distance") * (edt_max - 1) / F.col("__top") + 1).drop("__top")
 
 
 def distance_bytes(pixels: DataFrame, keys: list[str], label: str = "label", size: tuple[int, int] | None = None) -> DataFrame:
     """X5, as bytes: each label's distances scaled on their own, its largest to 255, and cut to whole numbers."""
-    d = distance_map(pixels, keys, label, size=size)
-    top = d.groupBy(*keys, "label").agg(F.max("distance").alias("__top"))
-    return d.join(top, [*keys, "label"]).withColumn("distance", F.floor(F.col("distance") / F.col("__top") * 255).cast("int")).drop("__top")
+    d = _distances(pixels, keys, label, size)
+    return d.withColumn("distance", F.floor(F.col("distance") / F.col("__top") * 255).cast("int")).drop("__top")
 
 
 def inner_boundaries(pixels: DataFrame, keys: list[str], label: str = "label", size: tuple[int, int] | None = None) -> DataFrame:
@@ -80,16 +95,25 @@ def inner_boundaries(pixels: DataFrame, keys: list[str], label: str = "label", s
 
 def _border_weights(tile: pd.DataFrame, edge: pd.DataFrame, w0: float, sigma: float, two: bool) -> np.ndarray:
     """The sum over labels of w0 * exp(-d^2 / 2 sigma^2), or the term of the two nearest labels, of a tile's pixels."""
-    at = tile[["r", "c"]].to_numpy()
-    total, first, second = np.zeros(len(at)), np.full(len(at), np.inf), np.full(len(at), np.inf)
-    for _, points in edge.groupby("e_label"):
-        q, d = points[["e_r", "e_c"]].to_numpy(), np.full(len(at), np.inf)
-        for k in range(0, len(q), 256):  # a few points at a time
-            d = np.minimum(d, ((at[:, None, :] - q[None, k : k + 256]) ** 2).sum(2).min(1))
+    r, c = tile["r"].to_numpy(), tile["c"].to_numpy()
+    columns, at_c = np.unique(c, return_inverse=True)
+    rows, at_r = np.unique(r, return_inverse=True)
+    total, first, second = np.zeros(len(r)), np.full(len(r), np.inf), np.full(len(r), np.inf)
+    edge = edge.sort_values(["e_label", "e_r"])
+    labels, e_r, e_c = (edge[k].to_numpy() for k in ("e_label", "e_r", "e_c"))
+    for a, b in zip(*raster.runs_of(labels)) if len(labels) else ():
+        # per row of the label the least distance to each column, then per pixel the least over these rows
+        starts, _ = raster.runs_of(e_r[a:b])
+        across = np.minimum.reduceat(((e_c[a:b, None] - columns) ** 2).astype(float), starts)
+        d = np.full((len(rows), len(columns)), np.inf)
+        for y, x in zip(e_r[a:b][starts], across):
+            np.minimum(d, ((rows - y) ** 2)[:, None] + x, out=d)
+        d = d[at_r, at_c]
         total += w0 * np.exp(-d / (2 * sigma**2))
-        d = np.sqrt(d)
-        second = np.minimum(second, np.maximum(first, d))
-        first = np.minimum(first, d)
+        if two:
+            d = np.sqrt(d)
+            second = np.minimum(second, np.maximum(first, d))
+            first = np.minimum(first, d)
     if not two:
         return total
     both = first if tile["__n"].iloc[0] == 1 else first + second
