@@ -90,3 +90,16 @@ def test_distances_are_measured_once(spark):
     want = {k: raster.distance_transform(image == k) for k in np.unique(image) if k}
     got = {(x.r, x.c): x.distance for x in fi.distance_bytes(p, ["image"]).collect()}
     assert got == {(r, c): int(np.floor(d[r, c] / d.max() * 255)) for k, d in want.items() for r, c in np.argwhere(image == k)}
+
+
+def test_movies_of_one_task_are_tracked_whole(spark, monkeypatch):
+    """Movies of up to ``rows_per_task`` rows need no parts, and parts give the same tracks."""
+    from trackspark.operators import tracking as tk
+
+    rng = np.random.default_rng(9)
+    rows = [(m, t, 1000 * m + 20 * t + k, *(x := rng.integers(0, 60, 2).astype(float).tolist()), x[0] + 20, x[1] + 20) for m in range(2) for t in range(12) for k in range(4)]
+    c = spark.createDataFrame(rows, "dataset int, timeframe int, sc_id long, x1 double, y1 double, x2 double, y2 double")
+    tracked = lambda n: {tuple(x) for x in tk.track_boxes(c, 2, 1, rows_per_task=n).collect()}
+    parts = tracked(10)
+    monkeypatch.setattr(tk, "movie_parts", lambda cells, *a: pytest.fail("cut into parts") if not cells.isEmpty() else cells)
+    assert tracked(48) == parts and parts

@@ -80,7 +80,13 @@ def track_boxes(cells: DataFrame, max_age: int = 5, min_hits: int = 3, iou: floa
     spark, keys = cells.sparkSession, list(keys)
     t = Rounds(spark)
     need = cells.select(*keys, "timeframe", "sc_id", *[F.col(c).cast("double").alias(c) for c in BOX])
-    parts = t.write(movie_parts(need, keys, max_age), "parts0")
+    sizes = need.groupBy(*keys).agg(F.count("*").alias("__rows"), F.min("timeframe").alias("__first"), F.max("timeframe").alias("__last"))
+    # a movie that is one task's work anyway is one part from the start: it needs no grid and meets no other part
+    sized = t.write(need.join(sizes, keys), "cells")
+    small, need = (sized.where(f"__rows {op} {rows_per_task}") for op in ("<=", ">"))
+    small, need = small.drop("__rows").withColumn("__part", F.lit(0).cast("long")), need.drop("__rows", "__first", "__last")
+    several = not need.isEmpty()
+    parts = t.write(movie_parts(need, keys, max_age), "parts0") if several else small.limit(0)
     width = parts.agg(F.avg(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))).first()[0]
     width = max(4 * (width or 1.0), 1e-6)
     fixed = need.select(*keys).schema
@@ -89,8 +95,8 @@ def track_boxes(cells: DataFrame, max_age: int = 5, min_hits: int = 3, iou: floa
         x1="double", y1="double", x2="double", y2="double", rule="int", open="boolean",
     )
 
-    def follow(movie: pd.DataFrame) -> pd.DataFrame:
-        """A number of parts of one movie, side by side."""
+    def follow(movie: pd.DataFrame, traced: bool = True) -> pd.DataFrame:
+        """A number of parts of one movie, side by side; ``traced``: with the boxes that were predicted."""
         movie = movie.sort_values(["timeframe", "sc_id"])
         tracker, first, last = BoxTracker(max_age, min_hits, iou), int(movie["__first"].iloc[0]), int(movie["__last"].iloc[0])
         times, boxes, names, part = (movie[c].to_numpy() for c in ("timeframe", list(BOX), "sc_id", "__part"))
@@ -111,7 +117,8 @@ def track_boxes(cells: DataFrame, max_age: int = 5, min_hits: int = 3, iou: floa
             start |= {i: (now, int(names[k])) for i, k in zip(ids.tolist(), at.tolist()) if i > known}
             flags = dict(zip(tracker.parts.tolist(), zip(tracker.rule.tolist(), tracker.open.tolist())))
             rows += [(now, p, int(names[k]), *start[i], s, None, None, None, None, *flags[p]) for k, p, i, s in zip(at.tolist(), part[at].tolist(), ids.tolist(), shown.tolist())]
-            rows += [(now, p, None, None, None, None, *b, *flags[p]) for p, b in zip(tracker.predicted_part.tolist(), tracker.predicted.tolist()) if np.isfinite(b).all()]
+            if traced:
+                rows += [(now, p, None, None, None, None, *b, *flags[p]) for p, b in zip(tracker.predicted_part.tolist(), tracker.predicted.tolist()) if np.isfinite(b).all()]
             if upcoming == now:
                 upcoming = next(ahead, None)
             now += 1
@@ -126,8 +133,10 @@ def track_boxes(cells: DataFrame, max_age: int = 5, min_hits: int = 3, iou: floa
         dealt = parts.join(tasks, keys).withColumn("__n", F.pmod(F.xxhash64("__part"), F.col("__n")))
         return dealt.groupBy(*keys, "__n").applyInPandas(lambda g: follow(g.drop(columns="__n")), out)
 
-    done = t.write(tracked(parts), "done0")
-    for k in range(1, max_rounds + 1):
+    # predictions are for meeting other parts only
+    whole = t.write(small.groupBy(*keys).applyInPandas(lambda g: follow(g, traced=False), out), "whole")
+    done = t.write(tracked(parts), "done0") if several else whole.limit(0)
+    for k in range(1, max_rounds + 1 if several else 1):
         met = t.write(_met(done, parts, keys, width), f"met{k}")
         if met.isEmpty():
             break
@@ -140,8 +149,9 @@ def track_boxes(cells: DataFrame, max_age: int = 5, min_hits: int = 3, iou: floa
         again = tracked(now.where("__new").drop("__new"))
         done, parts = t.write(old.unionByName(again), f"done{k}"), now.drop("__new")
     else:
-        raise RuntimeError(f"parts still met after {max_rounds} rounds")
-    found = done.where("sc_id IS NOT NULL")
+        if several:
+            raise RuntimeError(f"parts still met after {max_rounds} rounds")
+    found = done.unionByName(whole).where("sc_id IS NOT NULL") if several else whole
     tracks = ranked(found.select(*keys, "began", "founder").distinct(), keys, ["began", "founder"], "__k")
     shown = found.where("shown").join(tracks, [*keys, "began", "founder"])
     return shown.select(*keys, "timeframe", F.col("sc_id").cast(need.schema["sc_id"].dataType).alias("sc_id"), (F.col("__k") + 1).alias("track_id"))
