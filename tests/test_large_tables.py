@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackspark.functions import raster
 from trackspark.operators import contours as co
 from trackspark.operators import images as im
+from trackspark.plans import adapters
 
 
 def pixels(spark, *images):
@@ -132,3 +133,13 @@ def test_shape_modes_make_their_contours_once(spark):
             yield b
 
     assert co.shape_modes(d.mapInArrow(counted, d.schema), "id")[0].count() == 30 and seen.value == 30
+
+
+def test_tasks_get_a_bounded_number_of_pixels(spark, rows, monkeypatch):
+    """A34 and what else aggregates by pixel: tasks grow in number with the table, not in rows."""
+    at = "/root/testdata/sf0.001"
+    want = rows(adapters.unique_pixels(spark, at))
+    monkeypatch.setattr(adapters, "PIXELS_PER_TASK", 500)
+    p = adapters.unique_pixels(spark, at)
+    sizes = [x[1] for x in p.groupBy(F.spark_partition_id()).count().collect()]
+    assert rows(p) == want and len(sizes) >= spark.read.parquet(f"{at}/lineitem.parquet").count() // 500 and max(sizes) < 1000

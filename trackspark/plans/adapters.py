@@ -41,9 +41,19 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rows of the pixel table that a task gets, about. What aggregates by pixel hold grows with it, not with the table.
+PIXELS_PER_TASK = 1_000_000
+
+
+def dealt(spark: SparkSession, sf_dir: str, pixels: DataFrame, *keys: str) -> DataFrame:
+    """Rows of lineitem, together by keys, over as many tasks as the table's size asks for."""
+    n = table(spark, sf_dir, "lineitem").count()
+    return pixels.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PIXELS_PER_TASK)), *keys)
+
+
 def unique_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pixel per (image, r, c): the one with the least labels and value."""
-    p = pixels(spark, sf_dir).groupBy("image", "r", "c").agg(F.min(F.struct("label_a", "label_b", "value")).alias("m"))
+    p = dealt(spark, sf_dir, pixels(spark, sf_dir), "image", "r", "c").groupBy("image", "r", "c").agg(F.min(F.struct("label_a", "label_b", "value")).alias("m"))
     return p.select("image", "r", "c", "m.*")
 
 
