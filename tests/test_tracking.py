@@ -236,3 +236,23 @@ def test_sweep_and_odd_movies(spark):
     points = spark.createDataFrame([(0, t, t, 5.0, 5.0, 5.0, 5.0) for t in range(3)], SCHEMA)  # boxes without area match nothing
     assert {track for *_, track in tracked(points, 1, 5)} == {1, 2, 3}
     assert list(itertools.islice(sorted(tracked(c, 3, 1)), 3)) == sorted(tracked(c.repartition(5), 3, 1))[:3]
+
+
+def test_tracker_columns_against_full_matrices():
+    """A tracker's twenty numbers are the filter of whole matrices; a step names the tracks that it ends."""
+    from trackspark.functions.kalman import BoxTracker, measured
+
+    motion, noise = np.eye(7) + np.diag([1.0] * 3, 4), np.diag([1, 1, 1, 1, 0.01, 0.01, 0.0001])
+    x, p, t = None, np.diag([10.0] * 4 + [1e4] * 3), BoxTracker(max_age=2, min_hits=0)
+    for k in range(6):
+        box = np.array([[3.0 * k, 2.0 * k, 3.0 * k + 30 + k, 2.0 * k + 20]])
+        assert t.step(box).tolist() == [1] and not len(t.ended)
+        z = measured(box)[0]
+        if x is None:
+            x = np.append(z, np.zeros(3))
+        else:
+            x, p = motion @ x, motion @ p @ motion.T + noise
+            gain = p[:, :4] @ np.linalg.inv(p[:4, :4] + np.diag([1.0, 1, 10, 10]))
+            x, p = x + gain @ (z - x[:4]), p - gain @ p[:4]
+        assert t.m.shape == (20, 1) and np.allclose(t.x[0], x) and np.allclose(t.p[0], p)
+    assert [(t.step(np.zeros((0, 4))).tolist(), t.ended.tolist()) for _ in range(4)] == [([], []), ([], []), ([], [1]), ([], [])]

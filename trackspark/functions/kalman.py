@@ -9,32 +9,44 @@ import numpy as np
 
 from .assignment import assign
 
-# The constant-velocity model and its noise.
-MOTION = np.eye(7) + np.diag([1.0, 1.0, 1.0], 4)
-NOISE = np.diag([1.0, 1.0, 1.0, 1.0, 0.01, 0.01, 0.0001])
-MEASURE_NOISE = np.diag([1.0, 1.0, 10.0, 10.0])
-START = np.diag([10.0, 10.0, 10.0, 10.0, 10000.0, 10000.0, 10000.0])
+# Noise of the constant-velocity model, of boxes, and of a new tracker.
+NOISE = [1.0, 1.0, 1.0, 1.0, 0.01, 0.01, 0.0001]
+MEASURE_NOISE = [1.0, 1.0, 10.0, 10.0]
+START = [10.0, 10.0, 10.0, 10.0, 10000.0, 10000.0, 10000.0]
+
+# All three are diagonal, so a covariance has entries between a value and its own velocity only. A tracker is a column:
+# its state, then these entries: value, value with velocity, velocity with value, velocity; the ratio's last.
+PLACES = [(i, i) for i in range(3)] + [(i, i + 4) for i in range(3)] + [(i + 4, i) for i in range(3)] + [(i + 4, i + 4) for i in range(3)] + [(3, 3)]
+AT = tuple(np.array(PLACES).T)
+DIAGONAL = [7, 8, 9, 19]  # entries of what is measured
+_column = lambda d: np.diag(d)[AT][:, None]
+NOISE, START, MEASURE_NOISE = _column(NOISE), _column(START), np.array(MEASURE_NOISE)[:, None]
 
 
 def measured(boxes: np.ndarray) -> np.ndarray:
     w, h = boxes[:, 2] - boxes[:, 0], boxes[:, 3] - boxes[:, 1]
-    return np.stack([boxes[:, 0] + w / 2, boxes[:, 1] + h / 2, w * h, w / h], 1)
+    out = np.empty((len(boxes), 4))
+    out[:, 0], out[:, 1], out[:, 2], out[:, 3] = boxes[:, 0] + w / 2, boxes[:, 1] + h / 2, w * h, w / h
+    return out
 
 
 def boxes_of(x: np.ndarray) -> np.ndarray:
     with np.errstate(invalid="ignore", divide="ignore"):
         w = np.sqrt(x[:, 2] * x[:, 3])
         h = x[:, 2] / w
-    return np.stack([x[:, 0] - w / 2, x[:, 1] - h / 2, x[:, 0] + w / 2, x[:, 1] + h / 2], 1)
+    w, h, out = w / 2, h / 2, np.empty((len(x), 4))
+    out[:, 0], out[:, 1], out[:, 2], out[:, 3] = x[:, 0] - w, x[:, 1] - h, x[:, 0] + w, x[:, 1] + h
+    return out
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Overlap shares to ten digits, so that equal ones tie whatever the last bits of a prediction are."""
-    lo, hi = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    inter = np.clip(hi - lo, 0, None).prod(2)
+    side = lambda i, j: np.maximum(np.minimum(a[:, None, j], b[None, :, j]) - np.maximum(a[:, None, i], b[None, :, i]), 0)
+    inter = side(0, 2) * side(1, 3)
     area = lambda z: (z[:, 2] - z[:, 0]) * (z[:, 3] - z[:, 1])
     with np.errstate(invalid="ignore"):
-        return np.nan_to_num(np.round(inter / (area(a)[:, None] + area(b)[None, :] - inter), 10))
+        m = np.round(inter / (area(a)[:, None] + area(b)[None, :] - inter), 10)
+    return m if np.isfinite(m).all() else np.nan_to_num(m)
 
 
 def best_overlaps(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,26 +81,50 @@ class BoxTracker:
 
     def __init__(self, max_age: int = 5, min_hits: int = 3, iou: float = 0.3):
         self.max_age, self.min_hits, self.iou = max_age, min_hits, iou
-        self.x, self.p = np.zeros((0, 7)), np.zeros((0, 7, 7))
+        self.m = np.zeros((20, 0))
         self.ids, self.streak, self.since, self.part = (np.zeros(0, np.int64) for _ in range(4))
+        self.ended = np.zeros(0, np.int64)  # ids that the last step has removed
         self.frames = self.last_id = 0
 
     def _keep(self, which: np.ndarray) -> None:
-        self.x, self.p = self.x[which], self.p[which]
+        if which.all():
+            return
+        self.ended = np.concatenate([self.ended, self.ids[~which]])
+        self.m = self.m[:, which]
         self.ids, self.streak, self.since, self.part = self.ids[which], self.streak[which], self.since[which], self.part[which]
 
     def _predict(self) -> np.ndarray:
-        shrinking = self.x[:, 6] + self.x[:, 2] <= 0
-        self.x[shrinking, 6] = 0.0
-        self.x = self.x @ MOTION.T
-        self.p = MOTION @ self.p @ MOTION.T + NOISE
+        m = self.m
+        m[6, m[6] + m[2] <= 0] = 0.0
+        m[0:3] += m[4:7]
+        m[7:10] += m[13:16]
+        m[10:13] += m[16:19]
+        m[7:10] += m[10:13]
+        m[13:16] += m[16:19]
+        m[7:] += NOISE
         self.streak[self.since > 0] = 0
         self.since += 1
-        boxes = boxes_of(self.x)
+        boxes = boxes_of(m[:7].T)
         good = ~np.isnan(boxes).any(1)
+        if good.all():
+            return boxes
         self._keep(good)
         return boxes[good]
 
+    def _match_whole(self, boxes: np.ndarray, predicted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``_match`` of boxes and predictions that are one part, without its flags."""
+        if not len(boxes) or not len(predicted):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        m = iou_matrix(boxes, predicted)
+        over = m > self.iou
+        plain = np.nonzero(over)
+        most = max(over.sum(1).max(), over.sum(0).max())
+        if most == 1 or (most == 0 and not (m > 0).any()):
+            return plain
+        d, t = best_overlaps(m)
+        keep = m[d, t] >= self.iou
+        return d[keep], t[keep]
+
     def _match(self, boxes: np.ndarray, predicted: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of boxes and predictions of one part: those over the threshold if some are and each side has one at
         most, else the best assignment. ``rule`` is for each part the most of them that one side has, 2 at most;
@@ -121,10 +157,18 @@ class BoxTracker:
         return d, t
 
     def _correct(self, t: np.ndarray, boxes: np.ndarray) -> None:
-        p = self.p[t]
-        gain = p[:, :, :4] @ np.linalg.inv(p[:, :4, :4] + MEASURE_NOISE)
-        self.x[t] += (gain @ (measured(boxes) - self.x[t, :4])[:, :, None])[:, :, 0]
-        self.p[t] = p - gain @ p[:, :4, :]
+        m = self.m[:, t]
+        left = measured(boxes).T - m[:4]
+        part = 1 / (m[DIAGONAL] + MEASURE_NOISE)
+        gain = np.concatenate([m[7:10] * part[:3], m[19:] * part[3:], m[13:16] * part[:3]])  # of the seven entries of the state
+        m[:4] += gain[:4] * left
+        m[4:7] += gain[4:] * left[:3]
+        m[13:16] -= gain[4:] * m[7:10]
+        m[16:19] -= gain[4:] * m[10:13]
+        m[7:10] -= gain[:3] * m[7:10]
+        m[10:13] -= gain[:3] * m[10:13]
+        m[19] -= gain[3] * m[19]
+        self.m[:, t] = m
         self.streak[t] += 1
         self.since[t] = 0
 
@@ -138,32 +182,52 @@ class BoxTracker:
         other. ``predicted`` and ``predicted_part`` are what they met."""
         self.frames += 1
         boxes = np.asarray(boxes, float).reshape(-1, 4)
-        part = np.zeros(len(boxes), np.int64) if part is None else part
+        self.ended = self.ended[:0]
         self.predicted = self._predict()
         self.predicted_part = self.part
-        d, t = self._match(boxes, self.predicted, part)
-        self._correct(t, boxes[d])
+        d, t = self._match_whole(boxes, self.predicted) if part is None else self._match(boxes, self.predicted, part)
+        part = np.zeros(len(boxes), np.int64) if part is None else part
+        if len(d):
+            self._correct(t, boxes[d])
         out, shown = np.zeros(len(boxes), np.int64), np.full(len(boxes), self.min_hits <= 0 or self.frames <= self.min_hits)
         out[d] = self.ids[t]
         shown[d] |= self.streak[t] >= self.min_hits
-        new = np.setdiff1d(np.arange(len(boxes)), d)
+        free = np.ones(len(boxes), bool)
+        free[d] = False
+        new = np.flatnonzero(free)
+        if not len(new):
+            self._keep(self.since <= self.max_age)
+            return out, shown
         out[new] = self.last_id + 1 + np.arange(len(new))
         self.last_id += len(new)
-        x = np.concatenate([measured(boxes[new]), np.zeros((len(new), 3))], 1)
-        self.x, self.p = np.concatenate([self.x, x]), np.concatenate([self.p, np.repeat(START[None], len(new), 0)])
+        m = np.zeros((20, len(new)))
+        m[:4], m[7:] = measured(boxes[new]).T, START
+        self.m = np.concatenate([self.m, m], 1)
         zero = np.zeros(len(new), np.int64)
         self.ids, self.streak, self.since = np.concatenate([self.ids, out[new]]), np.concatenate([self.streak, zero]), np.concatenate([self.since, zero])
         self.part = np.concatenate([self.part, part[new]])
         self._keep(self.since <= self.max_age)
         return out, shown
 
+    @property
+    def x(self) -> np.ndarray:
+        """States, a row a tracker."""
+        return self.m[:7].T
+
+    @property
+    def p(self) -> np.ndarray:
+        """Covariances, a matrix a tracker."""
+        out = np.zeros((self.m.shape[1], 7, 7))
+        out[:, AT[0], AT[1]] = self.m[7:].T
+        return out
+
     def state(self) -> tuple:
         """Flat lists, for a streaming state store."""
         return self.frames, self.last_id, self.x.ravel().tolist(), self.p.ravel().tolist(), self.ids.tolist(), self.streak.tolist(), self.since.tolist()
 
     def restore(self, state: tuple) -> BoxTracker:
         self.frames, self.last_id, x, p, ids, streak, since = state
-        self.x, self.p = np.array(x, float).reshape(-1, 7), np.array(p, float).reshape(-1, 7, 7)
+        self.m = np.concatenate([np.array(x, float).reshape(-1, 7), np.array(p, float).reshape(-1, 7, 7)[:, AT[0], AT[1]]], 1).T.copy()
         self.ids, self.streak, self.since = (np.array(z, np.int64) for z in (ids, streak, since))
         self.part = np.zeros(len(self.ids), np.int64)
         return self

@@ -45,13 +45,14 @@ def live_tracks(detections: DataFrame, delay: str = "10 minutes", max_age: int =
             tracker.restore(tuple(kept))
             waiting, lengths = [tuple(w) for w in waiting], dict(lengths)
         for b in batches:
-            for r in b.itertuples(index=False):
-                if done is not None and r.timeframe <= done:
-                    late += 1
-                else:
-                    ts = int(pd.Timestamp(r.ts).timestamp() * 1000)
-                    waiting.append((int(r.timeframe), ts, int(r.sc_id), float(r.x1), float(r.y1), float(r.x2), float(r.y2)))
-                    seen = ts if seen is None else max(seen, ts)
+            if done is not None:
+                new = b["timeframe"] > done
+                late += int((~new).sum())
+                b = b[new]
+            if len(b):
+                ts = b["ts"].to_numpy("datetime64[ms]").astype(np.int64)
+                waiting += zip(b["timeframe"].astype(int).tolist(), ts.tolist(), b["sc_id"].astype(int).tolist(), *(b[c].astype(float).tolist() for c in ("x1", "y1", "x2", "y2")))
+                seen = int(ts.max()) if seen is None else max(seen, int(ts.max()))
         mark = state.getCurrentWatermarkMs()
         newest: dict[int, int] = {}
         for w in waiting:
@@ -64,14 +65,16 @@ def live_tracks(detections: DataFrame, delay: str = "10 minutes", max_age: int =
                 if w[0] <= ready:
                     frames.setdefault(w[0], []).append(w)
             for t in range(min(frames) if done is None else done + 1, ready + 1):
-                before = set(tracker.ids.tolist())
                 found = frames.get(t, [])
+                if not found and not len(tracker.ids):  # nothing lives
+                    tracker.frames += 1
+                    continue
                 ids = tracker.step(np.array([w[3:] for w in found]))
                 for w, i in zip(found, ids.tolist()):
                     if i:
                         lengths[i] = lengths.get(i, 0) + 1
                         rows.append(("cell", t, w[2], i, 1))
-                for i in sorted(before - set(tracker.ids.tolist())):
+                for i in sorted(tracker.ended.tolist()):
                     if i in lengths:
                         rows.append(("end", t, None, i, lengths.pop(i)))
             waiting, done = [w for w in waiting if w[0] > ready], ready
