@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackspark.functions import raster
 from trackspark.operators import contours as co
+from trackspark.operators import events as evs
 from trackspark.operators import images as im
 from trackspark.plans import adapters
 
@@ -143,3 +144,20 @@ def test_tasks_get_a_bounded_number_of_pixels(spark, rows, monkeypatch):
     p = adapters.unique_pixels(spark, at)
     sizes = [x[1] for x in p.groupBy(F.spark_partition_id()).count().collect()]
     assert rows(p) == want and len(sizes) >= spark.read.parquet(f"{at}/lineitem.parquet").count() // 500 and max(sizes) < 1000
+
+
+def test_clips_are_split_many_at_once(spark, rows):
+    """Clips cost no call of Python each; a clip of several Arrow batches, and ties of distance."""
+    cells = [(k, t, 10 * t + n, float(t), float(n * t)) for k in range(50) for t in range(6) for n in range(2 if t in (2, 5) and k % 2 else 1)]
+    d = spark.createDataFrame(cells, "clip int, timeframe int, sc_id long, x double, y double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        s = evs.split_divisions(d)
+        got = rows(s)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = s._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    # at the second division both cells are as near to either series, so the first goes on twice
+    assert sorted(x[1:] for x in got if x[0] == 1) == sorted((n, t, 10 * t + (n if t == 5 else 0), 2) for n in range(2) for t in range(6))
+    assert all(x[1] == 0 and x[4] is None for x in got if x[0] % 2 == 0) and len({x[0] for x in got}) == 50

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackspark.functions.groups import heads, in_groups, numbers
 from trackspark.schema import extended
 
 from .evaluate import hash_key
@@ -52,24 +57,32 @@ def split_divisions(clips: DataFrame) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in need.schema}
     out = extended(need.select("clip").schema, series="int", timeframe=types["timeframe"], sc_id=types["sc_id"], break_idx="int")
 
-    def split(clip: pd.DataFrame) -> pd.DataFrame:
-        clip = clip.sort_values(["timeframe", "sc_id"])
-        frames = [g for _, g in clip.groupby("timeframe")]
-        at = next((k for k, g in enumerate(frames) if len(g) > 1), None)
-        series = [[]]
-        for g in frames:
-            cells = list(g.itertuples(index=False))
-            if len(cells) == 1 or not series[0]:
-                series = [s + [c] for s in series for c in (cells if not s else cells[:1])]
-            else:
-                near = lambda c: min(series, key=lambda s: (s[-1].x - c.x) ** 2 + (s[-1].y - c.y) ** 2)  # noqa: B023, E731
-                series = [near(c) + [c] for c in cells]
-        rows = [(c.clip, k, c.timeframe, c.sc_id, at) for k, s in enumerate(series) for c in s]
-        done = pd.DataFrame(rows, columns=[f.name for f in out.fields])
-        done["break_idx"] = done["break_idx"].astype("Int32")
-        return done
-
-    return need.groupBy("clip").applyInPandas(split, out)
+    def split(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        times, (x, y) = t.column("timeframe").to_pylist(), (c.tolist() for c in numbers(t, "x", "y"))
+        ends = [*starts.tolist(), t.num_rows]
+        row, number, broken = [], [], []
+        for a, b in zip(ends, ends[1:]):
+            frames = [list(g) for _, g in groupby((k for k in range(a, b) if times[k] is not None), times.__getitem__)]
+            at = next((k for k, g in enumerate(frames) if len(g) > 1), None)
+            series = [[]]
+            for g in frames:
+                if not series[0]:
+                    series = [[k] for k in g]
+                elif len(g) == 1:
+                    for one in series:
+                        one += g
+                else:
+                    near = lambda k: min(series, key=lambda s: (x[s[-1]] - x[k]) ** 2 + (y[s[-1]] - y[k]) ** 2)  # noqa: B023, E731
+                    series = [near(k) + [k] for k in g]
+            for n, s in enumerate(series):
+                row += s
+                number += [n] * len(s)
+                broken += [at] * len(s)
+        if row:
+            clip, frame, cell = heads(t, ["clip", "timeframe", "sc_id"], np.array(row))
+            yield pa.RecordBatch.from_arrays([clip, pa.array(number, pa.int32()), frame, cell, pa.array(broken, pa.int32())], out.names)
+
+    return in_groups(need, ["clip"], ["timeframe", "sc_id"], split, out)
 
 
 def enclosing_box(clips: DataFrame) -> DataFrame:
