@@ -161,3 +161,16 @@ def test_clips_are_split_many_at_once(spark, rows):
     # at the second division both cells are as near to either series, so the first goes on twice
     assert sorted(x[1:] for x in got if x[0] == 1) == sorted((n, t, 10 * t + (n if t == 5 else 0), 2) for n in range(2) for t in range(6))
     assert all(x[1] == 0 and x[4] is None for x in got if x[0] % 2 == 0) and len({x[0] for x in got}) == 50
+
+
+def test_groups_are_dealt_over_more_tasks_where_rows_ask_for_it(spark):
+    """X11: a task sorts ``rows_per_task`` rows, about, whatever the number of shuffle partitions."""
+    from trackspark.functions.groups import in_groups, numbers
+
+    d = spark.range(600).selectExpr("id div 2 AS k", "id AS v")
+
+    def kernel(t, starts):
+        yield pa.RecordBatch.from_arrays([pa.array(numbers(t, "k")[0][starts])], ["k"])
+
+    out = in_groups(d, ["k"], ["v"], kernel, "k long", 600, 20).withColumn("task", F.spark_partition_id())
+    assert out.select("k").distinct().count() == out.count() == 300 and out.select("task").distinct().count() > 20

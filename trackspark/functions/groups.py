@@ -26,10 +26,11 @@ def _starts(table: pa.Table, by: list[str], before: pa.RecordBatch | None) -> np
     return np.flatnonzero(new)
 
 
-def in_groups(df: DataFrame, by: list[str], order: list[str], kernel: Callable[[pa.Table, np.ndarray], Iterable[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+def in_groups(df: DataFrame, by: list[str], order: list[str], kernel: Callable[[pa.Table, np.ndarray], Iterable[pa.RecordBatch]], schema: StructType | str, rows: int | None = None, rows_per_task: int = 1_000_000) -> DataFrame:
     """The kernel's rows of each group. It gets a table of whole groups, one after another and each in ``order``, and
     the places at which they begin: as many as an Arrow batch holds, so that small groups cost no call each. A group
-    of several batches is put together; one group is what a task holds at most, beside a batch."""
+    of several batches is put together; one group is what a task holds at most, beside a batch. ``rows``, if known:
+    how many there are, so that tasks grow in number with them, not in what they sort."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # of the group that may go on
@@ -48,7 +49,8 @@ def in_groups(df: DataFrame, by: list[str], order: list[str], kernel: Callable[[
             t = pa.Table.from_batches(held)
             yield from kernel(t, _starts(t, by, None))
 
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+    parts = 0 if rows is None else max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))
+    return (df.repartition(parts, *by) if parts else df.repartition(*by)).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
 def heads(table: pa.Table, names: list[str], rows: np.ndarray) -> list[pa.Array]:

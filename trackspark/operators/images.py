@@ -327,7 +327,7 @@ def _tile_pieces(pixels: DataFrame, keys: list[str], label: str, diagonal: bool,
         top = first[root]
         yield pa.RecordBatch.from_arrays([*heads(t, [*keys, "label"], once[first]), *map(pa.array, (r[first], c[first], c[last], r[top], c[top]))], schema.names)
 
-    return in_groups(p, by, ["r", "c"], unite, schema)
+    return in_groups(p, by, ["r", "c"], unite, schema, p.count())
 
 
 def _rooted_runs(pixels: DataFrame, keys: list[str], label: str, diagonal: bool, tile: int, t: Rounds) -> DataFrame:

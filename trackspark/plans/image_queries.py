@@ -12,7 +12,7 @@ from trackspark.operators import fields as fi
 from trackspark.operators import images as im
 from trackspark.operators import tracks as tr
 
-from .adapters import cells, clips, table, unique_pixels
+from .adapters import cells, clips, dealt, table, unique_pixels
 from .base import query
 from .overlap_queries import shapes
 
@@ -29,6 +29,7 @@ H, W = 96, 64  # places of an image; about 64 of its rows are filled
 def grid(s, d):
     """lineitem as images: a thousand orders each, their items row by row, so that every item is a pixel."""
     p = table(s, d, "lineitem").selectExpr("l_orderkey div 1024 AS image", "l_quantity AS value", "1 + l_linenumber % 3 AS label", "struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS k")
+    p = dealt(s, d, p, "image")
     p = p.withColumn("at", F.row_number().over(Window.partitionBy("image").orderBy("k")) - 1)
     return p.select("image", F.expr(f"CAST(at div {W} AS BIGINT)").alias("r"), F.expr(f"CAST(at % {W} AS BIGINT)").alias("c"), "value", F.col("label").cast("long").alias("label"))
 
