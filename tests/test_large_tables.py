@@ -174,3 +174,21 @@ def test_groups_are_dealt_over_more_tasks_where_rows_ask_for_it(spark):
 
     out = in_groups(d, ["k"], ["v"], kernel, "k long", 600, 20).withColumn("task", F.spark_partition_id())
     assert out.select("k").distinct().count() == out.count() == 300 and out.select("task").distinct().count() > 20
+
+
+def test_hulls_walk_along_the_ends_of_rows():
+    """A10: the hull of a filled square of 3,600 points looks at two points a row."""
+    import sys
+
+    points, calls = np.argwhere(np.ones((60, 60))), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "c_call"
+
+    sys.setprofile(count)
+    try:
+        around = raster.hull(points)
+    finally:
+        sys.setprofile(None)
+    assert around.tolist() == [[0, 0], [59, 0], [59, 59], [0, 59]] and calls < 3000

@@ -190,9 +190,13 @@ def runs_and_pieces(group: np.ndarray, r: np.ndarray, c: np.ndarray, more: int)
 
 def hull(points: np.ndarray) -> np.ndarray:
     """Convex hull, counter-clockwise, of distinct points."""
-    pts = np.unique(points, axis=0)
+    pts = points[np.lexsort((points[:, 1], points[:, 0]))]
+    pts = pts[np.append(True, (pts[1:] != pts[:-1]).any(1))[: len(pts)]]
     if len(pts) < 3:
         return pts
+    # of points with one first coordinate only the outer two can be corners
+    turn = pts[1:, 0] != pts[:-1, 0]
+    pts = pts[np.append(True, turn) | np.append(turn, True)].tolist()
 
     def half(seq):
         out = []
