@@ -192,3 +192,39 @@ def test_hulls_walk_along_the_ends_of_rows():
     finally:
         sys.setprofile(None)
     assert around.tolist() == [[0, 0], [59, 0], [59, 59], [0, 59]] and calls < 3000
+
+
+def counted(df):
+    """The table and a counter of the rows that jobs have made of it."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+@pytest.mark.parametrize("ahead, rounds", [(32, 2), (3, 5)])
+def test_zero_maps_are_made_once_and_no_frame_is_searched_twice(spark, rows, monkeypatch, ahead, rounds):
+    """J6 against a plain loop, over frames with holes; blocks that follow each other need fewer rounds."""
+    from trackspark.operators import overlap as ov
+
+    rng = np.random.default_rng(14)
+    made = [(m, t, 1000 * m + 4 * t + k, *(x := rng.integers(0, 150, 2).tolist()), x[0] + 20, x[1] + 20) for m in range(2) for t in range(90) if t % 7 for k in range(2)]
+    c = spark.createDataFrame(made, "dataset int, timeframe int, sc_id long, x1 long, y1 long, x2 long, y2 long").cache()
+    share = lambda p, q: max(min(p[5], q[5]) - max(p[3], q[3]), 0) * max(min(p[6], q[6]) - max(p[4], q[4]), 0) / 400
+    zero = [p for p in made if not any(q[:2] == (p[0], p[1] + 1) and share(p, q) > 0.3 for q in made)]
+    z = ov.zero_maps(ov.frame_pairs(c), c, ov.FRAME)
+    assert rows(z.select(c.columns)) == sorted(zero, key=str)
+    assert rows(ov.find_maps(ov.frame_pairs(c), c, ov.FRAME).where("n_targets = 0").select("sc_a")) == sorted([(p[2],) for p in zero], key=str)
+    want = []
+    for p in zero:
+        stop = min((q[1] for q in made if q[0] == p[0] and q[1] > p[1] and share(p, q) > 0.5), default=90)
+        want += [(p[0], p[2], t) for t in range(p[1], stop) if t % 7]
+    labels, write = [], ov.Rounds.write
+    monkeypatch.setattr(ov.Rounds, "write", lambda self, df, label: labels.append(label) or write(self, df, label))
+    once, seen = counted(z)
+    assert rows(ov.extend_zero_maps(once, c, 0.5, ahead)) == sorted(want, key=str)
+    assert seen.value == len(zero) and sum(x[0] == "h" for x in labels) == rounds

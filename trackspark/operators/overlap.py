@@ -65,6 +65,11 @@ def find_maps(pairs: DataFrame, sources: DataFrame, keys: list[str], threshold:
     return out.withColumn("n_targets", F.coalesce("n_targets", F.lit(0))).withColumn("targets", F.coalesce("targets", F.array().cast("array<bigint>")))
 
 
+def zero_maps(pairs: DataFrame, sources: DataFrame, keys: list[str], threshold: float = 0.3, metric: str = "iomin") -> DataFrame:
+    """The sources, with their columns, that have no target above the threshold (zero maps)."""
+    return sources.join(pairs.where(F.col(metric) > threshold).select(*keys, F.col("sc_a").alias("sc_id")), [*keys, "sc_id"], "left_anti")
+
+
 def map_rates(maps: DataFrame, keys: list[str]) -> DataFrame:
     """Multi and zero maps per frame pair, and their shares of the sources."""
     n = maps.groupBy(*keys).agg(F.count("*").alias("n_sources"), F.count_if(F.col("n_targets") > 1).alias("n_multi"), F.count_if(F.col("n_targets") == 0).alias("n_zero"))
@@ -87,33 +92,35 @@ def extend_zero_maps(zero: DataFrame, cells: DataFrame, threshold: float = 0.2,
     """Zero (dataset, timeframe, sc_id and box): each cell is repeated into the later frames that hold
     cells, up to the first with a cell above the threshold (iomin), which is left out.
 
-    The stop is searched in the next ``ahead`` frames, then for the cells that have none there in twice as
-    many after these, and so on; repeated rows are as many as the result has."""
+    The stop is searched in the rest of a cell's block of ``ahead`` frames and the block after that, then for the
+    cells that have none there in two blocks twice as wide that follow these, and so on: no frame is searched twice
+    for a cell. Repeated rows are as many as the result has. ``cells`` are read in each round, so give a table that
+    is cheap to read; ``zero`` is made once."""
     t = Rounds(zero.sparkSession)
     box = ["x1", "y1", "x2", "y2"]
-    start = zero.select("dataset", "timeframe", F.col("sc_id").alias("sc_a"))
-    left = t.write(zero.select("dataset", F.col("timeframe").alias("__from"), "sc_id", *box), "z0")
+    made = t.write(zero.select("dataset", "timeframe", "sc_id", *box), "zero")
+    start = made.select("dataset", "timeframe", F.col("sc_id").alias("sc_a"))
+    left = made.select("dataset", "sc_id", (F.col("timeframe").cast("long") + 1).alias("__next"), *box)
     last, width, k, stops = cells.agg(F.max("timeframe")).first()[0], ahead, 0, None
-    when = cells.select("dataset", F.col("sc_id").alias("sc_b"), F.col("timeframe").alias("t"))
     while last is not None:
-        block = F.floor(F.col("__from") / width)
-        a = left.withColumn("__b", F.explode(F.array(block, block + 1)))
-        later = box_pairs(a, cells.withColumn("__b", F.floor(F.col("timeframe") / width)), ["dataset", "__b"]).where(F.col("iomin") > threshold)
-        gap = F.col("t") - F.col("__from")
-        hit = later.join(when, ["dataset", "sc_b"]).join(left.select("dataset", F.col("sc_id").alias("sc_a"), "__from"), ["dataset", "sc_a"])
-        hit = hit.where((gap > (width // 2 if k else 0)) & (gap <= width)).groupBy("dataset", "sc_a").agg(F.min("t").alias("stop"))
-        hit = t.write(hit, f"h{k}")
+        block = F.floor(F.col("__next") / width)
+        a = left.select("dataset", F.explode(F.array(block, block + 1)).alias("__b"), F.struct("sc_id", "__next").alias("sc_id"), *box)
+        b = cells.select("dataset", F.floor(F.col("timeframe") / width).alias("__b"), F.col("timeframe").alias("sc_id"), *box)
+        later = box_pairs(a, b, ["dataset", "__b"]).where((F.col("iomin") > threshold) & (F.col("sc_b") >= F.col("sc_a.__next")))
+        hit = t.write(later.groupBy("dataset", F.col("sc_a.sc_id").alias("sc_a")).agg(F.min("sc_b").alias("stop")), f"h{k}")
         stops = hit if stops is None else stops.union(hit)
-        left = t.write(left.where(F.col("__from") + width < last).join(hit.select("dataset", F.col("sc_a").alias("sc_id")), ["dataset", "sc_id"], "left_anti"), f"z{k + 1}")
-        t.drop(f"z{k}")
+        left = left.withColumn("__next", (block + 2) * width).where(F.col("__next") <= last)
+        left = t.write(left.join(hit.select("dataset", F.col("sc_a").alias("sc_id")), ["dataset", "sc_id"], "left_anti"), f"z{k}")
+        t.drop(f"z{k - 1}")
         k, width = k + 1, 2 * width
         if left.isEmpty():
             break
+    t.drop(f"z{k - 1}")
     stop = stops if stops is not None else start.select("dataset", "sc_a", F.col("timeframe").alias("stop")).limit(0)
     frames = cells.select("dataset", F.col("timeframe").alias("t")).distinct().groupBy("dataset").agg(F.sort_array(F.collect_set("t")).alias("ts"))
     spans = start.join(stop, ["dataset", "sc_a"], "left").join(frames, "dataset")
-    own = F.filter("ts", lambda t: (t >= F.col("timeframe")) & (F.col("stop").isNull() | (t < F.col("stop"))))
-    return spans.select("dataset", F.col("sc_a").alias("sc_id"), F.explode(own).alias("timeframe"))
+    every = spans.select("dataset", F.col("sc_a").alias("sc_id"), F.col("timeframe").alias("since"), "stop", F.explode("ts").alias("timeframe"))
+    return every.where((F.col("timeframe") >= F.col("since")) & (F.col("stop").isNull() | (F.col("timeframe") < F.col("stop")))).select("dataset", "sc_id", "timeframe")
 
 
 def underseg_groups(best: DataFrame, regions: DataFrame, boxes: DataFrame, keys: list[str], padding_scale: float = 1.5) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackspark.functions.graph import Rounds
 from trackspark.functions.ranks import ranked
 from trackspark.operators.tracks import last_write_wins
 
@@ -34,6 +35,11 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_write_wins(raw_cells(spark, sf_dir))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The view as a table in the shared folder, for jobs that read it many times."""
+    return Rounds(df.sparkSession).write(df, "view")
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as pixels with two label images; (image, r, c) may repeat."""
     return table(spark, sf_dir, "lineitem").selectExpr(

@@ -11,7 +11,7 @@ from trackspark.operators import overlap as ov
 from trackspark.operators import tracking as tk
 from trackspark.operators import tracks as tr
 
-from .adapters import cells, lineage, pixels, table, unique_pixels
+from .adapters import cells, lineage, pixels, table, unique_pixels, written
 from .base import live_sql, query
 
 KEY = ["image"]
@@ -88,9 +88,8 @@ def j5(s, d):
     SELECT z.dataset, z.sc_id, f.timeframe FROM z LEFT JOIN h USING (sc_id) JOIN (SELECT DISTINCT dataset, timeframe FROM dense) f ON f.dataset = z.dataset AND f.timeframe >= z.timeframe AND (stop IS NULL OR f.timeframe < stop)""",
 )
 def j6(s, d):
-    c = dense(s, d)
-    zero = ov.find_maps(ov.frame_pairs(c), c, ov.FRAME).where("n_targets = 0").select(F.col("sc_a").alias("sc_id"))
-    return ov.extend_zero_maps(c.join(zero, "sc_id", "left_semi"), c, 0.5)
+    c = written(dense(s, d).select("dataset", "timeframe", "sc_id", "x1", "y1", "x2", "y2"))
+    return ov.extend_zero_maps(ov.zero_maps(ov.frame_pairs(c), c, ov.FRAME), c, 0.5)
 
 
 ENDS = """ends AS (SELECT dataset, track_id, min(timeframe) AS s, max(timeframe) AS e, min_by((x1 + x2) / 2, timeframe) AS fx, min_by((y1 + y2) / 2, timeframe) AS fy, min_by(area, timeframe) AS fa,
