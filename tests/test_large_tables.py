@@ -228,3 +228,30 @@ def test_zero_maps_are_made_once_and_no_frame_is_searched_twice(spark, rows, mon
     once, seen = counted(z)
     assert rows(ov.extend_zero_maps(once, c, 0.5, ahead)) == sorted(want, key=str)
     assert seen.value == len(zero) and sum(x[0] == "h" for x in labels) == rounds
+
+
+@pytest.mark.parametrize("frames, rounds", [(128, 2), (16, 5)])
+def test_signals_search_no_frame_twice(spark, monkeypatch, frames, rounds):
+    """J11 against a plain loop; blocks that follow each other need fewer rounds, and the query makes its cells once."""
+    from trackspark.operators import linking as lk
+    from trackspark.plans import overlap_queries as oq
+
+    rng = np.random.default_rng(15)
+    made = [(m, t, 1000 * m + t, *(x := rng.integers(0, 200, 2).tolist()), x[0] + 40, x[1] + 30) for m in range(2) for t in range(600) if t % 5 and not 100 < t < 180]
+    d = spark.createDataFrame(made, "dataset int, timeframe int, sc_id long, x1 long, y1 long, x2 long, y2 long")
+    at = lambda p: ((p[2] * 53 % 230) + 0.5, (p[2] * 71 % 230) + 0.5)
+    want = {}
+    for p in made:
+        x, y = at(p)
+        want[p[2]] = max(((q[1], q[2]) for q in made if q[0] == p[0] and q[1] <= p[1] and q[3] < x < q[5] and q[4] < y < q[6]), default=None)
+    labels, write = [], lk.Rounds.write
+    monkeypatch.setattr(lk.Rounds, "write", lambda self, df, label: labels.append(label) or write(self, df, label))
+    corner = lambda a, b: F.array(F.col(a).cast("double"), F.col(b).cast("double"))
+    shaped = d.withColumn("contour", F.array(corner("x1", "y1"), corner("x1", "y2"), corner("x2", "y2"), corner("x2", "y1"))).cache()
+    s = d.selectExpr("dataset", "sc_id AS sig_id", "timeframe", "(sc_id * 53 % 230) + 0.5D AS x", "(sc_id * 71 % 230) + 0.5D AS y")
+    got = {r.sig_id: (r.timeframe, r.sc_id) for r in lk.signals_to_cells(s, shaped, frames=frames).collect()}
+    assert got == {k: v for k, v in want.items() if v} and 0 < len(got) < len(made)
+    assert sum(x[0] == "f" for x in labels) == rounds
+    once, seen = counted(d)
+    monkeypatch.setattr(oq, "cells", lambda *_: once)
+    assert oq.j11(spark, "").count() > 0 and seen.value == len(made)

@@ -12,7 +12,7 @@ from trackspark.functions.geometry import contains_point
 from trackspark.functions.graph import Rounds, components
 from trackspark.schema import extended
 
-from .overlap import box_pairs
+from .overlap import box_pairs, tiled
 from .tracks import TRACK, gaps, neighbours_in_time, track_ends, track_summary
 
 
@@ -126,32 +126,31 @@ def signals_to_cells(signals: DataFrame, cells: DataFrame, tile: int = 64, frame
     """Signals (dataset, sig_id, timeframe, x, y): the cell whose contour holds the point at the latest
     frame up to the signal's (then the lowest id). cells carry ``contour``.
 
-    A signal meets the cells of its tile in its last ``frames`` frames; those that none of them holds meet
-    the frames before, twice as many, and so on, so most signals never meet a movie's past. The latest
-    is a maximum, so partial results combine before the shuffle."""
+    A signal meets the cells of its tile in its block of ``frames`` frames and the block before; those that none of
+    them holds meet two blocks twice as wide that come before these, and so on: no frame is searched twice for a
+    signal, and most never meet a movie's past. The latest is a maximum, so partial results combine before the
+    shuffle. ``cells`` are read in each round, so give a table that is cheap to read."""
     t = Rounds(signals.sparkSession)
-    s = signals.select("dataset", "sig_id", F.col("timeframe").alias("sig_time"), "x", "y", F.floor(F.col("x") / tile).alias("__tx"), F.floor(F.col("y") / tile).alias("__ty"))
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / tile), F.floor(F.col(b) / tile))
-    c = cells.withColumn("__tx", F.explode(span("x1", "x2"))).withColumn("__ty", F.explode(span("y1", "y2")))
-    c = c.select("dataset", "__tx", "__ty", "timeframe", "sc_id", "contour", "x1", "y1", "x2", "y2")
+    until = (F.col("timeframe").cast("long") + 1).alias("__until")  # the frames before this one are not searched yet
+    s = signals.select("dataset", "sig_id", until, "x", "y", F.floor(F.col("x") / tile).alias("__tx"), F.floor(F.col("y") / tile).alias("__ty"))
+    c = tiled(cells.select("dataset", "timeframe", "sc_id", "contour", "x1", "y1", "x2", "y2"), tile)
     left = t.write(s, "s0")
     first, width, k, found = cells.agg(F.min("timeframe")).first()[0], frames, 0, []
+    end = left.agg(F.max("__until")).first()[0]
     box = F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2"))
-    while first is not None:
-        age = F.col("sig_time") - F.col("timeframe")
-        block = F.floor(F.col("sig_time") / width)
+    while first is not None and end is not None:
+        block = F.floor((F.col("__until") - 1) / width)
         near = left.withColumn("__b", F.explode(F.array(block, block - 1)))
-        hit = near.join(c.withColumn("__b", F.floor(F.col("timeframe") / width)), ["dataset", "__tx", "__ty", "__b"])
-        hit = hit.where((age >= (width // 2 if k else 0)) & (age < width) & box).where(contains_point("contour", "x", "y"))
+        hit = near.join(c.where(F.col("timeframe") < end).withColumn("__b", F.floor(F.col("timeframe") / width)), ["dataset", "__tx", "__ty", "__b"])
+        hit = hit.where((F.col("timeframe") < F.col("__until")) & box).where(contains_point("contour", "x", "y"))
         top = hit.groupBy("dataset", "sig_id").agg(F.max(F.struct("timeframe", (-F.col("sc_id")).alias("m"))).alias("t")).select("dataset", "sig_id", "t.timeframe", (-F.col("t.m")).alias("sc_id"))
         found.append(t.write(top, f"f{k}"))
-        left = t.write(left.where(F.col("sig_time") - width >= first).join(found[-1].select("dataset", "sig_id"), ["dataset", "sig_id"], "left_anti"), f"s{k + 1}")
+        left = left.withColumn("__until", (block - 1) * width).where(F.col("__until") > first)
+        left = t.write(left.join(found[-1].select("dataset", "sig_id"), ["dataset", "sig_id"], "left_anti"), f"s{k + 1}")
         t.drop(f"s{k}")
-        k, width = k + 1, 2 * width
-        if left.isEmpty():
-            break
+        k, width, end = k + 1, 2 * width, left.agg(F.max("__until")).first()[0]
     t.drop(f"s{k}")
-    out = left.select("dataset", "sig_id", F.col("sig_time").alias("timeframe"), F.lit(None).cast(cells.schema["sc_id"].dataType).alias("sc_id")).limit(0)
+    out = signals.select("dataset", "sig_id", "timeframe", F.lit(None).cast(cells.schema["sc_id"].dataType).alias("sc_id")).limit(0)
     for f in found:
         out = f if f is found[0] else out.union(f)
     return out

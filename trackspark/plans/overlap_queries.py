@@ -147,7 +147,7 @@ def j10(s, d):
     SELECT s.dataset, sig_id, max(c.timeframe) AS timeframe, min_by(c.sc_id, CAST(c.sc_id AS BIGINT) - CAST(c.timeframe AS BIGINT) * 1000000000) AS sc_id FROM s JOIN cells c ON c.dataset = s.dataset AND c.timeframe <= st AND x > c.x1 AND x < c.x2 AND y > c.y1 AND y < c.y2 GROUP BY ALL""",
 )
 def j11(s, d):
-    c = cells(s, d)
+    c = written(cells(s, d).select("dataset", "timeframe", "sc_id", "x1", "y1", "x2", "y2"))
     corner = lambda a, b: F.array(F.col(a).cast("double"), F.col(b).cast("double"))
     shaped = c.withColumn("contour", F.array(corner("x1", "y1"), corner("x1", "y2"), corner("x2", "y2"), corner("x2", "y1")))
     sig = c.selectExpr("dataset", "sc_id AS sig_id", "timeframe", "(sc_id * 53 % 960) + 0.5D AS x", "(sc_id * 71 % 960) + 0.5D AS y")
