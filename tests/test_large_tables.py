@@ -207,7 +207,7 @@ def counted(df):
 
 
 @pytest.mark.parametrize("ahead, rounds", [(32, 2), (3, 5)])
-def test_zero_maps_are_made_once_and_no_frame_is_searched_twice(spark, rows, monkeypatch, ahead, rounds):
+def test_zero_maps_are_made_once_and_blocks_go_on_from_there(spark, rows, monkeypatch, ahead, rounds):
     """J6 against a plain loop, over frames with holes; blocks that follow each other need fewer rounds."""
     from trackspark.operators import overlap as ov
 
@@ -231,7 +231,7 @@ def test_zero_maps_are_made_once_and_no_frame_is_searched_twice(spark, rows, mon
 
 
 @pytest.mark.parametrize("frames, rounds", [(128, 2), (16, 5)])
-def test_signals_search_no_frame_twice(spark, monkeypatch, frames, rounds):
+def test_signals_search_blocks_that_go_on_from_there(spark, monkeypatch, frames, rounds):
     """J11 against a plain loop; blocks that follow each other need fewer rounds, and the query makes its cells once."""
     from trackspark.operators import linking as lk
     from trackspark.plans import overlap_queries as oq

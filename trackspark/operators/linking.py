@@ -127,9 +127,10 @@ def signals_to_cells(signals: DataFrame, cells: DataFrame, tile: int = 64, frame
     frame up to the signal's (then the lowest id). cells carry ``contour``.
 
     A signal meets the cells of its tile in its block of ``frames`` frames and the block before; those that none of
-    them holds meet two blocks twice as wide that come before these, and so on: no frame is searched twice for a
-    signal, and most never meet a movie's past. The latest is a maximum, so partial results combine before the
-    shuffle. ``cells`` are read in each round, so give a table that is cheap to read."""
+    them holds meet two blocks twice as wide that go on from there, and so on, so most never meet a movie's past.
+    Wider blocks end at multiples of their width, so a signal meets again one block of the round before at most. The
+    latest is a maximum, so partial results combine before the shuffle. ``cells`` are read in each round, so give a
+    table that is cheap to read."""
     t = Rounds(signals.sparkSession)
     until = (F.col("timeframe").cast("long") + 1).alias("__until")  # the frames before this one are not searched yet
     s = signals.select("dataset", "sig_id", until, "x", "y", F.floor(F.col("x") / tile).alias("__tx"), F.floor(F.col("y") / tile).alias("__ty"))

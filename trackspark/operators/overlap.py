@@ -93,9 +93,9 @@ def extend_zero_maps(zero: DataFrame, cells: DataFrame, threshold: float = 0.2,
     cells, up to the first with a cell above the threshold (iomin), which is left out.
 
     The stop is searched in the rest of a cell's block of ``ahead`` frames and the block after that, then for the
-    cells that have none there in two blocks twice as wide that follow these, and so on: no frame is searched twice
-    for a cell. Repeated rows are as many as the result has. ``cells`` are read in each round, so give a table that
-    is cheap to read; ``zero`` is made once."""
+    cells that have none there in two blocks twice as wide that go on from there, and so on. Wider blocks begin at
+    multiples of their width, so a cell meets again one block of the round before at most. Repeated rows are as many
+    as the result has. ``cells`` are read in each round, so give a table that is cheap to read; ``zero`` is made once."""
     t = Rounds(zero.sparkSession)
     box = ["x1", "y1", "x2", "y2"]
     made = t.write(zero.select("dataset", "timeframe", "sc_id", *box), "zero")
